@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, warc
+from . import bpe, langid, lm_score, pii, warc
 from .common import LOWER, UPPER, new_path, table
 from .exact_dedup import duplicate_groups
 from .fingerprint import fingerprinted
@@ -29,6 +29,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+#: For tests and the driver's tables; whoever pseudonymises real data brings a secret key.
+DEMO_KEY = b"rankweave demonstration key"
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(table(spark, sf_dir, "pages"), new_path(spark, "warc-all"), new_path(spark, "warc-deduplicated"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -45,6 +53,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenth = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tenth.alias("held_out"))
+    model = lm_score.train(docs.filter("NOT held_out"))
+    return lm_score.score(docs, model, keep=["doc_id", "held_out"])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,7 +69,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_warc_revisits, op6_exact_dedup, op7_bpe, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_language_id, op4_pii_pseudonyms, op5_warc_revisits, op6_exact_dedup, op7_bpe, op8_lm_score, op9_mixing, op10_fingerprints)}
 
 
 OP6_SQL = f"""
