@@ -108,16 +108,20 @@ def followers(ids: DataFrame) -> DataFrame:
     return written(at.join(after, "then").select("doc_id", "h", "n", "next_id", "next_h"), "followers")
 
 
+def key_of(id_col: str) -> Column:
+    """An integer id as a value that joins and windows alike can use as key, so that they share one shuffle; null has its own."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+
+
 def spliced(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, h, text, edited): the last third of each text replaced by as much of its successor's beginning.
+    """(key, h, text, edited): the last third of each text replaced by as much of its successor's beginning.
 
-    A successor sends only the beginning that is asked for.
+    ``docs`` has distinct (key, h).  A successor sends only the beginning that
+    is asked for.
     """
-    asked = pairs.select("next_id", "next_h", F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("k"))
-    sent = docs.join(asked, docs["doc_id"].eqNullSafe(asked["next_id"]) & (docs["h"] == asked["next_h"]))
-    sent = sent.select("to_id", "to_h", "k", F.left("text", F.col("k")).alias("head"))
-    both = docs.join(sent, docs["doc_id"].eqNullSafe(sent["to_id"]) & (docs["h"] == sent["to_h"]))
-    return both.select("doc_id", "h", "text", F.concat(F.left("text", F.char_length("text") - F.col("k")), "head").alias("edited"))
+    asked = pairs.select(key_of("next_id").alias("key"), F.col("next_h").alias("h"), key_of("doc_id").alias("to_key"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("k"))
+    sent = docs.join(asked, ["key", "h"]).select(F.col("to_key").alias("key"), F.col("to_h").alias("h"), "k", F.left("text", F.col("k")).alias("head"))
+    return docs.join(sent, ["key", "h"]).select("key", "h", "text", F.concat(F.left("text", F.char_length("text") - F.col("k")), "head").alias("edited"))
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, query_every: int = 50) -> DataFrame:
@@ -136,24 +140,24 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = written(rows.select("doc_id", "h", F.char_length("text").cast("long").alias("n")), "ids")
     copies = ids.groupBy("doc_id", "h", "n").agg(F.count("*").alias("copies"))
     pairs = followers(copies.select("doc_id", "h", "n"))
-    one = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
+    keyed = rows.select(key_of("doc_id").alias("key"), "h", "text")
+    one = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key", "h").orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
 
     sides = spliced(one, pairs).select(
-        "doc_id",
+        "key",
         "h",
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sha"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("edited").alias("t")))).alias("s"),
     )
-    sides = sides.select("doc_id", "h", "s.side", "s.sha", F.col("s.t").alias("text"))
-    fps = written(simhash(sides, ["doc_id", "h", "side", "sha"], "text"), "fingerprints")
-
-    own = fps.filter("side = 0").select("doc_id", "h", F.col("fp").alias("own"))
-    edited = fps.filter("side = 1").select("doc_id", "h", F.lower(F.hex("sha")).alias("edited_sha256"), F.col("fp").alias("changed"))
-    same = lambda a, b, x, y: a[x].eqNullSafe(b["doc_id"]) & (a[y] == b["h"])
-    out = pairs.join(own, same(pairs, own, "doc_id", "h")).select(pairs["doc_id"], pairs["h"], "n", "next_id", "next_h", "own")
-    out = out.join(edited, same(out, edited, "doc_id", "h")).select(out["doc_id"], out["h"], "n", "next_id", "next_h", "own", "edited_sha256", "changed")
-    after = own.withColumnRenamed("own", "after")
-    out = out.join(after, same(out, after, "next_id", "next_h")).select(out["doc_id"], out["h"], "n", "own", "edited_sha256", "changed", "after")
-    out = out.join(copies.drop("n"), same(out, copies, "doc_id", "h")).select(out["doc_id"], "n", "own", "edited_sha256", "changed", "after", "copies")
+    sides = sides.select("key", "h", "s.side", "s.sha", F.col("s.t").alias("text"))
+    fps = written(simhash(sides, ["key", "h", "side", "sha"], "text"), "fingerprints")
+
+    own = fps.filter("side = 0").select("key", "h", F.col("fp").alias("own"))
+    edited = fps.filter("side = 1").select("key", "h", F.lower(F.hex("sha")).alias("edited_sha256"), F.col("fp").alias("changed"))
+    after = own.select(F.col("key").alias("next_key"), F.col("h").alias("next_h"), F.col("own").alias("after"))
+    out = pairs.select("doc_id", key_of("doc_id").alias("key"), "h", "n", key_of("next_id").alias("next_key"), "next_h")
+    out = out.join(own, ["key", "h"]).join(edited, ["key", "h"])
+    out = out.join(copies.select(key_of("doc_id").alias("key"), "h", "copies"), ["key", "h"]).join(after, ["next_key", "next_h"])
+    out = out.select("doc_id", "n", "own", "edited_sha256", "changed", "after", "copies")
     out = written(out, "results")
 
     table = out.groupBy(F.col("own").alias("fp")).agg(F.sum("copies").alias("docs"))
