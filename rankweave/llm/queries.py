@@ -15,6 +15,8 @@ from .common import LOWER, UPPER, new_path, table
 from .exact_dedup import duplicate_groups
 from .fingerprint import fingerprinted
 from .mixing import taken_copies
+from .near_dup import near_duplicates
+from .quality import classified
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,12 +25,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
     model = langid.fit(docs.filter("NOT held_out"))
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: For tests and the driver's tables; whoever pseudonymises real data brings a secret key.
 DEMO_KEY = b"rankweave demonstration key"
 
@@ -69,7 +79,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_pii_pseudonyms, op5_warc_revisits, op6_exact_dedup, op7_bpe, op8_lm_score, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality, op2_language_id, op3_near_duplicates, op4_pii_pseudonyms, op5_warc_revisits, op6_exact_dedup, op7_bpe, op8_lm_score, op9_mixing, op10_fingerprints)}
 
 
 OP6_SQL = f"""
