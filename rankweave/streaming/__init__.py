@@ -1,0 +1 @@
+"""No operator here needs a stream; kept for sources that arrive continuously."""
