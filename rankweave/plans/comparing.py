@@ -187,12 +187,12 @@ def bm4(t):
 
 @query(
     "WN7_holm",
-    """WITH p AS (SELECT o_orderpriority AS g, o_orderkey AS k, (o_totalprice % 1000) / 10000.0 AS p FROM orders WHERE o_orderkey < 2000),
+    """WITH p AS (SELECT o_orderpriority AS g, o_orderkey AS k, (o_totalprice % 1000) / 10000.0 AS p FROM orders),
     s AS (SELECT g, k, (count(*) OVER (PARTITION BY g) - row_number() OVER (PARTITION BY g ORDER BY p, k) + 1) * p AS step, p FROM p)
     SELECT g, k, round(least(1.0, max(step) OVER (PARTITION BY g ORDER BY p, k)), 6) AS p_holm FROM s""",
 )
 def wn7(t):
-    rows = t.orders.filter("o_orderkey < 2000").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), ((F.col("o_totalprice") % 1000) / 10000.0).alias("p"))
+    rows = t.orders.select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), ((F.col("o_totalprice") % 1000) / 10000.0).alias("p"))
     return rounded(benchstat.holm(rows, "p", ["g"], ["k"]).select("g", "k", "p_holm"))
 
 

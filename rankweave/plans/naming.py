@@ -144,11 +144,11 @@ def sc20(t):
     return t.orders.select("o_orderkey", joined(names.ids_of(field)).alias("ids"), names.first_number(field).alias("first"))
 
 
-@query("SC21_allowed_ids", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '|7' ELSE '7' END AS ids FROM orders WHERE o_custkey NOT IN (7, 8)""")
+@query("SC21_allowed_ids", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'c' || o_custkey || '|7' ELSE '7' END AS ids FROM orders""")
 def sc21(t):
-    ids = F.array(F.col("o_custkey").cast("string"), F.lit("7"), F.lit("8"))
-    allowed = F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.lit("x")), F.lit("7"))
-    return t.orders.filter(~F.col("o_custkey").isin(7, 8)).select("o_orderkey", joined(names.allowed_only(ids, allowed)).alias("ids"))
+    own = F.concat(F.lit("c"), "o_custkey")
+    allowed = F.array(F.when(F.col("o_orderstatus") == "F", own).otherwise(F.lit("x")), F.lit("7"))
+    return t.orders.select("o_orderkey", joined(names.allowed_only(F.array(own, F.lit("7"), F.lit("8")), allowed)).alias("ids"))
 
 
 @query("SC22_condition_markers", """SELECT p_partkey, p_size || ' mg/kg|24 h|Caco-2|Wistar' AS markers FROM part""")

@@ -254,14 +254,20 @@ def ag5(t):
     return some_roots(t).groupBy("rank_limit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mid").alias("n_roots"))
 
 
-INTERACTIONS = f"{CLR}, {SHIFTED}, x AS (SELECT r.sample, r.feature || '-' || r2.feature AS pair, r.clr * r2.clr AS score FROM r JOIN r2 USING (sample) WHERE r.feature LIKE 'P1%0' AND r2.feature IN ('S1', 'S2', 'S3'))"
+BRANDS = """bb AS (SELECT p_brand AS feature, strftime(l_shipdate, '%Y-%m') AS sample, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+rb AS (SELECT feature, sample, ln(value) - avg(ln(value)) OVER (PARTITION BY sample) AS clr FROM bb),
+bn AS (SELECT n_name AS feature, strftime(l_shipdate, '%Y-%m') AS sample, sum(l_quantity) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+rn AS (SELECT feature, sample, ln(value) - avg(ln(value)) OVER (PARTITION BY sample) AS clr FROM bn)"""
+INTERACTIONS = f"{BRANDS}, x AS (SELECT sample, rb.feature || '-' || rn.feature AS pair, rb.clr * rn.clr AS score FROM rb JOIN rn USING (sample))"
 
 
 def some_interactions(t: Tables) -> DataFrame:
-    """Three target sources against the features whose names begin with P1 and end in 0."""
-    mids = compose.clr(abundance(t, "A")).filter(F.col("feature").like("P1%0"))
-    srcs = compose.clr(totals(t), shift=True).filter(F.col("feature").isin("S1", "S2", "S3"))
-    return compose.interactions(mids, srcs)
+    """Brands against nations, by month."""
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("sample")
+    brands = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("feature"), month).agg(F.sum("l_quantity").alias("value"))
+    nations = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    nations = t.lineitem.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("n_name").alias("feature"), month).agg(F.sum("l_quantity").alias("value"))
+    return compose.interactions(compose.clr(brands), compose.clr(nations))
 
 
 @query("JN8_interactions", f"WITH {INTERACTIONS} SELECT sample, pair, round(score, 4) AS score FROM x")
@@ -269,10 +275,10 @@ def jn8(t):
     return some_interactions(t).withColumn("score", F.round("score", 4))
 
 
-@query("FL16_nonzero_columns", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING sum(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_quantity END) != 0)")
+@query("FL16_nonzero_columns", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) != 0)")
 def fl16(t):
-    rows = t.lineitem.withColumn("score", F.when(F.col("l_suppkey") % 3 == 0, 0.0).otherwise(F.col("l_quantity")))
-    return compose.nonzero_columns(rows, "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey")
+    rows = t.lineitem.withColumn("score", F.when(F.col("l_returnflag") == "R", F.col("l_quantity")))
+    return compose.nonzero_columns(rows, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @query(
