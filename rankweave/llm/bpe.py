@@ -24,10 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import cuts, slices
+
 #: Distinct words that a task remembers before it starts afresh.
-MOST_WORDS = 1_000_000
-#: Tokens that a task returns in one batch, about.
-BATCH_TOKENS = 2_000_000
+MOST_WORDS = 250_000
+#: Bytes of text, and tokens, that a task works on at a time, about.
+SLICE_BYTES = 6_000_000
+SLICE_TOKENS = 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -204,21 +207,19 @@ class _Words:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     known = None
-    for batch in batches:
+    for batch in slices(batches, text_col, SLICE_BYTES):
         if known is None or len(known.words) > MOST_WORDS:
             known = _Words(vocabulary)
         numbers = [known.numbers(t.as_py() or "") for t in batch.column(text_col)]
         known.learn()
         start = known.size.cumsum() - known.size
-        tokens = np.array([known.size[x].sum() for x in numbers], np.int64)
-        rest = batch.select(keep)
-        cuts = np.flatnonzero(np.diff(tokens.cumsum() // BATCH_TOKENS)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tokens)]):
-            x = np.concatenate([np.empty(0, np.int64), *numbers[i:j]])
+        each = np.array([known.size[x].sum() for x in numbers], np.int64)
+        for i, j in cuts(each, SLICE_TOKENS):
+            x = np.concatenate(numbers[i:j])
             ids = _gather(known.ids, start[x], known.size[x])
-            offsets = np.append(0, tokens[i:j].cumsum()).astype(np.int32)
+            offsets = np.append(0, each[i:j].cumsum()).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, ids], names=[*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).slice(i, j - i).columns, ids], names=[*keep, "ids"])
 
 
 def _read(path: str) -> str:
@@ -265,7 +266,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _vocabulary(shared).tokens
-        for batch in batches:
+        for batch in slices(batches, ids_col, SLICE_TOKENS):
             ids = batch.column(ids_col)
             out = [None if not x.is_valid else " ".join([tokens[i] for i in x.values.to_numpy(zero_copy_only=False).tolist() if i in tokens]) for x in ids]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.string())], names=[*keep, "decoded"])
