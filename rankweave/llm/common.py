@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,19 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cuts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to ``most``, about; a larger row stands alone at the worst."""
+    at = np.flatnonzero(np.diff(size.cumsum() // most)) + 1
+    ends = [*at.tolist(), len(size)]
+    return ((i, j) for i, j in zip([0, *at.tolist()], ends) if i < j)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a text or list column."""
+    for batch in batches:
+        c = batch.column(column)
+        length = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
+        for i, j in cuts(length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), most):
+            yield batch.slice(i, j - i)

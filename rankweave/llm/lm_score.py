@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, written
+from .common import new_path, slices, written
 from .ngrams import WordHashes, discounts, from_planes, hashed_texts, mixed, pack_sorted, planes, sum_by_key, unpack_sorted
 
-#: Tokens that are worked on together.
-CHUNK = 2_000_000
+#: Bytes of text that are worked on together, about.
+CHUNK_BYTES = 6_000_000
 #: Characters of training text for each shard, about, and the least number of shards.
 SHARD_CHARS = 32_000_000
 LEAST_SHARDS = 16
@@ -139,14 +139,8 @@ def _shards_of(chars: int) -> int:
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     known = WordHashes()
-    for batch in batches:
-        rows = batch.column(column)
-        # about CHUNK tokens at a time: a token takes two bytes at least
-        size = np.array([len(x) for x in rows.cast(pa.binary()).fill_null(b"").to_pylist()], np.int64)
-        cuts = np.flatnonzero(np.diff(size.cumsum() // (6 * CHUNK))) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
-            if i < j:
-                yield hashed_texts(rows.slice(i, j - i), known)
+    for part in slices(batches, column, CHUNK_BYTES):
+        yield hashed_texts(part.column(column), known)
 
 
 def _packed(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
@@ -337,49 +331,43 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, keep:
             out[by[i:j]] = count
         return out
 
-    for batch in batches:
-        rows = batch.column(text_col)
-        size = np.array([len(x) for x in rows.cast(pa.binary()).fill_null(b"").to_pylist()], np.int64)
-        cuts = np.flatnonzero(np.diff(size.cumsum() // (6 * CHUNK))) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
-            if i == j:
-                continue
-            tokens, lengths = hashed_texts(rows.slice(i, j - i), known)
-            ids, place, word, before = _pair_ids(words, tokens, lengths)
-            in_model = ids >= 0
-            count, follow, spare = np.zeros(len(ids)), np.zeros(len(ids)), np.ones(len(ids))
-            count[in_model] = words.take("count", ids[in_model], np.uint64)
-            if n:
-                follow[in_model] = words.take("follow", ids[in_model], np.uint64)
-                spare[in_model] = words.take("spare", ids[in_model], np.float32)
-            even = model.spare / (v + 1)
-            lower = np.maximum(follow - low[np.minimum(follow, 3).astype(int)], 0) / max(model.pairs, 1) + even
-            p = lower[place]
-            # the place of what each token follows is that of the token before it
-            previous = np.append(0, place[:-1])
-            total, share = count[previous], spare[previous]
-            begin = lengths.cumsum() - lengths
-            total[begin], share[begin] = model.texts, model.start_spare
-            follows_known = (before >= 0) & (total > 0)
-            both = follows_known & (word >= 0)
-            keys, at = np.unique(before[both].astype(np.uint64) * np.uint64(v + 1) + word[both].astype(np.uint64), return_inverse=True)
-            seen = np.zeros(len(p))
-            seen[both] = pair_counts(keys)[at]
-            seen = np.maximum(seen - high[np.minimum(seen, 3).astype(int)], 0)
-            p = np.where(follows_known, seen / np.maximum(total, 1) + share * p, p)
-            base = np.log10((count[place] + 0.1) / (n + 0.1 * (v + 1)))
-            add = lambda x, at=begin: np.add.reduceat(x, at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.select(keep).slice(i, j - i).columns,
-                    pa.array(lengths, pa.int64()),
-                    pa.array(add((count[place] > 0).astype(np.int64)), pa.int64()),
-                    pa.array(np.full(j - i, n), pa.int64()),
-                    pa.array(add(base), pa.float64()),
-                    pa.array(add(np.log10(p)), pa.float64()),
-                ],
-                names=[*keep, *SCORES],
-            )
+    for batch in slices(batches, text_col, CHUNK_BYTES):
+        tokens, lengths = hashed_texts(batch.column(text_col), known)
+        ids, place, word, before = _pair_ids(words, tokens, lengths)
+        in_model = ids >= 0
+        count, follow, spare = np.zeros(len(ids)), np.zeros(len(ids)), np.ones(len(ids))
+        count[in_model] = words.take("count", ids[in_model], np.uint64)
+        if n:
+            follow[in_model] = words.take("follow", ids[in_model], np.uint64)
+            spare[in_model] = words.take("spare", ids[in_model], np.float32)
+        even = model.spare / (v + 1)
+        lower = np.maximum(follow - low[np.minimum(follow, 3).astype(int)], 0) / max(model.pairs, 1) + even
+        p = lower[place]
+        # the place of what each token follows is that of the token before it
+        previous = np.append(0, place[:-1])
+        total, share = count[previous], spare[previous]
+        begin = lengths.cumsum() - lengths
+        total[begin], share[begin] = model.texts, model.start_spare
+        follows_known = (before >= 0) & (total > 0)
+        both = follows_known & (word >= 0)
+        keys, at = np.unique(before[both].astype(np.uint64) * np.uint64(v + 1) + word[both].astype(np.uint64), return_inverse=True)
+        seen = np.zeros(len(p))
+        seen[both] = pair_counts(keys)[at]
+        seen = np.maximum(seen - high[np.minimum(seen, 3).astype(int)], 0)
+        p = np.where(follows_known, seen / np.maximum(total, 1) + share * p, p)
+        base = np.log10((count[place] + 0.1) / (n + 0.1 * (v + 1)))
+        add = lambda x, at=begin: np.add.reduceat(x, at)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.select(keep).columns,
+                pa.array(lengths, pa.int64()),
+                pa.array(add((count[place] > 0).astype(np.int64)), pa.int64()),
+                pa.array(np.full(len(batch), n), pa.int64()),
+                pa.array(add(base), pa.float64()),
+                pa.array(add(np.log10(p)), pa.float64()),
+            ],
+            names=[*keep, *SCORES],
+        )
 
 
 SCORES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]

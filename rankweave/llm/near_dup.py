@@ -44,7 +44,7 @@ def matched_depth(threshold: float, recall: float, trees: int = TREES, depth: in
 def shingle_sets(column: pa.Array, known: WordHashes, words: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending; a shorter text is one shingle, one without words has none."""
     tokens, lengths = hashed_texts(column, known)
-    end = np.uint64(word_hash(END))
+    end = np.array([word_hash(END)], np.uint64)
     out, begin = [], 0
     for n in lengths.tolist():
         w = tokens[begin : begin + n - 1]
@@ -53,7 +53,7 @@ def shingle_sets(column: pa.Array, known: WordHashes, words: int) -> list[np.nda
         if not k:
             out.append(np.empty(0, np.uint64))
             continue
-        h = np.full(len(w) - k + 1, end * np.uint64(k), np.uint64)
+        h = np.repeat(end * np.uint64(k), len(w) - k + 1)
         for i in range(k):
             h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)]
         out.append(np.unique(mixed(h)))

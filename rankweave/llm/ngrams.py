@@ -30,7 +30,7 @@ def hashed_texts(column: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.nd
     A-Z are lower-cased; words are split at ASCII white space.  A null text is
     an empty one.
     """
-    if len(known) > 1_000_000:
+    if len(known) > 300_000:
         known.clear()
     get, end = known.__getitem__, [END]
     parts = [np.fromiter(map(get, (t.as_py() or b"").lower().split() + end), np.uint64) for t in column.cast(pa.binary())]
