@@ -28,7 +28,7 @@ def has_either_way(query: Column, target: Column) -> Column:
 def has_term(text_lower: Column, term: str) -> Column:
     """Whether a lower-cased text holds the term; terms of three letters or fewer must be whole words."""
     t = term.lower().strip()
-    return text_lower.rlike(rf"\b{quoted(t)}\b") if len(t) <= 3 else F.contains(text_lower, F.lit(t))
+    return text_lower.rlike(rf"(?<![\p{{L}}\p{{N}}_]){quoted(t)}(?![\p{{L}}\p{{N}}_])") if len(t) <= 3 else F.contains(text_lower, F.lit(t))
 
 
 def entity_pattern(aliases: Sequence[str]) -> str:

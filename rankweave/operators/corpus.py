@@ -19,12 +19,12 @@ def incidence(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str
     decide where a term can be at all; only those places are looked at.
     """
     low = docs.select(doc, *flags, F.lower(text).alias("_text"))
-    words = low.select(doc, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"([^\W_]+)"), F.lit(1)))).alias("_word"))
+    words = low.select(doc, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("_word"))
     t = terms.select(F.lower(F.trim(term)).alias("_term"), F.col(term)).distinct()
-    t = t.withColumn("_key", F.regexp_extract("_term", r"([^\W_]+)", 1)).filter("_key != ''")
+    t = t.withColumn("_key", F.regexp_extract("_term", r"([\p{L}\p{N}]+)", 1)).filter("_key != ''")
     from .refmatch import contained
 
-    single = t.filter(F.col("_term").rlike(r"^[^\W_]+$"))
+    single = t.filter(F.col("_term").rlike(r"^[\p{L}\p{N}]+$"))
     inside = contained(single.filter(F.length("_term") > 3).select("_term").distinct(), words.select("_word").distinct(), "_term", "_word")
     whole = single.filter(F.length("_term") <= 3).select("_term", F.col("_term").alias("_word"))
     found = words.join(inside.unionByName(whole), "_word").join(single, "_term").select(doc, term).distinct()

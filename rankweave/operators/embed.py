@@ -35,7 +35,7 @@ def _best(k: int, threshold: float):
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if len(left) and len(right):
             a = np.array(left.column("vector").to_pylist())
-            b = np.array(right.column("vector").to_pylist())
+            b = np.array(right.column("x_vector").to_pylist())
             qid, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
             scores = a @ b.T
             by = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
@@ -60,8 +60,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0
     q = queries.join(sizes, "type").withColumn("i", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ib") - 1)))
     x = index.join(sizes, "type").withColumn("j", F.pmod(F.xxhash64("id"), F.col("ib")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
     q = q.select("type", "i", "j", F.col("qid").cast("long").alias("qid"), "vector")
-    x = x.select("type", "i", "j", F.col("id").cast("long").alias("id"), "vector")
-    met = q.groupBy("type", "i", "j").cogroup(x.groupBy("type", "i", "j")).applyInArrow(_best(k, threshold), "qid long, id long, score double")
+    x = x.select(F.col("type").alias("x_type"), F.col("i").alias("x_i"), F.col("j").alias("x_j"), F.col("id").cast("long").alias("id"), F.col("vector").alias("x_vector"))
+    met = q.groupBy("type", "i", "j").cogroup(x.groupBy("x_type", "x_i", "x_j")).applyInArrow(_best(k, threshold), "qid long, id long, score double")
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return met.withColumn("rank", nth).filter(F.col("rank") <= k)
 

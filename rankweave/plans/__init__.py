@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables; importing a module registers its queries."""
 
-from . import comparing, graphs, naming, ranking  # noqa: F401
+from . import comparing, graphs, literature, naming, ranking  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
