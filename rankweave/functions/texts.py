@@ -63,7 +63,7 @@ def sentences(text: Column) -> Column:
 
 
 def windows(text: Column, most: int = 2) -> Column:
-    """Every run of one to ``most`` sentences, without repeats."""
+    """Every run of one to ``most`` sentences, without repeats; for short texts, as each run looks at all sentences."""
     s = sentences(text)
     runs = lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda w: F.array_join(F.slice(s, i + 1, w), " "))
     each = F.when(F.size(s) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 1), runs))).otherwise(F.array().cast("array<string>"))
