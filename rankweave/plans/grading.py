@@ -175,16 +175,16 @@ def turns(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return m.dropDuplicates(["plan", "module_id"]), c.dropDuplicates(["plan", "module_id"]), m.select("plan", F.lit("none").alias("gate"), F.lit("positive").alias("result_status")).distinct()
 
 
-GATES = """m AS (SELECT conv_id, turn, min(length(text)) AS n FROM conversations GROUP BY ALL),
-f AS (SELECT m.conv_id, m.turn, (SELECT count(*) FROM m p WHERE p.conv_id = m.conv_id AND p.turn < m.turn) = m.turn AS whole, (SELECT coalesce(bool_or(p.n % 5 = 0), false) FROM m p WHERE p.conv_id = m.conv_id AND p.turn < m.turn) AS bad FROM m)"""
+GATES = """m AS (SELECT conv_id, turn, coalesce(length(text) % 5 = 0, false) AS bad FROM conversations),
+g AS (SELECT conv_id, turn, CASE WHEN coalesce(bool_or(bad) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'unmet' ELSE 'met' END AS gate_status FROM m)"""
 
 
-@query("TX14_activation_gates")
+@query("TX14_activation_gates", f"WITH {GATES} SELECT gate_status, count(*) AS n FROM g GROUP BY gate_status")
 def tx14(t):
     return gates.evaluated(*turns(t)).groupBy("gate_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("TX15_execution_status")
+@query("TX15_execution_status", f"WITH {GATES} SELECT conv_id AS plan, turn::VARCHAR AS module_id, CASE gate_status WHEN 'met' THEN 'ready_now' ELSE 'conditional_future' END AS status FROM g")
 def tx15(t):
     g = gates.evaluated(*turns(t)).withColumn("design_status", F.lit("execution_complete"))
     return g.select("plan", "module_id", gates.execution_status().alias("status"))
