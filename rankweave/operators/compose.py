@@ -97,3 +97,33 @@ def resolved_roots(wanted: DataFrame, present: DataFrame) -> tuple[DataFrame, Da
 def run_summary(log: DataFrame, task: str = "task") -> DataFrame:
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("OK", "SKIP", "FAIL")]
     return log.groupBy(task).agg(F.count(F.lit(1)).alias("n"), *counts).withColumn("failed", F.col("n_fail") > 0)
+
+
+def principal_components(df: DataFrame, k: int, rows: str = "pair", column: str = "sample", value: str = "score", columns: Sequence[str] = ()) -> DataFrame:
+    """(rows, pc): each row's first ``k`` principal components over ``columns``, in order; a component's sign is arbitrary."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    table = wide(df, rows, column, value, columns)
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(table)
+    from pyspark.ml.functions import vector_to_array
+
+    return PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors).select(rows, vector_to_array("_p").alias("pc"))
+
+
+def ordering(edges: DataFrame, roots: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(id, distance): the shortest distance of each reachable node from the nearest root over (a, b, length) edges in both directions.
+
+    Rounds of relaxation; only nodes that came closer go on.  An approximation
+    of a trajectory's ordering from its neighbour graph, not a solver's result.
+    """
+    both = edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
+    found = roots.select("id").distinct().withColumn("distance", F.lit(0.0))
+    moved = found
+    for _ in range(most_rounds):
+        reached = moved.join(both, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("_new"))
+        closer = reached.join(found, "id", "left").filter(F.col("distance").isNull() | (F.col("_new") < F.col("distance") - 1e-12)).select("id", F.col("_new").alias("distance"))
+        moved = closer.checkpoint()
+        if moved.isEmpty():
+            break
+        found = found.join(moved.select("id"), "id", "left_anti").unionByName(moved).checkpoint()
+    return found

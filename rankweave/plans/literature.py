@@ -37,7 +37,7 @@ ca AS (SELECT item_id AS cand, max(w) FILTER (WHERE nth = 1) AS src, max(w) FILT
 te AS (SELECT DISTINCT unnest([src, mid, dst]) AS term FROM ca)"""
 FOUND = rf"""{CAND}, dw AS (SELECT DISTINCT doc_id, {EXP_SQL} AS exp, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), fo AS (SELECT doc_id, term, exp FROM dw JOIN te USING (term))"""
 COUNTS = f"""{FOUND}, me AS (SELECT cand, doc_id, bool_or(exp) AS exp, bool_or(term = src) AS s, bool_or(term = mid) AS m, bool_or(term = dst) AS d FROM ca JOIN fo ON term IN (src, mid, dst) GROUP BY ALL),
-co AS (SELECT ca.cand, count_if(s AND m) AS pair_sm, count_if(s AND m AND d) AS triple_smd, count_if(s AND d) AS pair_sd, count_if(m AND d) AS pair_md, count_if(s AND m AND exp) AS pair_sm_exp, count_if(s AND m AND d AND exp) AS triple_smd_exp, count_if(m AND d AND exp) AS pair_md_exp
+co AS (SELECT ca.cand, count(*) FILTER (WHERE s AND m) AS pair_sm, count(*) FILTER (WHERE s AND m AND d) AS triple_smd, count(*) FILTER (WHERE s AND d) AS pair_sd, count(*) FILTER (WHERE m AND d) AS pair_md, count(*) FILTER (WHERE s AND m AND exp) AS pair_sm_exp, count(*) FILTER (WHERE s AND m AND d AND exp) AS triple_smd_exp, count(*) FILTER (WHERE m AND d AND exp) AS pair_md_exp
   FROM ca LEFT JOIN me USING (cand) GROUP BY ca.cand)"""
 
 

@@ -364,3 +364,34 @@ def st6(t):
 )
 def st7(t):
     return compose.long(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), ["l_orderkey", "l_linenumber"], "variable", "value")
+
+
+@query("TR2_interaction_totals", f"WITH {INTERACTIONS} SELECT pair, count(*) AS n, round(sum(score), 4) AS total FROM x GROUP BY pair")
+def tr2(t):
+    return some_interactions(t).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query("TR3_principal_components")
+def tr3(t):
+    rows = some_interactions(t).withColumn("year", F.substring("sample", 1, 4)).groupBy("pair", "year").agg(F.sum("score").alias("score"))
+    years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]  # a handful of columns
+    return compose.principal_components(rows, 2, "pair", "year", "score", years)
+
+
+@query(
+    "TR4_ordering",
+    """WITH RECURSIVE e AS (SELECT 'R' || n_regionkey AS a, 'N' || n_nationkey AS b, 1.0::DOUBLE AS length FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 0.5 FROM supplier),
+    r AS (SELECT 'R' || r_regionkey AS id, 0.0::DOUBLE AS distance FROM region UNION ALL SELECT b, distance + length FROM r JOIN e ON a = id)
+    SELECT id, min(distance) AS distance FROM r GROUP BY id""",
+)
+def tr4(t):
+    e = t.nation.select(F.concat(F.lit("R"), "n_regionkey").alias("a"), F.concat(F.lit("N"), "n_nationkey").alias("b"), F.lit(1.0).alias("length"))
+    e = e.unionByName(t.supplier.select(F.concat(F.lit("N"), "s_nationkey").alias("a"), F.concat(F.lit("S"), "s_suppkey").alias("b"), F.lit(0.5).alias("length")))
+    return compose.ordering(e, t.region.select(F.concat(F.lit("R"), "r_regionkey").alias("id")))
+
+
+@query("JN8_sample_guard", "SELECT strftime(l_shipdate, '%Y-%m') AS sample FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag != 'A')")
+def jn8_guard(t):
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("sample")
+    return compose.unmatched_samples(t.lineitem.select(month), t.lineitem.filter("l_returnflag = 'A'").select(month))
+
