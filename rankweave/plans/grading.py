@@ -201,15 +201,53 @@ def folder(t: Tables, name: str) -> str:
     return path
 
 
-@query("IO2_coordinate_files", "SELECT 'S' || s_nationkey || '_x' AS src, 'P' || l_partkey AS mid, max(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
-def io2(t):
+PAIRS = "SELECT 'S' || s_nationkey || '_x' AS src, 'P' || l_partkey AS mid, max(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
+
+
+def coordinate_files(t: Tables, row_name: str = "Row.names") -> str:
+    """A folder with the coordinates of one source per subfolder, under the given name of the column with the row names."""
     rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     src = F.concat(F.lit("S"), "s_nationkey", F.lit("_x"))
     rows = rows.groupBy(src.alias("src"), F.concat(F.lit("P"), "l_partkey").alias("mid")).agg(F.max("l_extendedprice").alias("Pseudotime"))
-    rows = rows.select(F.concat_ws("-", "mid", "src").alias("Row.names"), "Pseudotime", F.concat(F.lit("a_min0_"), "src", F.lit("_seed_1")).alias("run"))
+    rows = rows.select(F.lit("x").alias("_c0"), F.concat_ws("-", "mid", "src").alias(row_name), "Pseudotime", F.concat(F.lit("a_min0_"), "src", F.lit("_seed_1")).alias("run"))
     path = folder(t, "coordinates")
     rows.repartition("run").write.partitionBy("run").option("header", True).csv(path)
-    return files.coordinates(t.spark, path).select("src", "mid", "value")
+    return path
+
+
+@query("IO2_coordinate_files", PAIRS)
+def io2(t):
+    return files.coordinates(t.spark, coordinate_files(t)).select("src", "mid", "value")
+
+
+@query("IO1_strict_coordinate_files", PAIRS)
+def io1(t):
+    return files.coordinates(t.spark, coordinate_files(t), strict=True).select("src", "mid", "value")
+
+
+@query("IO3_files_by_name", f"SELECT * FROM ({PAIRS}) WHERE src LIKE 'S1%'")
+def io3(t):
+    return files.coordinates(t.spark, coordinate_files(t), name_part="_min0_S1").select("src", "mid", "value")
+
+
+@query("IO4_row_names_in_second_column", PAIRS)
+def io4(t):
+    return files.coordinates(t.spark, coordinate_files(t, row_name="id")).select("src", "mid", "value")
+
+
+@query("ST1_rows_of_many_files", f"SELECT src, count(*) AS n_rows, max(value) AS most FROM ({PAIRS}) GROUP BY src")
+def st1(t):
+    rows = files.coordinates(t.spark, coordinate_files(t), pattern="*.csv")
+    return rows.groupBy("src").agg(F.count(F.lit(1)).alias("n_rows"), F.max("value").alias("most"))
+
+
+@query("IO10_reference_csv", "SELECT p_partkey::VARCHAR AS p_partkey, lower(trim(p_type)) AS normal_type, p_type AS raw_type FROM part")
+def io10(t):
+    path = folder(t, "reference")
+    t.part.select("p_partkey", "p_type", "p_name").write.option("header", True).csv(path)
+    columns = ["p_partkey", "p_type"]
+    normal = files.reference(t.spark, path, columns, sep=",").withColumnRenamed("p_type", "normal_type")
+    return normal.join(files.reference(t.spark, path, columns, sep=",", normal=False).withColumnRenamed("p_type", "raw_type"), "p_partkey")
 
 
 @query("IO5_matrix", "SELECT n_name AS feature, r_name AS sample, CASE WHEN n_regionkey = r_regionkey THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM nation, region")

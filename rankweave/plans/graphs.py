@@ -192,6 +192,17 @@ def gr14(t):
     return graph.enriched(e, works).select("source", "target", "impact")
 
 
+@query("JN10_first_work_of_edges", """WITH e AS (SELECT 'S' || l_suppkey AS source, 'B:' || p_brand AS target, min(l_orderkey) AS pmid FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+    SELECT source, target, CASE WHEN pmid % 2 = 0 THEN o_totalprice END AS impact, CASE WHEN pmid % 2 = 0 THEN o_custkey END AS cites FROM e LEFT JOIN orders ON o_orderkey = pmid""")
+def jn10(t):
+    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    ids = F.array(F.min("l_orderkey").cast("string"), F.max("l_orderkey").cast("string"))
+    e = items.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("source"), F.concat(F.lit("B:"), "p_brand").alias("target")).agg(ids.alias("pmids"))
+    # half of the works are unknown; an edge whose first one is gets nothing from its second
+    works = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("pmid"), F.col("o_totalprice").alias("impact"), F.col("o_custkey").alias("cites"), F.year("o_orderdate").alias("year"))
+    return graph.enriched(e, works).select("source", "target", "impact", "cites")
+
+
 @query("GR15_pair_facts", f"""WITH {TRIPLES} SELECT src AS start, mid AS "end", 'hosts' AS direct, src || ' -[hosts]-> ' || mid AS path, (SELECT count(DISTINCT target) FROM ed WHERE ed.source = tr.mid AND relation = 'sells') AS n_onward FROM tr""")
 def gr15(t):
     pairs = chain_triples(t).select(F.col("src").alias("start"), F.col("mid").alias("end"))
