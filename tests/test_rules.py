@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave import ranking
 from rankweave.functions import names, texts
 from rankweave.operators import articles, benchstat, compose, corpus, energy, gates, graph, quadrant, refmatch, signal
 from rankweave.sources import files
@@ -123,3 +124,25 @@ def test_coordinate_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.coordinates(spark, str(tmp_path), strict=True)
     assert files.row_name_column(["_c0", "a"]) == "a" and files.row_name_column(["a", "b"]) == "a"
+
+
+def test_whole_ranking(spark, tmp_path):
+    coordinates = spark.createDataFrame([("Alpha_beta", "x-acid", 0.0), ("Alpha_beta", "y-acid", 5.0), ("Alpha_beta", "z-acid", 9.0), ("Alpha_beta", "w-acid", None)], "src string, mid string, value double")
+    nodes = spark.createDataFrame([("alpha_beta", "Alpha beta", "source"), ("x_acid", "x-acid", "mid"), ("way", None, "other")], "id string, label string, type string")
+    edges = spark.createDataFrame([("alpha_beta", "way", "r"), ("way", "x_acid", "s")], "source string, target string, relation string")
+    texts_ = ["Alpha beta made x-acid in colitis mice", "Alpha beta way x-acid colitis mice", "ALPHA BETA, y-acid; colitis mice", "alpha beta and x-acid", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    known = spark.createDataFrame([("alpha beta strain", "Y acid")], "a string, b string")
+    tables = ranking.run(coordinates, nodes, edges, docs, "colitis", ["mice"], str(tmp_path / "run"), {"known": ranking.Reference("source_mid", known, "a", "b")})
+    got = {r["mid"]: r for r in tables["quadrants"].collect()}
+    assert set(got) == {"x-acid", "y-acid", "z-acid"}
+    assert [got[m]["signal"] for m in ("x-acid", "z-acid", "y-acid")] == [1.0, 0.6667, 0.3333]
+    x, y, z = got["x-acid"], got["y-acid"], got["z-acid"]
+    assert (x["path"], x["terms"], x["has_path"], y["has_path"]) == ("alpha_beta -[r]-> way -[s]-> x_acid", ["Alpha beta", "way", "x-acid"], True, False)
+    assert (x["pair_sm"], x["chain_count"], y["chain_count"], z["chain_count"]) == (3, 2, 1, 0)
+    assert (x["full_chain"], x["bottleneck"]["n"], y["full_chain"]) == (1, 1, None)
+    assert x["novelty"] == pytest.approx(0) and y["novelty"] == pytest.approx(1 - math.log(2) / math.log(3)) and z["novelty"] == 1
+    assert (x["quadrant"], y["quadrant"], z["quadrant"]) == ("III", "II", "II")
+    assert {r["cand"]: (r["db_bonus"], r["chain_count"]) for r in tables["evidence"].collect()} == {x["cand"]: (0, 2), y["cand"]: (10, 11), z["cand"]: (0, 0)}
+    empty = ranking.run(coordinates.limit(0), nodes, edges, docs, "colitis", ["mice"], out=str(tmp_path / "run"))
+    assert empty["quadrants"].count() == 0
