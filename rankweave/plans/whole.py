@@ -35,8 +35,8 @@ pa AS (SELECT src, mid, 1 AS length, src || ' -[' || r || ']-> ' || mid AS path
   UNION SELECT src, mid, 3, src || ' -[' || e.r || ']-> ' || e.b || ' -[' || f.r || ']-> ' || f.b || ' -[' || g.r || ']-> ' || mid FROM sg JOIN ed e ON e.a = src JOIN ed f ON f.a = e.b JOIN ed g ON g.a = f.b AND g.b = mid WHERE e.b NOT IN (src, mid) AND f.b NOT IN (src, mid, e.b)),
 bp AS (SELECT src, mid, arg_min(path, (length, path)) AS path, count(*) AS n_paths FROM pa GROUP BY ALL),
 tm AS (SELECT unnest([src, mid, '{TARGET}']) AS term FROM sg),
-lo AS MATERIALIZED (SELECT doc_id, lower(text) AS low, {EXP_SQL} AS exp FROM documents),
-td AS MATERIALIZED (SELECT term, doc_id, exp FROM lo JOIN (SELECT DISTINCT term FROM tm) ON contains(low, term) AND (length(term) > 3 OR regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])' || term || '($|[^\p{{L}}\p{{N}}])'))),
+lo AS MATERIALIZED (SELECT doc_id, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS ws, {EXP_SQL} AS exp FROM documents),
+td AS MATERIALIZED (SELECT term, doc_id, exp FROM lo JOIN (SELECT DISTINCT term FROM tm) ON CASE WHEN length(term) <= 3 THEN list_contains(ws, term) ELSE contains(low, term) END),
 ct AS (SELECT sg.src, sg.mid, count(*) FILTER (WHERE s) AS pair_sm, count(*) FILTER (WHERE d) AS pair_md, count(*) FILTER (WHERE s AND exp) AS pair_sm_exp, count(*) FILTER (WHERE d AND exp) AS pair_md_exp, count(*) FILTER (WHERE s AND d AND exp) AS chain_count
   FROM sg LEFT JOIN (SELECT m.term, m.doc_id, m.exp, g.src, x.doc_id IS NOT NULL AS s, y.doc_id IS NOT NULL AS d FROM sg g JOIN td m ON m.term = g.mid LEFT JOIN td x ON x.doc_id = m.doc_id AND x.term = g.src LEFT JOIN td y ON y.doc_id = m.doc_id AND y.term = '{TARGET}') h ON h.term = sg.mid AND h.src = sg.src GROUP BY ALL),
 al AS MATERIALIZED (SELECT *, CASE WHEN max(chain_count) OVER () <= 0 THEN 1 ELSE 1 - ln(1 + chain_count) / ln(1 + max(chain_count) OVER ()) END AS novelty FROM sg JOIN ct USING (src, mid)),
