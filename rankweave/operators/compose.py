@@ -110,16 +110,21 @@ def principal_components(df: DataFrame, k: int, rows: str = "pair", column: str
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors).select(rows, vector_to_array("_p").alias("pc"))
 
 
-def ordering(edges: DataFrame, roots: DataFrame, most_rounds: int = 50) -> DataFrame:
+def ordering(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, distance): the shortest distance of each reachable node from the nearest root over (a, b, length) edges in both directions.
 
-    Rounds of relaxation; only nodes that came closer go on.  An approximation
+    Rounds of relaxation until no node comes closer; only those that did go on.
+    An edge without a length is none; negative lengths have no shortest
+    distance and raise ValueError.  An approximation
     of a trajectory's ordering from its neighbour graph, not a solver's result.
     """
+    edges = edges.filter("length IS NOT NULL")
+    if not edges.filter("length < 0").isEmpty():
+        raise ValueError("lengths must not be negative")
     both = edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
     found = roots.select("id").distinct().withColumn("distance", F.lit(0.0))
     moved = found
-    for _ in range(most_rounds):
+    while True:
         reached = moved.join(both, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("_new"))
         closer = reached.join(found, "id", "left").filter(F.col("distance").isNull() | (F.col("_new") < F.col("distance") - 1e-12)).select("id", F.col("_new").alias("distance"))
         moved = closer.checkpoint()

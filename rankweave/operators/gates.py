@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import design_status, result_status
 
 
-def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan: str = "plan", most_rounds: int = 32) -> DataFrame:
+def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan: str = "plan") -> DataFrame:
     """(plan, module_id, gate_status): met, unmet or unknown.
 
     modules: plan, module_id, result_status, design_status, operator (all_of or
@@ -20,8 +20,9 @@ def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan:
     result), accepted (array).  external: plan, gate, result_status.  A module
     without clauses is met.  A clause on a module is met if its result is
     accepted, its design needs no resolution and its own gate is met; a missing
-    module is unknown.  Rounds settle one level of dependencies each; modules
-    that never settle depend on a cycle and are unknown.
+    module is unknown.  Rounds settle one level of dependencies each, as many as
+    there are levels; modules that are open when a round settles none depend on
+    a cycle and are unknown.
     """
     m = modules.select(plan, "module_id", result_status(F.col("result_status")).alias("result"), design_status(F.col("design_status")).alias("design"), F.coalesce("operator", F.lit("all_of")).alias("operator"))
     needed = m.select(plan, F.col("module_id").alias("needs"), F.col("result").alias("n_result"), F.col("design").alias("n_design"))
@@ -40,7 +41,7 @@ def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan:
     state = m.select(plan, "module_id", "operator").join(with_clause.withColumn("_c", F.lit(1)), [plan, "module_id"], "left")
     state = state.select(plan, "module_id", "operator", F.when(F.col("_c").isNull(), "met").alias("status"))
     left = None
-    for _ in range(most_rounds):
+    while True:
         own = state.select(plan, F.col("module_id").alias("needs"), F.col("status").alias("n_status"))
         now = c.join(own, [plan, "needs"], "left").withColumn("s", F.coalesce("fixed", "n_status"))
         n = lambda v: F.count_if(F.col("s") == v)

@@ -146,3 +146,22 @@ def test_whole_ranking(spark, tmp_path):
     assert {r["cand"]: (r["db_bonus"], r["chain_count"]) for r in tables["evidence"].collect()} == {x["cand"]: (0, 2), y["cand"]: (10, 11), z["cand"]: (0, 0)}
     empty = ranking.run(coordinates.limit(0), nodes, edges, docs, "colitis", ["mice"], out=str(tmp_path / "run"))
     assert empty["quadrants"].count() == 0
+
+
+def test_gates_of_a_chain_of_sixty_levels_and_a_cycle(spark):
+    n = 60
+    names_ = [*map(str, range(n)), "p", "q"]
+    modules = spark.createDataFrame([("c", i, "positive", "ready", "all_of") for i in names_], "plan string, module_id string, result_status string, design_status string, operator string")
+    needs = [(str(i), str(i - 1)) for i in range(1, n)] + [("p", "q"), ("q", "p")]
+    clauses = spark.createDataFrame([("c", i, j, None, ["positive"]) for i, j in needs], "plan string, module_id string, needs string, gate string, accepted array<string>")
+    external = spark.createDataFrame([], "plan string, gate string, result_status string")
+    got = {r["module_id"]: r["gate_status"] for r in gates.evaluated(modules, clauses, external).collect()}
+    assert got == {i: "unknown" if i in "pq" else "met" for i in names_}
+
+
+def test_ordering_of_a_chain_of_sixty_hops(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(60)] + [("60", "lost", None)], "a string, b string, length double")
+    got = {r["id"]: r["distance"] for r in compose.ordering(edges, spark.createDataFrame([("0",)], "id string")).collect()}
+    assert got == {str(i): float(i) for i in range(61)}
+    with pytest.raises(ValueError):
+        compose.ordering(spark.createDataFrame([("0", "1", -1.0)], "a string, b string, length double"), spark.createDataFrame([("0",)], "id string"))
