@@ -11,6 +11,12 @@ Kinds: payment cards (Luhn), IBAN (mod 97), phone numbers, social security
 numbers, IPv4 addresses, calendar dates; the letters and digits of an e-mail
 address's local part; and access keys, tokens and passwords that stand behind
 their usual names.  What fails its check stays as it is.
+
+Cards and IBANs may stand among other groups of digits or capitals (an expiry
+date, a security code, a short word).  A number is whole groups of what its
+pattern matched: a card first of all in a usual grouping, an IBAN of its
+country's length.  If there is none, the search goes on behind the first group.
+Digits that are written onto a number without a break make another number.
 """
 
 from __future__ import annotations
@@ -45,6 +51,14 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 KINDS = ["email", "iban", "key", "secret", "date", "ip", "ssn", "phone", "card"]
+#: Sizes of a card's groups as they are usually written; a number without breaks is one too.
+GROUPED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22
+    GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24
+    PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
+#: Characters behind a number that decide what its pattern can match.
+AHEAD = 80
 #: A text without any of these holds nothing to replace.
 TRIGGER = re.compile(r"[0-9@]")
 
@@ -122,9 +136,30 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _is_card(d: str) -> bool:
+    return luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
+def _card_in(text: str) -> tuple[int, int] | None:
+    """The card among the groups of ``text``: the first in a usual grouping, else the longest from its begin."""
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    odd = None
+    for i, (a, _) in enumerate(groups):
+        for j in range(i, len(groups)):
+            b = groups[j][1]
+            d = _only(text[a:b], DIGITS)
+            if not 13 <= len(d) <= 19 or not _is_card(d):
+                continue
+            if i == j or tuple(q - p for p, q in groups[i : j + 1]) in GROUPED:
+                return a, b
+            if i == 0:
+                odd = a, b
+    return odd
+
+
 def _card(text: str, key: bytes, back: bool) -> str | None:
     d = _only(text, DIGITS)
-    if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not _is_card(d):
         return None
     while True:  # numbers of one repeated digit are no cards: walk on
         body = _in_alphabet(d[:-1], DIGITS, key, f"card{len(d)}", back)
@@ -138,6 +173,17 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def _iban_in(text: str) -> tuple[int, int] | None:
+    """The IBAN that ``text`` begins with: of its country's length, else the longest of whole groups."""
+    ends = [m.end() for m in re.finditer(r"\S+", text)]
+    length = lambda b: b - text.count(" ", 0, b)
+    for b in sorted(ends, key=lambda b: (length(b) != IBAN_LENGTHS.get(text[:2]), -b)):
+        plain = text[:b].replace(" ", "")
+        if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            return 0, b
+    return None
+
+
 def _iban(text: str, key: bytes, back: bool) -> str | None:
     plain = text.replace(" ", "")
     country, check, rest = plain[:2], plain[2:4], plain[4:]
@@ -218,27 +264,65 @@ HOW: dict[str, Callable[[str, bytes, bool], str | None]] = {
 }
 
 
+#: Where the number of a kind lies in what its pattern matched.
+WITHIN = {"card": _card_in, "iban": _iban_in}
+
+
+def _next(text: str, at: int, key: bytes, known: dict[tuple[str, str], str | None], back: bool) -> tuple[str, int, int, int | None] | None:
+    """The next value from ``at`` on, as (kind, begin, end, where), or None.
+
+    where: the begin of the first number that failed and overlaps the value; the
+    value's own begin if the number ends before its pattern's match does.
+    """
+    failed: list[tuple[int, int]] = []
+    while m := PATTERN.search(text, at):
+        kind = next(k for k in KINDS if m[k] is not None)
+        i, j = m.span(kind)
+        if kind in WITHIN:
+            found = WITHIN[kind](m[kind])
+            if found is None:
+                failed.append((i, j))
+                at = i + re.match("[0-9]+" if kind == "card" else ".{4}", m[kind]).end()
+                continue
+            a, b = i + found[0], i + found[1]
+            where = next((p for p, q in failed if q > a), i if (a, b) != (i, j) else None)
+            return kind, a, b, where
+        if _new(kind, m[kind], key, known, back) is not None:
+            return kind, i, j, next((p for p, q in failed if q > i), None)
+        at = m.end()
+    return None
+
+
+def _new(kind: str, value: str, key: bytes, known: dict[tuple[str, str], str | None], back: bool) -> str | None:
+    if (kind, value) not in known:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[kind, value] = HOW[kind](value, key, back)
+    return known[kind, value]
+
+
 def replaced(text: str, key: bytes, known: dict[tuple[str, str], str | None], back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind; ``back`` undoes it."""
     found = dict.fromkeys(KINDS, 0)
     if not TRIGGER.search(text):
         return text, found
 
-    def one(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m[k] is not None)
-        value = m[kind]
-        if (kind, value) not in known:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[kind, value] = HOW[kind](value, key, back)
-        new = known[kind, value]
-        if new is None:
-            return m[0]
-        found[kind] += 1
-        i, j = m.span(kind)
-        return m[0][: i - m.start()] + new + m[0][j - m.start() :]
+    out, last = [], 0
+    while hit := _next(text, last, key, known, back):
+        kind, a, b, where = hit
+        new = _new(kind, text[a:b], key, known, back)
+        if where is not None:  # walk on to a pseudonym that is found in the same place, or it couldn't be undone
 
-    return PATTERN.sub(one, text), found
+            def same(value: str, kind=kind, a=a, b=b, where=where) -> bool:
+                again = _next(text[where:a] + value + text[b : b + AHEAD], 0, key, known, back)
+                return again is not None and again[:3] == (kind, a - where, a - where + len(value))
+
+            while same(text[a:b]) and not same(new):
+                new = HOW[kind](new, key, back)
+        out += [text[last:a], new]
+        last = b
+        found[kind] += 1
+    return "".join([*out, text[last:]]), found
 
 
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:

@@ -161,6 +161,34 @@ def test_pseudonyms(spark):
     assert pii.pseudonymised(docs.limit(0), b"key").count() == 0
 
 
+def test_cards_and_ibans_among_other_groups():
+    r = random.Random(12)
+
+    def iban(country, n):
+        rest = "".join(r.choices("0123456789", k=n - 4))
+        return country + pii._iban_check(country, rest) + rest
+
+    by_four = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+    for _ in range(300):
+        body = "4" + "".join(r.choices("0123456789", k=14))
+        card = body + pii.luhn_digit(body)
+        number = by_four(iban(*r.choice([("ES", 24), ("PL", 28), ("DE", 22), ("NO", 15), ("CZ", 24)])))
+        forms = [f"{c}{tail}" for c in (card, by_four(card), by_four(card).replace(" ", "-")) for tail in (" 12/27", " 123", " 12 27", " 123 AND")]
+        forms += [f"no. 12 {by_four(card)}", f"{by_four(card)} 123 {by_four(card)} 12/27", f"on 12 27 123 {by_four(card)} 7"]
+        for text in forms:
+            new, found = pii.replaced(text, b"key", {})
+            assert card not in new.replace(" ", "").replace("-", "") and found["card"] == text.replace(" ", "").replace("-", "").count(card), text
+            assert pii.replaced(new, b"key", {}, back=True)[0] == text
+        for text in (f"{number} AND more", f"{number} 12", f"{number} 2027", f"IN24 {number} TO", f"{number} {number} 1"):
+            new, found = pii.replaced(text, b"key", {})
+            assert number not in new and found["iban"] == text.count(number), text
+            assert pii.replaced(new, b"key", {}, back=True)[0] == text
+    phone = "1234 578-555-1000"
+    new, found = pii.replaced(phone, b"key", {})
+    assert sum(found.values()) == 1 and pii.replaced(new, b"key", {}, back=True)[0] == phone
+    assert pii.replaced("1234 5678 9012 3456 12/27, ES92 2100 0418 4502 0005 1332 AND", b"key", {})[1] == dict.fromkeys(pii.KINDS, 0)
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 37, 1000):
         image = [pii.permuted(v, size, b"k", "t") for v in range(size)]
