@@ -236,7 +236,7 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
+def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
     """One row per row of ``docs``: doc_id, h (the text's hash), class_id, n_links, stays, alone (no link and no copy).
 
     Rows that repeat the one that stays all have ``stays``.

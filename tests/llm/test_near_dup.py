@@ -114,3 +114,14 @@ def test_dropping(spark):
     out = near_dup.drop_near_duplicates(frame(spark, data))
     assert out.columns == ["doc_id", "text", "sid"]
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([next(x for x in [(5, long), (5, long + " b")] if x in {(r["doc_id"], r["text"]) for r in out.collect()}), (None, "q r s"), (8, "alone here"), (9, None), (9, None)])
+
+
+def test_hardly_a_pair_at_the_threshold_is_lost(spark):
+    r = random.Random(5)
+    out = []
+    for i in range(3000):  # pairs that no other text joins, at similarity 0.8: 40 of 50 shingles
+        base = [f"p{i}_{k}" for k in range(49)]
+        out += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:44] + [f"q{i}_{r.random()}" for _ in range(5)]))]
+    got = near_dup.near_duplicates(frame(spark, out)).collect()
+    assert len(got) == 6000 and sum(x["n_links"] == 0 for x in got) <= 2 * 5
+    assert {x["class_id"] % 2 for x in got if x["n_links"]} == {0}
