@@ -79,3 +79,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
         length = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
         for i, j in cuts(length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), most):
             yield batch.slice(i, j - i)
+
+
+#: Slots over which the rows of a large group are dealt where a figure of the group is joined back.
+SLOTS = 64
+
+
+def slot_of(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
+
+
+def occupied(slot: str) -> Column:
+    """Aggregate: the set of slots that a group's rows lie in, as bits of a long."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {slot})"))
+
+
+def each_slot(bits: str) -> Column:
+    """A row per slot of the set; on key and slot it meets the group's rows, which stay dealt out."""
+    return F.explode(F.expr(f"filter(sequence(0, {SLOTS - 1}), s -> (shiftrightunsigned({bits}, s) & 1L) = 1L)"))
+
+
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that none of the columns ``taken`` has, in whatever case."""
+    lower = {c.lower() for c in taken}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in lower for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
+def fixed_bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of values of one width as a matrix of bytes."""
+    fixed = column.cast(pa.binary(width))
+    return np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * width : (fixed.offset + len(fixed)) * width].reshape(-1, width)
+
+
+def from_fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as a binary column."""
+    n, width = rows.shape
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())

@@ -4,43 +4,84 @@
    the set a MinHash signature.  Texts with equal sets share one set id.
 2. The signature is cut into trees.  Per tree the sets are sorted by their
    whole row of hashes, which lays out the prefix trie: sets that share a
-   prefix are neighbours.  The prefix that must match is shortened from the
-   tree's full depth until pairs at the threshold are met in some tree with at
-   least the target probability.  Each set is linked to the first of its run.
-3. Linked sets make candidate groups.  Every pair within a group is verified
-   on the shingle sets; a large group is dealt out as pairs of blocks, so no
-   task ever gets a whole group, and only counts and a spanning forest leave a
-   task.
-4. Verified links make the classes.
+   prefix are neighbours.  One pass over the sorted rows compares the sets of
+   each run of equal prefixes by short sketches of their whole signatures, and
+   keeps a forest of the pairs that may be similar, each with the longest
+   prefix at which a tree joins them.
+3. The search starts with the trees' full depth.  Sets that are joined make
+   candidate groups; every pair of a group is verified on the shingle sets.  A
+   large group is dealt out as pairs of blocks, so no task ever gets a whole
+   group, and only counts and a spanning forest leave a task.
+4. The similarities of the verified pairs tell how many pairs of each
+   similarity there must be, met or not, and so the recall.  While it is below
+   the target for any similarity that occurs, prefixes are shortened, one tree
+   after another, and the groups that grow by it are verified anew.
+5. Verified links make the classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, each_slot, fixed_bytes, fresh_names, from_fixed, occupied, slices, slot_of, written
 from .ngrams import END, WordHashes, hashed_texts, mixed, word_hash
 
 TREES, DEPTH = 16, 8
+#: Bytes of a hash in a trie, of a set's id, and of the sketch of a whole signature.
+HASH, SID, SKETCH = 2, 16, TREES * DEPTH // 4
 #: Sets of a block; a task verifies the pairs of two blocks at most at a time.
 BLOCK = 128
+#: Rows of a run that are compared in the pass over the sorted rows; longer runs are dealt out in blocks of this size.
+RUN = 256
+#: Bins of similarity, from 0 to 1.
+BINS = 100
 #: Shingles that are worked on together, so that they stay in the processor's cache.
 CACHED = 1 << 17
+#: Bytes of text that are worked on together, about.
+CHUNK_BYTES = 4_000_000
+
+
+def chance_met(similarity: float, depths: list[int]) -> float:
+    """The probability that a pair shares its prefix in some tree."""
+    return 1.0 - float(np.prod([1.0 - similarity**d for d in depths]))
 
 
 def matched_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
     """The longest prefix at which pairs of similarity ``threshold`` are met with probability ``recall`` or more."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and chance_met(threshold, [depth] * trees) < recall:
         depth -= 1
     return depth
 
 
+def shortened(depths: list[int], found: dict[int, int], threshold: float, recall: float) -> list[int]:
+    """The prefix of each tree after as many steps as the target needs; each step takes one hash from the longest prefix.
+
+    found: verified pairs by bin of similarity.  A bin's recall is estimated
+    at its lower edge, or the threshold.  Where nothing was found, nothing can
+    be estimated: the threshold itself must then meet the target.
+    """
+    edges = [max(threshold, b / BINS) for b, n in found.items() if n] or [threshold]
+    depths = list(depths)
+    while min(chance_met(s, depths) for s in edges) < recall and max(depths) > 1:
+        depths[depths.index(max(depths))] -= 1
+    return depths
+
+
+def least_agreement(threshold: float) -> int:
+    """Hashes of a signature whose sketches agree, at least, for a pair at the threshold: 6.5 standard deviations below the mean.
+
+    A sketch has two bits of each hash, so different hashes agree in one case of four.
+    """
+    n = TREES * DEPTH
+    mean = threshold + (1 - threshold) / 4
+    return max(0, int(n * mean - 6.5 * (n * mean * (1 - mean)) ** 0.5))
+
+
 def shingle_sets(column: pa.Array, known: WordHashes, words: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending; a shorter text is one shingle, one without words has none."""
     tokens, lengths = hashed_texts(column, known)
@@ -66,7 +107,10 @@ def _factors() -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The high 32 bits of the least image of each set under each hash function; sets must not be empty."""
+    """Per set: for each hash function two bytes of its least image, then the sketch; sets must not be empty.
+
+    The sketch is one bit of each hash, then another bit of each.
+    """
     factors = _factors()
     out = np.empty((len(sets), len(factors)), np.uint64)
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -76,66 +120,169 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         begin = size[i:j].cumsum() - size[i:j]
         for k, f in enumerate(factors):
             out[i:j, k] = np.minimum.reduceat(flat * f, begin)
-    return (out >> np.uint64(32)).astype(">u4")
+    out = mixed(out)
+    hashes = (out >> np.uint64(32)).astype(">u2").view(np.uint8).reshape(len(sets), -1)
+    bits = [np.packbits((out >> np.uint64(k) & np.uint64(1)).astype(bool), axis=1) for k in (16, 17)]
+    return np.concatenate([hashes, *bits], axis=1)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
-            sets = shingle_sets(part.column("text"), known, words)
-            full = [s for s in sets if len(s)]
-            signed = iter([x.tobytes() for x in signatures(full)] if full else [])
-            ids = [None if not len(s) else np.array([s.sum(), mixed(s ^ np.uint64(0x2545F4914F6CDD1D)).sum()], np.uint64).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("h"), pa.array(ids, pa.binary()), pa.array([next(signed) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "h", "sid", "sig"],
-            )
-
-
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by tree and key: an edge from each set to the first of its run of equal prefixes, and the partition's first and last run."""
-    schema = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
-    part = TaskContext.get().partitionId()
-    first = run = head = None
+    for part in slices(batches, "text", CHUNK_BYTES):
+        sets = shingle_sets(part.column("text"), known, words)
+        full = [s for s in sets if len(s)]
+        signed = iter([x.tobytes() for x in signatures(full)] if full else [])
+        ids = [None if not len(s) else np.array([s.sum(), mixed(s ^ np.uint64(0x2545F4914F6CDD1D)).sum()], np.uint64).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("h"), pa.array(ids, pa.binary()), pa.array([next(signed) if len(s) else None for s in sets], pa.binary())],
+            names=["doc_id", "h", "sid", "sig"],
+        )
+
+
+def alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+    """Whether the sketches of rows i and j agree in ``least`` hashes or more."""
+    half = sketch.shape[1] // 2
+    differ = (sketch[i, :half] ^ sketch[j, :half]) | (sketch[i, half:] ^ sketch[j, half:])
+    return np.bitwise_count(differ).sum(1) <= TREES * DEPTH - least
+
+
+def joined(hashes: np.ndarray, i: np.ndarray, j: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the pairs (i, j) as edges (a, b, level): at each level the pairs that share so long a prefix connect the same rows."""
+    level = np.cumprod(hashes[i] == hashes[j], axis=1).sum(1)
+    label = np.arange(len(hashes))
+    out = []
+    for at in range(DEPTH, floor - 1, -1):
+        p, q = i[level >= at], j[level >= at]
+        new = label
+        while True:
+            least = np.minimum(new[p], new[q])
+            low = new.copy()
+            np.minimum.at(low, new[p], least)
+            np.minimum.at(low, new[q], least)
+            low = low[low]
+            if (low == new).all():
+                break
+            new = low
+        moved = np.flatnonzero((label == np.arange(len(label))) & (new != label))
+        out.append((moved, new[moved], np.full(len(moved), at)))
+        label = new
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def pairs_in_runs(run: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of one run (equal numbers, side by side) whose sketches are alike."""
+    end = np.searchsorted(run, run, side="right")
+    at, step = np.arange(len(run)), 1
+    first, second = [at[:0]], [at[:0]]
+    while len(at := at[at + step < end[at]]):
+        some = at[alike(sketch, at, at + step, least)]
+        first.append(some)
+        second.append(some + step)
+        step += 1
+    return np.concatenate(first), np.concatenate(second)
+
+
+PASSED = "tree int, level int, a binary, b binary, key binary, sketch binary"
+
+
+def _passed(tree: np.ndarray, level: np.ndarray | None, a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None, sketch: np.ndarray | None) -> pa.RecordBatch:
+    n = len(tree)
+    columns = [pa.array(tree, pa.int32()), pa.nulls(n, pa.int32()) if level is None else pa.array(level, pa.int32())]
+    columns += [pa.nulls(n, pa.binary()) if x is None else from_fixed(x) for x in (a, b, key, sketch)]
+    return pa.RecordBatch.from_arrays(columns, names=["tree", "level", "a", "b", "key", "sketch"])
+
+
+def _trie(batches: Iterator[pa.RecordBatch], floor: int, least: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by tree and key: edges of the runs of equal prefixes of ``floor`` hashes.
+
+    The rows of runs that are longer than RUN, or that may go on in another
+    partition, are passed on as they are (b is null).
+    """
+    held: list[np.ndarray] | None = None  # tree, key, sid, sketch of the last run so far
+    first = np.empty(0)
+
+    def prefixes(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.concatenate([tree[:, None].astype(np.uint8), key[:, : HASH * floor]], axis=1)
+
     for batch in batches:
         if not len(batch):
             continue
-        a, b = [], []
-        for t, key, sid in zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "sid"))):
-            prefix = bytes([t]) + key[:width]
-            if prefix == run:
-                if sid != head:
-                    a.append(sid)
-                    b.append(head)
-            else:
-                run, head = prefix, sid
-                if first is None:
-                    first = (prefix, sid)
-        yield pa.RecordBatch.from_arrays([pa.array([None] * len(a), pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], schema=schema)
-    if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first[1]], pa.binary()), pa.array([head], pa.binary()), pa.array([first[0]], pa.binary()), pa.array([run], pa.binary())], schema=schema)
-
-
-def candidate_edges(sets: DataFrame, depth: int) -> DataFrame:
-    """(a, b): sets that share a prefix of ``depth`` hashes in some tree, as edges to the first of each run."""
+        now = [batch.column("tree").to_numpy(), *(fixed_bytes(batch.column(c), w) for c, w in (("key", HASH * DEPTH), ("sid", SID), ("sketch", SKETCH)))]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        prefix = prefixes(now[0], now[1])
+        if not len(first):
+            first = prefix[0]
+        starts = np.append(True, (prefix[1:] != prefix[:-1]).any(1))
+        run = starts.cumsum() - 1
+        size = np.bincount(run)
+        done = run < run[-1]
+        held = [x[~done] for x in now]
+        far = (size[run] > RUN) | (prefix == first).all(1)
+        if (long := done & far).any():
+            yield _passed(now[0][long], None, now[2][long], None, now[1][long], now[3][long])
+        if len(held[0]) > RUN:  # of a run that goes on, only the last row is kept back: the rest follows as a long run
+            yield _passed(held[0][:-1], None, held[2][:-1], None, held[1][:-1], held[3][:-1])
+            first, held = prefix[-1], [x[-1:] for x in held]
+        near = done & ~far & (size[run] > 1)
+        if near.any():
+            tree, key, sid, sketch = (x[near] for x in now)
+            i, j = pairs_in_runs(run[near], sketch, least)
+            a, b, level = joined(key.reshape(len(key), DEPTH, HASH).view(">u2")[:, :, 0], i, j, floor)
+            yield _passed(tree[a], level, sid[a], sid[b], None, None)
+    if held is not None:
+        yield _passed(held[0], None, held[2], None, held[1], held[3])
+
+
+def _long_run(floor: int, least: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Edges of two blocks of one run."""
+
+    def work(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        block = group.column("block").to_numpy()
+        hashes = fixed_bytes(group.column("key").chunk(0), HASH * DEPTH).reshape(len(group), DEPTH, HASH).view(">u2")[:, :, 0]
+        sid, sketch = fixed_bytes(group.column("a").chunk(0), SID), fixed_bytes(group.column("sketch").chunk(0), SKETCH)
+        i, j = pairs_in_runs(np.zeros(len(group), np.int64), sketch, least)
+        if key[2].as_py() != key[3].as_py():
+            across = block[i] != block[j]
+            i, j = i[across], j[across]
+        a, b, level = joined(hashes, i, j, floor)
+        return pa.Table.from_batches([_passed(np.full(len(a), key[0].as_py()), level, sid[a], sid[b], None, None)])
+
+    return work
+
+
+def candidate_edges(sets: DataFrame, floor: int, least: int) -> DataFrame:
+    """(tree, level, a, b): pairs of ``sets`` that a tree joins at prefixes of ``level`` hashes, ``floor`` at least.
+
+    A run of m sets that is dealt out costs m² / RUN transfers of a row of 66
+    bytes; texts stay where they are.
+    """
     keyed = sets.select("sid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    keyed = keyed.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key"), "sid")
+    width, all_hashes = HASH * DEPTH, HASH * DEPTH * TREES
+    keyed = keyed.select("tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("key"), "sid", F.expr(f"substring(sig, {all_hashes + 1}, {SKETCH})").alias("sketch"))
     order = ["tree", "key", "sid"]
     rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    runs = written(rows.mapInArrow(lambda it: _runs(it, 4 * depth), "part int, a binary, b binary, first binary, last binary"), "runs")
-    # a run that goes on in the next partition: one row per partition tells
-    every = Window.orderBy("part")
-    over = runs.filter("part IS NOT NULL").select("a", F.lag("b").over(every).alias("b"), (F.col("first") == F.lag("last").over(every)).alias("goes_on"))
-    return runs.filter("part IS NULL").select("a", "b").unionByName(over.filter("goes_on AND a != b").select("a", "b")).distinct()
+    passed = written(rows.mapInArrow(lambda it: _trie(it, floor, least), PASSED), "trie")
+
+    long = passed.filter("b IS NULL").withColumn("prefix", F.substring("key", 1, HASH * floor)).withColumn("slot", slot_of("a"))
+    # an unbroken run of rows may be counted without its rows meeting in a task
+    of_run = long.groupBy("tree", "prefix", "slot").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.sum("n").alias("n"), occupied("slot").alias("slots"))
+    of_run = of_run.filter("n > 1").select("tree", "prefix", F.ceil(F.col("n") / RUN).cast("int").alias("blocks"), each_slot("slots").alias("slot"))
+    dealt = long.join(of_run, ["tree", "prefix", "slot"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "key", "sketch")
+    far = dealt.groupBy("tree", "prefix", "i", "j").applyInArrow(_long_run(floor, least), PASSED)
+    edges = passed.filter("b IS NOT NULL").select("tree", "level", "a", "b").unionByName(far.select("tree", "level", "a", "b"))
+    return written(edges, "candidates")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the least node of its component.
 
     Rounds of large star and small star; each is written out, and the rounds
-    end when a checksum stays the same.
+    end when a checksum stays the same.  The edges of a node with many
+    neighbours stay dealt over SLOTS slots.
     """
 
     def oriented(e: DataFrame) -> DataFrame:
@@ -151,9 +298,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (at := mark(now)) == before or not at[0]:
             break
         before = at
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = written(oriented(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("slot", slot_of("b"))
+        least = both.groupBy("a", "slot").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), occupied("slot").alias("slots"))
+        least = least.select("a", F.least("a", "m").alias("m"), each_slot("slots").alias("slot"))
+        large = written(oriented(both.filter("b > a").join(least, ["a", "slot"]).select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = written(oriented(small), "small-star")
@@ -183,17 +331,22 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(threshold: float):
-    schema = pa.schema([("sid", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
+LINKS = "root binary, members long, slot int, sid binary, least binary, links long, bin int, pairs long"
+
+
+def _verify(threshold: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Links of two blocks of a group: per set its number of links and the least set that is reached; and, with a bin, how many pairs have that similarity."""
 
     def work(key: tuple, group: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         ids, block = group.column("sid").to_pylist(), np.array(group.column("block").to_pylist())
+        slot = group.column("slot").to_pylist()
         copies = np.array(group.column("copies").to_pylist(), np.int64)
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
         size = np.array([len(s) for s in sets], np.float64)
         common = _shared(sets)
-        linked = common >= threshold * (size[:, None] + size[None] - common) - 1e-9
+        either = size[:, None] + size[None] - common
+        linked = common >= threshold * either - 1e-9
         np.fill_diagonal(linked, False)
         if i != j:
             linked &= block[:, None] != block[None]
@@ -207,11 +360,48 @@ def _verify(threshold: float):
             label = new
         by_label = sorted(ids)
         some = np.flatnonzero(links)
-        return pa.table([pa.array([ids[k] for k in some], pa.binary()), pa.array([by_label[label[k]] for k in some], pa.binary()), pa.array(links[some], pa.int64())], schema=schema)
+        upper = np.triu(linked)
+        bins = np.bincount(np.minimum(common[upper] / either[upper] * BINS + 1e-9, BINS).astype(int), minlength=BINS + 1)
+        used = np.flatnonzero(bins)
+        root, members = key[0].as_py(), group.column("members")[0].as_py()
+        n, extra = len(some) + len(used), len(used)
+        return pa.table({
+            "root": pa.array([root] * n, pa.binary()),
+            "members": pa.array([members] * n, pa.int64()),
+            "slot": pa.array([slot[k] for k in some] + [slot[0]] * extra, pa.int32()),
+            "sid": pa.array([ids[k] for k in some] + [ids[0]] * extra, pa.binary()),
+            "least": pa.array([by_label[label[k]] for k in some] + [ids[0]] * extra, pa.binary()),
+            "links": pa.array(links[some].tolist() + [0] * extra, pa.int64()),
+            "bin": pa.array([None] * len(some) + used.tolist(), pa.int32()),
+            "pairs": pa.array([0] * len(some) + bins[used].tolist(), pa.int64()),
+        })
 
     return work
 
 
+def _verified(rows: DataFrame, members: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The links of groups: ``members`` has sid, root, members, slot, key, h and copies; ``rows`` has key, h and text.
+
+    A group of m sets costs m² / BLOCK transfers of a set of shingles.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    one = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "h").orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
+    names = ["sid", "root", "members", "slot", "blocks", "block", "copies"]
+    texts = one.join(dealt, ["key", "h"]).select(*names, "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for part in slices(batches, "text", CHUNK_BYTES):
+            sets = [s.tobytes() for s in shingle_sets(part.column("text"), known, words)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(sets, pa.binary())], names=[*names, "shingles"])
+
+    sets = texts.mapInArrow(shingled, "sid binary, root binary, members long, slot int, blocks int, block int, copies long, shingles binary")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return written(sets.groupBy("root", "i", "j").applyInArrow(_verify(threshold), LINKS), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, kept; ``how`` may set words, threshold and recall.
 
@@ -222,7 +412,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text has the least hash; of repeated rows, one).  Words are split at ASCII
     white space after lower-casing A-Z.  A null text or one without words has
     no links and a class of its own, and stays.  A class has a null id only
-    if all its ids are null.  An empty table gives an empty result.
+    if all its ids are null.  An empty table gives an empty result.  A text is
+    worked on whole: a task needs about 30 bytes for each of its words.
     """
     out = decided(docs, id_col, text_col, **how)
     rest = out.filter("alone OR NOT stays").select("doc_id", "class_id", "n_links", F.col("stays").alias("kept"))
@@ -232,8 +423,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rest.unionByName(top.select("doc_id", "class_id", "n_links", (F.col("nth") == 1).alias("kept")))
 
 
-def text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def key_of(id_column: Column) -> Column:
+    """An id as a value that joins and windows alike can use as key, so that they share one shuffle; null has its own."""
+    return F.coalesce(id_column.cast("string"), F.lit(""))
+
+
+def searched(rows: DataFrame, sets: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
+    """All verified links among ``sets``: from the full depth of the trees on, prefixes are shortened until the estimated recall meets the target."""
+    edges = candidate_edges(sets, matched_depth(threshold, recall), least_agreement(threshold))
+    known = sets.select(F.col("sid").alias("node"), key_of(F.col("doc_id")).alias("key"), "h", "copies")
+    depths, links, settled = [DEPTH] * TREES, None, None
+    while True:
+        met = edges.filter(F.col("level") >= F.element_at(F.array(*map(F.lit, depths)), F.col("tree") + 1)).select("a", "b")
+        groups = written(components(met).withColumn("slot", slot_of("node")), "groups")
+        sizes = groups.groupBy("root", "slot").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("members"), occupied("slot").alias("slots"))
+        sizes = written(sizes, "group-sizes")
+        # a group that has not grown since was verified before
+        grown = sizes if settled is None else sizes.join(settled, ["root", "members"], "left_anti")
+        grown = grown.select("root", "members", each_slot("slots").alias("slot"))
+        members = groups.join(grown, ["root", "slot"]).join(known, "node").withColumnRenamed("node", "sid")
+        fresh = _verified(rows, members, words, threshold)
+        if links is not None:
+            still = sizes.select("root", "members", each_slot("slots").alias("slot"))
+            fresh = written(links.join(still, ["root", "members", "slot"], "left_semi").unionByName(fresh), "links")
+        links, settled = fresh, sizes
+        found = {r["bin"]: r["n"] for r in links.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("pairs").alias("n")).collect()}  # BINS rows at most
+        if (shorter := shortened(depths, found, threshold, recall)) == depths:
+            return links
+        depths = shorter
 
 
 def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
@@ -241,47 +462,27 @@ def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     Rows that repeat the one that stays all have ``stays``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", text_hash("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", text_hash(F.col("text")))
     kind = docs.schema[id_col].dataType.simpleString()
-    sketched = written(rows.mapInArrow(lambda it: _sketch(it, words), f"doc_id {kind}, h long, sid binary, sig binary"), "sketches")
-
-    seen = sketched.filter("sid IS NOT NULL")
-    one = Window.partitionBy("sid").orderBy(F.col("doc_id").asc_nulls_last(), "h")
-    first = seen.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("sid", "doc_id", "h", "sig")
-    copies = seen.groupBy("sid").agg(F.count("*").alias("copies"))
-    sets = written(first.join(copies, "sid"), "sets")
-
-    groups = written(components(candidate_edges(sets, matched_depth(threshold, recall))), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("sid"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(sets.select("sid", "doc_id", "h", "copies"), "sid")
-    m = members.withColumnRenamed("doc_id", "m_id").withColumnRenamed("h", "m_h")
-    texts = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0)))).filter("nth = 1")
-    texts = texts.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h"))).select("sid", "root", "blocks", "block", "copies", "text")
+    sketched = written(rows.mapInArrow(lambda it: _sketch(it, words), f"doc_id {kind}, h long, sid binary, sig binary").withColumn("slot", slot_of("doc_id", "h")), "sketches")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        names = ["sid", "root", "blocks", "block", "copies"]
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                sets = [s.tobytes() for s in shingle_sets(part.column("text"), known, words)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(sets, pa.binary())], names=[*names, "shingles"])
-
-    dealt = texts.mapInArrow(shingled, "sid binary, root binary, blocks int, block int, copies long, shingles binary")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    verified = written(dealt.groupBy("root", "i", "j").applyInArrow(_verify(threshold), "sid binary, root binary, links long"), "links")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h"))
+    parts = sketched.filter("sid IS NOT NULL").groupBy("sid", "slot").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    sets = parts.groupBy("sid").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"), F.first("sig").alias("sig"), occupied("slot").alias("slots"))
+    sets = written(sets.select("sid", "first.doc_id", "first.h", "copies", "sig", "slots"), "sets")
 
+    verified = searched(rows.select(key_of(F.col("doc_id")).alias("key"), "h", "text"), sets, words, threshold, recall)
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
-    classes = components(verified.select(F.col("sid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("sid"), "root")
-    known = sets.select("sid", "doc_id", "h", "copies").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    known = known.filter("copies > 1 OR links > 0")
-    best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h")).alias("best"))
-    known = known.join(best, "root").select("sid", F.col("best.doc_id").alias("class_id"), F.col("best.h").alias("best_h"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = components(verified.select(F.col("sid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("sid"), "root")
+    known = sets.select("sid", "doc_id", "h", "copies", "slots").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    known = written(known.filter("copies > 1 OR links > 0").withColumn("slot", slot_of("sid")), "linked")
+    best = known.groupBy("root", "slot").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h")).alias("best"))
+    best = best.groupBy("root").agg(F.min("best").alias("best"), occupied("slot").alias("spread")).select("root", "best", each_slot("spread").alias("slot"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    known = known.join(best, ["root", "slot"]).select("sid", F.col("best.doc_id").alias("class_id"), F.col("best.h").alias("best_h"), n_links, each_slot("slots").alias("slot"))
     known = written(known, "classes")
 
-    out = sketched.select("doc_id", "h", "sid").join(known, "sid", "left")
+    out = sketched.select("doc_id", "h", "sid", "slot").join(known, ["sid", "slot"], "left")
     alone = F.col("n_links").isNull()
     stays = alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("best_h")))
     return out.select("doc_id", "h", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), stays.alias("stays"), alone.alias("alone"))
@@ -289,10 +490,10 @@ def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` of which ``near_duplicates`` keeps one per class, with all their columns; rows without words all stay."""
-    out = decided(docs.select(id_col, text_col), id_col, text_col, **how)
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    gone = out.filter("NOT stays").select(key("doc_id").alias("_key"), F.col("h").alias("_h")).distinct()
-    rows = docs.withColumns({"_key": key(id_col), "_h": text_hash(text_col)}).join(gone, ["_key", "_h"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("_key", "_h").orderBy(F.lit(0)))
-    rows = rows.withColumn("_nth", nth).filter((F.col("_nth") == 1) | ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD))
+    out = decided(docs.select(f"`{id_col}`", f"`{text_col}`"), id_col, text_col, **how)
+    key, h, nth = fresh_names(docs.columns, "key", "h", "nth")
+    gone = out.filter("NOT stays").select(key_of(F.col("doc_id")).alias(key), F.col("h").alias(h)).distinct()
+    rows = docs.withColumns({key: key_of(F.col(f"`{id_col}`")), h: text_hash(F.col(f"`{text_col}`"))}).join(gone, [key, h], "left_anti")
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, h).orderBy(F.lit(0))))
+    rows = rows.filter((F.col(nth) == 1) | ~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(WORD))
     return rows.select([F.col(f"`{c}`") for c in docs.columns])

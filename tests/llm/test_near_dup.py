@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankweave.llm import near_dup
@@ -94,10 +95,38 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert near_dup.near_duplicates(frame(spark, [])).collect() == []
 
 
-def test_depth_is_shortened_until_the_recall_is_met():
+def test_depths_are_shortened_until_the_recall_is_met():
     d = near_dup.matched_depth(0.8, 0.99)
-    met = lambda k: 1 - (1 - 0.8**k) ** near_dup.TREES
-    assert met(d) >= 0.99 > met(d + 1)
+    assert near_dup.chance_met(0.8, [d] * near_dup.TREES) >= 0.99 > near_dup.chance_met(0.8, [d + 1] * near_dup.TREES)
+    full = [near_dup.DEPTH] * near_dup.TREES
+    assert near_dup.shortened(full, {97: 5}, 0.8, 0.9995) == full  # close copies alone are met at full depth
+    some = near_dup.shortened(full, {97: 5, 84: 1}, 0.8, 0.9995)
+    assert some != full and near_dup.chance_met(0.84, some) >= 0.9995
+    most = near_dup.shortened(full, {80: 1}, 0.8, 0.9995)
+    assert near_dup.chance_met(0.8, most) >= 0.9995 and sum(most) < sum(some) and min(most) >= near_dup.matched_depth(0.8, 0.9995)
+    assert near_dup.shortened(full, {}, 0.8, 0.9995) == most
+
+
+def test_runs_are_compared_as_all_pairs_are():
+    r = np.random.default_rng(3)
+    n, least = 200, near_dup.least_agreement(0.8)
+    run = np.sort(r.integers(0, 30, n))
+    kinds = r.integers(0, 256, (8, near_dup.SKETCH), np.uint8)
+    sketch = kinds[r.integers(0, 8, n)]
+    hashes = r.integers(0, 2, (n, near_dup.DEPTH)).astype(np.uint16)
+    i, j = near_dup.pairs_in_runs(run, sketch, least)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if run[a] == run[b] and (sketch[a] == sketch[b]).all()}
+    assert set(zip(i.tolist(), j.tolist())) == want
+    a, b, level = near_dup.joined(hashes, i, j, 2)
+    for least_level in range(2, near_dup.DEPTH + 1):
+        def classes(edges):
+            label = list(range(n))
+            for _ in range(n):
+                for x, y in edges:
+                    label[x] = label[y] = min(label[x], label[y])
+            return label
+        same = lambda x, y: next((k for k in range(near_dup.DEPTH) if hashes[x, k] != hashes[y, k]), near_dup.DEPTH)
+        assert classes([(x, y) for x, y, k in zip(a.tolist(), b.tolist(), level.tolist()) if k >= least_level]) == classes([p for p in want if same(*p) >= least_level])
 
 
 def test_components_of_long_paths(spark):
@@ -108,6 +137,23 @@ def test_components_of_long_paths(spark):
     assert got["0100"] == "0051" and got["0150"] == "0101"
 
 
+def test_a_run_longer_than_a_pass_compares(spark):
+    r = random.Random(6)
+    base = [f"h{k}" for k in range(60)]
+    data = [(i, " ".join([*base[:58], f"x{i}"])) for i in range(700)] + [(700 + i, " ".join(r.choices(base, k=40))) for i in range(30)]
+    got = {x["doc_id"]: x for x in near_dup.near_duplicates(frame(spark, data)).collect()}
+    assert {got[i]["class_id"] for i in range(700)} == {0} and {got[i]["n_links"] for i in range(700)} == {699}
+    assert all(got[i]["class_id"] == i for i in range(700, 730))
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_key", "_h", "_nth", "key", "h", "slot", "sid", "root", "text_", "__KEY"]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "z")], "doc_id long, text string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names])
+    out = near_dup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(tuple(x) for x in docs.collect() if x["doc_id"] != 2)
+
+
 def test_dropping(spark):
     long = " ".join(f"a{i}" for i in range(40))
     data = [(5, long), (5, long), (5, long + " b"), (None, long), (None, "q r s"), (7, long), (8, "alone here"), (9, None), (9, None)]
@@ -119,9 +165,10 @@ def test_dropping(spark):
 def test_hardly_a_pair_at_the_threshold_is_lost(spark):
     r = random.Random(5)
     out = []
-    for i in range(3000):  # pairs that no other text joins, at similarity 0.8: 40 of 50 shingles
+    for i in range(3000):  # pairs that no other text joins, at similarities 0.80 (40 of 50 shingles) to 0.88
         base = [f"p{i}_{k}" for k in range(49)]
-        out += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:44] + [f"q{i}_{r.random()}" for _ in range(5)]))]
+        n = 44 + i % 3
+        out += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:n] + [f"q{i}_{r.random()}" for _ in range(49 - n)]))]
     got = near_dup.near_duplicates(frame(spark, out)).collect()
-    assert len(got) == 6000 and sum(x["n_links"] == 0 for x in got) <= 2 * 5
+    assert len(got) == 6000 and sum(x["n_links"] == 0 for x in got) <= 2 * 3
     assert {x["class_id"] % 2 for x in got if x["n_links"]} == {0}
