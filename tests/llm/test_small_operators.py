@@ -1,12 +1,14 @@
 """Exact dedup, mixing, BPE, WARC, language ID and PII against plain versions, with nulls, ties, repeats and empty tables."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -117,6 +119,31 @@ def test_warc_round_trip(spark, tmp_path):
     small = warc.archived(pages, str(tmp_path / "c"), str(tmp_path / "d"), least_bytes=10).collect()
     assert all(x["record_type"] == "response" for x in small if x["payload_bytes"] < 10)
     assert warc.archived(pages.limit(0), str(tmp_path / "e"), str(tmp_path / "f")).count() == 0
+    # any gzip tool reads the archives; every member is one record with the page's bytes
+    held = Counter()
+    for path in (tmp_path / "b").glob("*"):
+        assert path.name.endswith(".warc.gz")
+        plain = gzip.decompress(path.read_bytes())
+        with pafs.LocalFileSystem().open_input_stream(str(path), compression=None) as f:
+            records = [warc.parsed(data) for _, _, data in warc.members(f)]
+        assert records[0][0]["warc-type"] == "warcinfo" and plain.count(b"WARC-Record-ID: ") == len(records)
+        held.update(block.partition(warc.END)[2] for named, block in records if named["warc-type"] == "response")
+    assert held == Counter((h or "").encode() for i, _, h, _ in rows if i is None and (h or "") not in first or i is not None and first[h or ""] == i)
+
+
+def test_half_of_all_pages_hold_one_payload(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "the same " * 50 if i % 2 else f"page {i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    out = warc.archived(pages, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    assert Counter(x["record_type"] for x in out) == {"response": 201, "revisit": 199} and {x["refers_to"] for x in out} == {None, 1}
+    headers = warc.read_headers(spark, str(tmp_path / "a"))
+    assert not {"payload", "html"} & set(headers.columns)  # what shuffles by digest holds no payload
+
+
+def test_record_ids():
+    for i in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012345, None):
+        assert warc.page_of(warc.record_id(i, b"x")) == i
+    assert warc.page_of("<urn:uuid:f81d4fae-7dec-41d0-a765-00a0c91e6bf6>") is None and warc.page_of(None) is None
 
 
 def test_language_id_on_held_out_texts(spark):
