@@ -6,7 +6,9 @@
    ``1 / max_heavy`` of all rows.  At most ``max_heavy`` can.
 3. Their exact sizes and winners are counted with map-side combining and
    broadcast (at most ``max_heavy`` rows), so their rows never shuffle.
-4. All other digests take one ordinary shuffle of id and digest.
+4. All other digests take an ordinary shuffle of id and digest.  Their groups
+   are counted with map-side combining too, and the rows of a group stay dealt
+   over many slots, so a group below the heavy ones' size isn't one task's.
 
 Only built-in DataFrame functions run.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import each_slot, fresh_names, lower_ascii, occupied, slot_of, written
 
 
 def text_digest(text: Column) -> Column:
@@ -40,36 +42,34 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is kept.  An empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
-    ids = written(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "digests")
+    ids = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest")), "digests")
     proposed = heavy_digests(ids, max_heavy, tracked)
     winners = written(
         ids.join(F.broadcast(proposed), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
         "winners",
     )
 
-    heavy = ids.join(F.broadcast(winners), "digest")
+    light = ids.join(F.broadcast(winners), "digest", "left_anti").withColumn("slot", slot_of("doc_id"))
+    parts = light.groupBy("digest", "slot").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = parts.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), occupied("slot").alias("slots"))
+    groups = groups.select("digest", "keep_id", "group_size", each_slot("slots").alias("slot"))
+    every = ids.join(F.broadcast(winners), "digest").unionByName(light.join(groups, ["digest", "slot"]).drop("slot"))
+
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    losers = heavy.filter(~stays).withColumn("kept", F.lit(False))
+    losers = every.filter(~stays).withColumn("kept", F.lit(False))
     # rows that repeat the winner's id and text are counted, not gathered; one of them is kept
-    top = heavy.filter(stays).groupBy("doc_id", "digest", "keep_id", "group_size").agg(F.count("*").alias("same"))
+    top = every.filter(stays).groupBy("doc_id", "digest", "keep_id", "group_size").agg(F.count("*").alias("same"))
     top = top.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"))).alias("nth")).withColumn("kept", F.col("nth") == 1)
-
-    group = Window.partitionBy("digest")
-    light = ids.join(F.broadcast(winners), "digest", "left_anti").select(
-        "*",
-        F.max("doc_id").over(group).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last())) == 1).alias("kept"),
-    )
     out = ["doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")]
-    return light.select(out).unionByName(losers.select(out)).unionByName(top.select(out))
+    return losers.select(out).unionByName(top.select(out))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``duplicate_groups``."""
-    kept = duplicate_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    rows = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    once = Window.partitionBy(id_col, "_digest").orderBy(F.lit(0))
-    rows = rows.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; see ``duplicate_groups``."""
+    digest, nth, kept_id, kept_digest = fresh_names(docs.columns, "digest", "nth", "kept_id", "kept_digest")
+    kept = duplicate_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest))
+    rows = docs.withColumn(digest, text_digest(F.col(f"`{text_col}`")))
+    once = Window.partitionBy(f"`{id_col}`", digest).orderBy(F.lit(0))
+    rows = rows.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
     return rows.join(kept, same, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

@@ -15,14 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, fresh_names, written
 
 SLOTS = 256
 
 
+def words_in(text: Column) -> Column:
+    """The words of a text; 0 for null."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def source_targets(sources: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
     """(source, source_size) with targets added: weights repeat over the sources by code point, null last.
 
@@ -59,9 +64,9 @@ def taken_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     depend on values and the seed alone.  Rows that repeat an id stand next to
     each other and get copies one by one.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    slot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 2), 16, 10).cast("int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), slot.alias("slot"))
+    key, source, text = (F.col(f"`{c}`") for c in (id_col, source_col, text_col))
+    slot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 2), 16, 10).cast("int")
+    rows = docs.select(key.alias("doc_id"), source.alias("source"), words_in(text).alias("size"), slot.alias("slot"))
     rows = rows.withColumn("class", F.length(F.col("size").cast("string")) * 100 + F.substring(F.col("size").cast("string"), 1, 2).cast("int"))
     rows = written(rows, "sizes")
 
@@ -92,17 +97,18 @@ def taken_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes it, with all their columns.
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, with all their columns, whatever their names.
 
     Rows that repeat both id and size are taken from as a set: their copies are
     dealt over them in turn.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    took = taken_copies(docs, id_col, text_col, source_col, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies")
-    took = took.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.desc("copies"))))
-    rows = docs.withColumn("_size", size)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, source_col, "_size").orderBy(F.xxhash64(text_col))))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_nth") == F.col("_turn"))
-    rows = rows.join(took.filter("copies > 0"), same)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    own_id, own_source, words, turn, nth, copies, copy, size = fresh_names(docs.columns, "id", "source", "words", "turn", "nth", "copies", "copy", "size")
+    took = taken_copies(docs, id_col, text_col, source_col, **how).select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(words), F.col("copies").alias(copies))
+    took = took.withColumn(turn, F.row_number().over(Window.partitionBy(own_id, own_source, words).orderBy(F.desc(copies))))
+    key, source, text = (F.col(f"`{c}`") for c in (id_col, source_col, text_col))
+    rows = docs.withColumn(size, words_in(text))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, source, size).orderBy(F.xxhash64(text))))
+    same = key.eqNullSafe(F.col(own_id)) & source.eqNullSafe(F.col(own_source)) & (F.col(size) == F.col(words)) & (F.col(nth) == F.col(turn))
+    rows = rows.join(took.filter(F.col(copies) > 0), same)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return rows.select([F.col(f"`{c}`") for c in docs.columns])

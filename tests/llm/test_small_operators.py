@@ -42,6 +42,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.duplicate_groups(frame(spark, [])).collect() == []
 
 
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_id", "_source", "_words", "_turn", "_nth", "copies", "_copies", "_copy", "_size", "_digest", "_kept_id", "_kept_digest", "__id", "slot", "size", "target", "digest", "class"]
+    rows = [(i, "a b c" if i % 3 else f"text {i}", "s" if i % 2 else None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names]).repartition(3)
+    whole = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    for out in (exact_dedup.drop_duplicates(docs), mixing.mixed(docs)):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(tuple(r) == whole[r["doc_id"]] for r in found)
+
+
 def plain_targets(sizes):
     total, target, stopped = 1.5 * sum(sizes.values()), {}, set()
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
