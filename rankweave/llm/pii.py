@@ -7,10 +7,16 @@ different ones, and whoever holds the key can undo it.  Separators, brackets
 and the number of digits stay; undoing a date written without leading zeros may
 add them.
 
-Kinds: payment cards (Luhn), IBAN (mod 97), phone numbers, social security
-numbers, IPv4 addresses, calendar dates; the letters and digits of an e-mail
-address's local part; and access keys, tokens and passwords that stand behind
-their usual names.  What fails its check stays as it is.
+Kinds: payment cards (Luhn), IBAN (mod 97), phone numbers (of North America, and
+international ones of their country's length), social security numbers, IPv4
+addresses, calendar dates; the letters and digits of an e-mail address's local
+part; and access keys, tokens and passwords that stand behind their usual
+names.  What fails its check stays as it is.
+
+A date has one pseudonym, in whatever form it is written.  Days up to the 12th
+stay such days, and later ones later ones: that tells a month from a day where
+the month stands first, so the form can be read again.  Day and month that
+could stand either way count as day first.
 
 Cards and IBANs may stand among other groups of digits or capitals (an expiry
 date, a security code, a short word).  A number is whole groups of what its
@@ -41,7 +47,7 @@ PATTERN = re.compile(
       (?<![\w.%+-]) (?P<email> [A-Za-z0-9._%+-]+ (?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}) )
     | \b (?P<iban> [A-Z]{2}[0-9]{2} (?:[ ]?[A-Z0-9]{4}){2,7} (?:[ ]?[A-Z0-9]{1,3})? ) \b
     | \b (?P<key> (?:AKIA|ASIA)[0-9A-Z]{16} ) \b
-    | \b (?:password|passwd|secret|token|api_key) (?:\s?[=:]\s?"?) (?P<secret> [0-9a-f]{16,128} ) \b
+    | \b (?:password|passwd|secret|token|api_key) (?:\s?[=:]\s?"?) (?P<secret> [A-Za-z0-9+/_-]{16,128} ) (?![\w+/-])
     | (?<![\w.-]) (?P<date> [0-9]{4}-[0-9]{2}-[0-9]{2} | [0-9]{1,2}(?P<dot>[./-])[0-9]{1,2}(?P=dot)[0-9]{4} ) (?![\w-]|[.][0-9])
     | (?<![\w.]) (?P<ip> (?:[0-9]{1,3}\.){3}[0-9]{1,3} ) (?!\w|\.[0-9])
     | (?<![\w-]) (?P<ssn> [0-9]{3}-[0-9]{2}-[0-9]{4} ) (?![\w-])
@@ -57,6 +63,16 @@ GROUPED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22
     GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24
     PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
+#: Least and most digits behind a country's calling code.
+PHONE_LENGTHS = {
+    "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11),
+    "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (7, 12), "51": (8, 9),
+    "52": (10, 10), "53": (8, 8), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10), "58": (10, 10), "60": (8, 10), "61": (9, 9), "62": (8, 12),
+    "63": (9, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 11), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
+    "92": (9, 10), "93": (9, 9), "94": (9, 9), "95": (7, 10), "98": (10, 10), "212": (9, 9), "213": (8, 9), "216": (8, 8), "233": (9, 9), "234": (8, 10),
+    "254": (9, 9), "351": (9, 9), "352": (8, 9), "353": (7, 9), "354": (7, 7), "358": (7, 11), "359": (8, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8),
+    "380": (9, 9), "381": (8, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "886": (8, 9), "966": (9, 9), "971": (8, 9), "972": (8, 9),
+}
 #: Characters behind a number that decide what its pattern can match.
 AHEAD = 80
 #: A text without any of these holds nothing to replace.
@@ -196,13 +212,18 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     d = _only(text, DIGITS)
     if text.startswith("+") and d[0] != "1":
-        return _refill(text, d[:2] + _in_alphabet(d[2:], DIGITS, key, f"phone{d[:2]}", back), DIGITS)
-    head, number = d[:-10], d[-10:]
-    fits = lambda n: n[0] >= "2" and n[3] >= "2"
+        code = next((d[:n] for n in (3, 2, 1) if d[:n] in PHONE_LENGTHS), None)
+        if code is None or not PHONE_LENGTHS[code][0] <= len(d) - len(code) <= PHONE_LENGTHS[code][1]:
+            return None
+        head, number, tweak = code, d[len(code) :], f"phone{code}"
+        fits = lambda n: n[0] != "0" or code == "39"  # noqa: E731  in Italy a nought belongs to the number
+    else:
+        head, number, tweak = d[:-10], d[-10:], "phone1"
+        fits = lambda n: n[0] >= "2" and n[3] >= "2"
     if not fits(number):
         return None
     while True:
-        number = _in_alphabet(number, DIGITS, key, "phone1", back)
+        number = _in_alphabet(number, DIGITS, key, tweak, back)
         if fits(number):
             return _refill(text, head + number, DIGITS)
 
@@ -227,22 +248,22 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _date(text: str, key: bytes, back: bool) -> str | None:
-    """Day and month swap their order where the first can't be a day; widths follow the form, a leading zero where there was one."""
+    """The month stands first where the second number can't be a month; widths follow the form, a leading zero where there was one."""
     parts = re.split(r"[./-]", text)
     iso = len(parts[0]) == 4
     order = (0, 1, 2) if iso else (2, 1, 0) if int(parts[1]) <= 12 else (2, 0, 1)
     try:
-        day = date(*(int(parts[i]) for i in order)).toordinal()
+        old = date(*(int(parts[i]) for i in order))
     except ValueError:
         return None
+    day = old.toordinal()
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     padded = iso or all(len(p) > 1 for p in parts)
-    fits = lambda d: iso or (order == (2, 1, 0)) or d.day > 12  # noqa: E731  else the pseudonym would be read the other way round
     while True:
         day = permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back) + FIRST_DAY
         d = date.fromordinal(day)
-        if fits(d):
+        if (d.day > 12) == (old.day > 12):
             break
     new = [""] * 3
     for i, v in zip(order, (d.year, d.month, d.day)):
@@ -251,10 +272,23 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
     return new[0] + marks[0] + new[1] + marks[1] + new[2]
 
 
+def _secret(text: str, key: bytes, back: bool) -> str | None:
+    """Hexadecimal digits stay such; of other secrets each character stays in its alphabet.  Words alone are no secrets."""
+    hexadecimal = lambda t: all(c in DIGITS + "abcdef" for c in t)
+    if hexadecimal(text):
+        return _in_alphabet(text, DIGITS + "abcdef", key, f"secret{len(text)}", back)
+    if not (any(c in DIGITS for c in text) and any(c in LOWER + UPPER for c in text)):
+        return None
+    while True:
+        text = _spelled(text, key, f"secret{len(text)}", back)
+        if not hexadecimal(text):
+            return text
+
+
 HOW: dict[str, Callable[[str, bytes, bool], str | None]] = {
     "email": lambda t, key, back: _spelled(t, key, "email", back),
     "key": lambda t, key, back: t[:4] + _in_alphabet(t[4:], DIGITS + UPPER, key, "key", back),
-    "secret": lambda t, key, back: _in_alphabet(t, DIGITS + "abcdef", key, f"secret{len(t)}", back),
+    "secret": _secret,
     "iban": _iban,
     "date": _date,
     "ip": _ip,
@@ -329,8 +363,12 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", keep: lis
     """``docs`` with the text's pseudonyms in place, and n_<kind> for each kind of ``KINDS``.
 
     A null text stays null, with no finds.  ``back`` recovers the originals.
-    keep: the other columns to return; none may be named like a new one.
+    A key may have any length.  Repeated rows get equal texts; an empty table
+    gives an empty result.  A text is worked on whole, and takes a few times
+    its size.  keep: the other columns to return; none may be named like a new
+    one.
     """
+    key = hashlib.sha256(key).digest()
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     new = [text_col, *(f"n_{k}" for k in KINDS)]
     if clash := set(new) & set(keep):

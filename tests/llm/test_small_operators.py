@@ -5,7 +5,9 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from datetime import date
 
 import public_tokenizers
 import pyarrow.fs as pafs
@@ -228,6 +230,96 @@ def test_cards_and_ibans_among_other_groups():
     assert pii.replaced("1234 5678 9012 3456 12/27, ES92 2100 0418 4502 0005 1332 AND", b"key", {})[1] == dict.fromkeys(pii.KINDS, 0)
 
 
+def plain_permuted(value, size, key, tweak):
+    """The Feistel network again, on bit strings."""
+    bits = len(bin(size - 1)) - 2
+    half = (bits + 1) // 2
+    width = -(-half // 8)
+    while True:
+        both = bin(value)[2:].zfill(2 * half)
+        left, right = both[:half], both[half:]
+        for i in range(pii.ROUNDS):
+            data = b"|".join([tweak.encode(), str(size).encode(), str(i).encode(), int(right, 2).to_bytes(width, "big")])
+            f = bin(int(hashlib.blake2b(data, digest_size=max(width, 8), key=key).hexdigest(), 16))[2:].zfill(64)[-half:]
+            left, right = right, "".join(str(int(a != b)) for a, b in zip(left, f))
+        value = int(left + right, 2)
+        if value < size:
+            return value
+
+
+def test_against_a_plain_version():
+    """Known values between words without digits: only they change, and to what the plain network says."""
+    r = random.Random(21)
+    key = b"k" * 32
+    first = date(1900, 1, 1).toordinal()
+    words = ["alpha", "beta,", "gamma;", "(delta)", "der", "éé"]
+
+    def card():
+        body = "4" + "".join(r.choices("0123456789", k=14))
+        new = f"{plain_permuted(int(body), 10**15, key, 'card16'):015d}"
+        return body + pii.luhn_digit(body), new + pii.luhn_digit(new)
+
+    def ip():
+        value = r.randrange(1 << 32)
+        return tuple(".".join(str(v >> k & 255) for k in (24, 16, 8, 0)) for v in (value, plain_permuted(value, 1 << 32, key, "ip")))
+
+    def ssn():
+        ok = lambda v: f"{v:09d}"[:3] not in ("000", "666") and v < 900_000_000 and v // 10_000 % 100 and v % 10_000
+        value = next(v for v in iter(lambda: r.randrange(10**9), None) if ok(v))
+        new = plain_permuted(value, 10**9, key, "ssn")
+        while not ok(new):
+            new = plain_permuted(new, 10**9, key, "ssn")
+        return tuple(f"{v:09d}"[:3] + "-" + f"{v:09d}"[3:5] + "-" + f"{v:09d}"[5:] for v in (value, new))
+
+    def day():
+        old = date.fromordinal(first + r.randrange(73049))
+        new = old
+        while new is old or (new.day > 12) != (old.day > 12):
+            new = date.fromordinal(first + plain_permuted(new.toordinal() - first, 73049, key, "date"))
+        form = r.choice(["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"] if old.day > 12 else ["%Y-%m-%d", "%d.%m.%Y"])
+        return tuple(d.strftime(form) for d in (old, new))
+
+    for _ in range(300):
+        text, want = [], []
+        for _ in range(r.randrange(1, 12)):
+            old, new = r.choice([card, ip, ssn, day])() if r.random() < 0.5 else (r.choice(words),) * 2
+            text += [old, "and"]
+            want += [new, "and"]
+        got, _ = pii.replaced(" ".join(text), key, {})
+        assert got == " ".join(want)
+        assert pii.replaced(got, key, {}, back=True)[0] == " ".join(text)
+
+
+def test_a_date_in_three_forms_stays_one_date(spark):
+    texts = ["2021-05-13", "05/13/2021", "13.05.2021", "2021-05-09", "9.5.2021", "09/05/2021"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(6, texts[0])], "doc_id long, text string")
+    for key in (b"k", b"a key of more than sixty-four bytes " * 9):
+        out = pii.pseudonymised(docs, key)
+        got = {x["doc_id"]: x["text"] for x in out.collect()}
+        iso, us, dotted = (date(*time.strptime(got[i], f)[:3]) for i, f in ((0, "%Y-%m-%d"), (1, "%m/%d/%Y"), (2, "%d.%m.%Y")))
+        assert iso == us == dotted != date(2021, 5, 13) and got[6] == got[0]
+        assert len({date(*time.strptime(got[i], f)[:3]) for i, f in ((3, "%Y-%m-%d"), (4, "%d.%m.%Y"), (5, "%d/%m/%Y"))}) == 1
+        back = {x["doc_id"]: x["text"] for x in pii.pseudonymised(out.select("doc_id", "text"), key, back=True).collect()}
+        assert {i: t.lstrip("0") for i, t in back.items()} | {4: texts[4]} == {i: t.lstrip("0") for i, t in enumerate([*texts, texts[0]])}
+
+
+def test_phones_and_secrets():
+    k = b"key"
+    for text in ("+49 30 12345678", "+44 20 7946 0958", "+33 1 23 45 67 89", "token = aB3+dEf/9hIjKlMn_pq", 'secret="0123456789abcdef"', "password: Xy12-Xy12-Xy12-Xy12"):
+        new, found = pii.replaced(text, k, {})
+        assert sum(found.values()) == 1 and new != text and len(new) == len(text) and pii.replaced(new, k, {}, back=True)[0] == text
+    for text in ("+299 1234567", "+33 01 23 45 67 89", "+33 1 23 45 67", "token = internationalizations", "token = short1"):
+        assert pii.replaced(text, k, {}) == (text, dict.fromkeys(pii.KINDS, 0)), text
+
+
+def test_names_that_clash_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, n_card int")
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs, b"k")
+    with pytest.raises(ValueError):
+        langid.predict(docs.withColumnRenamed("n_card", "score"), langid.Model(64))
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 37, 1000):
         image = [pii.permuted(v, size, b"k", "t") for v in range(size)]
