@@ -23,12 +23,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, each_slot, occupied, slot_of, written
 
 BITS = 64
+#: Sums of weights need no more bits than these: a text's characters count twice at most.
 LANES = 32
-#: A word's weight is its number of characters, at most this many.
-MOST_WEIGHT = 32
 
 
 def _terms(text: Column) -> Column:
@@ -43,7 +42,7 @@ def simhash(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     A null or blank text has no terms and gets fingerprint 0.
     """
     term = texts.select(*keys, F.explode_outer(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
-    weight = F.least(F.coalesce(F.char_length("term.a"), F.lit(0)) + F.coalesce(F.char_length("term.b"), F.lit(0)), F.lit(MOST_WEIGHT)).cast("long")
+    weight = (F.coalesce(F.char_length("term.a"), F.lit(0)) + F.coalesce(F.char_length("term.b"), F.lit(0))).cast("long")
     term = term.select(*keys, weight.alias("w"), F.xxhash64("term.a", "term.b").alias("x"))
     # one long holds the votes for bit i in its low half and for bit i + 32 in its high half
     lane = F.lit((1 << LANES) + 1)
@@ -133,9 +132,11 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``query_every``).  A null text counts as empty.  Rows that repeat both id
     and text are one step of the order and get equal results; rows that share
     an id only follow each other by a hash of the text.  A null id comes last.
-    A single row follows itself.  An empty table gives an empty result.
+    A single row follows itself.  An empty table gives an empty result.  Other
+    columns are ignored, whatever their names.  A text is worked on whole: its
+    pairs of words leave one row each, and are added up where they arise.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     ids = written(rows.select("doc_id", "h", F.char_length("text").cast("long").alias("n")), "ids")
     copies = ids.groupBy("doc_id", "h", "n").agg(F.count("*").alias("copies"))
@@ -160,11 +161,14 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = out.select("doc_id", "n", "own", "edited_sha256", "changed", "after", "copies")
     out = written(out, "results")
 
+    # only the rows that ask meet the answers, and rows that share a fingerprint stay dealt out
     table = out.groupBy(F.col("own").alias("fp")).agg(F.sum("copies").alias("docs"))
-    asked = out.filter(F.col("doc_id") % query_every == 0).select(F.col("own").alias("fp")).distinct()
-    near = within_radius(asked, table, radius)
-    is_query = F.coalesce(F.col("doc_id") % query_every == 0, F.lit(False))
-    out = out.join(near, (out["own"] == near["fp"]) & is_query, "left")
+    asks = F.coalesce(F.col("doc_id") % query_every == 0, F.lit(False))
+    asking = out.filter(asks).withColumn("slot", slot_of("doc_id"))
+    asked = asking.groupBy(F.col("own").alias("fp")).agg(occupied("slot").alias("slots"))
+    near = within_radius(asked.select("fp"), table, radius).join(asked, "fp").select(F.col("fp").alias("own"), "within_radius", each_slot("slots").alias("slot"))
+    answered = asking.join(near, ["own", "slot"]).drop("slot")
+    out = answered.unionByName(out.filter(~asks), allowMissingColumns=True)
     return out.select(
         "doc_id",
         F.col("n").alias("n_chars"),

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from rankweave.llm import fingerprint
@@ -17,6 +20,44 @@ def plain_rows(rows):
     return out
 
 
+def plain_simhash(text):
+    """Each pair of adjacent words (the last word alone) votes on 64 bits with its characters."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    votes, every = Counter(), 0
+    for k, a in enumerate(words):
+        b = words[k + 1] if k + 1 < len(words) else None
+        x = xxhash.xxh64_intdigest(a.encode(), 42)
+        x = x if b is None else xxhash.xxh64_intdigest(b.encode(), x)  # Spark's hash of two columns
+        weight = len(a) + len(b or "")
+        every += weight
+        for bit in range(64):
+            votes[bit] += weight * (x >> bit & 1)
+    return sum(1 << bit for bit in range(64) if 2 * votes[bit] > every)
+
+
+def plain_edited(rows):
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    return {i: t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3] for k, (i, t) in enumerate(order)}
+
+
+def test_against_plain_fingerprints(spark):
+    r = random.Random(7)
+    words = ["É" * 3, "ab", "x", "a-very-long-word-of-more-than-thirty-two-characters", "日本", "🎉"] + [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choices(words, k=r.randrange(0, 60)))) for i in range(150)] + [(200, None), (201, " \t\n"), (202, "one"), (203, "A a"), (204, "b " * 20_000)]
+    edited = plain_edited(rows)
+    got = {x["doc_id"]: x for x in fingerprint.fingerprinted(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert int(got[i]["fingerprint"], 16) == plain_simhash(t or ""), (i, t)
+        assert int(got[i]["edited_fingerprint"], 16) == plain_simhash(edited[i])
+
+
+def test_half_of_all_rows_share_a_fingerprint(spark):
+    rows = [(i, "the same text" if i % 2 == 0 else f"a text of its own {i}") for i in range(400)]
+    got = {x["doc_id"]: x for x in fingerprint.fingerprinted(frame(spark, rows)).collect()}
+    assert len(got) == 400 and {got[i]["within_radius"] for i in range(0, 400, 50)} == {200}
+    assert all(x["within_radius"] is None for i, x in got.items() if i % 50)
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).repartition(5)
 
