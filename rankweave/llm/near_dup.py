@@ -35,7 +35,7 @@ TREES, DEPTH = 16, 8
 #: Bytes of a hash in a trie, of a set's id, and of the sketch of a whole signature.
 HASH, SID, SKETCH = 2, 16, TREES * DEPTH // 4
 #: Sets of a block; a task verifies the pairs of two blocks at most at a time.
-BLOCK = 128
+BLOCK = 64
 #: Rows of a run that are compared in the pass over the sorted rows; longer runs are dealt out in blocks of this size.
 RUN = 256
 #: Bins of similarity, from 0 to 1.
