@@ -13,15 +13,17 @@ evenly by hash so that no frequent word gathers in one task:
 3. these are added up per range of ids, and written beside the word arrays.
 
 Scoring maps the arrays into each worker's memory and looks up the distinct
-words and pairs of each batch in sorted order.  The files lie in the shared
-folder, are written under a temporary name and then renamed, so a task that
-runs again replaces them with the same bytes.
+words and pairs of each batch in sorted order; the workers of a machine share
+the pages that they touch.  Where the shared folder is no mounted file system,
+a worker reads the arrays that it needs and keeps those it used last, up to a
+fixed size.  Files appear whole or not at all, and a task that runs again
+replaces them with the same bytes.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -50,29 +52,36 @@ def _spark_schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+#: Bytes of arrays that a worker keeps where it can't map them.
+KEPT_BYTES = 256_000_000
+_kept: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
 def write_array(path: str, values: np.ndarray) -> None:
+    """Write a file that appears whole or not at all; another task's file of the same name holds the same bytes."""
     fs, at = pafs.FileSystem.from_uri(path)
+    if not isinstance(fs, pafs.LocalFileSystem):  # such a store shows a file when it is closed, and replaces it as one
+        with fs.open_output_stream(at, compression=None) as f:
+            f.write(np.ascontiguousarray(values).data)
+        return
     part = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as f:
+    with fs.open_output_stream(part, compression=None) as f:
         f.write(np.ascontiguousarray(values).data)
-    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(at).type != pafs.FileType.NotFound:
-        fs.delete_file(at)
     fs.move(part, at)
 
 
 def map_array(path: str, dtype: type) -> np.ndarray:
-    """The array in a file, mapped into memory; a file that isn't local is first copied to one that has no name."""
+    """The array in a file, mapped into memory, or read where it can't be mapped."""
     fs, at = pafs.FileSystem.from_uri(path)
-    if not fs.get_file_info(at).size:
-        return np.empty(0, dtype)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(at, dtype, "r")
-    copy = tempfile.TemporaryFile()
-    with fs.open_input_stream(at) as f:
-        while part := f.read(1 << 24):
-            copy.write(part)
-    copy.flush()
-    return np.memmap(copy, dtype, "r")
+        return np.memmap(at, dtype, "r") if fs.get_file_info(at).size else np.empty(0, dtype)
+    if path not in _kept:
+        with fs.open_input_stream(at, compression=None) as f:
+            _kept[path] = np.frombuffer(f.read(), dtype)
+        while len(_kept) > 1 and sum(x.nbytes for x in _kept.values()) > KEPT_BYTES:
+            _kept.popitem(last=False)
+    _kept.move_to_end(path)
+    return _kept[path]
 
 
 @dataclass
@@ -84,6 +93,8 @@ class Model:
     tokens: int = 0
     texts: int = 0
     pairs: int = 0
+    #: Shards that hold any pair.
+    paired: frozenset[int] = frozenset()
     #: Discounts of pairs, and of words by the number of contexts they follow.
     high: tuple[float, float, float] = (0.5, 1.0, 1.5)
     low: tuple[float, float, float] = (0.5, 1.0, 1.5)
@@ -106,10 +117,13 @@ class Words:
         self.bits = np.uint64(64 - (model.shards - 1).bit_length())
         self.arrays: dict[tuple[str, int], np.ndarray] = {}
 
-    def _array(self, name: str, shard: int, dtype: type) -> np.ndarray:
-        if (k := (name, shard)) not in self.arrays:
-            self.arrays[k] = map_array(f"{self.model.path}/{name}-{shard}", dtype)
-        return self.arrays[k]
+    def array(self, name: str, shard: int, dtype: type) -> np.ndarray:
+        if (k := (name, shard)) in self.arrays:
+            return self.arrays[k]
+        found = map_array(f"{self.model.path}/{name}-{shard}", dtype)
+        if isinstance(found, np.memmap):
+            self.arrays[k] = found
+        return found
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each of the ascending ``hashes``, -1 for unknown words."""
@@ -117,7 +131,7 @@ class Words:
         cuts = np.searchsorted(hashes, np.arange(self.model.shards, dtype=np.uint64) << self.bits)
         for s, (i, j) in enumerate(zip(cuts, [*cuts[1:], len(hashes)])):
             if i < j and self.model.sizes[s]:
-                own = self._array("hash", s, np.uint64)
+                own = self.array("hash", s, np.uint64)
                 at = np.minimum(np.searchsorted(own, hashes[i:j]), len(own) - 1)
                 out[i:j] = np.where(own[at] == hashes[i:j], at + self.base[s], -1)
         return out
@@ -128,7 +142,7 @@ class Words:
         cuts = np.searchsorted(ids, self.base)
         for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
             if i < j:
-                out[i:j] = self._array(name, s, dtype)[ids[i:j] - self.base[s]]
+                out[i:j] = self.array(name, s, dtype)[ids[i:j] - self.base[s]]
         return out
 
 
@@ -289,9 +303,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     if not model.tokens:
         return model
 
+    if (model.words + 1) ** 2 > 1 << 64:
+        raise OverflowError("a pair's key has 64 bits: at most 4,294,967,294 distinct words")
     paired = docs.mapInArrow(lambda it: _count_pairs(it, model), packed)
     merged = written(paired.groupBy("shard").applyInArrow(_write_pairs(model), made), "lm-pairs")
     of = merged.filter("kind = 'pairs'").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4")]).first()
+    model.paired = frozenset(merged.filter("kind = 'pairs'").select("shard").toArrow()["shard"].to_pylist())
     model.pairs, model.high = of["n"], discounts(of["n1"], of["n2"], of["n3"], of["n4"])
 
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
@@ -307,26 +324,22 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, keep:
     words, known = Words(model), WordHashes()
     n, v = model.tokens, model.words
     high, low = (np.array([0.0, *d]) for d in (model.high, model.low))
-    pairs: dict[int, tuple[np.ndarray, ...]] = {}
-
     def pair_counts(keys: np.ndarray) -> np.ndarray:
         """Counts of the ascending distinct ``keys``."""
         shard = (mixed(keys) % np.uint64(model.shards)).astype(np.int64)
         by = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[by], np.arange(model.shards + 1))
         out = np.zeros(len(keys), np.int64)
-        for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
-            if i == j:
-                continue
-            if s not in pairs:
-                pairs[s] = tuple(map_array(f"{model.path}/{a}-{s}", t) if _exists(f"{model.path}/{a}-{s}") else np.empty(0, t) for a, t in (("pair", np.uint64), ("pairs", np.uint8), ("bigpair", np.uint64), ("bigpairs", np.uint64)))
-            own, small, big, bigs = pairs[s]
-            if not len(own):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            if s not in model.paired:
                 continue
+            i, j = cuts[s], cuts[s + 1]
+            own, small = words.array("pair", s, np.uint64), words.array("pairs", s, np.uint8)
             want = keys[by[i:j]]
             at = np.minimum(np.searchsorted(own, want), len(own) - 1)
             count = np.where(own[at] == want, small[at], 0).astype(np.int64)
             if (full := np.flatnonzero(count == 255)).size:
+                big, bigs = words.array("bigpair", s, np.uint64), words.array("bigpairs", s, np.uint64)
                 count[full] = bigs[np.searchsorted(big, want[full])]
             out[by[i:j]] = count
         return out
@@ -373,11 +386,6 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, keep:
 SCORES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def _exists(path: str) -> bool:
-    fs, at = pafs.FileSystem.from_uri(path)
-    return fs.get_file_info(at).type != pafs.FileType.NotFound
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score (both log10) of each whole text.
 
@@ -387,8 +395,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     the new names must not be among ``keep``.
     """
     keep = docs.columns if keep is None else keep
-    if clash := set(SCORES) & set(keep):
+    if clash := set(SCORES) & {c.lower() for c in keep}:
         raise ValueError(f"rename the columns {sorted(clash)} first")
     new = [T.StructField(c, T.DoubleType() if c.endswith("score") else T.LongType()) for c in SCORES]
     schema = T.StructType([docs.schema[c] for c in keep] + new)
-    return docs.select(*{f"`{c}`": 0 for c in [*keep, text_col]}).mapInArrow(lambda it: _score(it, model, text_col, keep), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a number for each shard, of 32 million characters
+    return docs.select(*{f"`{c}`": 0 for c in [*keep, text_col]}).mapInArrow(lambda it: _score(it, shared.value, text_col, keep), schema)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from rankweave.llm import lm_score
@@ -96,3 +97,31 @@ def test_no_texts(spark):
 
 def test_frequent_pairs_pass_the_small_counter(spark):
     check(spark, ["x x x x x x"] * 100 + ["y"], ["x x", "y x", "x y"])
+
+
+def test_repeated_rows_and_refused_names(spark):
+    model = lm_score.train(spark.createDataFrame([("a b c",), ("a b d",)], "text string"))
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None)], "doc_id long, text string")
+    got = lm_score.score(docs, model).collect()
+    assert len(got) == 4 and len({r["score"] for r in got if r["text"]}) == 1
+    with pytest.raises(ValueError):
+        lm_score.score(docs.withColumnRenamed("doc_id", "N_Known"), model)
+
+
+def test_arrays_that_cannot_be_mapped_are_read_and_dropped_again(tmp_path, monkeypatch):
+    paths = [str(tmp_path / str(i)) for i in range(4)]
+    for i, p in enumerate(paths):
+        lm_score.write_array(p, np.full(100, i, np.uint64))
+    monkeypatch.setattr(lm_score.pafs, "LocalFileSystem", type(None))  # as in a remote store
+    monkeypatch.setattr(lm_score, "KEPT_BYTES", 1700)
+    for _ in range(2):
+        for i, p in enumerate(paths):
+            assert (lm_score.map_array(p, np.uint64) == i).all()
+            assert len(lm_score._kept) <= 2
+    lm_score._kept.clear()
+
+
+def test_too_many_words_for_a_pair_key(spark, monkeypatch):
+    monkeypatch.setattr(lm_score.Model, "words", property(lambda self: 1 << 32))
+    with pytest.raises(OverflowError):
+        lm_score.train(spark.createDataFrame([("a b c",)], "text string"))
