@@ -42,9 +42,10 @@ def mentions(text: Column, aliases: Sequence[str]) -> Column:
 
 
 def affirms(text: Column, aliases: Sequence[str], reach: int = 55) -> Column:
-    """Whether any alias is mentioned without a negator in the ``reach`` characters before it."""
+    """Whether any alias is mentioned without a negator in the ``reach`` characters before it; few texts mention one at all."""
     not_before = "".join(rf"(?<!\b{quoted(n)}\b.{{0,{reach - len(n)}}})" for n in NEGATORS)
-    return F.lower(collapsed(text)).rlike(not_before + entity_pattern(aliases))
+    low, e = F.lower(collapsed(text)), entity_pattern(aliases)
+    return low.rlike(e) & low.rlike(rf"(?={e}){not_before}")
 
 
 def any_of(text: Column, terms: Sequence[str]) -> Column:
@@ -113,6 +114,7 @@ def model_scope(text: Column) -> Column:
     """The model that a paper's text says it used."""
     low = F.lower(F.coalesce(text, F.lit("")))
     dss, mouse = low.rlike(r"\b(?:dss|dextran sodium sulfate)\b"), low.rlike(r"\b(?:mouse|mice|murine)\b")
+    # fixed values: the labels
     rules = [
         (dss & mouse, "a DSS-induced mouse colitis model"),
         (dss, "a DSS-induced colitis model"),

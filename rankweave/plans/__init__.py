@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables; importing a module registers its queries."""
 
-from . import comparing, grading, graphs, literature, naming, ranking, whole  # noqa: F401
+from . import comparing, grading, graphs, literature, naming, ranking, reading, whole  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

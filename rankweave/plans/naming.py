@@ -129,47 +129,12 @@ def sc18(t):
     return t.pages.select("page_id", texts.without_tags(F.col("html")).alias("text"))
 
 
-@query(
-    "SC19_claim_key",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(regexp_replace(trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\s+', ' ', 'g'), ' ;|,'), '', ''), '|', 1)), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS key
-    FROM documents WHERE NOT regexp_matches(text, '(?i)pmc|protocols|pmid')""",
-)
-def sc19(t):
-    return t.documents.filter(~F.col("text").rlike("(?i)pmc|protocols|pmid")).select("doc_id", texts.claim_key(F.col("text")).alias("key"))
-
-
 @query("SC20_ids_of_field", "SELECT o_orderkey, list_aggregate(['1' || o_custkey, o_orderkey::VARCHAR], 'string_agg', '|') AS ids, '1' || o_custkey AS first FROM orders")
 def sc20(t):
     field = F.concat(F.lit(" 1"), "o_custkey", F.lit("; "), "o_orderkey", F.lit(",,"))
     return t.orders.select("o_orderkey", joined(names.ids_of(field)).alias("ids"), names.first_number(field).alias("first"))
 
 
-@query("SC21_allowed_ids", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'c' || o_custkey || '|7' ELSE '7' END AS ids FROM orders""")
-def sc21(t):
-    own = F.concat(F.lit("c"), "o_custkey")
-    allowed = F.array(F.when(F.col("o_orderstatus") == "F", own).otherwise(F.lit("x")), F.lit("7"))
-    return t.orders.select("o_orderkey", joined(names.allowed_only(F.array(own, F.lit("7"), F.lit("8")), allowed)).alias("ids"))
-
-
-@query("SC22_condition_markers", """SELECT p_partkey, p_size || ' mg/kg|24 h|Caco-2|Wistar' AS markers FROM part""")
-def sc22(t):
-    text = F.concat(F.lit("Wistar rats had "), "p_size", F.lit(" mg/kg for 24 h and Caco-2 cells "), "p_size", F.lit(" mg/kg."))
-    return t.part.select("p_partkey", joined(texts.markers(text)).alias("markers"))
-
-
-@query("SC23_model_scope", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a DSS-induced mouse colitis model' WHEN 1 THEN 'the paper-reported in vitro host model' WHEN 2 THEN 'the paper-reported mouse model' ELSE 'the paper-reported experimental model' END AS scope FROM part""")
-def sc23(t):
-    k = F.pmod("p_partkey", F.lit(4))
-    text = F.when(k == 0, "DSS in mice").when(k == 1, "an organoid").when(k == 2, "Murine tissue").otherwise("tea")
-    return t.part.select("p_partkey", texts.model_scope(text).alias("scope"))
-
-
-@query("SC27_status_vocabularies", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'not_run' ELSE 'inconclusive' END AS result, CASE o_orderstatus WHEN 'F' THEN 'execution_complete' WHEN 'O' THEN '' ELSE 'needs_resolution' END AS design FROM orders""")
-def sc27(t):
-    s = F.col("o_orderstatus")
-    return t.orders.select("o_orderkey", names.result_status(F.when(s == "F", " Passed").when(s == "O", "whatever").otherwise("equivocal")).alias("result"), names.design_status(F.when(s == "F", "ready").when(s == "P", "needs_resolution")).alias("design"))
-
-
 @query("SC28_run_ids", r"""SELECT o_orderkey, 'run_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || lower(trim(regexp_replace('Customer #' || o_custkey, '\W+', '_', 'g'), '_')[:20]) || '_' || lower(trim(regexp_replace(o_orderpriority, '\W+', '_', 'g'), '_')[:12]) AS run_id FROM orders""")
 def sc28(t):
     return t.orders.select("o_orderkey", names.run_id(F.col("o_orderdate"), F.concat(F.lit("Customer #"), "o_custkey"), F.col("o_orderpriority")).alias("run_id"))
@@ -193,24 +158,11 @@ def fl4(t):
     return t.part.filter(texts.has_either_way(F.lit("a small ring of steel"), F.col("p_name"))).select("p_partkey", "p_name")
 
 
-@query("FL6_term_in_text", r"SELECT doc_id, regexp_matches(lower(text), '\bthe\b') AS short, contains(lower(text), 'tion') AS long FROM documents WHERE lang = 'en'")
-def fl6(t):
-    low = F.lower("text")
-    return t.documents.filter("lang = 'en'").select("doc_id", texts.has_term(low, "The").alias("short"), texts.has_term(low, "tion").alias("long"))
-
-
 @query("FL7_whole_term", r"SELECT doc_id FROM documents WHERE regexp_matches(' ' || lower(regexp_replace(text, '\s+', ' ', 'g')) || ' ', '[^a-z0-9](of\s+the|with)[^a-z0-9]')")
 def fl7(t):
     return t.documents.filter(texts.mentions(F.col("text"), ["of the", "With"])).select("doc_id")
 
 
-@query("FL8_affirmed_mention", """SELECT p_partkey, p_partkey % 3 != 1 AS affirmed FROM part""")
-def fl8(t):
-    k = F.pmod("p_partkey", F.lit(3))
-    text = F.when(k == 0, F.concat(F.lit("There is a ring of "), "p_type")).when(k == 1, "We did not find any ring in the box.").otherwise(F.concat(F.lit("Not one word here, and then after a long line of other words and things of all kinds we see the ring "), "p_type"))
-    return t.part.select("p_partkey", texts.affirms(text, ["ring"]).alias("affirmed"))
-
-
 @query("FL9_any_of_terms", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'license|password|e\\.g\\.')")
 def fl9(t):
     return t.documents.filter(texts.any_of(F.col("text"), ["License", "password", "e.g."])).select("doc_id")

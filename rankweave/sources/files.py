@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import distinct_in_order, from_file_name, mid_of_row_name, stripped
+from ..functions.texts import without_tags
 
 
 def relative(base: str) -> Column:
@@ -113,12 +117,51 @@ def passages(df: DataFrame, key: str, document: str) -> DataFrame:
     return each.select(key, "pos", section.alias("section"), F.coalesce("p.text", F.lit("")).alias("text")).filter(stripped(F.col("text")) != "")
 
 
-PROTOCOL = "id string, title string, description string, doi string, peer_reviewed boolean, steps array<struct<description: string>>, materials array<struct<name: string>>"
+#: The fields of a protocol's step whose values are its text, at whatever depth.
+TEXT_KEYS = {"title", "name", "description", "text", "content", "value", "step", "amount", "duration", "temperature"}
 
 
-def protocols(df: DataFrame, document: str, most: int = 12) -> DataFrame:
-    """Protocol records in JSON: id, title, description, doi, peer_reviewed, and steps and materials as short lists."""
-    p = df.select(F.from_json(document, PROTOCOL).alias("p")).select("p.*")
-    step = F.filter(F.transform("steps", lambda s: F.regexp_replace(stripped(F.coalesce(s["description"], F.lit(""))), r"\s+", " ")), lambda s: s != "")
-    numbered = F.transform(step, lambda s, i: F.concat(F.lit("Step "), i + 1, F.lit(": "), s))
-    return p.withColumn("materials", F.slice(distinct_in_order(F.transform("materials", lambda m: F.coalesce(m["name"], F.lit("")))), 1, most)).withColumn("steps", F.slice(numbered, 1, most))
+def _step_texts(value) -> Iterator[str]:
+    """The values of text fields in a parsed JSON value, outer ones before those within."""
+    if isinstance(value, list):
+        for v in value:
+            yield from _step_texts(v)
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            if k.lower() in TEXT_KEYS and isinstance(v, (str, int, float)):
+                yield str(v)
+            yield from _step_texts(v)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def step_texts(documents: pd.Series) -> pd.Series:
+    """For each protocol in JSON and each of its steps the texts that it holds, nested ones too."""
+
+    def steps(document: str | None) -> list[list[str]]:
+        try:
+            found = json.loads(document or "null")
+        except ValueError:
+            return []
+        some = found.get("steps") if isinstance(found, dict) else None
+        return [list(_step_texts(x)) for x in some] if isinstance(some, list) else []
+
+    return documents.map(steps)
+
+
+PROTOCOL = "id string, title string, description string, doi string, peer_reviewed boolean, materials array<struct<name: string, vendor: struct<name: string>, sku: string, url: string>>"
+
+
+def protocols(df: DataFrame, document: str, most: int = 20) -> DataFrame:
+    """Protocol records in JSON: id, title, description, doi, peer_reviewed, and steps and materials as lists of ``most`` at most.
+
+    A step's text is that of its text fields at any depth, without repeats; a
+    step without any has no entry, and keeps its number.  A material is its
+    name, vendor, SKU and URL.
+    """
+    p = df.select(F.from_json(document, PROTOCOL).alias("p"), step_texts(F.col(document)).alias("s")).select("p.*", "s")
+    clean = lambda c: F.transform(c, lambda x: without_tags(x))
+    step = F.transform("s", lambda s: without_tags(F.array_join(distinct_in_order(clean(s)), " | "), 900))
+    numbered = F.transform(step, lambda s, i: F.when(s != "", F.concat(F.lit("Step "), i + 1, F.lit(": "), s)))
+    full = lambda c: F.nullif(c, F.lit(""))
+    material = F.transform("materials", lambda m: without_tags(F.concat_ws(" | ", full(m["name"]), F.concat(F.lit("vendor: "), full(m["vendor"]["name"])), F.concat(F.lit("SKU: "), full(m["sku"])), full(m["url"])), 500))
+    return p.withColumns({"materials": F.slice(distinct_in_order(material), 1, most), "steps": F.slice(F.array_compact(numbered), 1, most)}).drop("s")
