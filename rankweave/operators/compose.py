@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 
 def made_positive(df: DataFrame, shift: bool = False, value: str = "value") -> DataFrame:
     """``df`` with zeros replaced by the smallest value that isn't zero; with ``shift``, moved up first so that the least value is 1e-6 if any is 0 or below."""
@@ -127,8 +129,9 @@ def ordering(edges: DataFrame, roots: DataFrame) -> DataFrame:
     while True:
         reached = moved.join(both, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("_new"))
         closer = reached.join(found, "id", "left").filter(F.col("distance").isNull() | (F.col("_new") < F.col("distance") - 1e-12)).select("id", F.col("_new").alias("distance"))
-        moved = closer.checkpoint()
+        moved = kept(closer, "closer")
         if moved.isEmpty():
             break
-        found = found.join(moved.select("id"), "id", "left_anti").unionByName(moved).checkpoint()
+        found = found.join(moved.select("id"), "id", "left_anti").unionByName(moved)
+        found = kept(found, "ordered")
     return found

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import design_status, result_status
+from ..sources.shared import kept
 
 
 def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan: str = "plan") -> DataFrame:
@@ -49,7 +50,7 @@ def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan:
         any_of = F.when(F.col("met") > 0, "met").when(F.col("open") > 0, None).when(F.col("unmet") > 0, "unmet").otherwise("unknown")
         all_of = F.when(F.col("open") > 0, None).when(F.col("met") == F.col("n"), "met").when(F.col("unmet") > 0, "unmet").otherwise("unknown")
         state = state.join(sums, [plan, "module_id"], "left").select(plan, "module_id", "operator", F.coalesce("status", F.when(F.col("operator") == "any_of", any_of).otherwise(all_of)).alias("status"))
-        state = state.checkpoint()
+        state = kept(state, "gates")
         open_now = state.filter("status IS NULL").count()
         if open_now in (0, left):
             break

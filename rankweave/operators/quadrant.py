@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .ordered import median
+
 #: Quadrants from the one worth most attention to the least.
 ORDER = ["I", "II", "III", "IV"]
 
@@ -21,8 +24,9 @@ def novelty_by_ceiling(count: Column, ceiling: int = 500) -> Column:
 
 
 def medians(df: DataFrame, **columns: str) -> DataFrame:
-    """One row with the median of each named column, 0.5 where there is none."""
-    return df.agg(*[F.coalesce(F.median(c), F.lit(0.5)).alias(name) for name, c in columns.items()])
+    """One row with the exact median of each named column, 0.5 where there is none; ``df`` is read several times."""
+    found = {name: median(df, c) for name, c in columns.items()}
+    return df.sparkSession.range(1).select(*[F.lit(0.5 if v is None else v).alias(name) for name, v in found.items()])
 
 
 def quadrant(signal: Column, novelty: Column, t1: Column, t2: Column) -> Column:
@@ -40,6 +44,7 @@ def composite(signal: Column, first: Column, second: Column) -> Column:
 def assigned(df: DataFrame, signal: str = "signal", novelty: str = "novelty", first: str = "pair_sm_exp", second: str = "pair_md_exp") -> DataFrame:
     """``df`` with quadrant, is_dark (quadrant I), evidence_foundation and composite_score; missing signals are 0, missing novelty 1."""
     rows = df.withColumn(signal, F.coalesce(signal, F.lit(0.0))).withColumn(novelty, F.coalesce(novelty, F.lit(1.0)))
+    rows = kept(rows, "scored")  # the medians take several passes
     rows = rows.crossJoin(F.broadcast(medians(rows, _t1=signal, _t2=novelty)))  # one row
     rows = rows.withColumn("quadrant", quadrant(F.col(signal), F.col(novelty), F.col("_t1"), F.col("_t2"))).drop("_t1", "_t2")
     return rows.withColumns({"is_dark": F.col("quadrant") == "I", "evidence_foundation": F.coalesce(second, F.lit(0)), "composite_score": composite(F.col(signal), F.col(first), F.col(second))})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
 
 def usable(df: DataFrame, value: str = "value", file: str | None = None) -> DataFrame:
     """Rows with a value; of files whose largest value isn't positive none."""
@@ -20,17 +21,18 @@ def dual_end_signal(df: DataFrame, src: str = "src", value: str = "value", order
     """``df`` with distance_to_end, signal, rank_in_src and total_in_src.
 
     The closer a value is to either end of its source's range (0 or the
-    maximum), the higher its signal: 1 - (rank - 1) / n.  ``order`` breaks ties.
+    maximum), the higher its signal: 1 - (rank - 1) / n.  ``order`` breaks
+    ties.  A source may span many tasks.
     """
-    every = Window.partitionBy(src)
-    df = df.withColumn("distance_to_end", F.least(F.col(value), F.max(value).over(every) - F.col(value)))
-    near = F.row_number().over(every.orderBy("distance_to_end", *order))
-    n = F.count(F.lit(1)).over(every)
-    return df.withColumns({"signal": F.lit(1.0) - (near - 1) / n, "rank_in_src": F.row_number().over(every.orderBy(F.desc(value), *order)), "total_in_src": n})
+    about = df.groupBy(src).agg(F.max(value).alias("_most"), F.count(F.lit(1)).alias("total_in_src"))
+    df = df.join(about, src).withColumn("distance_to_end", F.least(F.col(value), F.col("_most") - F.col(value))).drop("_most")
+    df = ranked(df, [src], ["distance_to_end", *order], "_near")
+    df = ranked(df, [src], [F.desc(value), *order], "rank_in_src")
+    return df.withColumn("signal", F.lit(1.0) - (F.col("_near") - 1) / F.col("total_in_src")).drop("_near")
 
 
 def first_per_pair(df: DataFrame, keys: Sequence[str] = ("src", "mid"), best: str = "signal", order: Sequence[str] = ()) -> DataFrame:
-    """Of the rows of a pair the one with the largest ``best``, the first in ``order``."""
+    """Of the rows of a pair the one with the largest ``best``, the first in ``order``; most rows of a large pair go before anything moves."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(best), *order))
     return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import articles, gates
 from ..sources import files
+from ..sources.shared import shared_path
 from .registry import Tables, query
 
 @query("TK10_best_protocols", """WITH s AS (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host, 2 * contains(lower(url), 'blog')::INT + 2 * contains(url, 'https')::INT AS score FROM pages)
@@ -85,11 +83,7 @@ def tx15(t):
 
 
 def folder(t: Tables, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankweave-")
-    path = f"{base.rstrip('/')}/rankweave-{name}-{uuid.uuid4().hex}"
-    where = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    return shared_path(t.spark, name)
 
 
 PAIRS = "SELECT 'S' || s_nationkey || '_x' AS src, 'P' || l_partkey AS mid, max(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"

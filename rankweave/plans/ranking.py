@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compose, quadrant, signal
+from ..sources.shared import kept
 from .registry import Tables, query
 
 
@@ -27,12 +28,12 @@ s AS (SELECT src, mid, value, least(value, most - value) AS distance_to_end,
 
 @query("WN1_dual_end_signal", f"WITH {SIGNAL} SELECT src, mid, round(signal, 6) AS signal, total_in_src FROM s")
 def wn1(t):
-    return signal.dual_end_signal(coordinates(t)).select("src", "mid", F.round("signal", 6).alias("signal"), "total_in_src")
+    return signal.dual_end_signal(kept(coordinates(t), "coordinates")).select("src", "mid", F.round("signal", 6).alias("signal"), "total_in_src")
 
 
 @query("WN2_rank_in_source", f"WITH {SIGNAL} SELECT src, mid, rank_in_src FROM s")
 def wn2(t):
-    return signal.dual_end_signal(coordinates(t)).select("src", "mid", "rank_in_src")
+    return signal.dual_end_signal(kept(coordinates(t), "coordinates")).select("src", "mid", "rank_in_src")
 
 
 @query(
@@ -47,7 +48,7 @@ def wn3(t):
 
 @query("TK1_top_signal", f"WITH {SIGNAL} SELECT src, mid, round(value, 4) AS value, round(signal, 4) AS signal, rank_in_src, total_in_src FROM s ORDER BY s.signal DESC, src, mid LIMIT 200")
 def tk1(t):
-    return signal.candidates(coordinates(t))
+    return signal.candidates(kept(coordinates(t), "coordinates"))
 
 
 @query(
@@ -75,14 +76,15 @@ def tk8(t):
 
 
 def scored(t: Tables) -> DataFrame:
-    """src, mid, signal, novelty and two experimental counts per pair: what the last step takes."""
-    counts = t.lineitem.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("mid")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("pair_sm_exp"), F.count_if(F.col("l_linestatus") == "O").alias("pair_md_exp")
+    """src, mid, signal, novelty and two experimental counts per pair: what the last step takes.  One aggregate gives values and counts."""
+    src, mid = F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("mid")
+    pairs = t.lineitem.groupBy(src, mid).agg(
+        F.max("l_extendedprice").alias("value"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("pair_sm_exp"), F.count_if(F.col("l_linestatus") == "O").alias("pair_md_exp")
     )
-    most = counts.agg(F.max("n").alias("most"))
-    counts = counts.crossJoin(F.broadcast(most)).withColumn("novelty", quadrant.novelty_by_batch(F.col("n"), F.col("most"))).drop("most")
-    pairs = signal.dual_end_signal(coordinates(t)).select("src", "mid", "signal")
-    return pairs.join(counts, ["src", "mid"])
+    pairs = kept(pairs, "pairs")
+    most = pairs.agg(F.max("n").alias("most"))
+    pairs = signal.dual_end_signal(pairs).crossJoin(F.broadcast(most))  # one row
+    return pairs.withColumn("novelty", quadrant.novelty_by_batch(F.col("n"), F.col("most"))).select("src", "mid", "signal", "n", "pair_sm_exp", "pair_md_exp", "novelty")
 
 
 SCORED = f"""{SIGNAL},
@@ -109,7 +111,7 @@ def ag13(t):
 
 @query("AG16_medians", f"WITH {SCORED} SELECT round(median(signal), 6) AS signal, round(median(novelty), 6) AS novelty FROM q")
 def ag16(t):
-    return quadrant.medians(scored(t), signal="signal", novelty="novelty").select(F.round("signal", 6).alias("signal"), F.round("novelty", 6).alias("novelty"))
+    return quadrant.medians(kept(scored(t), "scored"), signal="signal", novelty="novelty").select(F.round("signal", 6).alias("signal"), F.round("novelty", 6).alias("novelty"))
 
 
 @query("QD1_quadrants", f"WITH {ASSIGNED} SELECT src, mid, quadrant, quadrant = 'I' AS is_dark FROM a")

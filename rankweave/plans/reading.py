@@ -20,28 +20,28 @@ APART = "Here a plain sentence of some more words stands between the two parts o
 
 #: Sentences, and the kind of evidence that each gives.
 CASES = [
-    ("Alpha beta was cultured in pure culture and produced gamma acid, which was quantified.", "direct_production"),
-    ("In pure culture Alpha beta was grown and gamma acid was not detected by hplc.", "direct_nonproduction"),
-    ("Mice were treated with Alpha beta in colitis.", "source_intervention"),
-    ("Administration of gamma acid in mice with colitis.", "mid_intervention"),
-    ("In a co-culture we added Alpha beta; gamma acid was measured.", "indirect_ecology"),
-    ("Alpha beta goes with gamma acid.", "pair_association"),
-    ("Alpha beta. A defined medium.", "analogous_method"),
-    ("Colitis is a disease.", "background"),
+    ("Alpha beta was cultured in pure culture and produced gamma acid, which was quantified.", "direct_monoculture_production"),
+    ("In pure culture Alpha beta was grown and gamma acid was not detected by hplc.", "direct_monoculture_nonproduction"),
+    ("Mice were treated with Alpha beta in colitis.", "candidate_microbe_disease_intervention"),
+    ("Administration of gamma acid in mice with colitis.", "candidate_metabolite_disease_intervention"),
+    ("In a co-culture we added Alpha beta; gamma acid was measured.", "indirect_ecological_evidence"),
+    ("Alpha beta goes with gamma acid.", "candidate_pair_association"),
+    ("Alpha beta. A defined medium.", "analogous_method_only"),
+    ("Colitis is a disease.", "background_only"),
     ("Nothing of note.", "unrelated"),
-    ("Alpha beta was grown in a community of many and produced gamma acid.", "pair_association"),
-    ("No production of gamma acid by Alpha beta, which was cultured in monoculture, was measured.", "direct_nonproduction"),
-    ("Alpha beta did not produce gamma acid.", "pair_association"),
-    ("Rats were gavaged with Alpha beta, a mixture, in colitis.", "background"),
-    ("Gamma acid treatment attenuated colitis.", "mid_intervention"),
-    ("Colitis was reduced by Alpha beta.", "background"),
-    ("Alpha beta was depleted from the microbial consortium and gamma acid quantified.", "indirect_ecology"),
-    ("This review tells that Alpha beta was cultured in pure culture and produced gamma acid, as measured.", "pair_association"),
+    ("Alpha beta was grown in a community of many and produced gamma acid.", "candidate_pair_association"),
+    ("No production of gamma acid by Alpha beta, which was cultured in monoculture, was measured.", "direct_monoculture_nonproduction"),
+    ("Alpha beta did not produce gamma acid.", "candidate_pair_association"),
+    ("Rats were gavaged with Alpha beta, a mixture, in colitis.", "background_only"),
+    ("Gamma acid treatment attenuated colitis.", "candidate_metabolite_disease_intervention"),
+    ("Colitis was reduced by Alpha beta.", "background_only"),
+    ("Alpha beta was depleted from the microbial consortium and gamma acid quantified.", "indirect_ecological_evidence"),
+    ("This review tells that Alpha beta was cultured in pure culture and produced gamma acid, as measured.", "candidate_pair_association"),
     ("Alphabeta and gammaacid are names of their own.", "unrelated"),
-    ("Alpha beta was cultured in pure culture. Gamma acid was produced by Other species, as measured.", "pair_association"),
-    ("Alpha beta was not\nadministered in colitis.", "background"),
-    ("In axenic culture Alpha beta was grown. It was found that it secreted gamma acid. The yield was measured by nmr.", "direct_production"),
-    ("Supplementation with live Alpha beta protected mice; colitis was mild.", "source_intervention"),
+    ("Alpha beta was cultured in pure culture. Gamma acid was produced by Other species, as measured.", "candidate_pair_association"),
+    ("Alpha beta was not\nadministered in colitis.", "background_only"),
+    ("In axenic culture Alpha beta was grown. It was found that it secreted gamma acid. The yield was measured by nmr.", "direct_monoculture_production"),
+    ("Supplementation with live Alpha beta protected mice; colitis was mild.", "candidate_microbe_disease_intervention"),
 ]
 #: Conditions, levels of support and references that stand in texts.
 CONDITIONS = ["Mice had 5 mg/kg for 24 h.", "Caco-2 and RAW264.7 cells in 10 uM; then 2.5 mM, 10 uM.", "DSS-induced colitis in C57BL/6J over 3 weeks and 2 days", "3 x 10^8 CFU of it, in Wistar rats", "no condition", "Tests took 48 hours", "THP-1"]
@@ -138,10 +138,10 @@ def graded_sql(columns: str) -> str:
 REVIEWED = "lower(text) LIKE '%this review%'"
 
 
-@query("TX3_nonproduction_signal", graded_sql(f"doc_id, evidence_type = 'direct_production' OR {REVIEWED} AS direct_production, evidence_type = 'direct_nonproduction' AS direct_nonproduction"))
+@query("TX3_nonproduction_signal", graded_sql(f"doc_id, evidence_type = 'direct_monoculture_production' OR {REVIEWED} AS direct_monoculture_production, evidence_type = 'direct_monoculture_nonproduction' AS direct_monoculture_nonproduction"))
 def tx3(t):
     rows = planted(t, [c[0] for c in CASES])
-    flags = ["direct_production", "direct_nonproduction"]
+    flags = ["direct_monoculture_production", "direct_monoculture_nonproduction"]
     return rows.select("doc_id").join(articles.windowed_signals(rows, SRC, MID, DST).select("doc_id", *flags), "doc_id", "left").na.fill(False, flags)
 
 
@@ -169,10 +169,10 @@ def tx4(t):
     return planted(t, [c[0] for c in CASES]).select("doc_id", *[c.alias(k) for k, c in signals.items()])
 
 
-@query("TX4_ecology_signal", graded_sql("doc_id, evidence_type = 'indirect_ecology' AS signal"))
+@query("TX4_ecology_signal", graded_sql("doc_id, evidence_type = 'indirect_ecological_evidence' AS signal"))
 def tx4_ecology(t):
     rows = planted(t, [c[0] for c in CASES])
-    return rows.select("doc_id").join(articles.windowed_signals(rows, SRC, MID, DST).select("doc_id", F.col("indirect_ecology").alias("signal")), "doc_id", "left").na.fill(False, ["signal"])
+    return rows.select("doc_id").join(articles.windowed_signals(rows, SRC, MID, DST).select("doc_id", F.col("indirect_ecological_evidence").alias("signal")), "doc_id", "left").na.fill(False, ["signal"])
 
 
 @query("TX5_article_grades", graded_sql("doc_id, evidence_type, relevance, citable"))
@@ -180,7 +180,7 @@ def tx5(t):
     return articles.graded(planted(t, [c[0] for c in CASES]), SRC, MID, DST)
 
 
-@query("TX7_assessment_status", f"SELECT lang, CASE WHEN bool_or(evidence_type = 'direct_production') AND bool_or(evidence_type = 'direct_nonproduction') THEN 'conflicting' WHEN bool_or(evidence_type IN ('direct_production', 'direct_nonproduction')) THEN 'direct' WHEN bool_or(citable) THEN 'indirect' ELSE 'not_found' END AS status FROM ({graded_sql('lang, evidence_type, citable')}) GROUP BY lang")
+@query("TX7_assessment_status", f"SELECT lang, CASE WHEN bool_or(evidence_type = 'direct_monoculture_production') AND bool_or(evidence_type = 'direct_monoculture_nonproduction') THEN 'conflicting' WHEN bool_or(evidence_type IN ('direct_monoculture_production', 'direct_monoculture_nonproduction')) THEN 'direct' WHEN bool_or(citable) THEN 'indirect' ELSE 'not_found' END AS status FROM ({graded_sql('lang, evidence_type, citable')}) GROUP BY lang")
 def tx7(t):
     rows = planted(t, [c[0] for c in CASES])
     return articles.assessed(articles.graded(rows, SRC, MID, DST).join(rows.select("doc_id", "lang"), "doc_id"), "lang")

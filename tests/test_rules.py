@@ -108,7 +108,7 @@ def test_identical_methods_have_p_one(spark):
 def test_negation_and_reviews(spark):
     docs = [(1, "Mice with colitis were treated with Alpha beta."), (2, "Mice with colitis were not treated with Alpha beta."), (3, "This review: mice with colitis were treated with Alpha beta."), (4, "In colitis a cocktail: mice were treated with Alpha beta.")]
     got = {r["doc_id"]: r["evidence_type"] for r in articles.graded(spark.createDataFrame(docs, "doc_id int, text string"), ["Alpha beta"], ["gamma"], ["colitis"]).collect()}
-    assert got == {1: "source_intervention", 2: "background", 3: "background", 4: "background"}
+    assert got == {1: "candidate_microbe_disease_intervention", 2: "background_only", 3: "background_only", 4: "background_only"}
 
 
 def test_short_terms_are_whole_words_in_any_script(spark):
