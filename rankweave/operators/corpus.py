@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..sources.shared import kept
+from .ordered import each_slot, occupied, slot_of
 from .quadrant import novelty_by_ceiling
 
 
@@ -51,19 +53,42 @@ SETS = {"pair_sm": ["src", "mid"], "triple_smd": ["src", "mid", "dst"], "pair_sd
 FLAGGED = ["pair_sm", "triple_smd", "pair_md"]
 
 
+def pair_documents(pairs: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp") -> DataFrame:
+    """(a, b, doc, flag): the documents that hold both terms of each distinct pair (a, b).
+
+    Those of the rarer term are looked through for the other, so a common term
+    costs no more than the rare one that it stands with; a term's documents
+    stay dealt over many tasks.
+    """
+    spread = found.select("term", doc, flag).withColumn("_slot", slot_of(doc))
+    of = spread.groupBy("term", "_slot").agg(F.count(F.lit(1)).alias("_n")).groupBy("term").agg(F.sum("_n").alias("_n"), occupied().alias("_slots"))
+    side = lambda c: of.select(F.col("term").alias(c), F.struct("_n", "term", "_slots").alias(f"_{c}"))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    rare, other = F.least("_a", "_b"), F.greatest("_a", "_b")
+    both = both.select("a", "b", rare["term"].alias("term"), other["term"].alias("_other"), rare["_slots"].alias("_bits"))
+    met = both.select("a", "b", "term", "_other", each_slot("_bits").alias("_slot")).join(spread, ["term", "_slot"])
+    return met.select("a", "b", doc, flag, F.col("_other").alias("term")).join(found.select(doc, "term"), [doc, "term"], "left_semi").drop("term")
+
+
 def counts(candidates: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp") -> DataFrame:
     """Per candidate (cand, src, mid, dst): documents that hold each of ``SETS``, and for ``FLAGGED`` those with the flag.
 
-    ``found`` is (doc, term, flag).  Each candidate looks up its own terms'
-    documents once; what counts is how many of its terms meet in a document.
+    ``found`` is (doc, term, flag), each once.  A pair of terms is counted
+    once, whatever number of candidates share it, and a triple is looked for
+    among the documents of its first pair.
     """
-    each = candidates.select("cand", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("src", "mid", "dst"))), F.array("src", "mid", "dst"))).alias("role", "term"))
-    met = each.join(found, "term").groupBy("cand", doc).agg(F.collect_set("role").alias("roles"), F.bool_or(flag).alias("_flag"))  # at most three
-    has = lambda names: F.forall(F.array(*map(F.lit, names)), lambda x: F.array_contains("roles", x))
-    aggs = [F.count_if(has(names)).alias(k) for k, names in SETS.items()]
-    aggs += [F.count_if(has(SETS[k]) & F.col("_flag")).alias(f"{k}_exp") for k in FLAGGED]
-    out = candidates.select("cand").distinct().join(met.groupBy("cand").agg(*aggs), "cand", "left")
-    return out.na.fill(0)
+    c = candidates.select("cand", "src", "mid", "dst").distinct()
+    out = c
+    for name, (a, b) in ((k, v) for k, v in SETS.items() if len(v) == 2):
+        met = pair_documents(c.select(F.col(a).alias("a"), F.col(b).alias("b")), found, doc, flag).withColumnsRenamed({"a": a, "b": b})
+        sums = [F.count(F.lit(1)).alias(name)] + ([F.count_if(flag).alias(f"{name}_exp")] if name in FLAGGED else [])
+        if name == "pair_sm":
+            met = kept(met, "met")
+            three = c.select("src", "mid", F.col("dst").alias("term")).distinct().join(met, ["src", "mid"]).join(found.select(doc, "term"), [doc, "term"], "left_semi")
+            three = three.groupBy("src", "mid", F.col("term").alias("dst")).agg(F.count(F.lit(1)).alias("triple_smd"), F.count_if(flag).alias("triple_smd_exp"))
+            out = out.join(three, ["src", "mid", "dst"], "left")
+        out = out.join(met.groupBy(a, b).agg(*sums), [a, b], "left")
+    return out.select("cand", *SETS, *[f"{k}_exp" for k in FLAGGED]).na.fill(0)
 
 
 def chain_counts(chains: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp") -> DataFrame:

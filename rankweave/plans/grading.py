@@ -135,19 +135,19 @@ def io10(t):
     return normal.join(files.reference(t.spark, path, columns, sep=",", normal=False).withColumnRenamed("p_type", "raw_type"), "p_partkey")
 
 
-@query("IO5_matrix", "SELECT n_name AS feature, r_name AS sample, CASE WHEN n_regionkey = r_regionkey THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM nation, region")
+@query("IO5_matrix", "SELECT 'P' || l_partkey AS feature, f AS sample, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = f), 0)::DOUBLE AS value FROM lineitem CROSS JOIN (VALUES ('A'), ('N'), ('R')) v(f) GROUP BY ALL")
 def io5(t):
-    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    regions = [r["r_name"] for r in t.region.select("r_name").orderBy("r_name").collect()]  # five columns
     path = folder(t, "matrix")
-    rows.groupBy(F.col("n_name").alias("name")).pivot("r_name", regions).agg(F.lit(1)).na.fill(0).coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
+    table = t.lineitem.groupBy(F.concat(F.lit("P"), "l_partkey").alias("name")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")).na.fill(0)
+    table.write.option("header", True).option("sep", "\t").csv(path)
     return files.matrix(t.spark, path)
 
 
-@query("IO7_IO8_gml_round_trip", "SELECT 'N' || n_nationkey AS source, 'R' || n_regionkey AS target, 'in ' || n_name AS relation FROM nation")
+@query("IO7_IO8_gml_round_trip", "SELECT 'P' || p_partkey AS source, p_brand AS target, 'of ' || p_type AS relation FROM part")
 def io7(t):
-    nodes = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.lit("").alias("label"), F.lit("nation").alias("type")).unionByName(t.region.select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit("").alias("label"), F.lit("region").alias("type")))
-    edges = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("source"), F.concat(F.lit("R"), "n_regionkey").alias("target"), F.concat(F.lit("in "), "n_name").alias("relation"))
+    part, brand = F.concat(F.lit("P"), "p_partkey"), F.col("p_brand")
+    nodes = t.part.select(part.alias("id"), F.lit("").alias("label"), F.lit("part").alias("type")).unionByName(t.part.select(brand.alias("id"), F.lit("").alias("label"), F.lit("brand").alias("type")).distinct())
+    edges = t.part.select(part.alias("source"), brand.alias("target"), F.concat(F.lit("of "), "p_type").alias("relation"))
     path = folder(t, "graph")
     files.write_gml(nodes, edges, path)
     return files.gml(t.spark, path)[1]
@@ -176,10 +176,11 @@ def io14(t):
     return files.passages(t.documents.select("doc_id", body.alias("json")), "doc_id", "json").select("doc_id", "pos", "section")
 
 
-@query("IO18_source_paths", "SELECT 1 AS n_paths")
+@query("IO18_source_paths", "SELECT 'orders.parquet' AS file, count(*) AS n FROM orders")
 def io18(t):
-    rows = t.spark.read.parquet(f"{t.sf_dir}/nation.parquet").select(files.relative(t.sf_dir).alias("p"))
-    return rows.agg(F.count_distinct("p").cast("int").alias("n_paths"))
+    path = files.relative(t.sf_dir)
+    rows = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet").select(F.substring_index(path, "/", 1).alias("file"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("IO6_taxonomy", "SELECT p_brand AS feature, p_name AS species FROM part")

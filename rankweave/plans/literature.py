@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, texts
 from ..operators import catalog, corpus, embed, quadrant, refmatch
+from ..sources.shared import kept
 from .registry import Tables, query
 
 EXP = ["license", "password", "ing "]
@@ -28,7 +29,7 @@ def found(t: Tables) -> DataFrame:
     """(doc_id, term, exp): the candidates' terms as whole words of the documents."""
     docs = t.documents
     flags = docs.select("doc_id", corpus.experimental(F.col("text"), EXP).alias("exp"))
-    return corpus.word_incidence(docs, terms(t)).join(flags, "doc_id")
+    return kept(corpus.word_incidence(docs, terms(t)).join(flags, "doc_id"), "incidence")
 
 
 CAND = r"""wd AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM benchmark),
@@ -217,9 +218,11 @@ def jn4(t):
     return refmatch.matches(asked(t), table(t), "q", "source_name").select("q", "row")
 
 
-@query("JN4_pair_matches", f"WITH {MATCHED} SELECT q, b, row FROM ma JOIN (SELECT DISTINCT lower(p_type) AS b FROM part) ON contains(lower(p_type), b) OR contains(b, lower(p_type))")
+@query("JN4_pair_matches", f"""WITH {MATCHED}, pr AS (SELECT DISTINCT unnest(list_concat(string_split(p_name, ' '), ['the ' || p_name])) AS q, lower(split_part(p_type, ' ', 1)) AS b FROM part)
+    SELECT q, b, row FROM ma JOIN pr USING (q) WHERE contains(lower(p_type), b) OR contains(b, lower(p_type))""")
 def jn4_pairs(t):
-    pairs = asked(t).crossJoin(t.part.select(F.lower("p_type").alias("b")).distinct())
+    words = F.concat(F.split("p_name", " "), F.array(F.concat(F.lit("the "), "p_name")))
+    pairs = t.part.select(F.explode(words).alias("q"), F.lower(F.element_at(F.split("p_type", " "), 1)).alias("b")).distinct()
     return refmatch.pair_matches(pairs, table(t), "q", "b", "source_name", "target_name").select("q", "b", "row")
 
 
@@ -243,10 +246,10 @@ def ag20(t):
     return out.select("q", "records", F.array_join("names", "|").alias("names"), F.size("sources").cast("long").alias("n_sources"))
 
 
-@query("JN5_fallback_matches", f"""WITH q AS (SELECT DISTINCT 'zz' || p_brand AS q, p_name AS neighbour FROM part WHERE p_size = 1), d AS (SELECT DISTINCT p_name FROM part),
+@query("JN5_fallback_matches", f"""WITH q AS (SELECT DISTINCT 'zz' || p_brand AS q, p_name AS neighbour FROM part), d AS (SELECT DISTINCT p_name FROM part),
     f AS (SELECT q, min(neighbour) AS neighbour FROM q GROUP BY q) SELECT q, p_partkey AS row, neighbour AS method FROM f JOIN part ON contains(lower(p_name), lower(neighbour)) OR contains(lower(neighbour), lower(p_name))""")
 def jn5(t):
-    near = t.part.filter("p_size = 1").select(F.concat(F.lit("zz"), "p_brand").alias("q"), F.col("p_name").alias("neighbour")).distinct()
+    near = t.part.select(F.concat(F.lit("zz"), "p_brand").alias("q"), F.col("p_name").alias("neighbour")).distinct()
     first = near.groupBy("q").agg(F.min("neighbour").alias("first"))
     ranked = near.join(first, "q").select("q", "neighbour", F.when(F.col("neighbour") == F.col("first"), 1).otherwise(2).alias("rank"))
     return refmatch.with_fallback(near.select("q"), ranked, table(t), "q", "source_name").select("q", "row", "method")
