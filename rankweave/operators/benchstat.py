@@ -7,6 +7,7 @@ chi-square distributions are taken of a few rows per method by Pandas UDFs.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,6 +96,25 @@ def normal_above(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
 
 
+#: Differences up to which the exact distribution of the rank sum is used.
+EXACT = 50
+
+
+@cache
+def _rank_sums(n: int) -> list[int]:
+    """How many subsets of 1 to n have each sum."""
+    counts = [1]
+    for k in range(1, n + 1):
+        counts = [(counts[s] if s < len(counts) else 0) + (counts[s - k] if 0 <= s - k < len(counts) else 0) for s in range(len(counts) + k)]
+    return counts
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_sum_above(w: pd.Series, n: pd.Series) -> pd.Series:
+    """The exact probability of a positive rank sum of ``w`` or more among n differences without ties."""
+    return pd.Series([sum(_rank_sums(int(k))[int(x) :]) / 2 ** int(k) if 0 < k <= EXACT else None for x, k in zip(w, n)], dtype=float)
+
+
 def _gamma_above(a: float, x: float) -> float:
     """The regularised upper incomplete gamma function."""
     if x <= 0:
@@ -145,21 +165,26 @@ def signed_ranks(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def wilcoxon(ranks: DataFrame, alternative: str = "greater") -> DataFrame:
-    """``signed_ranks`` with statistic, p_value and rank_biserial.
+    """``signed_ranks`` with z, statistic, p_value and rank_biserial.
 
-    The normal approximation with the correction for ties; where no difference
-    is left the statistic is 0 and p is 1.
+    Exact for up to ``EXACT`` differences if none is 0 and no two are of one
+    size, else the normal approximation with the correction for ties; where no
+    difference is left the statistic is 0 and p is 1.
     """
     n = F.col("n_nonzero")
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     none = (n == 0) | (var <= 0)
     z = F.when(none, 0.0).otherwise((F.col("w_plus") - mean) / F.sqrt(F.when(none, 1.0).otherwise(var)))
+    exact = (n > 0) & (n <= EXACT) & (n == F.col("n")) & (F.col("ties") == 0)
+    above = F.when(exact, rank_sum_above(F.col("w_plus"), n.cast("double")))
     if alternative == "greater":
-        statistic, p = F.col("w_plus"), normal_above(z)
+        statistic, p = F.col("w_plus"), F.coalesce(above, normal_above(z))
     else:
-        statistic, p = F.least("w_plus", "w_minus"), F.least(F.lit(1.0), 2 * normal_above(F.abs(z)))
+        below = F.when(exact, rank_sum_above(F.col("w_minus"), n.cast("double")))
+        statistic, p = F.least("w_plus", "w_minus"), F.least(F.lit(1.0), 2 * F.coalesce(F.least(above, below), normal_above(F.abs(z))))
     whole = F.col("w_plus") + F.col("w_minus")
-    return ranks.withColumns({"statistic": statistic, "p_value": F.when(none, 1.0).otherwise(p), "rank_biserial": F.when(whole == 0, 0.0).otherwise((F.col("w_plus") - F.col("w_minus")) / whole)})
+    p = F.when(n == 0, 1.0).when(exact, p).when(none, 1.0).otherwise(p)
+    return ranks.withColumns({"z": z, "statistic": statistic, "p_value": p, "rank_biserial": F.when(whole == 0, 0.0).otherwise((F.col("w_plus") - F.col("w_minus")) / whole)})
 
 
 def holm(df: DataFrame, p: str, keys: list[str], ties: list[str], out: str = "p_holm") -> DataFrame:

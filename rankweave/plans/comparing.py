@@ -166,6 +166,14 @@ def bm2(t):
     return benchstat.against_anchor(rounded_scores(t), "f1_score", "ranked-noback")
 
 
+TIED = "ti AS (SELECT method, sum(t * t * t - t) AS ties FROM (SELECT method, abs(diff) AS size, count(*) AS t FROM pr WHERE diff != 0 GROUP BY ALL) GROUP BY method)"
+
+
+@query("BM2_statistic", f"""WITH {SIGNED}, {TIED} SELECT method, n_nonzero, w_plus AS statistic, round((w_plus - n_nonzero * (n_nonzero + 1) / 4.0::DOUBLE) / sqrt(n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE), 6) AS z FROM sg JOIN ti USING (method)""")
+def bm2_statistic(t):
+    return rounded(benchstat.wilcoxon(benchstat.signed_ranks(differences(t), "method")).select("method", "n_nonzero", "statistic", "z"))
+
+
 @query(
     "WN5_ranks_per_cut",
     f"""WITH {ROUNDED} SELECT "Files", "X", rank() OVER (PARTITION BY "X" ORDER BY v DESC) + (count(*) OVER (PARTITION BY "X", v) - 1) / 2.0::DOUBLE AS rank FROM f""",
@@ -209,6 +217,13 @@ def bm6(t):
     return benchstat.decision(benchstat.against_anchor(rounded_scores(t), "f1_score", "ranked-noback"), "ranked-noback")
 
 
+@query("BM6_co_best", f"""WITH {SIGNED}, tie AS (SELECT method FROM sg WHERE w_plus <= 2 * w_minus UNION ALL SELECT 'ranked-noback')
+    SELECT 'ranked-noback' AS best_method, string_agg(method, ';' ORDER BY method) AS co_best_methods, count(*)::INT AS co_best_count FROM tie""")
+def bm6_co_best(t):
+    given = benchstat.signed_ranks(differences(t), "method").withColumn("significant", F.col("w_plus") > 2 * F.col("w_minus"))
+    return benchstat.decision(given, "ranked-noback")
+
+
 @query(
     "BM7_scenarios",
     f"""WITH {PAIRED} SELECT CASE WHEN "X" <= 33 THEN 'low' WHEN "X" <= 66 THEN 'middle' ELSE 'high' END AS scenario, method, count(*) AS n, round(median(diff), 6) AS median_diff FROM pr GROUP BY ALL""",

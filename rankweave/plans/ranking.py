@@ -373,13 +373,27 @@ def tr2(t):
     return some_interactions(t).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
+def by_year(t: Tables) -> tuple[DataFrame, list[str]]:
+    rows = some_interactions(t).withColumn("year", F.substring("sample", 1, 4)).groupBy("pair", "year").agg(F.sum("score").alias("score"))
+    rows = kept(rows, "by-year")
+    return rows, [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]  # a handful of columns
+
+
 @query("TR3_principal_components")
 def tr3(t):
-    rows = some_interactions(t).withColumn("year", F.substring("sample", 1, 4)).groupBy("pair", "year").agg(F.sum("score").alias("score"))
-    years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]  # a handful of columns
+    rows, years = by_year(t)
     return compose.principal_components(rows, 2, "pair", "year", "score", years)
 
 
+@query("TR3_total_variance", f"""WITH {INTERACTIONS}, y AS (SELECT pair, substr(sample, 1, 4) AS year, sum(score) AS v FROM x GROUP BY ALL), n AS (SELECT count(DISTINCT pair) AS n FROM y)
+    SELECT round(sum(var), 3) AS variance FROM (SELECT year, (sum(v * v) - sum(v) * sum(v) / max(n)) / (max(n) - 1) AS var FROM y, n GROUP BY year)""")
+def tr3_variance(t):
+    rows, years = by_year(t)
+    pc = compose.principal_components(rows, len(years), "pair", "year", "score", years)
+    of = pc.select(F.posexplode("pc").alias("at", "v")).groupBy("at").agg(F.var_samp("v").alias("var"))
+    return of.agg(F.round(F.sum("var"), 3).alias("variance"))
+
+
 @query(
     "TR4_ordering",
     """WITH RECURSIVE e AS (SELECT 'R' || n_regionkey AS a, 'N' || n_nationkey AS b, 1.0::DOUBLE AS length FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 0.5 FROM supplier),
