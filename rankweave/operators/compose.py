@@ -124,14 +124,12 @@ def ordering(edges: DataFrame, roots: DataFrame) -> DataFrame:
     if not edges.filter("length < 0").isEmpty():
         raise ValueError("lengths must not be negative")
     both = edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
-    found = roots.select("id").distinct().withColumn("distance", F.lit(0.0))
-    moved = found
+    state = roots.select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("moved"))
     while True:
-        reached = moved.join(both, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("_new"))
-        closer = reached.join(found, "id", "left").filter(F.col("distance").isNull() | (F.col("_new") < F.col("distance") - 1e-12)).select("id", F.col("_new").alias("distance"))
-        moved = kept(closer, "closer")
-        if moved.isEmpty():
-            break
-        found = found.join(moved.select("id"), "id", "left_anti").unionByName(moved)
-        found = kept(found, "ordered")
-    return found
+        reached = state.filter("moved").join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("distance") + F.col("length")).alias("new"))
+        every = state.select("id", "distance", F.lit(None).cast("double").alias("new")).unionByName(reached.select("id", F.lit(None).cast("double").alias("distance"), "new"))
+        least = every.groupBy("id").agg(F.min("distance").alias("distance"), F.min("new").alias("new"))
+        closer = F.coalesce(F.col("new") < F.col("distance") - 1e-12, F.col("distance").isNull())
+        state = kept(least.select("id", F.when(closer, F.col("new")).otherwise(F.col("distance")).alias("distance"), closer.alias("moved")), "ordered")
+        if state.filter("moved").isEmpty():
+            return state.select("id", "distance")

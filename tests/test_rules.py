@@ -165,7 +165,7 @@ def test_gates_of_a_chain_of_sixty_levels_and_a_cycle(spark):
 def test_ordering_of_a_chain_of_sixty_hops(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(60)] + [("60", "lost", None)], "a string, b string, length double")
     got = {r["id"]: r["distance"] for r in compose.ordering(edges, spark.createDataFrame([("0",)], "id string")).collect()}
-    assert got == {str(i): float(i) for i in range(31)}
+    assert got == {str(i): float(i) for i in range(61)}
     with pytest.raises(ValueError):
         compose.ordering(spark.createDataFrame([("0", "1", -1.0)], "a string, b string, length double"), spark.createDataFrame([("0",)], "id string"))
 
@@ -186,12 +186,6 @@ def test_exact_rank_sums_against_all_signs(spark, alternative):
         assert got[m]["p_value"] == pytest.approx(min(1, 0.5 * math.erfc(z / math.sqrt(2)) * (1 if alternative == "greater" else 2)))
 
 
-def test_long_chains_settle(spark):
-    edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(30)], "a string, b string, length double")
-    got = {r["id"]: r["distance"] for r in compose.ordering(edges, spark.createDataFrame([("0",)], "id string")).collect()}
-    assert got == {str(i): float(i) for i in range(31)}
-
-
 def test_ranks_and_medians_over_many_tasks(spark, monkeypatch):
     from rankweave.operators import ordered
 
@@ -207,3 +201,18 @@ def test_ranks_and_medians_over_many_tasks(spark, monkeypatch):
         want = statistics.median(x[1] for x in some)
         assert ordered.median(spark.createDataFrame(some, "k string, v double, i int"), "v") == want
     assert ordered.median(df.filter("false"), "v") is None
+
+
+def test_protocols_at_any_depth(spark):
+    deep = '{"id": 1, "steps": [{"description": "<p>Mix</p>", "components": [{"source": {"amount": "2 ml", "unit": "ml", "inner": [{"Temperature": 37.5}]}}, {"name": "MIX"}]}, {"note": "no text"}, {"cases": [[{"value": 3}]]}], "materials": [{"name": "tube", "vendor": {"name": "V"}, "sku": ""}, {"name": "Tube | vendor: V"}]}'
+    rows = spark.createDataFrame([(deep,), ("not json",), (None,), ('{"id": 2, "steps": {"text": "no list"}}',)], "j string")
+    got = {r["id"]: r for r in files.protocols(rows, "j").collect()}
+    assert got["1"]["steps"] == ["Step 1: Mix | 2 ml | 37.5", "Step 3: 3"] and got["1"]["materials"] == ["tube | vendor: V"]
+    assert got["2"]["steps"] == []
+
+
+def test_protocols_are_ranked_by_the_last_of_each_key(spark):
+    rows = [("a", 1, "old colitis", "", None, False), ("b", 2, "mice", "", "10.1/x", True), ("a", 3, "new", "dss and mice", None, False), ("", 4, "mice", "", None, False), ("c", 5, "tea", "", None, False), ("d", 6, "mice", "", "10.1/y", True)]
+    items = spark.createDataFrame(rows, "id string, at int, title string, body string, doi string, peer_reviewed boolean")
+    got = [(r["id"], r["score"], r["models"]) for r in articles.ranked_protocols(items, "id", "at", ["mice", "dss", "te"]).orderBy("nth").collect()]
+    assert got == [("b", 5, ["in_vivo"]), ("d", 5, ["in_vivo"]), ("a", 4, ["in_vivo"])]
