@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -59,6 +60,26 @@ def test_run_gives_the_last_stage(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "mixing", "BPE"]
 
 
+def test_nulls_ties_extra_columns_and_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = ["score", "rejected", "lang_pred", "row", "_digest", "_nth", "_key", "copies", "ids", "slot", "_id"]
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, None, "en", None, 0), (-2, " \n", None, "s", 2), (-3, "1234 !!", "en", "s", 7), (None, "the and of the and with", None, None, 23), (-4, "the and of " * 9000, "en", None, 99000), (-4, "the and of " * 9000, "en", None, 99000)], docs.schema)
+    docs = docs.unionByName(odd).select("*", *[F.concat(F.lit(f"{n}:"), F.xxhash64("text").cast("string")).alias(n) for n in clash])
+    whole = {(r["doc_id"], r["text"]): tuple(r) for r in docs.collect()}
+    kept = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept[-1], SF).write.parquet(str(tmp_path / str(i)))
+        kept.append(spark.read.parquet(str(tmp_path / str(i))))
+    for df in kept[1:5]:
+        rows = df.collect()
+        assert df.columns == docs.columns and rows
+        assert all(tuple(r) == whole[r["doc_id"], r["text"]] for r in rows)
+    assert not {r["doc_id"] for r in kept[1].collect()} & {-1, -2, -3}
+    assert sum(r["doc_id"] == -4 for r in kept[2].collect()) <= 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_one_query(n):
     from rankweave.llm import queries

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
@@ -175,6 +176,57 @@ def test_language_id_on_held_out_texts(spark):
     assert {x["lang_pred"] for x in none.collect()} == {"und"}
 
 
+def plain_language(model, text):
+    """Nearest centroid and its cosine, n-gram by n-gram over dictionaries."""
+    clean = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    clean = re.sub(" +", " ", clean)
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(clean) - n + 1):
+            if clean[i : i + n] == " ":
+                continue
+            h = 0
+            for k, c in enumerate(clean[i : i + n], 1):
+                h = (h * 0x01000193 + ord(c) + k) % 2**32
+            counts[(h * 0x9E3779B1) % 2**32 >> (32 - (model.columns.bit_length() - 1))] += 1
+    vector = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in vector.values()))
+    cosines = [sum(x * float(c[k]) for k, x in vector.items()) / norm for c in model.centroids]
+    best = max(range(len(cosines)), key=lambda i: cosines[i])
+    return model.languages[model.owner[best]], min(1.0, max(0.0, cosines[best])), cosines[best] < float(model.least[model.owner[best]])
+
+
+def test_language_id_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, columns=1024)
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["ÉÀ ß", "a", "İ x", "x" * 5000, "日本 語"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in langid.predict(rows, model).collect()}
+    for i, t in enumerate(texts):
+        lang, score, rejected = plain_language(model, t)
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (lang, rejected) and got[i]["score"] == pytest.approx(score, abs=1e-4)
+    assert got[len(texts)]["score"] == pytest.approx(got[0]["score"], abs=1e-6)
+
+
+def test_noise_and_languages_left_out_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    model = langid.fit(docs.filter("lang != 'fr'"))
+    r = random.Random(9)
+    noise = spark.createDataFrame([(-i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=600))) for i in range(1, 60)], "doc_id long, text string")
+    out = langid.predict(docs.select("doc_id", "text", "lang").unionByName(noise.withColumn("lang", F.lit("noise"))), model)
+    share = {x["lang"]: x["r"] for x in out.groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("r")).collect()}
+    assert share["noise"] >= 0.95 and share["fr"] >= 0.9
+    assert all(share[x] <= 0.01 for x in model.languages)
+
+
+def test_languages_that_cannot_be_learned(spark):
+    rows = [(i, "uno dos tres", "es") for i in range(6)] + [(10, "x y " * 6000, "long"), (11, "123", "digits"), (12, None, "none"), (None, "solo", "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == ["es", "one"] and langid.fit(docs.filter("lang = 'long'")).languages == []
+    tie = langid.fit(spark.createDataFrame([(1, "aa bb", "b"), (2, "aa bb", "a")], "doc_id long, text string, lang string"))
+    assert langid.predict(docs.limit(1).select(F.lit("aa bb").alias("text")), tie).first()["lang_pred"] == "a"
+
+
 def test_pseudonyms(spark):
     r = random.Random(5)
     cards = [b + pii.luhn_digit(b) for b in ("".join(r.choices("0123456789", k=15)) for _ in range(50))]
