@@ -1,6 +1,14 @@
 """A corpus pipeline of five stages, each written out and read again by the next.
 
 language ID -> exact dedup -> near-duplicate join -> mixing to target weights -> BPE.
+
+All columns of ``documents`` go through all stages but the last, whatever their
+names.  Null or blank texts and those without letters go in the first stage, as
+no language accepts them.  A null id, language or source is a value like any
+other; repeated rows are one document after the second stage.  Of ties the
+largest id stays among equal texts, the least among near copies.  An empty
+table gives an empty result.  Texts are worked on whole, one at a time at the
+worst.
 """
 
 from __future__ import annotations
@@ -12,28 +20,26 @@ from rankweave.llm import bpe, exact_dedup, langid, mixing, near_dup
 from rankweave.llm.common import written
 from rankweave.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text no language accepts go."""
     learned = docs.filter(~langid.held_out(F.col("doc_id")))
-    return langid.predict(docs, langid.fit(learned), keep=COLUMNS).filter("NOT rejected").select(COLUMNS)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # the columns travel in one, so that no name clashes
+    return langid.predict(rows, langid.fit(learned), keep=["row"]).filter("NOT rejected").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    return exact_dedup.drop_duplicates(docs).select(COLUMNS)
+    return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id stays."""
-    return near_dup.drop_near_duplicates(docs).select(COLUMNS)
+    return near_dup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mixed(docs).select(COLUMNS)
+    return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
