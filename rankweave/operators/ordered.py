@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,14 +35,21 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], na
 
     The rows are sorted by range, so a large group spans many tasks: a row's
     place in its task's run, plus the group's rows in the tasks before.
-    ``order`` must leave no ties.  Keys must not be null.
+    ``order`` must leave no ties.  Null keys are a group of their own.
     """
     rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     at = kept(rows.withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_at", 33))
     runs = at.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that a group spans
     runs = runs.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return at.join(runs, [*keys, "_part"]).withColumn(name, (F.col("_at") + F.col("_shift")).cast("int")).drop("_at", "_part", "_shift")
+    return joined(at, runs, [*keys, "_part"]).withColumn(name, (F.col("_at") + F.col("_shift")).cast("int")).drop("_at", "_part", "_shift")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join on columns of the same names, in which nulls are equal."""
+    right = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])
+    return left.join(right, same).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def nth_value(df: DataFrame, column: str, n: int) -> float:

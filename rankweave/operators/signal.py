@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked
+from .ordered import joined, ranked
 
 def usable(df: DataFrame, value: str = "value", file: str | None = None) -> DataFrame:
     """Rows with a value; of files whose largest value isn't positive none."""
@@ -25,7 +25,7 @@ def dual_end_signal(df: DataFrame, src: str = "src", value: str = "value", order
     ties.  A source may span many tasks.
     """
     about = df.groupBy(src).agg(F.max(value).alias("_most"), F.count(F.lit(1)).alias("total_in_src"))
-    df = df.join(about, src).withColumn("distance_to_end", F.least(F.col(value), F.col("_most") - F.col(value))).drop("_most")
+    df = joined(df, about, [src]).withColumn("distance_to_end", F.least(F.col(value), F.col("_most") - F.col(value))).drop("_most")
     df = ranked(df, [src], ["distance_to_end", *order], "_near")
     df = ranked(df, [src], [F.desc(value), *order], "rank_in_src")
     return df.withColumn("signal", F.lit(1.0) - (F.col("_near") - 1) / F.col("total_in_src")).drop("_near")
