@@ -28,21 +28,26 @@ def exact(queries: DataFrame, index: DataFrame, typed: bool = True) -> DataFrame
     return q.join(i, on).select("qid", "name", F.lit(1.0).alias("score"))
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _best(k: int, threshold: float):
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if len(left) and len(right):
-            a = np.array(left.column("vector").to_pylist())
-            b = np.array(right.column("x_vector").to_pylist())
             qid, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
-            scores = a @ b.T
-            by = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(a)), by.shape[1])
-            cols = by.reshape(-1)
-            keep = scores[rows, cols] >= threshold
-            out = [qid[rows[keep]], ids[cols[keep]], scores[rows[keep], cols[keep]]]
+            scores = _matrix(left.column("vector")) @ _matrix(right.column("x_vector")).T
+            # a row's k largest scores and what equals the last of them; only these are sorted
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
+            rows, cols = np.nonzero(scores >= np.maximum(least, threshold)[:, None])
+            by = np.lexsort((ids[cols], -scores[rows, cols], rows))
+            rows, cols = rows[by], cols[by]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols = rows[nth < k], cols[nth < k]
+            out = [qid[rows], ids[cols], scores[rows, cols]]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], schema=schema)
 
     return work
