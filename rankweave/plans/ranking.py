@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compose, quadrant, signal
+from ..operators import compose, ordered, quadrant, signal
 from ..sources.shared import kept
 from .registry import Tables, query
 
@@ -156,11 +156,9 @@ def tk11(t):
 
 @query("TK12_top_novel_flag", f"""WITH {ASSIGNED} SELECT src, mid, row_number() OVER (PARTITION BY quadrant ORDER BY composite_score DESC, src, mid) <= 10 AS is_top FROM a WHERE novelty < 1""")
 def tk12(t):
-    from pyspark.sql import Window
-
     rows = quadrant.assigned(scored(t)).filter("novelty < 1")
-    nth = F.row_number().over(Window.partitionBy("quadrant").orderBy(F.desc("composite_score"), "src", "mid"))
-    return rows.select("src", "mid", (nth <= 10).alias("is_top"))
+    rows = ordered.ranked(rows, ["quadrant"], [F.desc("composite_score"), "src", "mid"], "nth")  # four quadrants, many tasks
+    return rows.select("src", "mid", (F.col("nth") <= 10).alias("is_top"))
 
 
 @query("FL17_with_evidence", f"WITH {ASSIGNED} SELECT src, mid, pair_sm_exp + pair_md_exp AS evidence FROM a WHERE pair_sm_exp + pair_md_exp > 0 AND novelty < 1")
