@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, lm_score, pii, warc
+from .bitplane import clustered
 from .common import LOWER, UPPER, new_path, table
 from .exact_dedup import duplicate_groups
 from .fingerprint import fingerprinted
 from .mixing import taken_copies
 from .near_dup import near_duplicates
 from .quality import classified
+from .sharding import placed
+from .whitening import whitened
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,8 +81,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(table(spark, sf_dir, "documents"), 8)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_language_id, op3_near_duplicates, op4_pii_pseudonyms, op5_warc_revisits, op6_exact_dedup, op7_bpe, op8_lm_score, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality, op2_language_id, op3_near_duplicates, op4_pii_pseudonyms, op5_warc_revisits, op6_exact_dedup, op7_bpe, op8_lm_score, op9_mixing, op10_fingerprints, op11_clusters, op12_shards, op13_whitening)}
 
 
 OP6_SQL = f"""
@@ -121,5 +137,47 @@ FROM c
 """
 
 
+def _round_sql(i: int) -> str:
+    """Each vector's nearest centroid in round ``i``, and the centroids after it."""
+    return f"""
+a{i} AS MATERIALIZED (SELECT r, vec_id, x, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+  SELECT r, vec_id, x, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i])))::BIGINT AS d FROM v, c{i}) GROUP BY ALL),
+s{i} AS (SELECT cluster AS c, list(mean ORDER BY i) AS m FROM (
+  SELECT cluster, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS mean FROM a{i}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(s{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN s{i} USING (c))"""
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY draw, x) - 1 AS c, x AS m FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS draw, x FROM v) ORDER BY draw, x LIMIT 16),
+{",".join(_round_sql(i) for i in range(4))}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON cluster = c
+"""
+
+# the checksum byte by byte, by a table of 256 entries made from its polynomial; the jumps in 128-bit numbers
+OP12_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS entry),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UHUGEINT * 4294967296 + ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 9, 8))::UHUGEINT AS key FROM documents),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, length(h) // 2 + 1 AS size, key,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM h, t),
+j AS (
+  SELECT r, key, -1::BIGINT AS b, 0::BIGINT AS j FROM d
+  UNION ALL
+  SELECT r, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT r, j, key * 2862933555777941757 % 18446744073709551616::UHUGEINT + 1 AS k FROM j WHERE j < 8))
+SELECT doc_id, size, text_crc32, 'key' AS law, b::INT AS shard, row_number() OVER (PARTITION BY b ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       CASE WHEN j = 8 THEN 8 ELSE b END::INT AS grown_shard
+FROM d JOIN (SELECT r, max(b) AS b, max(j) AS j FROM j GROUP BY r) USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL, "op11_clusters": OP11_SQL, "op12_shards": OP12_SQL}
