@@ -91,7 +91,7 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitened(table(spark, sf_dir, "embeddings"))
-    return out.withColumn("deviation", F.col("deviation").cast("long"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
