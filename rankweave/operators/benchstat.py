@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import kept
+from .ordered import cumulative, mean_ranked, quantiles
+
 EPS = 1e-12
 #: Methods that are never compared.
 EXCLUDED = ["phi Clr", "rho Clr"]
@@ -64,14 +67,22 @@ def area(df: DataFrame, x: str, y: str, key: str = "Files") -> DataFrame:
     return steps.groupBy(key).agg(F.sum("_part").alias("area"))
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row per group: the named quantiles (column, fraction), exact for groups of any size; null where a group has no value."""
+    found = quantiles(df, list(dict.fromkeys(c for c, _ in wanted.values())), sorted({p for _, p in wanted.values()}), keys)
+    return found.groupBy(*keys).agg(*[F.max(F.when((F.col("column") == c) & (F.col("fraction") == p), F.col("value"))).alias(name) for name, (c, p) in wanted.items()])
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row per method: medians, quantiles, areas, segment medians, and the rank by median F1, AUPRC, Q10, IQR and name."""
-    q = lambda p: F.percentile("f1_score", F.lit(p))
-    part = lambda a, b: F.median(F.when(F.col("X").between(a, b), F.col("f1_score")))
-    out = df.groupBy("Files").agg(
-        F.median("f1_score").alias("Median_F1"), F.max("f1_score").alias("Max_F1"), F.median("balanced_accuracy").alias("Median_Balanced_Accuracy"), F.median("mcc").alias("Median_MCC"),
-        q(0.1).alias("Q10_F1"), (q(0.75) - q(0.25)).alias("IQR_F1"), part(1, 33).alias("Segment1_Median_F1"), part(34, 66).alias("Segment2_Median_F1"), part(67, 100).alias("Segment3_Median_F1"),
-    )
+    part = lambda a, b: F.when(F.col("X").between(a, b), F.col("f1_score"))
+    df = kept(df, "compared")  # the quantiles take several passes
+    rows = df.select("Files", "f1_score", "balanced_accuracy", "mcc", part(1, 33).alias("_s1"), part(34, 66).alias("_s2"), part(67, 100).alias("_s3"))
+    out = grouped_quantiles(rows, ["Files"], {
+        "Median_F1": ("f1_score", 0.5), "Median_Balanced_Accuracy": ("balanced_accuracy", 0.5), "Median_MCC": ("mcc", 0.5), "Q10_F1": ("f1_score", 0.1), "_q1": ("f1_score", 0.25), "_q3": ("f1_score", 0.75),
+        "Segment1_Median_F1": ("_s1", 0.5), "Segment2_Median_F1": ("_s2", 0.5), "Segment3_Median_F1": ("_s3", 0.5),
+    })
+    out = df.groupBy("Files").agg(F.max("f1_score").alias("Max_F1")).join(out, "Files", "left").withColumn("IQR_F1", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
     out = out.join(area(df, "fpr", "TPR").withColumnRenamed("area", "AUROC"), "Files", "left").join(area(df, "recall", "precision").withColumnRenamed("area", "AUPRC"), "Files", "left")
     by = Window.orderBy(F.desc("Median_F1"), F.desc("AUPRC"), F.desc("Q10_F1"), "IQR_F1", "Files")  # a row per method
     return out.withColumn("rank", F.row_number().over(by))
@@ -79,17 +90,13 @@ def summary(df: DataFrame) -> DataFrame:
 
 def box_diagnosis(df: DataFrame, metrics: list[str]) -> DataFrame:
     """One row per metric and method: count, distinct values, quartiles, range, and whether the box is degenerate."""
-    rows = df.unpivot(["Files"], metrics, "metric", "value").filter("value IS NOT NULL")
-    q = lambda p: F.percentile("value", F.lit(p))
-    out = rows.groupBy("metric", "Files").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_unique"), q(0.25).alias("q1"), F.median("value").alias("median"), q(0.75).alias("q3"), F.min("value").alias("least"), F.max("value").alias("most"))
+    rows = kept(df.unpivot(["Files"], metrics, "metric", "value").filter("value IS NOT NULL"), "boxes")
+    counts = rows.groupBy("metric", "Files", "value").agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy("metric", "Files").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unique"), F.min("value").alias("least"), F.max("value").alias("most"))
+    out = out.join(grouped_quantiles(rows, ["metric", "Files"], {"q1": ("value", 0.25), "median": ("value", 0.5), "q3": ("value", 0.75)}), ["metric", "Files"])
     return out.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("degenerate", F.col("iqr") <= EPS)
 
 
-def average_rank(by: Column, *keys: str) -> Column:
-    """The rank of ``by`` within ``keys``, equal values sharing the mean of theirs."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(by)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, by)) - 1) / 2
-
-
 @F.pandas_udf(T.DoubleType())
 def normal_above(z: pd.Series) -> pd.Series:
     """The upper tail of the standard normal distribution."""
@@ -151,16 +158,21 @@ def chi_square_above(x: pd.Series, freedom: pd.Series) -> pd.Series:
 
 
 def signed_ranks(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Per keys, of differences ``diff``: n, n_nonzero, w_plus, w_minus, ties (sum of t^3 - t), median and the shares above, at and below 0."""
-    some = pairs.filter("diff != 0").withColumn("_size", F.abs("diff"))
-    some = some.withColumn("_rank", average_rank(F.col("_size"), *keys)).withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_size")))
-    sums = some.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_nonzero"), F.sum(F.when(F.col("diff") > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("diff") < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"), F.sum(F.pow("_ties", F.lit(2)) - 1).alias("ties"),
-    )
+    """Per keys, of differences ``diff``: n, n_nonzero, w_plus, w_minus, ties (sum of t^3 - t), median and the shares above, at and below 0.
+
+    Differences of one size are counted before they are ranked, so ties cost
+    one row, and a group may span many tasks.
+    """
+    pairs = kept(pairs, "pairs")
+    sizes = pairs.filter("diff != 0").groupBy(*keys, F.abs("diff").alias("_size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("diff") > 0).alias("_plus"))
+    rank = F.col("_before") + (F.col("n") + 1) / 2
+    sums = cumulative(sizes, list(keys), "_size").groupBy(*keys).agg(
+        F.sum("n").alias("n_nonzero"), F.sum(F.col("_plus") * rank).alias("w_plus"), F.sum((F.col("n") - F.col("_plus")) * rank).alias("w_minus"), F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("ties")
+    )
     share = lambda c: F.avg(c.cast("double"))
     d = F.col("diff")
-    every = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(d).alias("median_diff"), share(d > 0).alias("better_rate"), share(d == 0).alias("equal_rate"), share(d < 0).alias("worse_rate"))
+    every = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), share(d > 0).alias("better_rate"), share(d == 0).alias("equal_rate"), share(d < 0).alias("worse_rate"))
+    every = every.join(grouped_quantiles(pairs, list(keys), {"median_diff": ("diff", 0.5)}), list(keys), "left")
     return every.join(sums, list(keys), "left").na.fill(0, ["n_nonzero", "w_plus", "w_minus", "ties"])
 
 
@@ -220,7 +232,7 @@ def all_pairs(df: DataFrame, metric: str) -> DataFrame:
 
 def ranks_per_cut(df: DataFrame, metric: str) -> DataFrame:
     """(Files, X, rank): the methods' ranks at each X, best first, ties shared."""
-    return df.withColumn("_v", -F.col(metric)).withColumn("rank", average_rank(F.col("_v"), "X")).select("Files", "X", "rank")
+    return mean_ranked(df.select("Files", "X", metric), ["X"], -F.col(metric)).select("Files", "X", "rank")
 
 
 def mean_ranks(df: DataFrame, metric: str) -> DataFrame:
@@ -229,7 +241,7 @@ def mean_ranks(df: DataFrame, metric: str) -> DataFrame:
 
 def friedman(df: DataFrame, metric: str) -> DataFrame:
     """One row: statistic with the correction for ties, p_value, n_blocks, k_methods, kendall_w; null if the methods never differ."""
-    ranked = ranks_per_cut(df, metric)
+    ranked = kept(ranks_per_cut(df, metric), "ranks")
     sums = ranked.groupBy("Files").agg(F.sum("rank").alias("r")).agg(F.sum(F.col("r") * F.col("r")).alias("squares"), F.count(F.lit(1)).alias("k"))
     ties = ranked.groupBy("X", "rank").agg(F.count(F.lit(1)).alias("t")).groupBy("X").agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("t")).agg(F.sum("t").alias("ties"), F.count(F.lit(1)).alias("n"))
     k, n = F.col("k"), F.col("n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .ordered import median
+from .ordered import quantiles
 
 #: Quadrants from the one worth most attention to the least.
 ORDER = ["I", "II", "III", "IV"]
@@ -25,8 +25,8 @@ def novelty_by_ceiling(count: Column, ceiling: int = 500) -> Column:
 
 def medians(df: DataFrame, **columns: str) -> DataFrame:
     """One row with the exact median of each named column, 0.5 where there is none; ``df`` is read several times."""
-    found = {name: median(df, c) for name, c in columns.items()}
-    return df.sparkSession.range(1).select(*[F.lit(0.5 if v is None else v).alias(name) for name, v in found.items()])
+    found = quantiles(df, list(dict.fromkeys(columns.values())), [0.5])
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("value"))), F.lit(0.5)).alias(name) for name, c in columns.items()])
 
 
 def quadrant(signal: Column, novelty: Column, t1: Column, t2: Column) -> Column:

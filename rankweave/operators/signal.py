@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import joined, ranked
+from ..sources.shared import kept
+from .ordered import SENT, joined, ranked
+
 
 def usable(df: DataFrame, value: str = "value", file: str | None = None) -> DataFrame:
     """Rows with a value; of files whose largest value isn't positive none."""
@@ -18,7 +20,7 @@ def usable(df: DataFrame, value: str = "value", file: str | None = None) -> Data
 
 
 def dual_end_signal(df: DataFrame, src: str = "src", value: str = "value", order: Sequence[str] = ("mid",)) -> DataFrame:
-    """``df`` with distance_to_end, signal, rank_in_src and total_in_src.
+    """``df`` with distance_to_end, signal and total_in_src.
 
     The closer a value is to either end of its source's range (0 or the
     maximum), the higher its signal: 1 - (rank - 1) / n.  ``order`` breaks
@@ -27,10 +29,24 @@ def dual_end_signal(df: DataFrame, src: str = "src", value: str = "value", order
     about = df.groupBy(src).agg(F.max(value).alias("_most"), F.count(F.lit(1)).alias("total_in_src"))
     df = joined(df, about, [src]).withColumn("distance_to_end", F.least(F.col(value), F.col("_most") - F.col(value))).drop("_most")
     df = ranked(df, [src], ["distance_to_end", *order], "_near")
-    df = ranked(df, [src], [F.desc(value), *order], "rank_in_src")
     return df.withColumn("signal", F.lit(1.0) - (F.col("_near") - 1) / F.col("total_in_src")).drop("_near")
 
 
+def rank_in_source(df: DataFrame, src: str = "src", value: str = "value", order: Sequence[str] = ("mid",)) -> DataFrame:
+    """``df`` with rank_in_src: the place of each row in its source by falling value."""
+    return ranked(df, [src], [F.desc(value), *order], "rank_in_src")
+
+
+def rank_of_few(few: DataFrame, df: DataFrame, src: str = "src", value: str = "value", order: Sequence[str] = ("mid",)) -> DataFrame:
+    """``few`` rows of ``df`` with rank_in_src, counted in one pass over ``df`` without sorting it; ``few`` goes to all tasks and must be bounded."""
+    here = few.withColumn("_key", F.struct(src, value, *order))
+    sent = here.select("_key", *[F.col(f"_key.{c}").alias(f"_f{i}") for i, c in enumerate([src, value, *order])])
+    own = [F.col(f"_f{i + 2}") for i in range(len(order))]
+    before = (F.col(value) > F.col("_f1")) | ((F.col(value) == F.col("_f1")) & (F.struct(*order) <= F.struct(*[c.alias(o) for c, o in zip(own, order)])))
+    n = df.select(src, value, *order).join(F.broadcast(sent), F.col(src).eqNullSafe(F.col("_f0")) & before).groupBy("_key").agg(F.count(F.lit(1)).alias("rank_in_src"))
+    return joined(here, n, ["_key"]).drop("_key")
+
+
 def first_per_pair(df: DataFrame, keys: Sequence[str] = ("src", "mid"), best: str = "signal", order: Sequence[str] = ()) -> DataFrame:
     """Of the rows of a pair the one with the largest ``best``, the first in ``order``; most rows of a large pair go before anything moves."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(best), *order))
@@ -42,7 +58,11 @@ def top(df: DataFrame, n: int = 200, best: str = "signal", order: Sequence[str]
 
 
 def candidates(coordinates: DataFrame, n: int = 200, order: Sequence[str] = ("mid",), file: str | None = None) -> DataFrame:
-    """src, mid, value, signal, rank_in_src, total_in_src of the ``n`` best pairs of (src, mid, value) rows."""
-    ranked = dual_end_signal(usable(coordinates, file=file), order=order)
-    best = top(first_per_pair(ranked, order=order), n)
+    """src, mid, value, signal, rank_in_src, total_in_src of the ``n`` best pairs of (src, mid, value) rows.
+
+    One sort gives all signals; the other rank is counted for the ``n`` best alone.
+    """
+    rows = kept(usable(coordinates, file=file), "usable")
+    best = kept(top(first_per_pair(dual_end_signal(rows, order=order), order=order), n), "best")
+    best = rank_of_few(best, rows, order=order) if n <= SENT else joined(best, rank_in_source(rows, order=order).select("src", "value", *order, "rank_in_src"), ["src", "value", *order])
     return best.select("src", "mid", F.round("value", 4).alias("value"), F.round("signal", 4).alias("signal"), "rank_in_src", "total_in_src")

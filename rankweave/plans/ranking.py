@@ -33,7 +33,7 @@ def wn1(t):
 
 @query("WN2_rank_in_source", f"WITH {SIGNAL} SELECT src, mid, rank_in_src FROM s")
 def wn2(t):
-    return signal.dual_end_signal(kept(coordinates(t), "coordinates")).select("src", "mid", "rank_in_src")
+    return signal.rank_in_source(kept(coordinates(t), "coordinates")).select("src", "mid", "rank_in_src")
 
 
 @query(
@@ -48,7 +48,7 @@ def wn3(t):
 
 @query("TK1_top_signal", f"WITH {SIGNAL} SELECT src, mid, round(value, 4) AS value, round(signal, 4) AS signal, rank_in_src, total_in_src FROM s ORDER BY s.signal DESC, src, mid LIMIT 200")
 def tk1(t):
-    return signal.candidates(kept(coordinates(t), "coordinates"))
+    return signal.candidates(coordinates(t))
 
 
 @query(

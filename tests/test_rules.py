@@ -197,12 +197,56 @@ def test_ranks_and_medians_over_many_tasks(spark, monkeypatch):
         order = sorted((x for x in rows if x[0] == k), key=lambda x: (-x[1], x[2]))
         assert [got[x[2]] for x in order] == list(range(1, len(order) + 1))
     monkeypatch.setattr(ordered, "FEW", 10)
-    for some in (rows, rows[:-1], rows[:1], [("a", 5.0, i) for i in range(100)], [("a", float(i > 30), i) for i in range(61)], [("a", 10.0 ** (i % 300), i) for i in range(500)]):
+    monkeypatch.setattr(ordered, "GRID", 20)
+    for some in (rows, rows[:1], [("a", 5.0, i) for i in range(100)], [("a", float(i > 30), i) for i in range(61)], [("a", 10.0 ** (i % 300), i) for i in range(500)]):
         want = statistics.median(x[1] for x in some)
         assert ordered.median(spark.createDataFrame(some, "k string, v double, i int"), "v") == want
     assert ordered.median(df.filter("false"), "v") is None
 
 
+def test_quantiles_of_many_groups_with_ties_infinities_and_nan(spark):
+    import duckdb
+
+    from rankweave.operators import ordered
+
+    df = spark.range(130_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 1001 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("k"),
+        F.when(F.col("id") == 5, F.lit(float("inf"))).when(F.col("id") == 6, F.lit(-float("inf"))).when(F.col("id") == 8, F.lit(float("nan"))).when(F.col("id") % 4 == 0, F.lit(3.0)).otherwise(F.sin(F.col("id") * 0.37) ** 3 * 1e6).alias("v"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("w"),
+    )
+    table = df.toPandas()
+    duck = duckdb.connect()
+    duck.register("t", table)
+    table["w"] = table["w"].astype("Float64")
+    got = {(r["k"], r["column"], r["fraction"]): r["value"] for r in ordered.quantiles(df, ["v", "w"], [0.0, 0.25, 0.5, 0.9], ["k"]).collect()}
+    groups = table.assign(k=table.k.fillna("")).groupby("k")
+    for k, g in groups:
+        for c in ("v", "w"):
+            values = sorted((float(x) for x in g[c].dropna()) if c == "w" else [x for x in g[c] if x == x] + [float("nan")] * int(sum(x != x for x in g[c])), key=lambda x: (x != x, x))
+            for p in (0.0, 0.25, 0.5, 0.9):
+                at = (len(values) - 1) * p
+                x, y = values[math.floor(at)], values[math.ceil(at)]
+                assert got[k or None, c, p] == pytest.approx(x if x == y else x + (y - x) * (at - math.floor(at)), rel=1e-12), (k, c, p)
+
+
+def test_mean_ranks_of_a_large_group_with_ties(spark):
+    from rankweave.operators import ordered
+
+    r = random.Random(4)
+    rows = [("hot" if i % 2 else r.choice(["a", "b", None]), r.choice([0.0, -0.0, 1.5, None, float("nan"), float("-inf"), r.random()]), i) for i in range(3000)]
+    out = ordered.mean_ranked(spark.createDataFrame(rows, "k string, v double, i int").repartition(6), ["k"], F.col("v")).collect()
+    key = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    for k in ("hot", "a", "b", None):
+        order = sorted(key(x[1]) for x in rows if x[0] == k)
+        first, last = {}, {}
+        for at, v in enumerate(order, 1):
+            first.setdefault(v, at)
+            last[v] = at
+        own = [x for x in out if x["k"] == k]
+        assert len(own) == len(order)
+        assert all(x["rank"] == (first[key(x["v"])] + last[key(x["v"])]) / 2 for x in own)
+
+
 def test_protocols_at_any_depth(spark):
     deep = '{"id": 1, "steps": [{"description": "<p>Mix</p>", "components": [{"source": {"amount": "2 ml", "unit": "ml", "inner": [{"Temperature": 37.5}]}}, {"name": "MIX"}]}, {"note": "no text"}, {"cases": [[{"value": 3}]]}], "materials": [{"name": "tube", "vendor": {"name": "V"}, "sku": ""}, {"name": "Tube | vendor: V"}]}'
     rows = spark.createDataFrame([(deep,), ("not json",), (None,), ('{"id": 2, "steps": {"text": "no list"}}',)], "j string")
