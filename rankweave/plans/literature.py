@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names, texts
 from ..operators import catalog, corpus, embed, quadrant, refmatch
-from ..sources.shared import kept
+from ..sources import commits
+from ..sources.shared import kept, shared_path
 from .registry import Tables, query
 
 EXP = ["license", "password", "ing "]
@@ -152,6 +153,20 @@ def lt7(t):
     return corpus.new_keys(t.documents.select(F.col("lang").alias("key")), stored, "key")
 
 
+@query("LT7_stored_results", """SELECT c_custkey::VARCHAR AS key, count(o_orderkey) AS n, coalesce(round(sum(o_totalprice), 2), 0) AS total, CASE WHEN c_mktsegment = 'BUILDING' THEN 'first' ELSE 'second' END AS computed
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment""")
+def lt7_stored(t):
+    path = shared_path(t.spark, "results")
+    keys = lambda df: df.select(F.col("c_custkey").cast("string").alias("key"))
+
+    def counted(run: str):
+        sums = t.orders.groupBy(F.col("o_custkey").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        return lambda wanted: wanted.join(sums, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.lit(run).alias("computed"))
+
+    commits.results_of(keys(t.customer.filter("c_mktsegment = 'BUILDING'")), path, counted("first"))
+    return commits.results_of(keys(t.customer), path, counted("second"))  # computes the new keys only
+
+
 @query("LT6_alias_dictionary", "SELECT DISTINCT p_name AS name, unnest([p_name, split_part(p_name, ' ', 1)]) AS alias FROM part")
 def lt6(t):
     return t.part.select(F.col("p_name").alias("name"), F.explode(names.aliases(F.col("p_name"))).alias("alias")).distinct()
@@ -338,6 +353,19 @@ def ct1(t):
     return meta(t).select("run_id", "candidate_count", "source_hint", "created_at")
 
 
+@query("CT1_archived_runs", f"""WITH {RECORDS} SELECT run_id, src, mid, CASE WHEN run_id >= 'run5' THEN 'II' ELSE quadrant END AS quadrant, target, CASE WHEN run_id >= 'run5' THEN 2 ELSE 1 END AS "commit", candidate_count
+    FROM ix JOIN (SELECT run_id, candidate_count FROM mt) USING (run_id)""")
+def ct1_archived(t):
+    root, index, about = shared_path(t.spark, "archive"), full_index(t), meta(t)
+    commits.archive_runs(t.spark, root, {"candidates": index, "meta": about})
+    again = F.col("run_id") >= "run5"  # runs that are done anew
+    commits.archive_runs(t.spark, root, {"candidates": index.filter(again).withColumn("quadrant", F.lit("II")), "meta": about.filter(again)})
+    commits.remove_stale(t.spark, root)
+    live = commits.snapshot(t.spark, root).filter("name = 'candidates'").select("run_id", "commit")
+    rows = commits.archived(t.spark, root, "candidates").join(commits.archived(t.spark, root, "meta").select("run_id", "candidate_count"), "run_id")
+    return rows.join(live, "run_id").select("run_id", "src", "mid", "quadrant", "target", "commit", "candidate_count")
+
+
 @query("CT2_flat_index", f"WITH {RECORDS} SELECT * FROM ix")
 def ct2(t):
     return full_index(t)
