@@ -177,17 +177,17 @@ def _latest(rows: DataFrame) -> DataFrame:
 def stored(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame | None:
     """(key, ...): the latest result of each key, or of those in ``keys``; None for an empty store.
 
-    Of ``keys`` only the buckets are read that they fall into: the join's own
-    list of buckets prunes the folders before they are scanned.
+    Of ``keys`` only the buckets are read that they fall into; their numbers,
+    BUCKETS at most, come to the driver.
     """
     segments, _ = _segments(spark, path)
     if not segments:
         return None
     rows = spark.read.option("basePath", path).parquet(*segments)
     if keys is not None:
-        wanted = keys.select("key").distinct().withColumn("_bucket", _bucket())
-        few = wanted.select("_bucket").distinct()  # BUCKETS rows at most
-        rows = rows.join(F.broadcast(few), F.col("bucket") == F.col("_bucket"), "left_semi").join(wanted.select("key"), "key", "left_semi")
+        wanted = keys.select("key").distinct()
+        few = [r["b"] for r in wanted.select(_bucket().alias("b")).distinct().collect()]
+        rows = rows.filter(F.col("bucket").isin(few)).join(wanted, "key", "left_semi")
     return _latest(rows).drop("bucket")
 
 
