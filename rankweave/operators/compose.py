@@ -112,24 +112,39 @@ def principal_components(df: DataFrame, k: int, rows: str = "pair", column: str
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors).select(rows, vector_to_array("_p").alias("pc"))
 
 
-def ordering(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def ordering(edges: DataFrame, roots: DataFrame, width: float | None = None) -> DataFrame:
     """(id, distance): the shortest distance of each reachable node from the nearest root over (a, b, length) edges in both directions.
 
-    Rounds of relaxation until no node comes closer; only those that did go on.
-    An edge without a length is none; negative lengths have no shortest
-    distance and raise ValueError.  An approximation
-    of a trajectory's ordering from its neighbour graph, not a solver's result.
+    Nodes are settled in bands of distance, ``width`` wide (eight mean lengths
+    if it isn't given).  Within a band only nodes that came closer go on, over
+    edges no longer than the band is wide, until none does; then the band's
+    nodes, now settled, go on over the longer edges once.  Each round joins its
+    frontier alone with the edges.  An edge without a length is none; negative
+    lengths have no shortest distance and raise ValueError.  An approximation of
+    a trajectory's ordering from its neighbour graph, not a solver's result.
     """
     edges = edges.filter("length IS NOT NULL")
-    if not edges.filter("length < 0").isEmpty():
-        raise ValueError("lengths must not be negative")
     both = edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
-    state = roots.select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("moved"))
+    both = kept(both.groupBy("a", "b").agg(F.min("length").alias("length")), "edges")
+    about = both.agg(F.min("length").alias("least"), F.avg("length").alias("mean")).first()
+    if about["least"] is not None and about["least"] < 0:
+        raise ValueError("lengths must not be negative")
+    width = width or 8 * (about["mean"] or 0) or 1.0
+    # todo: 1, all edges still have to be followed; 2, only long ones; 0, none
+    state = kept(roots.select("id").distinct().select("id", F.lit(0.0).alias("distance"), F.lit(1).alias("todo")), "ordered")
+    end = width
     while True:
-        reached = state.filter("moved").join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("distance") + F.col("length")).alias("new"))
-        every = state.select("id", "distance", F.lit(None).cast("double").alias("new")).unionByName(reached.select("id", F.lit(None).cast("double").alias("distance"), "new"))
-        least = every.groupBy("id").agg(F.min("distance").alias("distance"), F.min("new").alias("new"))
+        front = state.agg(F.count_if((F.col("todo") == 1) & (F.col("distance") < end)).alias("near"), F.count_if(F.col("todo") == 2).alias("settled"), F.min(F.when(F.col("todo") == 1, F.col("distance"))).alias("next")).first()
+        if not front["near"]:
+            if not front["settled"] and front["next"] is None:
+                return state.select("id", "distance")
+            if not front["settled"]:
+                end = (front["next"] // width + 1) * width
+                continue
+        goes = (F.col("todo") == 1) & (F.col("distance") < end) if front["near"] else F.col("todo") == 2
+        usable = F.col("length") <= width if front["near"] else F.col("length") > width
+        reached = state.filter(goes).join(both.filter(usable), F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("new"))
+        after = F.when(goes, F.lit(2 if front["near"] else 0)).otherwise(F.col("todo"))
+        met = state.select("id", "distance", after.alias("todo")).join(reached, "id", "full_outer")
         closer = F.coalesce(F.col("new") < F.col("distance") - 1e-12, F.col("distance").isNull())
-        state = kept(least.select("id", F.when(closer, F.col("new")).otherwise(F.col("distance")).alias("distance"), closer.alias("moved")), "ordered")
-        if state.filter("moved").isEmpty():
-            return state.select("id", "distance")
+        state = kept(met.select("id", F.when(closer, F.col("new")).otherwise(F.col("distance")).alias("distance"), F.when(closer, 1).otherwise(F.col("todo")).alias("todo")), "ordered")

@@ -1,4 +1,10 @@
-"""Nearest neighbours over embeddings: exact names first, then cosine by blocks of vectors."""
+"""Nearest neighbours over embeddings: exact names first, then cosine by blocks of vectors.
+
+``top_k`` compares everything with everything.  ``search`` finds the same rows
+through an index: vectors are dealt to the nearest of some centres and, around
+each, into shells.  A query first visits the blocks that may be best; then only
+those whose bound can still beat what it has found.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import spaced
+from ..sources.shared import kept
+from .ordered import ranked
 
 #: Vectors of a block: two blocks meet in one task as matrices.
 BLOCK = 2048
@@ -28,18 +36,30 @@ def exact(queries: DataFrame, index: DataFrame, typed: bool = True) -> DataFrame
     return q.join(i, on).select("qid", "name", F.lit(1.0).alias("score"))
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    one = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return one.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """How far the rows of ``a`` are from those of ``b``: the angle between unit vectors, or the straight distance."""
+    if metric == "angle":
+        return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        out += (a[:, i, None] - b[None, :, i]) ** 2
+    return np.sqrt(out)
 
 
-def _best(k: int, threshold: float):
+def _best(k: int, threshold: float, metric: str = "angle"):
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if len(left) and len(right):
             qid, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
-            scores = _matrix(left.column("vector")) @ _matrix(right.column("x_vector")).T
+            a, b = _matrix(left.column("vector")), _matrix(right.column("x_vector"))
+            scores = a @ b.T if metric == "angle" else -_apart(a, b, metric)
             # a row's k largest scores and what equals the last of them; only these are sorted
             least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
             rows, cols = np.nonzero(scores >= np.maximum(least, threshold)[:, None])
@@ -71,13 +91,135 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0
     return met.withColumn("rank", nth).filter(F.col("rank") <= k)
 
 
+#: Centres of an index at most, besides one for each type, and the least size of a block.
+CENTRES, SMALLEST = 1024, 64
+#: Blocks that a query visits before it knows what it has to beat.
+FIRST = 2
+#: What rounding may take off a bound, beside its size.
+SLACK = 1e-6
+
+
+class Index:
+    """Vectors (id, type, vector) in blocks: shells around centres.
+
+    ``metric`` is "angle" for vectors of length one, whose scores are cosines,
+    or "euclidean", whose scores are distances below zero.  Rows without a type
+    or with a null vector are left out; all vectors must be of one length.
+    ``rows`` is a table of id, vector and block; ``blocks`` and ``centres`` are
+    small.  With n vectors there are about the square root of n blocks of that
+    many vectors, and at most half as many centres, so what is sent to all
+    tasks grows with the root of n only.
+    """
+
+    def __init__(self, vectors: DataFrame, metric: str = "angle", seed: int = 1):
+        self.metric = metric
+        vectors = kept(vectors.filter("type IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "type", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.monotonically_increasing_id().alias("row")), "vectors")
+        n = vectors.count()
+        self.size = max(SMALLEST, int(n**0.5))
+        draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        some = vectors.filter(draw < min(CENTRES, n / self.size / 2) / max(n, 1)).select("type", "vector")
+        each = vectors.groupBy("type").agg(F.min_by("vector", F.struct(draw, "id")).alias("vector"))  # of every type one at least
+        found = some.unionByName(each).distinct().collect()
+        self.centres: dict[str, np.ndarray] = {}
+        for r in sorted(found, key=lambda r: (r["type"], r["vector"])):
+            self.centres.setdefault(r["type"], []).append(r["vector"])
+        self.centres = {t: np.array(v) for t, v in self.centres.items()}
+        centres = self.centres
+
+        def nearest(batches):
+            for batch in (b for b in batches if len(b)):
+                x, types = _matrix(batch.column("vector")), np.array(batch.column("type").to_pylist(), dtype=object)
+                centre, away = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+                for t in set(types.tolist()):
+                    own = np.flatnonzero([v == t for v in types])
+                    a = _apart(x[own], centres[t], metric)
+                    centre[own], away[own] = a.argmin(1), a.min(1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "row", "type", "vector")], pa.array(centre), pa.array(away)], names=["id", "row", "type", "vector", "centre", "away"])
+
+        dealt = vectors.mapInArrow(nearest, "id long, row long, type string, vector array<double>, centre int, away double")
+        dealt = ranked(kept(dealt, "dealt"), ["type", "centre"], ["away", "id", "row"], "nth")
+        self.rows = kept(dealt.withColumn("shell", F.floor((F.col("nth") - 1) / self.size).cast("int")).drop("nth", "row"), "index")
+        shells = self.rows.groupBy("type", "centre", "shell").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        self.blocks: dict[str, dict[str, np.ndarray]] = {}
+        for t in self.centres:
+            own = sorted((r["centre"], r["shell"], r["lo"], r["hi"], r["n"]) for r in shells if r["type"] == t)
+            self.blocks[t] = dict(zip(("centre", "shell", "lo", "hi", "n"), map(np.array, zip(*own))))
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, type, vector, centre, shell) for the blocks that each query (qid, type, vector, least) must look into.
+
+        Without ``least`` (null) these are the most promising ones, FIRST or as
+        many as hold ``k`` vectors; with it, all others that may hold a score
+        of ``least`` or more.
+        """
+        centres, blocks, metric = self.centres, self.blocks, self.metric
+
+        def plan(batches):
+            for batch in (b for b in batches if len(b)):
+                x, types, least = _matrix(batch.column("vector")), batch.column("type").to_pylist(), batch.column("least").to_pylist()
+                row, centre, shell = [], [], []
+                for t in set(types) & set(centres):
+                    own = np.array([i for i, v in enumerate(types) if v == t])
+                    b = blocks[t]
+                    to = _apart(x[own], centres[t], metric)[:, b["centre"]]
+                    gap = np.maximum(0.0, np.maximum(to - b["hi"], b["lo"] - to)) * (1 - SLACK) - SLACK  # the least distance to a vector of the block
+                    order = np.lexsort((to, gap), axis=1)
+                    enough = np.cumsum(b["n"][order], axis=1) < k
+                    count = np.minimum(np.maximum(enough.sum(1) + 1, FIRST), gap.shape[1])
+                    place = np.empty_like(order)
+                    np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(own), 0), axis=1)
+                    early = place < count[:, None]
+                    bar = np.array([np.nan if least[i] is None else np.arccos(np.clip(least[i], -1.0, 1.0)) if metric == "angle" else -least[i] for i in own])
+                    wanted = np.where(np.isnan(bar)[:, None], early, ~early & (gap <= bar[:, None]))
+                    i, j = np.nonzero(wanted)
+                    row.append(own[i])
+                    centre.append(b["centre"][j])
+                    shell.append(b["shell"][j])
+                row, centre, shell = (np.concatenate([np.empty(0, np.int64), *v]).astype(np.int64) for v in (row, centre, shell))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in ("qid", "type", "vector")], pa.array(centre, pa.int32()), pa.array(shell, pa.int32())], names=["qid", "type", "vector", "centre", "shell"])
+
+        return queries.select("qid", "type", "vector", "least").mapInArrow(plan, "qid long, type string, vector array<double>, centre int, shell int")
+
+    def looked(self, visits: DataFrame, k: int, threshold: float) -> DataFrame:
+        """(qid, id, score): the ``k`` best of each visited block; the queries of a block that many visit are dealt out."""
+        at = ["type", "centre", "shell"]
+        parts = visits.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        q = visits.join(parts, at).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).drop("parts")
+        x = self.rows.join(parts, at).withColumn("x_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        x = x.select(*[F.col(c).alias(f"x_{c}") for c in at], "x_part", "id", F.col("vector").alias("x_vector"))
+        return q.groupBy(*at, "part").cogroup(x.groupBy(*[f"x_{c}" for c in at], "x_part")).applyInArrow(_best(k, threshold, self.metric), "qid long, id long, score double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", nth).filter(F.col("rank") <= k)
+
+
+def search(queries: DataFrame, index: Index, k: int = 5, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """What ``top_k`` gives, and (qid, visited, blocks): how many of the blocks of its type each query visited.
+
+    Exact: a block is left out only if no vector in it can reach the k-th score
+    that a query has found already, or the threshold.
+    """
+    q = kept(queries.select(F.col("qid").cast("long").alias("qid"), "type", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "queries")
+    first = kept(index.visits(q.withColumn("least", F.lit(None).cast("double")), k), "first-visits")
+    early = kept(index.looked(first, k, threshold), "early")
+    least = _top(early, k).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    rest = q.join(least, "qid", "left").withColumn("least", F.coalesce("kth", F.lit(float(threshold))))
+    then = kept(index.visits(rest, k), "visits")
+    out = _top(early.unionByName(index.looked(then, k, threshold)), k)
+    made = first.select("qid").unionByName(then.select("qid")).groupBy("qid").agg(F.count(F.lit(1)).alias("visited"))
+    sizes = F.create_map(*[F.lit(v) for t, b in index.blocks.items() for v in (t, len(b["centre"]))]) if index.blocks else F.create_map().cast("map<string,int>")
+    return out, q.select("qid", "type").join(made, "qid", "left").select("qid", F.coalesce("visited", F.lit(0)).alias("visited"), F.coalesce(F.try_element_at(sizes, F.col("type")), F.lit(0)).alias("blocks"))
+
+
 def retrieve(queries: DataFrame, index: DataFrame, k: int = 10, threshold: float = 0.7) -> DataFrame:
     """(qid, name, score, rank): exact names alone where there are any, else the nearest vectors with each name once."""
     hits = exact(queries, index)
     nth = Window.partitionBy("qid").orderBy(F.desc("score"), "name")
     first = hits.withColumn("rank", F.row_number().over(nth)).filter(F.col("rank") <= k)
     rest = queries.join(hits.select("qid").distinct(), "qid", "left_anti")
-    near = top_k(rest.select("qid", "type", "vector"), index.select("id", "type", "vector"), 2 * k, threshold).drop("rank")
+    near = search(rest.select("qid", "type", "vector"), Index(index.select("id", "type", "vector")), 2 * k, threshold)[0].drop("rank")
     named = near.join(index.select("id", "name"), "id").groupBy("qid", "name").agg(F.max("score").alias("score"))
     named = named.withColumn("rank", F.row_number().over(nth)).filter(F.col("rank") <= k)
     return first.select("qid", "name", "score", "rank").unionByName(named.select("qid", "name", "score", "rank"))
@@ -90,3 +232,10 @@ def entity_names(*sources: tuple[DataFrame, str, str]) -> DataFrame:
         rows = df.select(F.trim(F.col(column).cast("string")).alias("name"), F.lit(kind).alias("type"))
         out = rows if out is None else out.unionByName(rows)
     return out.filter("name IS NOT NULL AND name NOT IN ('', 'NA')").distinct()
+
+
+def neighbour_graph(points: DataFrame, k: int = 5) -> DataFrame:
+    """(a, b, length): each point (id, type, vector) with its ``k`` nearest others of its type; of equal distances the lesser ids."""
+    near = search(points.select(F.col("id").alias("qid"), "type", "vector"), Index(points, "euclidean"), k + 1, -float("inf"))[0].filter("qid != id")
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return near.withColumn("rank", nth).filter(F.col("rank") <= k).select(F.col("qid").alias("a"), F.col("id").alias("b"), (-F.col("score")).alias("length"))

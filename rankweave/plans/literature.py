@@ -302,7 +302,7 @@ rk AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score
 @query("EM3_batch_retrieval", f"WITH {NEAR} SELECT qid, id, round(score, 5) AS score, rank FROM rk WHERE rank <= 5")
 def em3(t):
     v = vectors(t)
-    near = embed.top_k(v.withColumnRenamed("id", "qid"), v, 5, 0.2)
+    near, _ = embed.search(v.withColumnRenamed("id", "qid"), embed.Index(v), 5, 0.2)
     return near.select("qid", "id", F.round("score", 5).alias("score"), "rank")
 
 

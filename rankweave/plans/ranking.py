@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compose, ordered, quadrant, signal
+from ..operators import compose, embed, ordered, quadrant, signal
 from ..sources.shared import kept
 from .registry import Tables, query
 
@@ -404,6 +404,32 @@ def tr4(t):
     return compose.ordering(e, t.region.select(F.concat(F.lit("R"), "r_regionkey").alias("id")))
 
 
+POINTS = """po AS (SELECT c_custkey AS id, c_mktsegment AS type, c_acctbal / 100 AS x, c_nationkey * 7.0::DOUBLE AS y FROM customer),
+ne AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS length, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS nth FROM po a JOIN po b ON a.type = b.type AND a.id != b.id)"""
+
+
+def points(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), F.array(F.col("c_acctbal") / 100, F.col("c_nationkey") * 7.0).alias("vector"))
+
+
+@query("TR4_neighbour_graph", f"WITH {POINTS} SELECT a, b, round(length, 6) AS length FROM ne WHERE nth <= 5")
+def tr4_graph(t):
+    return embed.neighbour_graph(points(t), 5).select("a", "b", F.round("length", 6).alias("length"))
+
+
+@query(
+    "TR4_graph_ordering",
+    f"""WITH RECURSIVE {POINTS}, e AS MATERIALIZED (SELECT a, b, length FROM ne WHERE nth <= 5 UNION SELECT b, a, length FROM ne WHERE nth <= 5),
+    r(id, distance) USING KEY (id) AS (SELECT min(id), 0.0::DOUBLE FROM po GROUP BY type UNION
+      SELECT e.b, min(r.distance + e.length) FROM r JOIN e ON r.id = e.a LEFT JOIN recurring.r old ON old.id = e.b WHERE old.distance IS NULL OR r.distance + e.length < old.distance - 1e-12 GROUP BY e.b)
+    SELECT id, round(distance, 5) AS distance FROM r""",
+)
+def tr4_distances(t):
+    graph = embed.neighbour_graph(points(t), 5)
+    roots = points(t).groupBy("type").agg(F.min("id").alias("id")).select("id")
+    return compose.ordering(graph, roots).select("id", F.round("distance", 5).alias("distance"))
+
+
 @query("JN8_sample_guard", "SELECT strftime(l_shipdate, '%Y-%m') AS sample FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag != 'A')")
 def jn8_guard(t):
     month = F.date_format("l_shipdate", "yyyy-MM").alias("sample")

@@ -170,6 +170,57 @@ def test_ordering_of_a_chain_of_sixty_hops(spark):
         compose.ordering(spark.createDataFrame([("0", "1", -1.0)], "a string, b string, length double"), spark.createDataFrame([("0",)], "id string"))
 
 
+def test_index_gives_what_comparing_everything_gives_and_visits_little(spark):
+    import numpy as np
+
+    from rankweave.operators import embed
+
+    r = np.random.default_rng(3)
+    middle = r.normal(0, 1, (40, 24))
+    v = middle[r.integers(0, 40, 6000)] + r.normal(0, 0.08, (6000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, "a" if i % 5 else "b", x.tolist()) for i, x in enumerate(v)] + [(6000, "b", v[0].tolist()), (6001, None, v[1].tolist()), (6002, "lone", v[2].tolist())]
+    df = spark.createDataFrame(rows, "id long, type string, vector array<double>").repartition(5)
+    q = df.filter("id % 3 = 0 OR id > 5999").withColumnRenamed("id", "qid").unionByName(spark.createDataFrame([(9000, "unknown", v[3].tolist())], "qid long, type string, vector array<double>"))
+    got, visited = embed.search(q, embed.Index(df), 7, 0.3)
+    plain = {(x["qid"], x["id"], x["rank"]): x["score"] for x in embed.top_k(q, df, 7, 0.3).collect()}
+    mine = {(x["qid"], x["id"], x["rank"]): x["score"] for x in got.collect()}
+    assert mine.keys() == plain.keys() and all(abs(mine[k] - plain[k]) < 1e-12 for k in plain)
+    work = visited.filter("blocks > 0").agg(F.sum("visited").alias("v"), F.sum("blocks").alias("b")).first()
+    assert work["v"] / work["b"] < 0.3
+    assert embed.search(q, embed.Index(df.limit(0)), 7, 0.3)[0].collect() == []
+
+
+def test_neighbour_graph_and_bands_against_plain_search(spark):
+    import heapq
+
+    from rankweave.operators import embed
+
+    r = random.Random(6)
+    points = [(i, "ab"[i % 4 == 0], [r.random() * 10, r.choice([0.0, 0.5, 3.0])]) for i in range(160)] + [(500 + i, "a", [5.0, 5.0]) for i in range(9)]
+    edges = embed.neighbour_graph(spark.createDataFrame(points, "id long, type string, vector array<double>"), 3)
+    got = {(x["a"], x["b"]): x["length"] for x in edges.collect()}
+    want = {}
+    for i, t, p in points:
+        near = sorted((math.dist(p, q), j) for j, u, q in points if u == t and j != i)[:3]
+        want |= {(i, j): d for d, j in near}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    around, best = {}, {}
+    for (a, b), d in want.items():
+        around.setdefault(a, []).append((d, b))
+        around.setdefault(b, []).append((d, a))
+    heap = [(0.0, 0), (0.0, 1)]
+    while heap:
+        d, i = heapq.heappop(heap)
+        if i not in best:
+            best[i] = d
+            for step, j in around[i]:
+                heapq.heappush(heap, (d + step, j))
+    for width in (None, 0.4):
+        found = {x["id"]: x["distance"] for x in compose.ordering(edges, spark.createDataFrame([(0,), (1,)], "id long"), width).collect()}
+        assert found.keys() == best.keys() and all(found[k] == pytest.approx(best[k]) for k in best)
+
+
 @pytest.mark.parametrize("alternative", ["greater", "two-sided"])
 def test_exact_rank_sums_against_all_signs(spark, alternative):
     rows = [("a", d) for d in (0.5, -0.1, 2.0, 3.5, -1.25, 0.75, 4.0, 0.2)] + [("tied", d) for d in (1.0, -1.0, 2.0)] + [("zero", d) for d in (0.0, 1.0, 3.0)] + [("none", 0.0)]
