@@ -12,10 +12,10 @@
    candidate groups; every pair of a group is verified on the shingle sets.  A
    large group is dealt out as pairs of blocks, so no task ever gets a whole
    group, and only counts and a spanning forest leave a task.
-4. The similarities of the verified pairs tell how many pairs of each
-   similarity there must be, met or not, and so the recall.  While it is below
-   the target for any similarity that occurs, prefixes are shortened, one tree
-   after another, and the groups that grow by it are verified anew.
+4. While the recall is below the target for any similarity, prefixes are
+   shortened, one tree after another, and the groups that grow by it are
+   verified anew.  The similarities that count are those of the verified pairs
+   and the threshold itself: a lone pair there can't be seen before it is met.
 5. Verified links make the classes.
 """
 
@@ -62,10 +62,10 @@ def shortened(depths: list[int], found: dict[int, int], threshold: float, recall
     """The prefix of each tree after as many steps as the target needs; each step takes one hash from the longest prefix.
 
     found: verified pairs by bin of similarity.  A bin's recall is estimated
-    at its lower edge, or the threshold.  Where nothing was found, nothing can
-    be estimated: the threshold itself must then meet the target.
+    at its lower edge, or the threshold.  The threshold always counts, whatever
+    was found: similar pairs elsewhere say nothing about a lone pair there.
     """
-    edges = [max(threshold, b / BINS) for b, n in found.items() if n] or [threshold]
+    edges = [threshold, *[max(threshold, b / BINS) for b, n in found.items() if n]]
     depths = list(depths)
     while min(chance_met(s, depths) for s in edges) < recall and max(depths) > 1:
         depths[depths.index(max(depths))] -= 1

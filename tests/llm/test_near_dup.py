@@ -99,12 +99,41 @@ def test_depths_are_shortened_until_the_recall_is_met():
     d = near_dup.matched_depth(0.8, 0.99)
     assert near_dup.chance_met(0.8, [d] * near_dup.TREES) >= 0.99 > near_dup.chance_met(0.8, [d + 1] * near_dup.TREES)
     full = [near_dup.DEPTH] * near_dup.TREES
-    assert near_dup.shortened(full, {97: 5}, 0.8, 0.9995) == full  # close copies alone are met at full depth
-    some = near_dup.shortened(full, {97: 5, 84: 1}, 0.8, 0.9995)
-    assert some != full and near_dup.chance_met(0.84, some) >= 0.9995
     most = near_dup.shortened(full, {80: 1}, 0.8, 0.9995)
-    assert near_dup.chance_met(0.8, most) >= 0.9995 and sum(most) < sum(some) and min(most) >= near_dup.matched_depth(0.8, 0.9995)
-    assert near_dup.shortened(full, {}, 0.8, 0.9995) == most
+    assert near_dup.chance_met(0.8, most) >= 0.9995 and min(most) >= near_dup.matched_depth(0.8, 0.9995)
+    # the threshold counts whatever was found, and a lower target takes longer prefixes
+    assert all(near_dup.shortened(full, found, 0.8, 0.9995) == most for found in ({}, {97: 5}, {97: 5, 84: 1}))
+    assert sum(near_dup.shortened(full, {97: 5}, 0.8, 0.9)) > sum(most)
+
+
+def test_a_lone_pair_at_the_threshold_is_met_beside_close_ones():
+    depths = near_dup.shortened([near_dup.DEPTH] * near_dup.TREES, {99: 5}, 0.8, 0.9995)
+    r, lost = np.random.default_rng(8), 0
+    for _ in range(4):
+        sets = []
+        for _ in range(500):  # 40 of 50 elements in common
+            x = r.integers(0, 2**63, 50, dtype=np.uint64)
+            sets += [np.sort(x[:45]), np.sort(np.concatenate([x[:40], x[45:]]))]
+        signed = near_dup.signatures(sets)
+        hashes = signed[:, : near_dup.HASH * near_dup.DEPTH * near_dup.TREES].reshape(len(sets), near_dup.TREES, near_dup.DEPTH, near_dup.HASH)
+        same = (hashes[::2] == hashes[1::2]).all(3)
+        met = np.any([same[:, t, :d].all(1) for t, d in enumerate(depths)], axis=0)
+        at = np.arange(0, len(sets), 2)
+        met &= near_dup.alike(signed[:, near_dup.HASH * near_dup.DEPTH * near_dup.TREES :], at, at + 1, near_dup.least_agreement(0.8))
+        lost += int((~met).sum())
+    assert lost <= 2
+
+
+def test_a_lone_pair_beside_close_pairs_in_a_table(spark):
+    docs = []
+    for i in range(5):
+        base = [f"c{i}_{k}" for k in range(600)]
+        docs += [(10 * i, " ".join(base)), (10 * i + 1, " ".join([*base[:-1], "other"]))]
+    for i in range(60):  # 40 of 50 shingles
+        base = [f"p{i}_{k}" for k in range(49)]
+        docs += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join([*base[:44], *[f"q{i}_{k}" for k in range(5)]]))]
+    got = {x["doc_id"]: x for x in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert all(x["n_links"] == 1 and x["class_id"] == i - i % 2 for i, x in got.items())
 
 
 def test_runs_are_compared_as_all_pairs_are():
