@@ -10,8 +10,14 @@ add them.
 Kinds: payment cards (Luhn), IBAN (mod 97), phone numbers (of North America, and
 international ones of their country's length), social security numbers, IPv4
 addresses, calendar dates; the letters and digits of an e-mail address's local
-part; and access keys, tokens and passwords that stand behind their usual
-names.  What fails its check stays as it is.
+part; and access keys, tokens and passwords of any length that stand behind their
+usual names, in whatever case and quotes; below 16 characters they must hold
+letters and digits.  What fails its check stays as it is.
+
+Not replaced: letters beyond ASCII in an e-mail address, IPv6 addresses, social
+security and North American phone numbers written without separators, phone
+numbers of countries whose calling code is not in ``PHONE_LENGTHS``, and
+passwords with other punctuation than ``+/_-``.
 
 A date has one pseudonym, in whatever form it is written.  Days up to the 12th
 stay such days, and later ones later ones: that tells a month from a day where
@@ -44,11 +50,11 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 
 PATTERN = re.compile(
     r"""
-      (?<![\w.%+-]) (?P<email> [A-Za-z0-9._%+-]+ (?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}) )
+      (?<![\w.%+-]) (?P<email> [\w.%+-]+ (?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}) )
     | \b (?P<iban> [A-Z]{2}[0-9]{2} (?:[ ]?[A-Z0-9]{4}){2,7} (?:[ ]?[A-Z0-9]{1,3})? ) \b
     | \b (?P<key> (?:AKIA|ASIA)[0-9A-Z]{16} ) \b
-    | \b (?:password|passwd|secret|token|api_key) (?:\s?[=:]\s?"?) (?P<secret> [A-Za-z0-9+/_-]{16,128} ) (?![\w+/-])
-    | (?<![\w.-]) (?P<date> [0-9]{4}-[0-9]{2}-[0-9]{2} | [0-9]{1,2}(?P<dot>[./-])[0-9]{1,2}(?P=dot)[0-9]{4} ) (?![\w-]|[.][0-9])
+    | (?<![A-Za-z0-9]) (?i:password|passwd|secret|token|api[_-]?key) ["']?\s?[=:]\s?["']? (?P<secret> [A-Za-z0-9+/_-]{8,} ) (?![\w+/-])
+    | (?<![\w.-]) (?P<date> [0-9]{4}-[0-9]{2}-[0-9]{2} | [0-9]{1,2}(?P<dot>[./-])[0-9]{1,2}(?P=dot)[0-9]{4} ) (?: (?=T[0-9]{2}:) | (?![\w-]|[.][0-9]) )
     | (?<![\w.]) (?P<ip> (?:[0-9]{1,3}\.){3}[0-9]{1,3} ) (?!\w|\.[0-9])
     | (?<![\w-]) (?P<ssn> [0-9]{3}-[0-9]{2}-[0-9]{4} ) (?![\w-])
     | (?<![\w.+-]) (?P<phone> (?:\+1[ .-]?)? (?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-]) [0-9]{3}[ .-][0-9]{4} | \+[2-9][0-9]{0,2}(?:[ .-]?[0-9]){7,11} ) (?!\w)
@@ -273,8 +279,8 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
-    """Hexadecimal digits stay such; of other secrets each character stays in its alphabet.  Words alone are no secrets."""
-    hexadecimal = lambda t: all(c in DIGITS + "abcdef" for c in t)
+    """Hexadecimal digits stay such from 16 on; of other secrets each character stays in its alphabet.  Words alone are no secrets."""
+    hexadecimal = lambda t: len(t) >= 16 and all(c in DIGITS + "abcdef" for c in t)
     if hexadecimal(text):
         return _in_alphabet(text, DIGITS + "abcdef", key, f"secret{len(text)}", back)
     if not (any(c in DIGITS for c in text) and any(c in LOWER + UPPER for c in text)):

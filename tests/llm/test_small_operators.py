@@ -377,3 +377,21 @@ def test_feistel_is_a_permutation():
         image = [pii.permuted(v, size, b"k", "t") for v in range(size)]
         assert sorted(image) == list(range(size))
         assert [pii.permuted(v, size, b"k", "t", back=True) for v in image] == list(range(size))
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("at 2021-05-13T10:00:00Z", "date"), ('{"password": "hunter2hunter2"}', "secret"), ("Password: hunter2x", "secret"), ("SECRET='aB3dE6gH9jK2mN5p'", "secret"), ("client_secret=ab12cd34ef56", "secret"),
+        ("Api-Key: " + "x1Y2" * 60, "secret"), ("token = " + "0123456789abcdef" * 20, "secret"), ("mail jörg.weiß7@example.org", "email"), ('{"api_key" : "Zz9-yy8/xx7+ww6"}', "secret"),
+    ],
+)
+def test_forms_of_personal_data(text, kind):
+    new, found = pii.replaced(text, b"key", {})
+    assert found == dict.fromkeys(pii.KINDS, 0) | {kind: 1} and new != text and len(new) == len(text)
+    assert pii.replaced(new, b"key", {}, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["the password: is required", "token: transferable", "a secret: something", "Secret: short1", "1 May 2021T", "the tokens = 12345678901 of all", "2021-05-13Tuesday 1"])
+def test_forms_that_are_no_personal_data(text):
+    assert pii.replaced(text, b"key", {}) == (text, dict.fromkeys(pii.KINDS, 0))
