@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import texts
 from ..sources.shared import kept
@@ -13,12 +16,72 @@ from .ordered import each_slot, occupied, slot_of
 from .quadrant import novelty_by_ceiling
 
 
+#: Letters of all terms together up to which one automaton, sent to all tasks, finds them; beyond it terms and words are joined.
+AUTOMATON = 2_000_000
+#: Automata that a worker keeps from one task to the next.
+_BUILT: dict[str, object] = {}
+
+
+def _automaton(name: str, terms: Sequence[tuple[str, Sequence[str]]]):
+    """An Aho-Corasick automaton that reports a term's number and length at its last letter; a worker builds it once."""
+    import ahocorasick
+
+    if name not in _BUILT:
+        _BUILT.clear()
+        made = ahocorasick.Automaton()
+        for i, (low, _) in enumerate(terms):
+            made.add_word(low, (i, len(low)))
+        made.make_automaton()
+        _BUILT[name] = made
+    return _BUILT[name]
+
+
+def _terms_in(text: str, automaton) -> list[int]:
+    """The numbers of the terms in a text, each once; up to three letters they must be whole words."""
+    found, end = set(), len(text) - 1
+    for last, (i, n) in automaton.iter(text):
+        if i not in found and (n > 3 or not (last < end and text[last + 1].isalnum()) and not (last >= n and text[last - n].isalnum())):
+            found.add(i)
+    return sorted(found)
+
+
 def incidence(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", flags: Sequence[str] = ()) -> DataFrame:
     """(doc, term, flags): each distinct term that a document holds, once.
 
     Terms of up to three letters must be whole words, longer ones may lie in a
-    word; several words must follow each other.  The text's distinct words
-    decide where a term can be at all; only those places are looked at.
+    word; case doesn't matter, nor white space around a term.  Terms without a
+    letter or digit, and null texts, are in nothing.  One pass over the
+    documents runs an automaton of all terms, while these are few enough to be
+    sent to all tasks (``AUTOMATON``); see ``joined_incidence`` for more.
+    """
+    t = terms.select(F.lower(F.trim(term)).alias("_low"), F.col(term).alias("_term")).filter(F.col("_low").rlike(r"[\p{L}\p{N}]")).distinct()
+    t = kept(t.groupBy("_low").agg(F.sort_array(F.collect_list("_term")).alias("_terms")), "terms")
+    if (t.agg(F.sum(F.length("_low") * F.size("_terms")).alias("n")).first()["n"] or 0) > AUTOMATON:
+        return joined_incidence(docs, terms, doc, text, term, flags)
+    known = [(r["_low"], r["_terms"]) for r in t.orderBy("_low").collect()]
+    name, out = uuid.uuid4().hex, [doc, *flags]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, known)
+        for batch in batches:
+            row, held = [], []
+            for at, value in enumerate(batch.column("_text")):
+                for i in _terms_in(value.as_py() or "", automaton) if known else []:
+                    row += [at] * len(known[i][1])
+                    held += known[i][1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row, pa.int64())) for c in out], pa.array(held, pa.string())], names=[*out, "_held"])
+
+    rows = docs.select(*out, F.lower(text).alias("_text"))
+    schema = T.StructType([*[rows.schema[c] for c in out], T.StructField("_held", T.StringType())])
+    found = rows.mapInArrow(work, schema).withColumnRenamed("_held", term)
+    return found.select(doc, term, *flags)
+
+
+def joined_incidence(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", flags: Sequence[str] = ()) -> DataFrame:
+    """What ``incidence`` gives, for any number of terms.
+
+    The text's distinct words decide where a term can be at all; only those
+    places are looked at.
     """
     low = docs.select(doc, *flags, F.lower(text).alias("_text"))
     words = low.select(doc, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("_word"))

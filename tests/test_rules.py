@@ -118,6 +118,27 @@ def test_short_terms_are_whole_words_in_any_script(spark):
     assert one(spark, texts.has_term(F.lit("a réer b"), "er"), texts.has_term(F.lit("an er b"), "er"), texts.has_term(F.lit("xtionx"), "tion")) == (False, True, True)
 
 
+def test_terms_in_one_pass_and_by_join(spark, monkeypatch):
+    texts_ = ["The ABC of er, tion", "abcx réer erx er", None, "", "gut microbe-one; alpha  beta", "ALPHA BETA gut", "xabcx " * 50 + "er", "x" * 100_000 + "abc", "Ⅷ er² (er)"]
+    docs = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts_)], "doc_id long, text string, exp boolean").repartition(3)
+    terms = spark.createDataFrame([(t,) for t in ["abc", "ABC", " er ", "er", "tion", "alpha beta", "alpha", "microbe", "gut microbe-one", "--", "", None, "abcx"]], "term string")
+    got = sorted((r["doc_id"], r["term"], r["exp"]) for r in corpus.incidence(docs, terms, flags=["exp"]).collect())
+    want = []
+    for i, t in enumerate(texts_):
+        for term in {"abc", "ABC", " er ", "er", "tion", "alpha beta", "alpha", "microbe", "gut microbe-one", "abcx"}:
+            low, text = term.strip().lower(), (t or "").lower()
+            at = [k for k in range(len(text)) if text.startswith(low, k)]
+            if any(len(low) > 3 or not (text[k - 1 : k].isalnum() or text[k + len(low) : k + len(low) + 1].isalnum()) for k in at):
+                want.append((i, term, i % 2 == 0))
+    assert got == sorted(want)
+    plan = corpus.incidence(docs, terms)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    monkeypatch.setattr(corpus, "AUTOMATON", 0)
+    assert corpus.incidence(docs, terms.limit(0)).collect() == []
+    plain = terms.filter("term NOT IN (' er ', 'ABC')")  # the join trims no term
+    assert sorted((r["doc_id"], r["term"]) for r in corpus.incidence(docs, plain).collect()) == sorted((i, t) for i, t, _ in want if t not in (" er ", "ABC"))
+
+
 def test_coordinate_files(spark, tmp_path):
     for name, body in {"p_min0_A_b_seed_1.csv": 'Row.names,Pseudotime\n"x-1-A_b",2\ny-A_b,\n', "p_min0_C_d_seed_1.csv": "Row.names,Pseudotime\nz-C_d,0\n", "none.csv": "Row.names,Pseudotime\nw,3\n"}.items():
         (tmp_path / name).write_text(body)
