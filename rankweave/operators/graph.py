@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 from ..functions import names, texts
 
 
@@ -59,32 +62,44 @@ def induced(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> Dat
     return edges.join(a, "source").join(nodes.select(*keys, F.col("id").alias("target")).distinct(), [*keys, "target"])
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, directed: bool = True, between: DataFrame | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, directed: bool = True, between: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """(start, end, nodes, relations, length): paths without repeated nodes from start to end of ``pairs``, of at most ``depth`` edges.
 
-    ``between``: the ids allowed inside a path.  Each step keeps only nodes
-    from which an end can still be reached in the steps that are left, and
-    stops where it has arrived.
+    ``between``: the ids allowed inside a path.  ``k``: a pair that has so many
+    paths gets none that are longer; of the last length all stay, so that the
+    ``k`` shortest can be chosen.  Halves grow from the starts and from the
+    ends, once for each node however many pairs it is in, and meet in the
+    middle by end and node together, so a hub's halves lie in many tasks.
     """
     step = (edges.select("source", "target", "relation") if directed else both_ways(edges).select("source", "target", "relation")).distinct()
-    # for each number of steps left, the nodes that can reach each end
-    near = [pairs.select("end", F.col("end").alias("node")).distinct()]
-    for _ in range(depth - 1):
-        last = near[-1].select("end", F.col("node").alias("target"))
-        back = step.select("source", "target").distinct().join(last, "target").select("end", F.col("source").alias("node"))
-        near.append(near[-1].unionByName(back).distinct())
-    rows = pairs.select("start", "end").distinct().filter("start != end").select("start", "end", F.array("start").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.col("start").alias("node"))
-    done = None
-    for k in range(1, depth + 1):
-        moved = rows.join(step.withColumnRenamed("source", "node"), "node").filter(~F.array_contains("nodes", F.col("target")))
-        moved = moved.select("start", "end", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("relations", F.col("relation")).alias("relations"), F.col("target").alias("node"))
-        arrived = moved.filter("node = end").select("start", "end", "nodes", "relations", F.lit(k).alias("length"))
-        done = arrived if done is None else done.unionByName(arrived)
-        if k < depth:
-            rows = moved.filter("node != end").join(near[depth - k], ["end", "node"], "left_semi")
-            if between is not None:
-                rows = rows.join(between.select(F.col("id").alias("node")), "node", "left_semi")
-    return done
+    step = kept(step, "steps")
+    allowed = lambda c: step if between is None else step.join(between.select(F.col("id").alias(c)).distinct(), c, "left_semi")
+    todo = kept(pairs.select("start", "end").filter("start != end").distinct(), "pairs")
+    out = ["start", "end", "nodes", "relations", "length"]
+    none = F.array().cast("array<string>")
+    one = todo.join(step, (F.col("start") == F.col("source")) & (F.col("end") == F.col("target")))
+    done = [kept(one.select("start", "end", F.array("start", "end").alias("nodes"), F.array("relation").alias("relations"), F.lit(1).alias("length")), "paths")]
+    # halves by their number of edges: from the start to a node, and from a node to the end
+    ahead = [todo.select("start", F.col("start").alias("node"), F.array("start").alias("nodes"), none.alias("relations")).distinct()]
+    back = [todo.select("end", F.col("end").alias("node"), F.array("end").alias("nodes"), none.alias("relations")).distinct()]
+    for length in range(2, depth + 1):
+        if k is not None:
+            enough = reduce(DataFrame.unionByName, done).groupBy("start", "end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+            todo = kept(todo.join(enough, ["start", "end"], "left_anti"), "pairs")
+            if todo.isEmpty():
+                break
+        first, second = (length + 1) // 2, length // 2
+        if len(ahead) <= first:
+            rows = ahead[-1].join(todo.select("start").distinct(), "start", "left_semi").join(allowed("target").withColumnRenamed("source", "node"), "node").filter(~F.array_contains("nodes", F.col("target")))
+            ahead.append(kept(rows.select("start", F.col("target").alias("node"), F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("relations", F.col("relation")).alias("relations")), "ahead"))
+        if len(back) <= second:
+            rows = back[-1].join(todo.select("end").distinct(), "end", "left_semi").join(allowed("source").withColumnRenamed("target", "node"), "node").filter(~F.array_contains("nodes", F.col("source")))
+            back.append(kept(rows.select("end", F.col("source").alias("node"), F.array_prepend("nodes", F.col("source")).alias("nodes"), F.array_prepend("relations", F.col("relation")).alias("relations")), "back"))
+        met = todo.join(ahead[first], "start").join(back[second].withColumnsRenamed({"nodes": "_nodes", "relations": "_relations"}), ["end", "node"])
+        rest = F.slice("_nodes", 2, depth)
+        met = met.filter(~F.arrays_overlap("nodes", rest)).select("start", "end", F.concat("nodes", rest).alias("nodes"), F.concat("relations", "_relations").alias("relations"), F.lit(length).alias("length"))
+        done.append(kept(met.select(out), "paths"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def path_text(nodes: str = "nodes", relations: str = "relations") -> Column:

@@ -82,9 +82,10 @@ def gr10(t):
 
 
 def directed_paths(t: Tables) -> DataFrame:
-    """From every region to every part type: region, nation, supplier, brand, type."""
-    n = nodes(t)
-    pairs = n.filter("type = 'region'").select(F.col("id").alias("start")).crossJoin(n.filter("type = 'brand'").select(F.col("id").alias("end")))
+    """From regions to the brands that suppliers there sell: region, nation, supplier, brand."""
+    sold = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
+    held = sold.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    pairs = held.select(F.concat(F.lit("R"), "n_regionkey").alias("start"), F.concat(F.lit("B:"), "p_brand").alias("end")).distinct()
     return graph.simple_paths(edges(t), pairs, 3)
 
 
@@ -104,14 +105,26 @@ def tk7(t):
 
 @query(
     "GR7_undirected_paths",
-    f"""WITH {GRAPH}, pa AS (SELECT a.source AS start, b.target AS "end", a.source || ' -[' || a.relation || ']-> ' || a.target || ' -[' || b.relation || ']-> ' || b.target AS path
-      FROM un a JOIN un b ON a.target = b.source WHERE a.source LIKE 'N%' AND b.target LIKE 'B:%' AND a.target LIKE 'S%')
-    SELECT start, "end", path FROM (SELECT *, row_number() OVER (PARTITION BY start, "end" ORDER BY path) AS nth FROM pa) WHERE nth <= 5""",
+    f"""WITH {GRAPH}, ask AS (SELECT 'N' || c_nationkey AS start, arg_min('B:' || p_brand, (-n, p_brand)) AS "end" FROM (SELECT c_nationkey, p_brand, count(*) AS n
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL) GROUP BY c_nationkey),
+    un2 AS (SELECT DISTINCT source, target, relation FROM un), inner_step AS (SELECT * FROM un2 WHERE target NOT LIKE 'R%'),
+    p1 AS (SELECT start, "end", u.relation AS r1 FROM ask JOIN un2 u ON source = start AND target = "end"),
+    h AS (SELECT start, "end", a.target AS x, a.relation AS r1, b.target AS y, b.relation AS r2 FROM ask JOIN inner_step a ON a.source = start JOIN un2 b ON b.source = a.target WHERE a.target != "end" AND b.target != start),
+    i AS (SELECT h.*, c.target AS z, c.relation AS r3 FROM h JOIN un2 c ON c.source = y WHERE y != "end" AND y NOT LIKE 'R%' AND c.target NOT IN (start, x)),
+    j AS (SELECT i.*, d.target AS w, d.relation AS r4 FROM i JOIN un2 d ON d.source = z AND d.target = "end" WHERE z != "end" AND z NOT LIKE 'R%'),
+    pa AS (SELECT start, "end", 1 AS length, start || ' -[' || r1 || ']-> ' || "end" AS path FROM p1
+      UNION ALL SELECT start, "end", 2, start || ' -[' || r1 || ']-> ' || x || ' -[' || r2 || ']-> ' || y FROM h WHERE y = "end"
+      UNION ALL SELECT start, "end", 3, start || ' -[' || r1 || ']-> ' || x || ' -[' || r2 || ']-> ' || y || ' -[' || r3 || ']-> ' || z FROM i WHERE z = "end"
+      UNION ALL SELECT start, "end", 4, start || ' -[' || r1 || ']-> ' || x || ' -[' || r2 || ']-> ' || y || ' -[' || r3 || ']-> ' || z || ' -[' || r4 || ']-> ' || w FROM j)
+    SELECT start, "end", path FROM (SELECT *, row_number() OVER (PARTITION BY start, "end" ORDER BY length, path) AS nth FROM pa) WHERE nth <= 5""",
 )
 def gr7(t):
-    n = nodes(t)
-    pairs = n.filter("type = 'nation'").select(F.col("id").alias("start")).crossJoin(n.filter("type = 'brand'").select(F.col("id").alias("end")))
-    found = graph.simple_paths(edges(t), pairs, 2, directed=False, between=graph.without_intermediates(n, "region"))
+    """From each nation to the brand that its customers buy most, by at most four edges and through no region."""
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    counts = bought.groupBy("c_nationkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("c_nationkey").agg(F.min(F.struct((-F.col("n")).alias("n"), "p_brand")).alias("m"))
+    pairs = most.select(F.concat(F.lit("N"), "c_nationkey").alias("start"), F.concat(F.lit("B:"), "m.p_brand").alias("end"))
+    found = graph.simple_paths(edges(t), pairs, 4, directed=False, between=graph.without_intermediates(nodes(t), "region"), k=5)
     return graph.shortest(found).select("start", "end", graph.path_text().alias("path"))
 
 

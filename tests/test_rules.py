@@ -71,6 +71,35 @@ def test_paths_avoid_cycles_and_excluded_nodes(spark):
     assert both == ["abcd", "acd"]
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_paths_that_meet_in_the_middle_against_plain_search(spark, directed):
+    r = random.Random(12)
+    ids = [f"n{i}" for i in range(14)]
+    links = sorted({(r.choice(ids), r.choice(ids), r.choice("xy")) for _ in range(34)} | {("hub", i, "x") for i in ids[:8]} | {(i, "hub", "x") for i in ids[6:]})
+    inside = [*ids[2:], "hub"]
+    step = {(a, b, c) for a, b, c in links} | (set() if directed else {(b, a, c) for a, b, c in links})
+    pairs = [(a, b) for a in ids[:4] for b in ids[4:9]] + [("n1", "n1"), ("n1", "gone"), ("hub", "n3")]
+
+    def walk(path, relations, end):
+        if path[-1] == end:
+            yield tuple(path), tuple(relations)
+        elif len(path) <= 4 and (len(path) == 1 or path[-1] in inside):
+            for a, b, c in step:
+                if a == path[-1] and b not in path:
+                    yield from walk([*path, b], [*relations, c], end)
+
+    edges = spark.createDataFrame(links, "source string, target string, relation string")
+    want = {(a, b): list(walk([a], [], b)) if a != b else [] for a, b in pairs}
+    between = spark.createDataFrame([(i,) for i in inside], "id string")
+    asked = spark.createDataFrame(pairs, "start string, end string").repartition(3)
+    got = [(x["start"], x["end"], tuple(x["nodes"]), tuple(x["relations"]), x["length"]) for x in graph.simple_paths(edges, asked, 4, directed, between).collect()]
+    assert sorted(got) == sorted((a, b, n, c, len(c)) for (a, b), found in want.items() for n, c in found)
+    few = graph.shortest(graph.simple_paths(edges, asked, 4, directed, between, k=2), 2).collect()
+    text = lambda n, c: n[0] + "".join(f" -[{x}]-> {y}" for x, y in zip(c, n[1:]))
+    best = [(a, b, n) for (a, b), found in want.items() for n, c in sorted(found, key=lambda f: (len(f[1]), text(*f)))[:2]]
+    assert sorted((x["start"], x["end"], tuple(x["nodes"])) for x in few) == sorted(best)
+
+
 def test_energy(spark):
     edges = spark.createDataFrame([("a", "b", 2.0, 10, 2024), ("b", "a", 0.0, 5, None), ("b", "c", None, None, None)], "source string, target string, impact double, cites long, year int")
     got = energy.path_scores(edges, spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"])], "path_id int, nodes array<string>"), 2026)
