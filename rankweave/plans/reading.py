@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, texts
-from ..operators import articles, gates
+from ..operators import articles, gates, references
 from ..sources import files
 from .registry import Tables, query
 
@@ -314,6 +314,26 @@ def sc21(t):
     return rows.select("l_orderkey", F.array_join(names.allowed_only(F.col("own"), F.col("allowed")), "|").alias("ids"))
 
 
+#: All white space that a text may hold, for an engine whose own class is ASCII only.
+SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query("SC21_references_of_plans", rf"""WITH a AS (SELECT doc_id AS id FROM labels),
+    d AS (SELECT doc_id, doc_id::VARCHAR AS own, (doc_id + 1)::VARCHAR AS next, text, doc_id IN (FROM a) AS has_own, doc_id + 1 IN (FROM a) AS has_next FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT *, CASE WHEN has_own THEN 'PMID: ' || own ELSE '' END || ' ; ' || text || ' ' || CASE WHEN has_next THEN '[pmid' || next || ']' ELSE '' END || ' ' || CASE WHEN has_own THEN 'PMID ' || own ELSE '' END || '.' AS body FROM d)
+    SELECT doc_id, trim(regexp_replace(regexp_replace(body, '\[{SPACE}*\]', '', 'g'), '{SPACE}+', ' ', 'g'), ' ;,|') AS body,
+      concat_ws('|', CASE WHEN has_own THEN own END, CASE WHEN has_next THEN next END) AS ids, CASE WHEN has_next THEN 'as in PMID:' || next || ', twice' ELSE 'as in , twice' END AS note FROM b""")
+def sc21_plans(t):
+    own, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    body = F.concat(F.lit("PMID: "), own, F.lit(" ; "), "text", F.lit(" [pmid"), after, F.lit("] PMID "), own, F.lit("."))
+    step = F.struct(F.array(own, after).alias("representative_pmids"), F.concat(F.lit("as in PMID:"), after, F.lit(", twice")).alias("note"))
+    plans = t.documents.filter("text IS NOT NULL").select("doc_id", F.to_json(F.struct(body.alias("body"), F.struct(F.array(F.array(step)).alias("steps")).alias("plan"))).alias("text"))
+    clean = references.only_allowed(plans, t.labels.select(F.col("doc_id").alias("id")))
+    of = lambda path: F.get_json_object("text", path)
+    ids = F.from_json(of("$.plan.steps[0][0].representative_pmids"), "array<string>")
+    return clean.select("doc_id", of("$.body").alias("body"), F.array_join(ids, "|").alias("ids"), of("$.plan.steps[0][0].note").alias("note"))
+
+
 @query("SC23_model_scope", rf"""WITH {planted_sql(MODELS)}, m AS (SELECT doc_id, x, regexp_matches(x, '\b(?:dss|dextran sodium sulfate)\b') AS dss, regexp_matches(x, '\b(?:mouse|mice|murine)\b') AS mouse FROM x)
     SELECT doc_id, CASE WHEN dss AND mouse THEN 'a DSS-induced mouse colitis model' WHEN dss THEN 'a DSS-induced colitis model' WHEN mouse AND regexp_matches(x, 'colitis|inflammatory bowel|ibd') THEN 'a paper-reported mouse colitis model'
         WHEN regexp_matches(x, 'organoid|epithelial cell|macrophage|cell line|in vitro') THEN 'the paper-reported in vitro host model' WHEN regexp_matches(x, 'patients|participants|cohort|clinical') THEN 'the paper-reported human population'

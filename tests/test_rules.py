@@ -100,6 +100,29 @@ def test_paths_that_meet_in_the_middle_against_plain_search(spark, directed):
     assert sorted((x["start"], x["end"], tuple(x["nodes"])) for x in few) == sorted(best)
 
 
+def test_references_at_any_depth(spark):
+    import json
+
+    from rankweave.operators import references
+
+    deep = {"title": "as PMID: 1 and [pmid2] say", "pmids": [1, " 2 ", None, "", "3"], "n": 5, "plans": [{"representative_pmids": ["2"], "pmids": "PMID 3; text"}, [["PMID 4", True, None]], "[PMID:1],  PMID1x ;"]}
+    rows = [(1, json.dumps(deep)), (2, "Seen in PMID 1, PMID:3 | "), (3, None), (4, "{not json PMID 2}"), (5, ""), (None, "pmid 9 stays")]
+    docs = spark.createDataFrame([(i, "x", t) for i, t in rows], "doc_id long, other string, text string").repartition(3)
+    found = {}
+    for r in references.references(docs).orderBy("doc_id", "at").collect():
+        found.setdefault(r["doc_id"], []).append(r["id"])
+    assert found == {1: ["1", "2", "1", "2", "3", "2", "3", "4", "1"], 2: ["1", "3"], 4: ["2"], None: ["9"]}
+    out = references.only_allowed(docs, spark.createDataFrame([(1, "2"), (1, "3"), (2, "3"), (None, "9")], "doc_id long, id string"))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert out.columns == docs.columns
+    want = {"title": "as and [pmid2] say", "pmids": ["2", "3"], "n": 5, "plans": [{"representative_pmids": ["2"], "pmids": "PMID 3; text"}, [["", True, None]], "PMID1x"]}
+    assert json.loads(got.pop(1)) == want
+    assert got == {2: "Seen in , PMID:3", 3: None, 4: "{not json }", 5: "", None: "pmid 9 stays"}
+    everywhere = {r["doc_id"]: r["text"] for r in references.only_allowed(docs, spark.createDataFrame([(1,)], "id int")).collect()}
+    assert everywhere[2] == "Seen in PMID 1" and everywhere[4] == "{not json }"
+    assert references.only_allowed(docs.limit(0), docs.select(F.lit("1").alias("id"))).collect() == []
+
+
 def test_energy(spark):
     edges = spark.createDataFrame([("a", "b", 2.0, 10, 2024), ("b", "a", 0.0, 5, None), ("b", "c", None, None, None)], "source string, target string, impact double, cites long, year int")
     got = energy.path_scores(edges, spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"])], "path_id int, nodes array<string>"), 2026)
