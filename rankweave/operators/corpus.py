@@ -116,6 +116,13 @@ SETS = {"pair_sm": ["src", "mid"], "triple_smd": ["src", "mid", "dst"], "pair_sd
 FLAGGED = ["pair_sm", "triple_smd", "pair_md"]
 
 
+def _spread(found: DataFrame, doc: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(term, doc, ...) with a slot for each row, and (term, _n, _slots): a term's documents, counted, and the slots that they lie in."""
+    spread = found.select("term", doc, *more).withColumn("_slot", slot_of(doc))
+    parts = spread.groupBy("term", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    return spread, parts.groupBy("term").agg(F.sum("_n").alias("_n"), occupied().alias("_slots"))
+
+
 def pair_documents(pairs: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp") -> DataFrame:
     """(a, b, doc, flag): the documents that hold both terms of each distinct pair (a, b).
 
@@ -123,8 +130,7 @@ def pair_documents(pairs: DataFrame, found: DataFrame, doc: str = "doc_id", flag
     costs no more than the rare one that it stands with; a term's documents
     stay dealt over many tasks.
     """
-    spread = found.select("term", doc, flag).withColumn("_slot", slot_of(doc))
-    of = spread.groupBy("term", "_slot").agg(F.count(F.lit(1)).alias("_n")).groupBy("term").agg(F.sum("_n").alias("_n"), occupied().alias("_slots"))
+    spread, of = _spread(found, doc, flag)
     side = lambda c: of.select(F.col("term").alias(c), F.struct("_n", "term", "_slots").alias(f"_{c}"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     rare, other = F.least("_a", "_b"), F.greatest("_a", "_b")
@@ -155,10 +161,19 @@ def counts(candidates: DataFrame, found: DataFrame, doc: str = "doc_id", flag: s
 
 
 def chain_counts(chains: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp") -> DataFrame:
-    """(cand, full_chain, full_chain_exp): documents that hold all distinct terms of ``chains`` (cand, term)."""
-    wanted = chains.select("cand", "term").distinct()
-    size = wanted.groupBy("cand").agg(F.count(F.lit(1)).alias("_size"))
-    met = wanted.join(found, "term").groupBy("cand", doc).agg(F.count_distinct("term").alias("_n"), F.bool_or(flag).alias("_flag")).join(size, "cand").filter("_n = _size")
+    """(cand, full_chain, full_chain_exp): documents that hold all distinct terms of ``chains`` (cand, term).
+
+    The documents of a chain's rarest term are looked through for the others,
+    so a common term costs no more than the rarest that it stands with.
+    """
+    wanted = kept(chains.select("cand", "term").distinct(), "chains")
+    spread, of = _spread(found, doc, flag)
+    known = wanted.join(of, "term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    first = known.groupBy("cand").agg(F.min(F.struct("_n", "term", "_slots")).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    first = first.filter("_first._n > 0").select("cand", "_size", F.col("_first.term").alias("term"), each_slot("_first._slots").alias("_slot"))
+    rows = first.join(spread, ["term", "_slot"]).select("cand", "_size", doc, F.col(flag).alias("_flag"))
+    met = rows.join(wanted, "cand").join(found.select(doc, "term").distinct(), [doc, "term"], "left_semi")
+    met = met.groupBy("cand", doc, "_size").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("_flag").alias("_flag")).filter("_n = _size")
     out = met.groupBy("cand").agg(F.count(F.lit(1)).alias("full_chain"), F.count_if("_flag").alias("full_chain_exp"))
     return wanted.select("cand").distinct().join(out, "cand", "left").na.fill(0)
 
@@ -166,10 +181,9 @@ def chain_counts(chains: DataFrame, found: DataFrame, doc: str = "doc_id", flag:
 def edge_counts(paths: DataFrame, found: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(cand, pos, a, b, n): documents that hold both terms of each step of ``paths`` (cand, nodes)."""
     steps = paths.select("cand", F.posexplode(F.zip_with(F.slice("nodes", 1, F.size("nodes") - 1), F.slice("nodes", 2, F.size("nodes") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pos", "s"))
-    steps = steps.select("cand", "pos", "s.a", "s.b")
-    pairs = steps.select("a", "b").distinct()
-    both = pairs.join(found.select(F.col("term").alias("a"), doc), "a").join(found.select(F.col("term").alias("b"), doc), ["b", doc])
-    n = both.groupBy("a", "b").agg(F.count_distinct(doc).alias("n"))
+    steps = kept(steps.select("cand", "pos", "s.a", "s.b"), "path-steps")
+    both = pair_documents(steps, found.select("term", doc, F.lit(False).alias("_flag")).distinct(), doc, "_flag")
+    n = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return steps.join(n, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0))).select("cand", "pos", "a", "b", "n")
 
 
@@ -203,11 +217,18 @@ def best_chains(candidates: DataFrame, paths: DataFrame) -> DataFrame:
 def matching(specs: DataFrame, found: DataFrame, most: int = 40, doc: str = "doc_id") -> DataFrame:
     """(spec, doc, score, nth): documents that meet every clause of ``specs`` (spec, clause, term) by any of its terms, at most ``most`` each.
 
-    Those that hold more of the terms come first, then the lesser id.
+    Those that hold more of the terms come first, then the lesser id.  Only the
+    documents of a spec's rarest clause are looked through for the others.
     """
-    size = specs.groupBy("spec").agg(F.count_distinct("clause").alias("_size"))
-    met = specs.select("spec", "clause", "term").distinct().join(found.select(doc, "term").distinct(), "term")
-    met = met.groupBy("spec", doc).agg(F.count_distinct("clause").alias("_n"), F.count_distinct("term").alias("score")).join(size, "spec").filter("_n = _size")
+    wanted = kept(specs.select("spec", "clause", "term").distinct(), "specs")
+    spread, of = _spread(found.select(doc, "term").distinct(), doc)
+    known = kept(wanted.join(of, "term", "left").withColumn("_n", F.coalesce("_n", F.lit(0))), "spec-terms")
+    clauses = known.groupBy("spec", "clause").agg(F.sum("_n").alias("_n"))
+    rarest = clauses.groupBy("spec").agg(F.min(F.struct("_n", "clause")).alias("_first"), F.count(F.lit(1)).alias("_size")).select("spec", "_size", "_first.clause")
+    first = known.filter("_n > 0").join(rarest, ["spec", "clause"]).select("spec", "_size", "term", each_slot("_slots").alias("_slot"))
+    rows = first.join(spread, ["term", "_slot"]).select("spec", "_size", doc).distinct()
+    met = rows.join(wanted, "spec").join(found.select(doc, "term").distinct(), [doc, "term"], "left_semi")
+    met = met.groupBy("spec", doc, "_size").agg(F.count_distinct("clause").alias("_n"), F.count_distinct("term").alias("score")).filter("_n = _size")
     nth = F.row_number().over(Window.partitionBy("spec").orderBy(F.desc("score"), doc))
     return met.select("spec", doc, "score", nth.alias("nth")).filter(F.col("nth") <= most)
 
