@@ -85,8 +85,12 @@ def phrase(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ .;,:]+|[ .;,:]+$", "")
 
 
+#: The forms in which a claim cites its sources.
+CITED = (r"(?i)\[PMID:[^\]]+\]", r"(?i)\bPMCID?:\s*\S+", r"https?://\S+", r"(?i)protocols\.io\S*")
+
+
 def without_references(text: Column) -> Column:
-    for pattern in (r"(?i)\[PMID:[^\]]+\]", r"(?i)\bPMCID?:\s*\S+", r"https?://\S+", r"(?i)protocols\.io\S*"):
+    for pattern in CITED:
         text = F.regexp_replace(text, pattern, "")
     return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ ;|,]+|[ ;|,]+$", "")
 
@@ -114,7 +118,7 @@ def model_scope(text: Column) -> Column:
     """The model that a paper's text says it used."""
     low = F.lower(F.coalesce(text, F.lit("")))
     dss, mouse = low.rlike(r"\b(?:dss|dextran sodium sulfate)\b"), low.rlike(r"\b(?:mouse|mice|murine)\b")
-    # fixed values: the labels
+    # fixed values: the labels and the terms that lead to them
     rules = [
         (dss & mouse, "a DSS-induced mouse colitis model"),
         (dss, "a DSS-induced colitis model"),
