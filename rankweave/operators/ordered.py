@@ -81,7 +81,7 @@ def mean_ranked(df: DataFrame, keys: Sequence[str], by: Column, name: str = "ran
 
 
 #: Points of the sketch of a group's values, and the sketch's accuracy: one in so many of the group's rows.
-GRID, ACCURACY = 500, 10_000
+GRID, ACCURACY = 200, 2_000
 #: Targets that are sent to all tasks; more are joined.
 SENT = 10_000
 
