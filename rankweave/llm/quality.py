@@ -48,9 +48,11 @@ SHARDS = 8
 BITMAP_BITS = 23
 #: Characters of text for each copy of the model among the tasks, about.
 COPY_CHARS = 500_000_000
+#: Bits of a key that travel: of ten million n-grams two share them with odds of 1 in 1,400, and would add up.
+KEY = np.uint64((1 << 56) - 1)
 START, PAD = b"\t", b"\r"
-ROW_SCHEMA = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("tag", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "docs", "times", "weights", "ids"))])
-ROW = "shard int, salt int, tag int, keys binary, sizes binary, docs binary, times binary, weights binary, ids binary"
+ROW_SCHEMA = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("tag", pa.int32()), *((c, pa.binary()) for c in ("keys", "pairs", "times", "weights", "ids"))])
+ROW = "shard int, salt int, tag int, keys binary, pairs binary, times binary, weights binary, ids binary"
 #: What fitting passes on: packed n-grams (kind 0), words with the number of contexts they follow (1, asked for by shard ``other``), and counts of counts (2).
 PART_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("other", pa.int32()), ("words", pa.binary()), ("data", pa.binary()), ("counts", pa.list_(pa.int64()))])
 PART = "shard int, kind int, other int, words binary, data binary, counts array<long>"
@@ -212,9 +214,9 @@ def _places(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _weights_by_key(keys: np.ndarray, weights: np.ndarray) -> pa.Table:
-    keys, weights = sum_by_key(keys, weights)
+    keys, weights = sum_by_key(keys & KEY, weights)
     shard = (keys & np.uint64(SHARDS - 1)).astype(np.int64)
-    rows = [(s, 0, 0, zlib.compress(pack_sorted(keys[shard == s]), 1), None, None, None, planes(weights[shard == s].astype(np.float32)), None) for s in np.unique(shard).tolist()]
+    rows = [(s, 0, 0, zlib.compress(pack_sorted(keys[shard == s]), 1), None, None, planes(weights[shard == s].astype(np.float32)), None) for s in np.unique(shard).tolist()]
     return pa.table([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(ROW_SCHEMA)], schema=ROW_SCHEMA)
 
 
@@ -275,7 +277,7 @@ def _start_share(weights: DataFrame) -> float:
         for batch in batches:
             for keys, weight in zip(batch.column("keys"), batch.column("weights")):
                 k, w = unpack_sorted(zlib.decompress(keys.as_py())), from_planes(weight.as_py(), np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(w[k == np.uint64(start)].astype(np.float64))], names=["weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(w[k == np.uint64(start) & KEY].astype(np.float64))], names=["weight"])
 
     own = weights.filter(F.col("shard") == start % SHARDS).mapInArrow(work, "weight double")
     return own.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
@@ -299,10 +301,11 @@ def _requests(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, order: int,
         keys, doc = np.concatenate(keys), np.concatenate(doc)
         cell = _cells(keys)
         known = bitmap[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 == 1
-        distinct, place = np.unique(keys[known], return_inverse=True)
+        distinct, place = np.unique(keys[known] & KEY, return_inverse=True)
         # one number for key and document together: both are small now
-        both, times = np.unique(place.astype(np.uint64) * np.uint64(len(batch)) + doc[known], return_counts=True)
-        place, doc = (both // np.uint64(len(batch))).astype(np.int64), both % np.uint64(len(batch))
+        rows_of = np.uint64(len(batch))
+        both, times = np.unique(place.astype(np.uint64) * rows_of + doc[known], return_counts=True)
+        place, doc = (both // rows_of).astype(np.int64), both % rows_of
         shard = (distinct & np.uint64(SHARDS - 1)).astype(np.int64)
         salt = int(ids[0, 0]) % salts
         rows = []
@@ -311,8 +314,9 @@ def _requests(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, order: int,
             if not own.any():
                 continue
             of = own[place]
-            sizes = np.bincount(place[of], minlength=len(distinct))[own]
-            packed = (pack_sorted(distinct[own]), planes(sizes.astype(np.uint32)), planes(doc[of].astype(np.uint32)), planes(times[of].astype(np.uint32)))
+            # keys by their number within the shard, so that the pairs lie as close as they can
+            pairs = (own.cumsum() - 1)[place[of]].astype(np.uint64) * rows_of + doc[of]
+            packed = (pack_sorted(distinct[own]), pack_sorted(pairs), planes(times[of].astype(np.uint32)))
             rows.append((s, salt, 1, *(zlib.compress(x, 1) for x in packed), None, ids.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(ROW_SCHEMA)], schema=ROW_SCHEMA)
 
@@ -336,8 +340,9 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             weight = np.where(known[place] == keys, weights[place], 0.0)
             ids = np.frombuffer(row["ids"], np.int64).reshape(2, -1)
-            of = lambda c, row=row: from_planes(zlib.decompress(row[c]), np.uint32)
-            sums = np.bincount(of("docs"), weights=np.repeat(weight, of("sizes")) * of("times"), minlength=ids.shape[1])
+            pairs, times = unpack_sorted(zlib.decompress(row["pairs"])), from_planes(zlib.decompress(row["times"]), np.uint32)
+            of, doc = np.divmod(pairs, np.uint64(ids.shape[1]))
+            sums = np.bincount(doc.astype(np.int64), weights=weight[of.astype(np.int64)] * times, minlength=ids.shape[1])
             some = sums != 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[0, some]), pa.array(ids[1, some]), pa.array(sums[some])], names=["k", "l", "part"])
 
