@@ -10,7 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import design_status, result_status
-from ..sources.shared import kept
+from ..sources.shared import kept, shared_path
+
+
+STATUS = ("met", "unmet", "unknown")
+
+
+def _rule(operator: Column, met: Column, unmet: Column, unknown: Column) -> Column:
+    """The place in STATUS of a gate all of whose clauses are settled."""
+    any_of = F.when((met > 0) | (unmet + unknown == 0), 0).when(unmet > 0, 1).otherwise(2)
+    return F.when(operator == "any_of", any_of).otherwise(F.when(unmet > 0, 1).when(unknown > 0, 2).otherwise(0))
+
+
+def _through(passed: Column, status: Column) -> Column:
+    return F.element_at(passed, status + 1)
 
 
 def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan: str = "plan") -> DataFrame:
@@ -21,10 +34,17 @@ def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan:
     result), accepted (array).  external: plan, gate, result_status.  A module
     without clauses is met.  A clause on a module is met if its result is
     accepted, its design needs no resolution and its own gate is met; a missing
-    module is unknown.  Rounds settle one level of dependencies each, as many as
-    there are levels; modules that are open when a round settles none depend on
-    a cycle and are unknown.
+    module is unknown.  One met clause settles any_of, one unmet clause all_of.
+    Modules that wait for each other in a cycle can't be met: those with an
+    unmet clause, their own or passed on, are unmet, the others unknown.
+
+    A clause that still waits carries where it points and what each status found
+    there comes to here.  In every round only the modules settled last are
+    joined with the waiting clauses, and a clause that points to a module with
+    one waiting clause takes that clause's aim, so a chain of n modules takes
+    about log2(n) rounds; as many rounds are made as it takes.
     """
+    spark = modules.sparkSession
     m = modules.select(plan, "module_id", result_status(F.col("result_status")).alias("result"), design_status(F.col("design_status")).alias("design"), F.coalesce("operator", F.lit("all_of")).alias("operator"))
     needed = m.select(plan, F.col("module_id").alias("needs"), F.col("result").alias("n_result"), F.col("design").alias("n_design"))
     ext = external.select(plan, F.lower(F.trim("gate")).alias("gate"), result_status(F.col("result_status")).alias("x_result"))
@@ -32,30 +52,56 @@ def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan:
     accepts = lambda r: F.array_contains("accepted", F.col(r))
     on_module = F.col("needs").isNotNull()
     fixed = (
-        F.when(~on_module, F.when(F.array_contains("accepted", F.coalesce("x_result", F.lit("not_run"))), "met").otherwise("unmet"))
-        .when(F.col("n_result").isNull(), "unknown")
-        .when(~accepts("n_result"), "unmet")
-        .when(F.col("n_design") == "needs_resolution", "unmet")
+        F.when(~on_module, F.when(F.array_contains("accepted", F.coalesce("x_result", F.lit("not_run"))), 0).otherwise(1))
+        .when(F.col("n_result").isNull(), 2)
+        .when(~accepts("n_result"), 1)
+        .when(F.col("n_design") == "needs_resolution", 1)
     )
-    c = c.select(plan, "module_id", "needs", fixed.alias("fixed"))
-    with_clause = c.select(plan, "module_id").distinct()
-    state = m.select(plan, "module_id", "operator").join(with_clause.withColumn("_c", F.lit(1)), [plan, "module_id"], "left")
-    state = state.select(plan, "module_id", "operator", F.when(F.col("_c").isNull(), "met").alias("status"))
-    left = None
+    waiting = c.select(plan, "module_id", "needs", F.array(*map(F.lit, range(3))).alias("passed"), fixed.alias("found"))
+    none = F.lit(0).cast("long")
+    still_open = m.select(plan, "module_id", "operator", *[none.alias(s) for s in STATUS])
+
+    path = shared_path(spark, "gates")
+    n_round = 0
     while True:
-        own = state.select(plan, F.col("module_id").alias("needs"), F.col("status").alias("n_status"))
-        now = c.join(own, [plan, "needs"], "left").withColumn("s", F.coalesce("fixed", "n_status"))
-        n = lambda v: F.count_if(F.col("s") == v)
-        sums = now.groupBy(plan, "module_id").agg(F.count(F.lit(1)).alias("n"), n("met").alias("met"), n("unmet").alias("unmet"), F.count_if(F.col("s").isNull()).alias("open"))
-        any_of = F.when(F.col("met") > 0, "met").when(F.col("open") > 0, None).when(F.col("unmet") > 0, "unmet").otherwise("unknown")
-        all_of = F.when(F.col("open") > 0, None).when(F.col("met") == F.col("n"), "met").when(F.col("unmet") > 0, "unmet").otherwise("unknown")
-        state = state.join(sums, [plan, "module_id"], "left").select(plan, "module_id", "operator", F.coalesce("status", F.when(F.col("operator") == "any_of", any_of).otherwise(all_of)).alias("status"))
-        state = kept(state, "gates")
-        open_now = state.filter("status IS NULL").count()
-        if open_now in (0, left):
+        found = lambda s: F.count_if(F.col("found") == s)
+        aim = F.max(F.when(F.col("found").isNull(), F.struct("needs", "passed")))
+        sums = waiting.groupBy(plan, "module_id").agg(*[found(i).alias(f"n_{s}") for i, s in enumerate(STATUS)], F.count_if(F.col("found").isNull()).alias("n_open"), aim.alias("aim"))
+        counts = [(F.col(s) + F.coalesce(f"n_{s}", none)).alias(s) for s in STATUS]
+        now = still_open.join(sums, [plan, "module_id"], "left").select(plan, "module_id", "operator", *counts, F.coalesce("n_open", none).alias("n_open"), "aim")
+        early = F.when((F.col("operator") == "any_of") & (F.col("met") > 0), 0).when((F.col("operator") != "any_of") & (F.col("unmet") > 0), 1)
+        status = F.when(F.col("n_open") == 0, _rule(F.col("operator"), *map(F.col, STATUS))).otherwise(early)
+        now = now.withColumn("status", status)
+        now.write.parquet(f"{path}/round={n_round}")
+        now = spark.read.schema(now.schema).parquet(f"{path}/round={n_round}")
+        still_open = now.filter("status IS NULL")
+        size = now.agg(F.count("status").alias("settled"), F.count(F.lit(1)).alias("all")).first()
+        if size["settled"] == size["all"]:
             break
-        left = open_now
-    return state.select(plan, "module_id", F.coalesce("status", F.lit("unknown")).alias("gate_status"))
+        settled = now.filter("status IS NOT NULL")
+        left = waiting.filter("found IS NULL").join(still_open.select(plan, "module_id"), [plan, "module_id"], "left_semi")
+        if not size["settled"] and n_round:  # only cycles are left, and what waits for them: an unmet clause is all that can still decide
+            last = left.groupBy(plan, "module_id").agg(F.count_if(_through(F.col("passed"), F.lit(2)) == 1).alias("more"))
+            settled = still_open.join(last, [plan, "module_id"]).filter("unmet + more > 0").withColumn("status", F.lit(1)).drop("more")
+            n_round += 1
+            settled.write.parquet(f"{path}/round={n_round}")
+            settled = spark.read.schema(settled.schema).parquet(f"{path}/round={n_round}")
+            if settled.isEmpty():
+                break
+            still_open = still_open.join(settled.select(plan, "module_id"), [plan, "module_id"], "left_anti")
+            left = left.join(settled.select(plan, "module_id"), [plan, "module_id"], "left_anti")
+        at = settled.select(plan, F.col("module_id").alias("needs"), F.col("status").alias("at"))
+        after = lambda s: _rule(F.col("operator"), *[F.col(x) + (_through(F.col("aim.passed"), F.lit(s)) == i).cast("long") for i, x in enumerate(STATUS)])
+        single = still_open.filter("n_open = 1").select(plan, F.col("module_id").alias("needs"), F.col("aim.needs").alias("further"), F.array(*[after(s) for s in range(3)]).alias("by"))
+        aimed = left.join(single, [plan, "needs"], "left")
+        passed = F.when(F.col("by").isNull(), F.col("passed")).otherwise(F.transform("by", lambda s: _through(F.col("passed"), s)))
+        aimed = aimed.select(plan, "module_id", F.coalesce("further", "needs").alias("needs"), passed.alias("passed"))
+        waiting = kept(aimed.join(at, [plan, "needs"], "left").select(plan, "module_id", "needs", "passed", _through(F.col("passed"), F.col("at")).alias("found")), "clauses")
+        still_open = still_open.select(plan, "module_id", "operator", *STATUS)
+        n_round += 1
+    done = spark.read.schema(now.schema).parquet(path).filter("status IS NOT NULL").select(plan, "module_id", "status")
+    done = done.unionByName(still_open.select(plan, "module_id", F.lit(2).alias("status")))
+    return done.select(plan, "module_id", F.element_at(F.array(*map(F.lit, STATUS)), F.col("status") + 1).alias("gate_status"))
 
 
 def execution_status(gate: str = "gate_status", design: str = "design_status") -> Column:

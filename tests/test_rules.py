@@ -235,6 +235,57 @@ def test_gates_of_a_chain_of_sixty_levels_and_a_cycle(spark):
     assert got == {i: "unknown" if i in "pq" else "met" for i in names_}
 
 
+GATE_TABLES = ("plan string, module_id string, result_status string, design_status string, operator string", "plan string, module_id string, needs string, gate string, accepted array<string>", "plan string, gate string, result_status string")
+
+
+def test_gates_of_a_chain_of_a_thousand_modules_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = gates.kept
+    monkeypatch.setattr(gates, "kept", lambda df, name: rounds.append(name) or real(df, name))
+    n = 1000
+    modules = [("c", str(i), "positive", "ready", "any_of" if i % 3 else "all_of") for i in range(n)]
+    clauses = [("c", str(i), str(i - 1), None, ["positive"]) for i in range(1, n)] + [("c", "0", None, "board", ["positive"])]
+    out = gates.evaluated(*(spark.createDataFrame(rows, schema) for rows, schema in zip((modules, clauses, []), GATE_TABLES)))
+    assert {r["gate_status"] for r in out.collect()} == {"unmet"} and out.count() == n
+    assert len(rounds) <= 12
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gates_with_cycles_against_plain_recursion(spark, seed):
+    r = random.Random(seed)
+    modules, clauses = {}, {}
+    for plan in range(12):
+        size = r.randrange(1, 9)
+        for i in range(size):
+            key = (f"p{plan}", str(i))
+            modules[key] = (r.choice(["positive", "positive", "positive", "negative"]), r.choice(["ready", "ready", "ready", "incomplete"]), r.choice(["all_of", "any_of"]))
+            aims = [(str(r.randrange(size + 1)), None) if r.random() < 0.85 else (None, r.choice(["on", "off"])) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))]
+            clauses[key] = aims
+    external = {"on": "positive", "off": "negative"}
+    designs = {v: one(spark, names.design_status(F.lit(v)))[0] for v in ("ready", "incomplete")}
+
+    def settled(key, seen):
+        found = []
+        for needs, gate in clauses[key]:
+            if gate:
+                found.append("met" if external[gate] == "positive" else "unmet")
+                continue
+            aim = (key[0], needs)
+            if aim in seen or aim not in modules:
+                found.append("unknown")
+            elif modules[aim][0] != "positive" or designs[modules[aim][1]] == "needs_resolution":
+                found.append("unmet")
+            else:
+                found.append(settled(aim, seen | {aim}))
+        if not found or (modules[key][2] == "any_of" and "met" in found) or set(found) == {"met"}:
+            return "met"
+        return "unmet" if "unmet" in found else "unknown"
+
+    rows = [[(*k, *v) for k, v in modules.items()], [(*k, needs, gate, ["positive"]) for k, aims in clauses.items() for needs, gate in aims], [(p, g, v) for p in {k[0] for k in modules} for g, v in external.items()]]
+    out = gates.evaluated(*(spark.createDataFrame(x, schema) for x, schema in zip(rows, GATE_TABLES))).collect()
+    assert {(x["plan"], x["module_id"]): x["gate_status"] for x in out} == {k: settled(k, frozenset()) for k in modules} and len(out) == len(modules)
+
+
 def test_ordering_of_a_chain_of_sixty_hops(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(60)] + [("60", "lost", None)], "a string, b string, length double")
     got = {r["id"]: r["distance"] for r in compose.ordering(edges, spark.createDataFrame([("0",)], "id string")).collect()}
