@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 GRAM = 3
 
 
@@ -87,6 +89,46 @@ def with_fallback(queries: DataFrame, neighbours: DataFrame, table: DataFrame, q
     return direct.unionByName(rows.select(direct.columns))
 
 
+def _with_neighbours(pairs: DataFrame, neighbours: DataFrame, name: str, itself: bool = True) -> DataFrame:
+    """(name, rank, form): each name itself at rank 0 and its neighbours (query, rank, neighbour) at theirs; of repeated forms the first."""
+    own = pairs.select(name).distinct()
+    near = neighbours.select(F.col("query").alias(name), "rank", F.col("neighbour").alias("form")).join(own, name, "left_semi")
+    if itself:
+        near = near.unionByName(own.select(name, F.lit(0).alias("rank"), F.col(name).alias("form")))
+    return near.groupBy(name, "form").agg(F.min("rank").cast("int").alias("rank"))
+
+
+def pairs_with_fallback(pairs: DataFrame, near_a: DataFrame, near_b: DataFrame, table: DataFrame, a: str, b: str, name_a: str, name_b: str, groups: Mapping[str, Sequence[str]] | None = None, first: bool = True) -> DataFrame:
+    """``pair_matches``, and for pairs without any the rows that their names' neighbours match.
+
+    near_a, near_b: query, rank (from 1), neighbour.  Adds rank_a and rank_b (0
+    is the name itself) and method (direct or neighbour).  With ``first`` the
+    combinations are tried in order, all of b's forms for each of a's, names
+    themselves first; the first with rows wins.  Else all rows count that any
+    neighbour of a and any of b match, each row once with its first
+    combination.  A combination is never made before both of its forms match a
+    row: forms are matched to rows once each, and meet there.  Null and blank
+    names match nothing.
+    """
+    pairs = kept(pairs.select(a, b).distinct(), "pairs")
+    direct = kept(pair_matches(pairs, table, a, b, name_a, name_b, groups), "direct")
+    rest = kept(pairs.join(direct.select(a, b).distinct(), [a, b], "left_anti"), "rest")
+    forms_a, forms_b = kept(_with_neighbours(rest, near_a, a, first), "forms"), kept(_with_neighbours(rest, near_b, b, first), "forms")
+    one = matches(forms_a.select("form"), table.select("row", name_a), "form", name_a).join(forms_a, "form")
+    one = kept(one.groupBy(a, "row").agg(F.min("rank").alias("rank_a")), "rows")
+    more = with_synonyms(forms_b.select(F.col("form").alias("of")), "of", groups or {})
+    two = matches(more.select("form"), table.select("row", name_b), "form", name_b).join(more, "form").join(forms_b.withColumnRenamed("form", "of"), "of")
+    two = kept(two.groupBy(b, "row").agg(F.min("rank").alias("rank_b")), "rows")
+    # for one row the least ranks of both sides are its first combination
+    met = rest.join(one, a).join(two, [b, "row"])
+    if first:
+        best = met.groupBy(a, b).agg(F.min(F.struct("rank_a", "rank_b")).alias("best"))
+        met = met.join(best, [a, b]).filter((F.col("rank_a") == F.col("best.rank_a")) & (F.col("rank_b") == F.col("best.rank_b"))).drop("best")
+    met = met.join(table, "row").withColumn("method", F.lit("neighbour"))
+    zero = F.lit(0)
+    return direct.withColumns({"rank_a": zero, "rank_b": zero, "method": F.lit("direct")}).unionByName(met)
+
+
 def _first(found: DataFrame, keys: list[str], order: str, value: str, most: int, out: str) -> DataFrame:
     """(keys, out): the values of each group's first ``most`` rows, which alone are gathered."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, texts
@@ -270,6 +270,30 @@ def jn5(t):
     return refmatch.with_fallback(near.select("q"), ranked, table(t), "q", "source_name").select("q", "row", "method")
 
 
+BOTH_MATCH = "(contains(lower(p_name), lower(fa)) OR contains(lower(fa), lower(p_name))) AND (contains(lower(p_type), lower(fb)) OR contains(lower(fb), lower(p_type)))"
+
+
+@query("JN5_pair_fallback", f"""WITH n AS (SELECT n, lead(n) OVER (ORDER BY n) AS nx FROM (SELECT DISTINCT p_name AS n FROM part)), y AS (SELECT y, lead(y) OVER (ORDER BY y) AS yx FROM (SELECT DISTINCT p_type AS y FROM part)),
+    p AS (SELECT DISTINCT CASE WHEN o.p_size % 2 = 0 THEN o.p_name ELSE reverse(o.p_name) END AS a, CASE WHEN o.p_size % 3 = 0 THEN reverse(z.p_type) ELSE z.p_type END AS b FROM part o JOIN part z ON z.p_partkey = o.p_partkey + 1),
+    a AS (SELECT DISTINCT a, 0 AS ra, a AS fa FROM p UNION ALL SELECT n, 1, nx FROM n UNION ALL SELECT reverse(n), 1, nx FROM n UNION ALL SELECT reverse(n), 2, n FROM n),
+    b AS (SELECT DISTINCT b, 0 AS rb, b AS fb FROM p UNION ALL SELECT y, 1, yx FROM y UNION ALL SELECT reverse(y), 1, yx FROM y UNION ALL SELECT reverse(y), 2, y FROM y),
+    m AS (SELECT p.a, p.b, ra, rb, p_partkey, rank() OVER (PARTITION BY p.a, p.b ORDER BY ra, rb) AS nth FROM p JOIN a USING (a) JOIN b USING (b) JOIN part ON {BOTH_MATCH})
+    SELECT a, b, p_partkey AS row, ra AS rank_a, rb AS rank_b, CASE WHEN ra + rb = 0 THEN 'direct' ELSE 'neighbour' END AS method FROM m WHERE nth = 1""")
+def jn5_pairs(t):
+    after = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("then"))
+    turned = lambda c, every: F.when(F.col("p_size") % every == (0 if every == 3 else 1), F.reverse(c)).otherwise(F.col(c))
+    pairs = t.part.join(after, "p_partkey").select(turned("p_name", 2).alias("a"), turned("then", 3).alias("b"))
+
+    def near(name):
+        n = t.part.select(F.col(name).alias("n")).distinct()
+        n = n.withColumn("then", F.lead("n").over(Window.orderBy("n")))  # distinct names of the vocabulary, not rows
+        forms = [(F.col("n"), 1, "then"), (F.reverse("n"), 1, "then"), (F.reverse("n"), 2, "n")]
+        return n.select(F.explode(F.array(*[F.struct(q.alias("query"), F.lit(r).alias("rank"), F.col(c).alias("neighbour")) for q, r, c in forms])).alias("x")).select("x.*")
+
+    found = refmatch.pairs_with_fallback(pairs, near("p_name"), near("p_type"), table(t), "a", "b", "source_name", "target_name")
+    return found.select("a", "b", "row", "rank_a", "rank_b", "method")
+
+
 @query("ST3_entity_names", "SELECT DISTINCT trim(p_name) AS name, 'part' AS type FROM part UNION SELECT DISTINCT p_type, 'kind' FROM part UNION SELECT n_name, 'nation' FROM nation UNION SELECT r_name, 'nation' FROM region")
 def st3(t):
     return embed.entity_names((t.part, "p_name", "part"), (t.part, "p_type", "kind"), (t.nation, "n_name", "nation"), (t.region, "r_name", "nation"))

@@ -435,3 +435,32 @@ def test_protocols_are_ranked_by_the_last_of_each_key(spark):
     items = spark.createDataFrame(rows, "id string, at int, title string, body string, doi string, peer_reviewed boolean")
     got = [(r["id"], r["score"], r["models"]) for r in articles.ranked_protocols(items, "id", "at", ["mice", "dss", "te"]).orderBy("nth").collect()]
     assert got == [("b", 5, ["in_vivo"]), ("d", 5, ["in_vivo"]), ("a", 4, ["in_vivo"])]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_pair_fallback_against_all_combinations_in_order(spark, first):
+    r = random.Random(4)
+    words = ["ab", "bc", "cd", "abc", "xyz", "q", "bcd", "zz"]
+    table = [(i, r.choice([*words, None, ""]), r.choice([*words, None])) for i in range(60)]
+    pairs = sorted({(r.choice(["ab", "xyz", "k1", "k2", "k3"]), r.choice(["q", "w1", "w2", "w3"])) for _ in range(14)}) + [("k1", None)]
+    near = {k: [r.choice([*words, "none"]) for _ in range(3)] for k in ("ab", "xyz", "k1", "k2", "k3", "q", "w1", "w2", "w3")}
+    groups = {"w1": ["bcd"], "none": ["zz"]}
+    fits = lambda x, y: bool(x and y) and (x in y or y in x)
+    fits_b = lambda x, y: any(fits(f, y) for f in [x, *groups.get(x, [])])
+    want = set()
+    for a, b in pairs:
+        rows = lambda fa, fb: {i for i, x, y in table if fits(fa, x) and fits_b(fb, y)}
+        if direct := rows(a, b):
+            want |= {(a, b, i, "direct") for i in direct}
+        elif first:
+            for fa, fb in itertools.product([a, *near[a]], [b, *near.get(b, [])]):
+                if hit := rows(fa, fb):
+                    want |= {(a, b, i, "neighbour") for i in hit}
+                    break
+        else:
+            want |= {(a, b, i, "neighbour") for fa in near[a] for fb in near.get(b, []) for i in rows(fa, fb)}
+    of = spark.createDataFrame([(q, k + 1, n) for q, ns in near.items() for k, n in enumerate(ns)], "query string, rank int, neighbour string")
+    df = spark.createDataFrame(table, "row int, x string, y string")
+    got = refmatch.pairs_with_fallback(spark.createDataFrame(pairs, "a string, b string"), of, of, df, "a", "b", "x", "y", groups, first).collect()
+    assert sorted((g["a"], g["b"], g["row"], g["method"]) for g in got) == sorted(want)
+    assert {g["method"] for g in got} == {"direct", "neighbour"}
