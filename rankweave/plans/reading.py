@@ -169,6 +169,34 @@ def tx4(t):
     return planted(t, [c[0] for c in CASES]).select("doc_id", *[c.alias(k) for k, c in signals.items()])
 
 
+#: Sentences, and by hand whether each says that the source, and the intermediate, had an effect on the target.
+EFFECTS = [
+    ("Alpha beta treatment attenuated colitis in mice.", True, False),
+    ("Gamma acid reduced colitis in an organoid.", False, True),
+    ("Alpha beta attenuated colitis.", False, False),
+    ("Alpha beta attenuated colitis. The work was done in vivo.", True, False),
+    ("Mice had colitis. It was ameliorated after gamma acid.", False, True),
+    ("Alpha beta did not attenuate colitis in mice.", False, False),
+    ("Without doubt Alpha beta improved colitis in mice.", False, False),
+    ("Abundance of Alpha beta was high and Alpha beta protected mice from colitis.", False, False),
+    ("Serum levels differed; gamma acid reduced colitis in mice.", False, False),
+    ("This review tells that gamma acid reduced colitis in mice.", False, False),
+    ("Alpha beta improved the weight of mice.", False, False),
+    ("In mice with colitis a diet improved the weight, and Alpha beta was there.", False, False),
+    ("A. beta was found to suppress colitis in murine cells.", True, False),
+    ("A. beta itself suppressed colitis in murine cells.", True, False),
+    ("Nothing of note.", False, False),
+]
+EFFECT_SQL = ", ".join(f"({quoted(x)}, {a}, {b})" for x, a, b in EFFECTS)
+
+
+@query("TX4_effect_signal", f"WITH {planted_sql([c[0] for c in EFFECTS])}, says(phrase, source_effect, mid_effect) AS (VALUES {EFFECT_SQL}) SELECT doc_id, source_effect, mid_effect FROM d JOIN says ON contains(text, '{APART} ' || phrase || ' {APART}')")
+def tx4_effect(t):
+    rows = planted(t, [c[0] for c in EFFECTS])
+    of = lambda names, flag: articles.effects(rows, names, DST).withColumnRenamed("effect", flag)
+    return of(SRC, "source_effect").join(of(MID, "mid_effect"), "doc_id")
+
+
 @query("TX4_ecology_signal", graded_sql("doc_id, evidence_type = 'indirect_ecological_evidence' AS signal"))
 def tx4_ecology(t):
     rows = planted(t, [c[0] for c in CASES])
