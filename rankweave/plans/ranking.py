@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compose, embed, ordered, quadrant, signal
+from ..operators import compose, embed, ordered, quadrant, signal, spectral
 from ..sources.shared import kept
 from .registry import Tables, query
 
@@ -392,6 +392,30 @@ def tr3_variance(t):
     return of.agg(F.round(F.sum("var"), 3).alias("variance"))
 
 
+def leading_sql(entries: str, shown: str, squarings: int = 14) -> str:
+    """SQL of each row's place on the first component, without sign: the rows' centred products, squared until one direction is left."""
+    steps = [f"k{i + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) / (SELECT sum(v * v) FROM k{i}) AS v FROM k{i} a JOIN k{i} b ON a.j = b.i GROUP BY ALL)" for i in range(squarings)]
+    return f"""WITH {entries}, n AS (SELECT count(DISTINCT r) AS n FROM e), me AS (SELECT c, sum(x) / max(n) AS m FROM e, n GROUP BY c), d AS (SELECT r, sum(x * m) AS d FROM e JOIN me USING (c) GROUP BY r),
+    g AS (SELECT a.r AS i, b.r AS j, sum(a.x * b.x) AS g FROM e a JOIN e b USING (c) GROUP BY ALL),
+    k0 AS MATERIALIZED (SELECT a.r AS i, b.r AS j, coalesce(g, 0) - a.d - b.d + (SELECT sum(m * m) FROM me) AS v FROM d a CROSS JOIN d b LEFT JOIN g ON g.i = a.r AND g.j = b.r),
+    {", ".join(steps)}, t AS (SELECT sum(v) AS t FROM k{squarings} WHERE i = j), l AS (SELECT sum(a.v * b.v) / max(t) AS l FROM k0 a JOIN k{squarings} b ON a.i = b.j AND a.j = b.i, t)
+    SELECT k.i AS {shown}, round(sqrt(greatest(k.v, 0) / t * l), 3) AS place, round(l / (SELECT sum(v) FROM k0 WHERE i = j), 6) AS share FROM k{squarings} k, t, l WHERE k.i = k.j"""
+
+
+def leading(found: spectral.Components, row: str) -> DataFrame:
+    return found.scores.select(row, F.round(F.abs(F.get("pc", F.lit(0))), 3).alias("place"), F.lit(round(found.variances[0] / found.total, 6)).alias("share"))
+
+
+@query("TR3_leading_component", leading_sql(f"{INTERACTIONS}, e AS (SELECT sample AS r, pair AS c, score AS x FROM x)", "sample"))
+def tr3_leading(t):
+    return leading(spectral.components(some_interactions(t), 2, "sample", "pair", most_error=1e-9), "sample")
+
+
+@query("TR3_wide_components", leading_sql("e AS (SELECT l_suppkey AS r, l_partkey AS c, sum(l_quantity) AS x FROM lineitem GROUP BY ALL)", "l_suppkey"))
+def tr3_wide(t):
+    return leading(spectral.components(t.lineitem, 2, "l_suppkey", "l_partkey", "l_quantity", most_error=1e-9), "l_suppkey")
+
+
 @query(
     "TR4_ordering",
     """WITH RECURSIVE e AS (SELECT 'R' || n_regionkey AS a, 'N' || n_nationkey AS b, 1.0::DOUBLE AS length FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 0.5 FROM supplier),

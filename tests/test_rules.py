@@ -5,12 +5,13 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave import ranking
 from rankweave.functions import names, texts
-from rankweave.operators import articles, benchstat, compose, corpus, energy, gates, graph, quadrant, refmatch, signal
+from rankweave.operators import articles, benchstat, compose, corpus, energy, gates, graph, quadrant, refmatch, signal, spectral
 from rankweave.sources import files
 
 
@@ -464,3 +465,38 @@ def test_pair_fallback_against_all_combinations_in_order(spark, first):
     got = refmatch.pairs_with_fallback(spark.createDataFrame(pairs, "a string, b string"), of, of, df, "a", "b", "x", "y", groups, first).collect()
     assert sorted((g["a"], g["b"], g["row"], g["method"]) for g in got) == sorted(want)
     assert {g["method"] for g in got} == {"direct", "neighbour"}
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_components_of_5000_samples_against_a_dense_decomposition(spark, scaled):
+    r = np.random.default_rng(1)
+    a = (r.normal(size=(60, 4)) * [50, 30, 20, 10]) @ r.normal(size=(4, 5000)) * 0.1 + r.normal(size=(60, 5000)) * (r.random((60, 5000)) < 0.02)
+    a = np.where(r.random(a.shape) < 0.3, a, 0)
+    a[:, 7] = 0
+    i, j = np.nonzero(a)
+    df = spark.createDataFrame([(f"p{x}", f"s{y}", float(a[x, y])) for x, y in zip(i, j)], "value string, mean string, v double")  # names that the operator uses itself
+    found = spectral.components(df, 3, "value", "mean", "v", scaled=scaled)
+    got = {x["value"]: x["pc"] for x in found.scores.collect()}
+    b = a - a.mean(0)
+    if scaled:
+        b /= np.where(b.std(0, ddof=1) > 0, b.std(0, ddof=1), 1)
+    u, s, vt = np.linalg.svd(b, full_matrices=False)
+    sign = np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(1)])  # the largest loading is positive
+    assert np.abs(np.array([got[f"p{x}"] for x in range(60)]) - u[:, :3] * s[:3] * sign).max() < 1e-5 * s[0]
+    loaded = {x["mean"]: x["pc"] for x in found.loadings.collect()}
+    assert max(abs(loaded[f"s{y}"][0] - vt[0, y] * sign[0]) for y in set(j.tolist())) < 1e-5
+    assert np.allclose(found.variances, s[:3] ** 2 / 59) and np.isclose(found.total, (s**2).sum() / 59)
+    assert found.rounds < 20
+
+
+def test_components_of_small_and_odd_matrices(spark):
+    of = lambda rows: spectral.components(spark.createDataFrame(rows, "pair string, sample string, score double"), 2)
+    empty = of([])
+    assert empty.scores.count() == 0 and empty.variances == []
+    one = of([("a", "x", 1.0), ("a", "y", 2.0)])
+    assert [tuple(r) for r in one.scores.collect()] == [("a", [])] and one.total == 0
+    line = of([("a", "x", 1.0), ("b", "x", 1.0), ("b", "x", 1.0), ("c", "x", None), (None, "x", 9.0), ("c", None, 9.0)])  # 1, 2, 0
+    assert sorted((r["pair"], round(r["pc"][0], 9)) for r in line.scores.collect()) == [("a", 0.0), ("b", 1.0), ("c", -1.0)]
+    assert np.allclose(line.variances, [1.0])
+    with pytest.raises(ValueError):
+        of([("a", "x", math.inf)])
