@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import articles, gates
+from ..operators import articles, audits, gates
 from ..sources import files
 from ..sources.shared import shared_path
 from .registry import Tables, query
 
-@query("TK10_best_protocols", """WITH s AS (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host, 2 * contains(lower(url), 'blog')::INT + 2 * contains(url, 'https')::INT AS score FROM pages)
+@query("TK10_best_protocols", """WITH s AS (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host, 2 * (contains(lower(url), 'blog') OR contains(lower(html), 'blog'))::INT + 2 * coalesce(contains(lower(html), 'the'), false)::INT + (page_id % 3 = 0)::INT + 2 * contains(url, 'https')::INT AS score FROM pages)
     SELECT host, page_id, score FROM s QUALIFY row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) <= 3""")
 def tk10(t):
-    score = articles.protocol_score(F.col("url"), F.lit(""), F.lit(""), F.contains("url", F.lit("https")), ["blog"])
+    score = articles.protocol_score(F.col("url"), F.col("html"), F.when(F.col("page_id") % 3 == 0, "10.1/x"), F.contains("url", F.lit("https")), ["blog", "the"])
     rows = t.pages.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), "page_id", score.alias("score"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "page_id"))).filter("n <= 3").drop("n")
 
@@ -26,6 +26,63 @@ def tx12(t):
     return t.benchmark.select("item_id", F.array_join(articles.capped(F.split("text", " ")), "|").alias("words"))
 
 
+#: SQL of the first items of each conversation: a turn's trimmed text and role, null roles every third turn, bare texts instead of objects every seventh.
+TURNS = """tu AS (SELECT conv_id, turn, CASE WHEN turn % 3 != 0 THEN role END AS role, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS text,
+    'c' || conv_id || '|' || turn AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth FROM conversations),
+it AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY nth) AS pos FROM tu WHERE turn % 7 != 5)"""
+
+
+def turn_items(t: Tables) -> DataFrame:
+    """A list in JSON per conversation, with the fields of every kind of list in each turn's object."""
+    turn, role, text = F.col("turn"), F.when(F.col("turn") % 3 != 0, F.col("role")), F.col("text")
+    padded = F.concat(F.lit("\n "), F.coalesce(text, F.lit("")), F.lit("  "))
+    ids = F.array(F.concat(F.lit(" c"), "conv_id"), F.lit(" "), turn.cast("string"))
+    fields = {
+        "claim": padded, "support_level": F.upper(role), "pmids": ids, "reason": turn, "claim_type": role, "model_type": F.lit(""), "evidence_summary": padded, "initial_claim": padded, "self_critique": role, "evidence_checked": ids, "revision": F.lit(False),
+        "remaining_uncertainty": F.lit(" none "), "round": turn.cast("string"), "label": role, "query": padded, "rationale": F.lit(0), "pmid_count": turn + 0.75, "article_count": F.lit("many"), "topic": padded, "evidence_type": role, "representative_pmids": ids,
+    }
+    item = F.when(turn % 7 == 5, F.lit('"no object"')).otherwise(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    rows = t.conversations.select("conv_id", F.struct("turn", "role", "text", item.alias("item")).alias("x"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return rows.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["item"]), ","), F.lit("]")).alias("json"))
+
+
+def fields_of(items: DataFrame, key: str) -> DataFrame:
+    """(key, pos, fields): the items of an array of structs with their fields in one text."""
+    names = items.schema["items"].dataType.elementType.names
+    part = lambda n: F.concat_ws("|", "x." + n) if items.schema["items"].dataType.elementType[n].dataType.typeName() == "array" else F.col("x." + n).cast("string")
+    return items.select(key, F.posexplode("items").alias("pos", "x")).select(key, F.col("pos").cast("long") + 1, F.concat_ws("/", *map(part, names))).toDF(key, "pos", "fields")
+
+
+def register_lists() -> None:
+    level, role = "coalesce(lower(role), 'speculative')", "coalesce(role, 'unspecified')"
+    shown = {
+        "claims": f"text || '/' || {level} || '/' || ids || '/' || CASE turn WHEN 0 THEN '' ELSE turn::VARCHAR END",
+        "evidence": f"{role} || '/' || text || '/' || {level} || '/' || ids || '/unspecified/' || text",
+        "reflections": "text || '/' || coalesce(role, '') || '/' || ids || '//none'",
+        "queries": "turn || '/' || coalesce(role, '') || '/' || text || '//' || turn || '/0'",
+        "strengths": f"text || '/' || {level} || '/' || {role} || '//' || ids",
+    }
+    for kind, sql in shown.items():
+        whole = f"WITH {TURNS} SELECT conv_id, pos, {sql} AS fields FROM it WHERE nth <= {audits.LIMITS[kind]}"
+
+        @query(f"TX12_{kind}", whole)
+        def normal(t, kind=kind):
+            return fields_of(turn_items(t).select("conv_id", audits.normal_items(F.col("json"), kind, kind == "claims").alias("items")), "conv_id")
+
+
+register_lists()
+
+
+@query("TX12_protocol_audit", f"""WITH {TURNS} SELECT conv_id, 'c' || conv_id AS assessment, count(*) FILTER (WHERE pos IS NOT NULL) AS supported, string_agg(CASE turn WHEN 0 THEN '' ELSE turn::VARCHAR END, '|' ORDER BY nth) FILTER (WHERE pos IS NOT NULL) AS reasons, 0 AS overstated, 'gap' AS gaps
+    FROM tu LEFT JOIN (SELECT conv_id, nth, pos FROM it) USING (conv_id, nth) WHERE nth <= 12 GROUP BY conv_id""")
+def tx12_audit(t):
+    name = F.concat(F.lit('{"overall_assessment": " c'), "conv_id", F.lit('", "supported_claims": '), "json", F.lit(', "inference_only_claims": '), "json", F.lit(', "unsupported_or_overstated_claims": "none", "priority_gaps": [" gap ", "", null]}'))
+    a = turn_items(t).select("conv_id", audits.normal_audit(name).alias("a")).select("conv_id", "a.*")
+    reasons = F.array_join(F.transform("inference_only_claims", lambda x: x["reason"]), "|")
+    return a.select("conv_id", F.col("overall_assessment").alias("assessment"), F.size("supported_claims").cast("long").alias("supported"), F.when(F.size("inference_only_claims") > 0, reasons).alias("reasons"), F.size("unsupported_or_overstated_claims").alias("overstated"), F.array_join("priority_gaps", "|").alias("gaps"))
+
+
 @query("AG28_longest_claims", "SELECT o_custkey, arg_min(o_orderpriority || ' https://x/' || o_orderkey, (-length(o_orderpriority || ' https://x/' || o_orderkey), o_orderkey)) AS claim FROM orders GROUP BY o_custkey, o_orderpriority")
 def ag28(t):
     rows = t.orders.select("o_custkey", "o_orderkey", F.concat("o_orderpriority", F.lit(" https://x/"), "o_orderkey").alias("text"))
@@ -169,11 +226,16 @@ def io13(t):
     return t.spark.read.schema("p_partkey long, p_name string").option("header", True).csv(path)
 
 
-@query("IO14_passages", "SELECT doc_id, 0 AS pos, 'METHODS|p' AS section FROM documents WHERE trim(text) != ''")
+@query("IO14_passages", """SELECT doc_id, pos, section, md5(text) AS text_md5 FROM (SELECT doc_id, 0 AS pos, 'METHODS|p' AS section, text FROM documents
+    UNION ALL SELECT doc_id, 1, 'TITLE|front|' || coalesce(source, ''), coalesce(lang, '') || ': ' || coalesce(text, '') FROM documents) WHERE regexp_matches(text, '\\S')""")
 def io14(t):
     infons = F.create_map(F.lit("section_type"), F.lit("METHODS"), F.lit("type"), F.lit("p"))
-    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(infons.alias("infons"), F.col("text"))).alias("passages"))).alias("documents")))
-    return files.passages(t.documents.select("doc_id", body.alias("json")), "doc_id", "json").select("doc_id", "pos", "section")
+    front = F.create_map(F.lit("section_type"), F.lit("TITLE"), F.lit("type"), F.lit("front"), F.lit("title"), F.coalesce("source", F.lit("")))
+    said = F.concat(F.coalesce("lang", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    both = [F.struct(F.array(F.struct(i.alias("infons"), x.alias("text"))).alias("passages")) for i, x in ((infons, F.col("text")), (front, said))]  # two documents of one passage
+    body = F.to_json(F.struct(F.array(*both).alias("documents")))
+    found = files.passages(t.documents.select("doc_id", body.alias("json")), "doc_id", "json")
+    return found.select("doc_id", "pos", "section", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 @query("IO18_source_paths", "SELECT 'orders.parquet' AS file, count(*) AS n FROM orders")

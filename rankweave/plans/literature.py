@@ -426,10 +426,15 @@ def ct5(t):
     return d.select("run_id", "src", "mid", F.round("scores.signal", 6).alias("signal"), F.round("scores.novelty", 6).alias("novelty"), "place.quadrant")
 
 
-@query("CT6_export_documents", f"WITH {RECORDS} SELECT run_id, src, mid, quadrant FROM ix")
+@query("CT6_export_documents", f"""WITH {RECORDS} SELECT run_id, src, mid, run_id AS doc_run, src AS doc_src, mid AS doc_mid, round(signal, 6) AS signal, round(novelty, 6) AS novelty, round(composite_score, 6) AS score, quadrant, target,
+    'mid,place,run_id,scores,src' AS fields FROM ix""")
 def ct6(t):
     d = catalog.exported(full_index(t))
-    return d.select("run_id", "src", "mid", F.get_json_object("document", "$.place.quadrant").alias("quadrant"))
+    text = {"doc_run": "run_id", "doc_src": "src", "doc_mid": "mid", "quadrant": "place.quadrant", "target": "place.target"}
+    number = {"signal": "signal", "novelty": "novelty", "score": "composite_score"}
+    at = lambda path: F.get_json_object("document", f"$.{path}")
+    found = [at(p).alias(n) for n, p in text.items()] + [F.round(at(f"scores.{p}").cast("double"), 6).alias(n) for n, p in number.items()]
+    return d.select("run_id", "src", "mid", *found, F.array_join(F.sort_array(F.json_object_keys("document")), ",").alias("fields"))
 
 
 @query("CT7_dashboard_view", f"WITH {RECORDS} SELECT run_id, mid, quadrant, signal > (SELECT median(signal) FROM ix) AS above FROM ix")

@@ -63,9 +63,13 @@ def sc6(t):
     return t.part.select("p_partkey", F.explode(names.salt_variants(F.concat(F.lit("w"), "p_size", end))).alias("variant"))
 
 
-@query("SC7_lookup_variants", """SELECT p_partkey, p_name || '|' || replace(p_name, ' ', '_') AS variants FROM part WHERE contains(p_name, ' ')""")
+@query("SC7_lookup_variants", """WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand || '_' || p_name ELSE replace(p_name, ' ', '-') || '-X_y' END AS name FROM part),
+    v AS (SELECT p_partkey, unnest([name, replace(name, '_', ' '), replace(name, ' ', '_'), replace(name, '-', '_')]) AS v, unnest([1, 2, 3, 4]) AS pos FROM n),
+    f AS (SELECT p_partkey, arg_min(v, pos) AS v, min(pos) AS pos FROM v GROUP BY p_partkey, lower(v)) SELECT p_partkey, string_agg(v, '|' ORDER BY pos) AS variants FROM f GROUP BY p_partkey""")
 def sc7(t):
-    return t.part.filter(F.contains("p_name", F.lit(" "))).select("p_partkey", joined(names.lookup_variants(F.col("p_name"))).alias("variants"))
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws("_", "p_brand", "p_name")).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-X_y")))
+    return t.part.select("p_partkey", joined(names.lookup_variants(name)).alias("variants"))
 
 
 @query(
@@ -95,10 +99,15 @@ def sc15(t):
     return t.part.select("p_partkey", joined(names.aliases(F.col("p_name"))).alias("wide"), joined(names.strict_aliases(F.col("p_name"), True)).alias("strict"))
 
 
-@query("SC16_group_aliases", """SELECT p_partkey, CASE WHEN p_name = 'small ring' THEN 'small ring|tiny band|SR' ELSE p_name || '|' || upper(p_name[1]) || upper(split_part(p_name, ' ', 2)[1]) END AS names FROM part WHERE regexp_matches(p_name, '^[a-z]+ [a-z]+$')""")
+@query("SC16_group_aliases", """WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' of the ' || p_brand WHEN 2 THEN replace(p_name, ' ', '_') || '_and_X2' ELSE p_type END AS name FROM part),
+    w AS (SELECT p_partkey, name, upper(list_aggregate(list_transform(list_filter(regexp_extract_all(replace(name, '_', ' '), '[A-Za-z]+|[0-9]+'), lambda x: lower(x) NOT IN ('of', 'and', 'the')), lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN x ELSE x[1] END), 'string_agg', '')) AS acronym FROM n),
+    v AS (SELECT p_partkey, unnest([name, replace(name, '_', ' '), CASE WHEN name = 'small ring' THEN 'small ring' END, CASE WHEN name = 'small ring' THEN 'tiny band' END,
+        CASE WHEN length(acronym) BETWEEN 2 AND 8 AND length(regexp_replace(acronym, '[^A-Z]', '', 'g')) >= 2 THEN acronym END]) AS v, unnest([1, 2, 3, 4, 5]) AS pos FROM w),
+    f AS (SELECT p_partkey, arg_min(v, pos) AS v, min(pos) AS pos FROM v WHERE v != '' GROUP BY p_partkey, lower(v)) SELECT p_partkey, string_agg(v, '|' ORDER BY pos) AS names FROM f GROUP BY p_partkey""")
 def sc16(t):
-    rows = t.part.filter(F.col("p_name").rlike("^[a-z]+ [a-z]+$"))
-    return rows.select("p_partkey", joined(names.group_aliases(F.col("p_name"), {"small ring": ["small ring", "tiny band"]})).alias("names"))
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws(" of the ", "p_name", "p_brand")).when(k == 2, F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_and_X2"))).otherwise(F.col("p_type"))
+    return t.part.select("p_partkey", joined(names.group_aliases(name, {"small ring": ["small ring", "tiny band"]})).alias("names"))
 
 
 KEYWORDS = "regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\\-/+]{2,}')"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankweave import ranking
 from rankweave.functions import names, texts
-from rankweave.operators import articles, benchstat, compose, corpus, energy, gates, graph, quadrant, refmatch, signal, spectral
+from rankweave.operators import articles, audits, benchstat, compose, corpus, energy, gates, graph, quadrant, refmatch, signal, spectral
 from rankweave.sources import files
 
 
@@ -500,3 +500,25 @@ def test_components_of_small_and_odd_matrices(spark):
     assert np.allclose(line.variances, [1.0])
     with pytest.raises(ValueError):
         of([("a", "x", math.inf)])
+
+
+def test_audit_lists_in_normal_form(spark):
+    item = '{"claim": " a\\n", "support_level": " STRONG ", "pmids": [" 1 ", 2, "", null], "reason": 0}'
+    rows = [
+        (f"[{item}, 5, null, {{}}]", [("a", "strong", ["1", "2"], ""), ("", "speculative", [], "")]),
+        ("[" + ", ".join(['"x"'] * 11 + [item] * 3) + "]", [("a", "strong", ["1", "2"], "")]),  # the first twelve count, objects or not
+        ('[{"claim": false, "support_level": "  ", "pmids": "7"}, {"claim": [1], "support_level": 2, "reason": "0"}]', [("", "", [], ""), ("[1]", "2", [], "0")]),
+        ('{"claim": "a"}', []), ("no json", []), ("", []), (None, []), ("[]", []),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, json string")
+    got = {r["i"]: [(x["claim"], x["support_level"], x["pmids"], x["reason"]) for x in r["x"]] for r in df.select("i", audits.normal_items(F.col("json"), "claims", True).alias("x")).collect()}
+    assert got == {i: r[1] for i, r in enumerate(rows)}
+    log = spark.createDataFrame([('[{"round": "3", "pmid_count": -2.9, "article_count": [1], "label": 0.0}]',)], "json string").select(audits.normal_items(F.col("json"), "queries").alias("x")).first()["x"]
+    assert [tuple(x) for x in log] == [(3, "", "", "", -2, 0)]
+    for kind, most in (("evidence", 14), ("reflections", 10), ("strengths", 10)):
+        many = spark.createDataFrame([("[" + ",".join(["{}"] * 20) + "]",)], "json string").select(audits.normal_items(F.col("json"), kind).alias("x")).first()["x"]
+        assert len(many) == most
+    audit = spark.createDataFrame([(f'{{"overall_assessment": " ok ", "supported_claims": [{item}], "priority_gaps": ["g", " "]}}',), ("[1]",), (None,)], "json string")
+    a, *nothing = [r["a"] for r in audit.select(audits.normal_audit(F.col("json")).alias("a")).collect()]
+    assert (a["overall_assessment"], [tuple(x) for x in a["supported_claims"]], a["inference_only_claims"], a["priority_gaps"]) == ("ok", [("a", "strong", ["1", "2"])], [], ["g"])
+    assert all(tuple(x) == ("", [], [], [], []) for x in nothing)
