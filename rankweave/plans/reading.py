@@ -1,8 +1,9 @@
 """Queries that read running text: signals, grades, facets, markers, claims and protocols.
 
 Whole documents are read.  Each holds one of a table of sentences in its
-middle, since the tables' invented prose gives no signal of its own; the SQL
-looks for the signals in the same whole texts.
+middle, since the tables' invented prose gives no signal of its own; what the
+sentences say was written down by hand, and the SQL looks that up by the
+sentence that it finds in the whole text.
 """
 
 from __future__ import annotations
@@ -43,8 +44,14 @@ CASES = [
     ("In axenic culture Alpha beta was grown. It was found that it secreted gamma acid. The yield was measured by nmr.", "direct_monoculture_production"),
     ("Supplementation with live Alpha beta protected mice; colitis was mild.", "candidate_microbe_disease_intervention"),
 ]
+#: By hand, what each of the sentences says: (c) the source was cultured, (p) the intermediate is produced, (n) it isn't, (a) another makes it, (g) the source was
+#: given alone, (m) the intermediate was, (e) the source has an effect, (f) the intermediate has, (x) the source was added or taken away.
+#: "Not" within 25 characters behind a match negates it, so the second sentence doesn't say (x).
+SAYS = ["cpx", "cn", "g", "m", "x", "", "", "", "", "px", "cn", "", "x", "mf", "e", "x", "cpx", "", "cpax", "", "cpx", "ge"]
 #: Conditions, levels of support and references that stand in texts.
 CONDITIONS = ["Mice had 5 mg/kg for 24 h.", "Caco-2 and RAW264.7 cells in 10 uM; then 2.5 mM, 10 uM.", "DSS-induced colitis in C57BL/6J over 3 weeks and 2 days", "3 x 10^8 CFU of it, in Wistar rats", "no condition", "Tests took 48 hours", "THP-1"]
+#: By hand, the markers of each: amounts, times, cells, animals.
+MARKED = ["5 mg/kg|24 h", "10 uM|2.5 mM|Caco-2|RAW264.7", "3 weeks|2 days|DSS-induced colitis|C57BL/6J", "3 x 10^8 CFU|Wistar", "", "48 hours", "THP-1"]
 LEVELS = ["Direct support.", "Speculative claim.", "Well supported.", "Not supported by data.", "An inference.", "UNSUPPORTED.", "It is overstated.", "Uncertain."]
 REFERENCES = [" [PMID: 12; 13] and https://x.example/a?b=1 so", " PMCID: PMC77 (pmc: 8) |after", " protocols.io/view/x and Protocols.IO", " plain", "|", " [pmid:9]https://y"]
 MODELS = ["DSS in mice.", "Dextran sodium sulfate was used.", "Murine colitis.", "An organoid.", "Participants of a cohort.", "Mouse tissue.", "In vivo work.", "Tea."]
@@ -70,59 +77,21 @@ def planted_sql(sentences: list[str], glue: str = f". {APART} ", end: str = f" {
     x AS (SELECT doc_id, lang, text, lower(text) AS x FROM d)"""
 
 
-# SQL has no look-around: an entity's edges are spelled out, and what must not stand around a match is a second search;
-# every text holds one match at most, so both come to the same
+def said_sql(**flags: str) -> str:
+    """What the planted sentence of each document says, by the marks given to it by hand."""
+    values = ", ".join(f"({quoted(c[0])}, {quoted(marks)})" for c, marks in zip(CASES, SAYS, strict=True))
+    # a mixture's name anywhere in the text takes the marks of what was given
+    mixed = "regexp_matches(lower(text), 'cocktail|consortium|multi-strain|multistrain|compound probiotic|mixture|blend|synbiotic|formula|as part of|containing strains') AND NOT regexp_matches(lower(text), 'alone|only group|single-strain|monotherapy|individual strain')"
+    found = ", ".join(f"contains(marks, '{mark}')" + (f" AND NOT ({mixed})" if mark in "gm" else "") + f" AS {name}" for name, mark in flags.items())
+    return f"WITH {planted_sql([c[0] for c in CASES])}, says(phrase, marks) AS (VALUES {values}) SELECT doc_id, {found} FROM d JOIN says ON contains(text, '{APART} ' || phrase || ' {APART}')"
 
-S, M = r"(?:alpha\s+beta|a\.\s+beta)", r"gamma\s+acid"
-NOT = articles.NOT
 
-
-def _sql_words(pattern: str) -> str:
-    for k in sorted(articles.WORDS, key=len, reverse=True):
-        pattern = pattern.replace(k, articles.WORDS[k])
-    return pattern
-
-
-def holds(pattern: str, of: str = "x") -> str:
-    return f"regexp_matches({of}, {quoted(_sql_words(pattern))})"
-
-
-def affirmed(pattern: str, gapped: bool = False) -> str:
-    """A match without a negator in the 55 characters before, the 25 after, or its own gap."""
-    p = _sql_words(pattern)
-    within = f" AND NOT regexp_matches(regexp_extract(x, {quoted(p)}), {quoted(NOT)})" if gapped else ""
-    return f"({holds(p)} AND NOT {holds(rf'{NOT}.{{0,55}}{p}')} AND NOT {holds(rf'{p}.{{0,25}}{NOT}')}{within})"
-
-
-def entity(e: str, before: str = "", after: str = "") -> str:
-    """``e`` between characters that are no letters or digits, with what must stand next to it."""
-    return f"{before or '(?:^|[^a-z0-9])'}{e}{after or '(?:[^a-z0-9]|$)'}"
-
-
-GAP = lambda n: rf"(?:[^a-z0-9\n].{{0,{n - 1}}})?"  # noqa: E731  up to n characters that begin or end at an entity's edge
-ENDS = lambda n: rf"(?:.{{0,{n - 1}}}[^a-z0-9\n])"
-terms = lambda words: "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
-CULTURED = f"({holds(entity(S, after=GAP(100)) + r'\b(?:was|were|is|are)?\s*GROWN\b')} OR {holds(r'\bGROWN\b' + ENDS(100) + S + '(?:[^a-z0-9]|$)')})"
-MIXED, SINGLE = holds(terms(articles.COMMUNITY)), holds(f"(?:^|[^a-z0-9]){terms(articles.SINGLE)}(?:[^a-z0-9]|$)")
-STRICT = holds(f"(?:^|[^a-z0-9]){terms(articles.STRICT_CULTURE)}(?:[^a-z0-9]|$)")
-
-
-@query("TX1_culture_signal", f"WITH {planted_sql([c[0] for c in CASES])} SELECT doc_id, {CULTURED} AND NOT ({MIXED} AND NOT {SINGLE}) AND ({STRICT} OR NOT {MIXED}) AS signal FROM x")
+@query("TX1_culture_signal", said_sql(signal="c"))
 def tx1(t):
     return planted(t, [c[0] for c in CASES]).select("doc_id", articles.cultured(F.col("text"), SRC).alias("signal"))
 
 
-PRODUCED = f"({affirmed(r'\bPRODUCED\b' + ENDS(140) + M, True)} OR {affirmed(entity(M, after=GAP(100)) + r'\bPRODUCED\b', True)})"
-NOT_PRODUCED = " OR ".join(holds(p) for p in (
-    r"\b(?:no|without)\b.{0,60}\b(?:production|formation|accumulation|secretion)\b" + ENDS(80) + M + "(?:[^a-z0-9]|$)",
-    entity(M, after=GAP(45)) + r"\b(?:was|were|is|are)?\s*(?:not|never)\s+(?:produced|formed|detected|accumulated|increased|secreted)\b",
-    r"\b(?:failed|unable)\s+to\s+(?:produce|form|generate|secrete)\b" + ENDS(80) + M + "(?:[^a-z0-9]|$)",
-    r"\b(?:no|not)\s+(?:detectable|significant)?\s*" + M + GAP(50) + r"\b(?:production|formation|accumulation|increase)\b",
-))
-ANOTHER = f"len(list_filter(list_concat(regexp_extract_all(text, {quoted(_sql_words('NAME') + r'\s+' + _sql_words('MADE') + '(?:.{0,99}[^a-zA-Z0-9\\n])(?i:gamma\\s+acid)')}, 1), regexp_extract_all(text, {quoted('(?i:gamma\\s+acid)(?:[^a-zA-Z0-9\\n].{0,99})?' + _sql_words('MADE') + r'\s+by\s+' + _sql_words('NAME'))}, 1)), lambda n: NOT contains('alpha beta a. beta', lower(trim(n))))) > 0"
-
-
-@query("TX2_production_signal", f"WITH {planted_sql([c[0] for c in CASES])} SELECT doc_id, {PRODUCED} AS produced, ({NOT_PRODUCED}) AS not_produced, {ANOTHER} AS by_another FROM x")
+@query("TX2_production_signal", said_sql(produced="p", not_produced="n", by_another="a"))
 def tx2(t):
     x = F.col("text")
     signals = {"produced": articles.produced(x, MID), "not_produced": articles.not_produced(x, MID), "by_another": articles.by_another(x, SRC, MID)}
@@ -131,7 +100,8 @@ def tx2(t):
 
 def graded_sql(columns: str) -> str:
     """What each document's planted sentence says, found in the whole text."""
-    values = ", ".join(f"({quoted(s)}, {quoted(kind)}, {quoted(next(g[1] for g in articles.GRADES if g[0] == kind))}, {next(g[2] for g in articles.GRADES if g[0] == kind)})" for s, kind in CASES)
+    relevance = {"candidate_pair_association": "partial", "analogous_method_only": "analogous", "background_only": "partial", "unrelated": "unrelated"}  # all else is direct, and may be cited
+    values = ", ".join(f"({quoted(s)}, {quoted(kind)}, {quoted(relevance.get(kind, 'direct'))}, {kind not in relevance})" for s, kind in CASES)
     return f"WITH {planted_sql([c[0] for c in CASES])}, says(phrase, evidence_type, relevance, citable) AS (VALUES {values}) SELECT {columns} FROM d JOIN says ON contains(text, '{APART} ' || phrase || ' {APART}')"
 
 
@@ -145,24 +115,7 @@ def tx3(t):
     return rows.select("doc_id").join(articles.windowed_signals(rows, SRC, MID, DST).select("doc_id", *flags), "doc_id", "left").na.fill(False, flags)
 
 
-def given(e: str) -> str:
-    lead = r"(?:(?:cells|animals|mice|rats|organoids)\s+)?(?:(?:with|to)\s+)?FORM"
-    found = [rf"\bGIVEN\b\s+{lead}{e}(?:[^a-z0-9]|$)", rf"\bGIVING\b\s+(?:of|with)\s+FORM{e}(?:[^a-z0-9]|$)", rf"(?:^|[^a-z0-9]){e}\s+(?:itself\s+)?(?:was|were)\s+GIVEN\b", rf"(?:^|[^a-z0-9]){e}\s+GIVING\b"]
-    return f"(({' OR '.join(affirmed(p) for p in found)}) AND (NOT {holds(terms(articles.MIXTURE))} OR {holds(terms(articles.ALONE))}))"
-
-
-def effect(e: str) -> str:
-    one = rf"(?:^|[^a-z0-9]){e}\s+(?:(?:itself|treatment|exposure|supplementation)\s+)?(?:was|were|is|are)?\s*(?:found\s+to\s+)?EFFECT\b"
-    return f"({affirmed(one)} OR {affirmed(rf'\bEFFECT\b.{{0,45}}(?:by|with|after)\s+{e}(?:[^a-z0-9]|$)', True)})"
-
-
-def manipulated(e: str) -> str:
-    near = [rf"\bCHANGED\b\s+(?:with\s+|of\s+)?{e}(?:[^a-z0-9]|$)", rf"\bCHANGE\b\s+(?:of|with)\s+{e}(?:[^a-z0-9]|$)"]
-    far = [rf"(?:^|[^a-z0-9]){e}(?:[^a-z0-9\n].{{0,59}})?\b{w}\b" for w in ("CHANGED", "CHANGE")]
-    return f"({' OR '.join([*(affirmed(p) for p in near), *(affirmed(p, True) for p in far)])})"
-
-
-@query("TX4_intervention_signal", f"WITH {planted_sql([c[0] for c in CASES])} SELECT doc_id, {given(S)} AS source_given, {given(M)} AS mid_given, {effect(S)} AS source_effect, {effect(M)} AS mid_effect, {manipulated(S)} AS source_changed FROM x")
+@query("TX4_intervention_signal", said_sql(source_given="g", mid_given="m", source_effect="e", mid_effect="f", source_changed="x"))
 def tx4(t):
     x = F.col("text")
     signals = {"source_given": articles.administered(x, SRC), "mid_given": articles.administered(x, MID), "source_effect": articles.effective(x, SRC), "mid_effect": articles.effective(x, MID), "source_changed": articles.manipulated(x, SRC)}
@@ -215,7 +168,8 @@ def tx7(t):
 
 
 @query("TX6_evidence_facets", f"""WITH {planted_sql([c[0] for c in CASES])},
-    f AS (SELECT lang, doc_id, {holds(terms(articles.CONTRADICTING))} AS against, {holds(terms(articles.CELLS))} OR {holds(terms(articles.ANIMALS))} AS exp, contains(x, 'gamma acid') AS mid, contains(x, 'colitis') AS dst
+    f AS (SELECT lang, doc_id, regexp_matches(x, 'no significant|not significant|contradict|negative result|null finding|not associated|inconsistent|failed to') AS against,
+          regexp_matches(x, 'in vitro|cell|epithelial|organoid|macrophage|monocyte|co-culture|mouse|mice|murine|animal|rat|colitis|gnotobiotic|germ-free') AS exp, contains(x, 'gamma acid') AS mid, contains(x, 'colitis') AS dst
           FROM x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 24),
     h AS (SELECT lang, 'mid' AS topic, mid AS hit, against, exp, doc_id FROM f UNION ALL SELECT lang, 'dst', dst, against, exp, doc_id FROM f),
     n AS (SELECT lang, topic, count_if(hit AND against) AS c, count_if(hit AND NOT against AND exp) AS e, count_if(hit AND NOT against) AS s, list(doc_id ORDER BY doc_id) FILTER (WHERE hit) AS ids FROM h GROUP BY lang, topic)
@@ -260,22 +214,11 @@ def tx9(t):
     return out.select("kind", F.coalesce("id", "source").alias("a"), F.coalesce("type", "target").alias("b"), F.col("relation").alias("c"), "description")
 
 
-# Java's word edges know all letters, the SQL's know ASCII ones: other letters than the marker's own become a plain one first
-PLAIN = r"regexp_replace({0}, '[^\P{{L}}a-zA-Zμ]', 'x', 'g')"
-MARKED = [m.replace("(?:uM|", "(?:uM|") for m in texts.MARKERS]
+MARKER_SQL = f"""marked(phrase, markers) AS (VALUES {", ".join(f"({quoted(c)}, {quoted(m)})" for c, m in zip(CONDITIONS, MARKED, strict=True))}),
+    marks AS (SELECT doc_id, markers FROM d JOIN marked ON contains(text, '{APART} ' || phrase || ' {APART}'))"""
 
 
-def found_markers(of: str) -> str:
-    return "list_concat(" * (len(MARKED) - 1) + f"regexp_extract_all({of}, {quoted(MARKED[0])})" + "".join(f", regexp_extract_all({of}, {quoted(m)}))" for m in MARKED[1:])
-
-
-MARKER_SQL = f"""m AS (SELECT doc_id, {found_markers(PLAIN.format('text'))} AS found FROM d),
-    u AS (SELECT doc_id, unnest(found) AS one, generate_subscripts(found, 1) AS pos FROM m),
-    f AS (SELECT doc_id, arg_min(one, pos) AS one, min(pos) AS pos FROM (SELECT doc_id, pos, regexp_replace(regexp_replace(one, '\\s+', ' ', 'g'), '^[ .;,:]+|[ .;,:]+$', '', 'g') AS one FROM u) WHERE one != '' GROUP BY doc_id, lower(one)),
-    marks AS (SELECT doc_id, string_agg(one, '|' ORDER BY pos) AS markers FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 8) GROUP BY doc_id)"""
-
-
-@query("SC22_condition_markers", f"WITH {planted_sql(CONDITIONS)}, {MARKER_SQL} SELECT doc_id, coalesce(markers, '') AS markers FROM d LEFT JOIN marks USING (doc_id)")
+@query("SC22_condition_markers", f"WITH {planted_sql(CONDITIONS)}, {MARKER_SQL} SELECT doc_id, markers FROM marks")
 def sc22(t):
     return planted(t, CONDITIONS).select("doc_id", F.array_join(texts.markers(F.col("text")), "|").alias("markers"))
 
@@ -285,14 +228,19 @@ def in_methods(t: Tables) -> DataFrame:
     return planted(t, CONDITIONS).withColumn("section", section)
 
 
-@query("FL14_methods_passages", f"WITH {planted_sql(CONDITIONS)}, short AS (SELECT doc_id, left(text, 60) AS text, lang FROM d UNION ALL SELECT -1 - doc_id, text, lang FROM d) SELECT doc_id FROM short WHERE lang IN ('en', 'fr') AND (length(text) >= 80 OR len({found_markers(PLAIN.format('text'))}) > 0)")
+@query("FL14_methods_passages", f"""WITH {planted_sql(CONDITIONS)}, {MARKER_SQL}, k AS (SELECT 4 * doc_id AS id, text, lang, '' AS markers FROM d UNION ALL SELECT 4 * doc_id + 1, left('{APART}', 60), lang, '' FROM d
+      UNION ALL SELECT 4 * doc_id + 2, phrase, lang, marked.markers FROM d JOIN marks USING (doc_id) JOIN marked USING (markers))
+    SELECT id AS doc_id FROM k WHERE lang IN ('en', 'fr') AND (length(text) >= 80 OR markers != '')""")
 def fl14(t):
     rows = in_methods(t)
-    short = rows.withColumn("text", F.left("text", F.lit(60))).unionByName(rows.withColumn("doc_id", -1 - F.col("doc_id")))
-    return articles.method_passages(short).select("doc_id")
+    phrase = F.element_at(F.array(*map(F.lit, CONDITIONS)), F.col("k") + 1)
+    forms = [F.col("text"), F.substr(F.lit(APART), F.lit(1), F.lit(60)), phrase]  # whole, too short and without a marker, the condition alone
+    each = F.explode(F.array(*[F.struct((F.col("doc_id") * 4 + i).alias("doc_id"), x.alias("text")) for i, x in enumerate(forms)])).alias("x")
+    return articles.method_passages(rows.select("section", each).select("section", "x.doc_id", "x.text")).select("doc_id")
 
 
-CELL_SQL, ANIMAL_SQL = (f"(regexp_matches(lower({PLAIN.format('text')}), {quoted(m)}) OR regexp_matches(lower(text), {quoted(terms(w))}))" for m, w in ((MARKED[2], articles.CELLS), (MARKED[3], articles.ANIMALS)))
+CELL_SQL = "(regexp_matches(lower(text), 'in vitro|cell|epithelial|organoid|macrophage|monocyte|co-culture') OR regexp_matches(markers, 'Caco-2|THP-1'))"
+ANIMAL_SQL = "(regexp_matches(lower(text), 'mouse|mice|murine|animal|rat|colitis|gnotobiotic|germ-free') OR regexp_matches(markers, 'C57BL|Wistar'))"
 
 
 @query("TX10_method_passages", f"""WITH {planted_sql(CONDITIONS)}, {MARKER_SQL},
@@ -388,14 +336,28 @@ def fl6(t):
     return t.documents.select("doc_id", texts.has_term(low, "The").alias("short"), texts.has_term(low, "tion").alias("long"))
 
 
-#: Sentences that mention an intermediate once, negated near by, negated from afar or not at all.
-MENTIONS = ["We see gamma acid here.", "There was no gamma acid.", "Neither they nor we saw a trace of any gamma acid.", "Not one word of all that follows in this long line of plain and simple things is against gamma acid here.", "It was not the gamma acid.", "A gammaacid.", "They failed to find some gamma acid.", "Gamma  acid\nwithout a doubt."]
-
-
-@query("FL8_affirmed_mention", rf"""WITH {planted_sql(MENTIONS)}, c AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM d)
-    SELECT doc_id, regexp_matches(x, '(?:^|[^a-z0-9])gamma\s+acid(?:[^a-z0-9]|$)') {" ".join(rf"AND NOT regexp_matches(x, '\b{n}\b(?:.{{0,{54 - len(n)}}}[^a-z0-9\n])gamma\s+acid(?:[^a-z0-9]|$)')" for n in texts.NEGATORS)} AS affirmed FROM c""")
+#: Sentences that mention an intermediate once, negated near by, negated from afar or not at all; and by hand whether that is a mention that nothing negates.
+MENTIONS = [
+    ("We see gamma acid here.", True),
+    ("There was no gamma acid.", False),
+    ("Neither they nor we saw a trace of any gamma acid.", False),
+    ("Not one word of all that follows in this long line of plain and simple things is against gamma acid here.", True),
+    ("It was not the gamma acid.", False),
+    ("A gammaacid.", False),
+    ("They failed to find some gamma acid.", False),
+    ("Gamma  acid\nwithout a doubt.", True),
+    ("These were unable to make gamma acid.", False),
+    ("Nothing but gamma acid was there.", True),
+    ("Tubes without it held gamma acid.", False),
+    ("We saw no other, and yet of all that was tried in the end it was gamma acid.", True),
+    ("A notable amount of gamma acid.", True),
+]
+
+
+@query("FL8_affirmed_mention", f"""WITH {planted_sql([m[0] for m in MENTIONS])}, says(phrase, affirmed) AS (VALUES {", ".join(f"({quoted(x)}, {a})" for x, a in MENTIONS)})
+    SELECT doc_id, affirmed FROM d JOIN says ON contains(text, '{APART} ' || phrase || ' {APART}')""")
 def fl8(t):
-    return planted(t, MENTIONS).select("doc_id", texts.affirms(F.col("text"), MID).alias("affirmed"))
+    return planted(t, [m[0] for m in MENTIONS]).select("doc_id", texts.affirms(F.col("text"), MID).alias("affirmed"))
 
 
 @query("IO15_protocols", """SELECT p_partkey::VARCHAR AS id, 'Step 1: ' || p_name || ' | ' || p_size || ' g | ' || p_brand || '|Step 3: ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' | inner | 37' ELSE '' END AS steps,
