@@ -147,4 +147,4 @@ def ordering(edges: DataFrame, roots: DataFrame, width: float | None = None) ->
         after = F.when(goes, F.lit(2 if front["near"] else 0)).otherwise(F.col("todo"))
         met = state.select("id", "distance", after.alias("todo")).join(reached, "id", "full_outer")
         closer = F.coalesce(F.col("new") < F.col("distance") - 1e-12, F.col("distance").isNull())
-        state = kept(met.select("id", F.when(closer, F.col("new")).otherwise(F.col("distance")).alias("distance"), F.when(closer, 1).otherwise(F.col("todo")).alias("todo")), "ordered")
+        state = kept(met.select("id", F.when(closer, F.col("new")).otherwise(F.col("distance")).alias("distance"), F.when(closer, 1).otherwise(F.col("todo")).alias("todo")), "ordered", after=[state])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import design_status, result_status
-from ..sources.shared import kept, shared_path
+from ..sources.shared import kept, release, shared_path
 
 
 STATUS = ("met", "unmet", "unknown")
@@ -96,7 +96,9 @@ def evaluated(modules: DataFrame, clauses: DataFrame, external: DataFrame, plan:
         aimed = left.join(single, [plan, "needs"], "left")
         passed = F.when(F.col("by").isNull(), F.col("passed")).otherwise(F.transform("by", lambda s: _through(F.col("passed"), s)))
         aimed = aimed.select(plan, "module_id", F.coalesce("further", "needs").alias("needs"), passed.alias("passed"))
-        waiting = kept(aimed.join(at, [plan, "needs"], "left").select(plan, "module_id", "needs", "passed", _through(F.col("passed"), F.col("at")).alias("found")), "clauses")
+        before, waiting = waiting, kept(aimed.join(at, [plan, "needs"], "left").select(plan, "module_id", "needs", "passed", _through(F.col("passed"), F.col("at")).alias("found")), "clauses")
+        if n_round:  # the first clauses are the caller's
+            release(before)
         still_open = still_open.select(plan, "module_id", "operator", *STATUS)
         n_round += 1
     done = spark.read.schema(now.schema).parquet(path).filter("status IS NOT NULL").select(plan, "module_id", "status")

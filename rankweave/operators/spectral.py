@@ -127,7 +127,7 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
     if scaled:
         cells = entries.groupBy(row, column).agg(F.sum("value").alias("value"))
         spread = cells.groupBy(column).agg(F.sqrt((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n) / max(n - 1, 1)).alias("deviation"))
-        entries = kept(cells.join(spread, column).select(row, column, F.when(F.col("deviation") > 0, F.col("value") / F.col("deviation")).otherwise(0.0).alias("value")), "scaled")
+        entries = kept(cells.join(spread, column).select(row, column, F.when(F.col("deviation") > 0, F.col("value") / F.col("deviation")).otherwise(0.0).alias("value")), "scaled", after=[entries])
     cells = entries.groupBy(row, column).agg(F.sum("value").alias("value"))
     total = cells.groupBy(column).agg((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n).alias("v")).agg(F.sum("v")).first()[0] or 0.0
     kind = entries.schema[column].dataType.simpleString()
@@ -169,7 +169,7 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
 
         wider = kept(state.mapInArrow(extended, f"`{column}` {kind}, mean double, v array<double>, w array<double>, r array<double>"), "basis")
         images = _applied(entries, wider, "r", width, row, column)
-        state = kept(wider.join(images, column).select(column, "mean", F.concat("v", "r").alias("v"), F.concat("w", "image").alias("w")), "basis")
+        state = kept(wider.join(images, column).select(column, "mean", F.concat("v", "r").alias("v"), F.concat("w", "image").alias("w")), "basis", after=[wider, state])
         m = cut.shape[1] + width
 
     k = min(k, m, int((theta > 1e-12 * theta[0]).sum()) if m and theta[0] > 0 else 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back: what follows reads it instead of making it again, and a lost executor costs a reread."""
+def kept(df: DataFrame, name: str, after: Sequence[DataFrame] = ()) -> DataFrame:
+    """``df`` written once as Parquet and read back: what follows reads it instead of making it again, and a lost executor costs a reread.
+
+    The tables ``after`` which it comes, made by ``kept`` themselves and not read
+    any more once it is written, are deleted: rounds don't pile up tables.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    for old in after:
+        release(old)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``kept`` made; other tables' files stay."""
+    context = df.sparkSession.sparkContext
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1].startswith("rankweave-"):
+            where = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

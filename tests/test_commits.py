@@ -92,3 +92,18 @@ def test_results_are_computed_once_and_the_latest_counts(spark, tmp_path):
     assert sorted(tuple(r) for r in commits.stored(spark, path, keys("bb")).collect()) == [("bb", 5, 4)]
     plan = commits.stored(spark, path, keys("bb"))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_tables_of_earlier_rounds_are_deleted_and_others_stay(spark, tmp_path):
+    from rankweave.sources.shared import kept, release
+
+    files = lambda df: df.inputFiles()
+    there = lambda f: os.path.exists(f.removeprefix("file:").replace("///", "/"))
+    one = kept(spark.range(10), "one")
+    old = files(one)
+    two = kept(one.filter("id > 3"), "two", after=[one])
+    assert two.count() == 6 and old and not any(map(there, old)) and all(map(there, files(two)))
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    own = spark.read.parquet(str(tmp_path / "own"))
+    release(own)  # a user's table is none of kept's
+    assert own.count() == 3
