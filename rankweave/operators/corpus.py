@@ -120,17 +120,18 @@ def _spread(found: DataFrame, doc: str, *more: str) -> tuple[DataFrame, DataFram
     """(term, doc, ...) with a slot for each row, and (term, _n, _slots): a term's documents, counted, and the slots that they lie in."""
     spread = found.select("term", doc, *more).withColumn("_slot", slot_of(doc))
     parts = spread.groupBy("term", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    return spread, parts.groupBy("term").agg(F.sum("_n").alias("_n"), occupied().alias("_slots"))
+    return spread, kept(parts.groupBy("term").agg(F.sum("_n").alias("_n"), occupied().alias("_slots")), "term-slots")
 
 
-def pair_documents(pairs: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp") -> DataFrame:
+def pair_documents(pairs: DataFrame, found: DataFrame, doc: str = "doc_id", flag: str = "exp", spread: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(a, b, doc, flag): the documents that hold both terms of each distinct pair (a, b).
 
     Those of the rarer term are looked through for the other, so a common term
     costs no more than the rare one that it stands with; a term's documents
-    stay dealt over many tasks.
+    stay dealt over many tasks.  ``spread`` is what ``_spread`` gave for
+    ``found``, if it did already.
     """
-    spread, of = _spread(found, doc, flag)
+    spread, of = spread or _spread(found, doc, flag)
     side = lambda c: of.select(F.col("term").alias(c), F.struct("_n", "term", "_slots").alias(f"_{c}"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     rare, other = F.least("_a", "_b"), F.greatest("_a", "_b")
@@ -146,10 +147,10 @@ def counts(candidates: DataFrame, found: DataFrame, doc: str = "doc_id", flag: s
     once, whatever number of candidates share it, and a triple is looked for
     among the documents of its first pair.
     """
-    c = candidates.select("cand", "src", "mid", "dst").distinct()
-    out = c
+    c = kept(candidates.select("cand", "src", "mid", "dst").distinct(), "counted")
+    spread, out = _spread(found, doc, flag), c
     for name, (a, b) in ((k, v) for k, v in SETS.items() if len(v) == 2):
-        met = pair_documents(c.select(F.col(a).alias("a"), F.col(b).alias("b")), found, doc, flag).withColumnsRenamed({"a": a, "b": b})
+        met = pair_documents(c.select(F.col(a).alias("a"), F.col(b).alias("b")), found, doc, flag, spread).withColumnsRenamed({"a": a, "b": b})
         sums = [F.count(F.lit(1)).alias(name)] + ([F.count_if(flag).alias(f"{name}_exp")] if name in FLAGGED else [])
         if name == "pair_sm":
             met = kept(met, "met")

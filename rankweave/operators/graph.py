@@ -119,8 +119,8 @@ def resolve(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A node without a label has its id as label; an empty label matches nothing.
     """
-    n = nodes.select("id", F.coalesce(F.nullif("label", F.lit("")), "id").alias("label"), "type")
-    w = wanted.select("name").distinct()
+    n = kept(nodes.select("id", F.coalesce(F.nullif("label", F.lit("")), "id").alias("label"), "type"), "nodes")
+    w = kept(wanted.select("name").distinct(), "wanted")
     by_id = w.join(n.select(F.col("id").alias("name"), "id"), "name").select("name", "id", F.lit(1).alias("how"))
     from .refmatch import either_way
 

@@ -4,7 +4,7 @@ If a name of three letters or more lies in another, all its three-letter grams
 do.  Each name sends its rarest gram, each possible container all its grams; an
 equi-join on the gram makes candidates, and containment is then checked.  Names
 of one or two letters, of which there are few, go by their whole text against
-the grams of that length.
+the grams of that length, in the same join.
 """
 
 from __future__ import annotations
@@ -25,21 +25,24 @@ def _grams(name: Column, n: int) -> Column:
 
 def contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b): every name of ``inner`` (distinct a) with each of ``outer`` (distinct b) that holds it; blank names are in none."""
-    x, y = inner.select(a).filter(F.col(a) != ""), outer.select(b).filter(F.col(b) != "")
-    grams = y.select(b, F.explode(_grams(F.col(b), GRAM)).alias("g"))
-    common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    own = x.filter(F.length(a) >= GRAM).select(a, F.explode(_grams(F.col(a), GRAM)).alias("g")).join(common, "g", "left")
+    x, y = kept(inner.select(a).filter(F.col(a) != ""), "inner"), kept(outer.select(b).filter(F.col(b) != ""), "outer")
+    return _contained(x, y, a, b)
+
+
+def _contained(x: DataFrame, y: DataFrame, a: str, b: str) -> DataFrame:
+    """``contained`` of tables without blank names, which are read twice."""
+    grams = y.select(b, F.explode(F.concat(*[_grams(F.col(b), n) for n in range(1, GRAM + 1)])).alias("g"))
+    common = grams.filter(F.length("g") == GRAM).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sent = F.when(F.length(a) >= GRAM, _grams(F.col(a), GRAM)).otherwise(F.array(a))
+    own = x.select(a, F.explode(sent).alias("g")).join(common, "g", "left")
     rarest = own.groupBy(a).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).select(a, "m.g")
-    out = rarest.join(grams, "g").filter(F.contains(F.col(b), F.col(a))).select(a, b)
-    for n in range(1, GRAM):
-        short = y.select(b, F.explode(_grams(F.col(b), n)).alias(a))
-        out = out.unionByName(x.filter(F.length(a) == n).join(short, a).select(a, b))
-    return out
+    return rarest.join(grams, "g").filter(F.contains(F.col(b), F.col(a))).select(a, b)
 
 
 def either_way(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b): distinct names of which one holds the other."""
-    return contained(left, right, a, b).unionByName(contained(right, left, b, a).select(a, b)).distinct()
+    x, y = kept(left.select(a).filter(F.col(a) != ""), "left"), kept(right.select(b).filter(F.col(b) != ""), "right")
+    return kept(_contained(x, y, a, b).unionByName(_contained(y, x, b, a).select(a, b)).distinct(), "either-way", after=[x, y])
 
 
 def normalised(df: DataFrame, *columns: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions.names import search_term
 from .operators import corpus, graph, quadrant, refmatch, signal
+from .sources.shared import kept
 
 #: The terms of each hop, and the count that stands for it.
 HOPS = {"source_mid": ("src", "mid", "pair_sm"), "mid_target": ("mid", "dst", "pair_md"), "source_target": ("src", "dst", "pair_sd")}
@@ -41,8 +42,9 @@ def candidates(coordinates: DataFrame, target: str, n: int = 200) -> DataFrame:
 
 def chains(found: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, between: DataFrame | None = None) -> DataFrame:
     """Candidates with has_path, path, path_nodes, n_paths and terms (the path's search terms); those without a path stay."""
-    ids = graph.resolve(found.select(F.explode(F.array("src", "mid")).alias("name")), nodes).select("name", "id")
+    ids = kept(graph.resolve(found.select(F.explode(F.array("src", "mid")).alias("name")), nodes).select("name", "id"), "ids")
     ends = found.select("cand", "src", "mid").join(ids.select(F.col("name").alias("src"), F.col("id").alias("start")), "src").join(ids.select(F.col("name").alias("mid"), F.col("id").alias("end")), "mid")
+    ends = kept(ends, "ends")
     paths = graph.simple_paths(edges, ends.select("start", "end"), depth, between=between).join(ends.select("cand", "start", "end"), ["start", "end"])
     out = corpus.best_chains(found, paths)
     return out.withColumn("terms", F.transform(F.coalesce("path_nodes", F.array().cast("array<string>")), lambda x: search_term(x, F.col("src"), F.col("mid"))))
@@ -72,9 +74,9 @@ def novelty(chained: DataFrame, held: DataFrame, doc: str = "doc_id") -> DataFra
     """
     asked = chained.select("cand", *[_plain(F.col(c)).alias(c) for c in ("src", "mid", "dst")])
     long = chained.filter(F.size("terms") > 2).select("cand", F.explode(F.concat("terms", F.array("dst"))).alias("term")).withColumn("term", _plain(F.col("term")))
-    out = chained.join(corpus.counts(asked, held, doc), "cand").join(corpus.chain_counts(long, held, doc), "cand", "left")
-    weakest = corpus.bottleneck(corpus.edge_counts(_steps(chained), held, doc)).select("cand", F.struct("a", "b", "n").alias("bottleneck"))
-    out = out.join(weakest, "cand", "left").withColumn("chain_count", F.col("triple_smd_exp"))
+    counted = [kept(t, "counts") for t in (corpus.counts(asked, held, doc), corpus.chain_counts(long, held, doc))]
+    weakest = kept(corpus.bottleneck(corpus.edge_counts(_steps(chained), held, doc)).select("cand", F.struct("a", "b", "n").alias("bottleneck")), "weakest")
+    out = chained.join(counted[0], "cand").join(counted[1], "cand", "left").join(weakest, "cand", "left").withColumn("chain_count", F.col("triple_smd_exp"))
     most = out.agg(F.max("chain_count").alias("_most"))  # one row
     return out.crossJoin(F.broadcast(most)).withColumn("novelty", quadrant.novelty_by_batch(F.col("chain_count"), F.col("_most"))).drop("_most")
 
@@ -83,12 +85,12 @@ def evidence(scored: DataFrame, references: Mapping[str, Reference] | None = Non
     """(cand, source_mid, mid_target, source_target, db_bonus, chain_count, chain_novelty, bottleneck, recommendation) from hop counts and reference tables."""
     named = scored.filter("trim(src) != '' AND trim(mid) != ''")
     one = [F.struct(F.lit(hop).alias("hop"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(n).alias("count")) for hop, (a, b, n) in HOPS.items()]
-    hops = named.select("cand", F.explode(F.array(*one)).alias("h")).select("cand", "h.*")
+    hops = kept(named.select("cand", F.explode(F.array(*one)).alias("h")).select("cand", "h.*"), "hops")
     hits = None
     for name, ref in (references or {}).items():
         pairs = hops.filter(F.col("hop") == ref.hop).select("a", "b").distinct()
         table = ref.table.select(F.monotonically_increasing_id().alias("row"), F.col(ref.name_a).alias("_a"), F.col(ref.name_b).alias("_b"))
-        met = refmatch.pair_matches(pairs, table, "a", "b", "_a", "_b").select(F.lit(ref.hop).alias("hop"), "a", "b", F.lit(name).alias("db")).distinct()
+        met = kept(refmatch.pair_matches(pairs, kept(table, "reference"), "a", "b", "_a", "_b").select(F.lit(ref.hop).alias("hop"), "a", "b", F.lit(name).alias("db")).distinct(), "met")
         hits = met if hits is None else hits.unionByName(met)
     none = F.create_map().cast("map<string,boolean>")
     if hits is None:

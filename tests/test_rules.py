@@ -522,3 +522,11 @@ def test_audit_lists_in_normal_form(spark):
     a, *nothing = [r["a"] for r in audit.select(audits.normal_audit(F.col("json")).alias("a")).collect()]
     assert (a["overall_assessment"], [tuple(x) for x in a["supported_claims"]], a["inference_only_claims"], a["priority_gaps"]) == ("ok", [("a", "strong", ["1", "2"])], [], ["g"])
     assert all(tuple(x) == ("", [], [], [], []) for x in nothing)
+
+
+def test_names_either_way_are_a_table(spark):
+    """What uses the pairs reads them: plans that carry all of its joins, times over, fill the driver's memory."""
+    one, two = (spark.createDataFrame([(x,) for x in names], f"{c} string") for c, names in (("a", ["ab", "b", "cabin", "", "zz"]), ("b", ["cab", "b", "in a cabin", "x", ""])))
+    pairs = refmatch.either_way(one, two, "a", "b")
+    assert {tuple(r) for r in pairs.collect()} == {("ab", "cab"), ("ab", "b"), ("ab", "in a cabin"), ("b", "cab"), ("b", "b"), ("b", "in a cabin"), ("cabin", "cab"), ("cabin", "b"), ("cabin", "in a cabin")}
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
