@@ -530,3 +530,19 @@ def test_names_either_way_are_a_table(spark):
     pairs = refmatch.either_way(one, two, "a", "b")
     assert {tuple(r) for r in pairs.collect()} == {("ab", "cab"), ("ab", "b"), ("ab", "in a cabin"), ("b", "cab"), ("b", "b"), ("b", "in a cabin"), ("cabin", "cab"), ("cabin", "b"), ("cabin", "in a cabin")}
     assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_stay_in_their_rows_until_few_sentences_are_left(spark):
+    src, mid, dst = ["Alpha beta", "A. beta"], ["gamma acid"], ["colitis"]
+    plain = "Nothing is said. " * 300
+    texts_ = [plain + "In pure culture A. beta was grown and produced gamma acid, as measured. " + plain, plain + "Alpha beta is here. " + plain + "Gamma acid is there. " + plain, plain, None]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id int, text string")
+    got = articles.windowed_signals(df, src, mid, dst)
+    assert {r["doc_id"]: r["direct_monoculture_production"] for r in got.collect()} == {0: True}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_list_is_made_once_before_its_repeats_go(spark):
+    made = names.distinct_in_order(F.split("id", "-"))
+    assert [one(spark, names.distinct_in_order(F.array(*map(F.lit, x))))[0] for x in (["a ", "A", "", "b", "a"], [""])] == [["a", "b"], []]
+    assert str(made).count("split") == 1
