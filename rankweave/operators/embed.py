@@ -19,6 +19,8 @@ from .ordered import ranked
 
 #: Vectors of a block: two blocks meet in one task as matrices.
 BLOCK = 2048
+#: Digits of a cosine: equal ones stay equal whatever the order in which a matrix product adds up, so ties go by id.
+DIGITS = 9
 
 
 def unit(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -59,7 +61,7 @@ def _best(k: int, threshold: float, metric: str = "angle"):
         if len(left) and len(right):
             qid, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
             a, b = _matrix(left.column("vector")), _matrix(right.column("x_vector"))
-            scores = a @ b.T if metric == "angle" else -_apart(a, b, metric)
+            scores = np.round(a @ b.T, DIGITS) if metric == "angle" else -_apart(a, b, metric)
             # a row's k largest scores and what equals the last of them; only these are sorted
             least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
             rows, cols = np.nonzero(scores >= np.maximum(least, threshold)[:, None])
@@ -78,7 +80,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, threshold: float = 0
 
     Both sides are dealt into blocks within a type; every pair of blocks is one
     matrix product in one task, which returns its own ``k`` best only.  Vectors
-    must have length one.
+    must have length one.  Scores are rounded to ``DIGITS`` digits; of equal
+    ones the lesser id comes first.
     """
     n = lambda df: df.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sizes = n(queries).withColumnRenamed("blocks", "qb").join(n(index).withColumnRenamed("blocks", "ib"), "type")
@@ -169,7 +172,7 @@ class Index:
                     place = np.empty_like(order)
                     np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(own), 0), axis=1)
                     early = place < count[:, None]
-                    bar = np.array([np.nan if least[i] is None else np.arccos(np.clip(least[i], -1.0, 1.0)) if metric == "angle" else -least[i] for i in own])
+                    bar = np.array([np.nan if least[i] is None else np.arccos(np.clip(least[i] - 10.0**-DIGITS, -1.0, 1.0)) if metric == "angle" else -least[i] for i in own])
                     wanted = np.where(np.isnan(bar)[:, None], early, ~early & (gap <= bar[:, None]))
                     i, j = np.nonzero(wanted)
                     row.append(own[i])

@@ -546,3 +546,19 @@ def test_a_list_is_made_once_before_its_repeats_go(spark):
     made = names.distinct_in_order(F.split("id", "-"))
     assert [one(spark, names.distinct_in_order(F.array(*map(F.lit, x))))[0] for x in (["a ", "A", "", "b", "a"], [""])] == [["a", "b"], []]
     assert str(made).count("split") == 1
+
+
+def test_cosines_that_are_equal_but_for_rounding_go_by_id(spark):
+    from rankweave.operators import embed
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 64))
+    base += 2 * base[0]
+    vectors = [(int(i), "t", [float(x) for x in base[i // 4] * (1.0, 3.0, 0.7, 1.9)[i % 4]]) for i in range(24)]  # four of each direction
+    df = embed.unit(spark.createDataFrame(vectors, "id long, type string, vector array<double>"), "vector")
+    q = df.withColumnRenamed("id", "qid")
+    for found in (embed.top_k(q, df, 24, -1.0), embed.search(q, embed.Index(df), 24, -1.0)[0]):
+        of = {}
+        for r in sorted(found.collect(), key=lambda r: (r["qid"], r["rank"])):
+            of.setdefault(r["qid"], []).append(r["id"])
+        assert len(of) == 24 and all(ids[i : i + 4] == sorted(ids[i : i + 4]) and len({x // 4 for x in ids[i : i + 4]}) == 1 for ids in of.values() for i in range(0, 24, 4))
