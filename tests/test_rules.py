@@ -562,3 +562,9 @@ def test_cosines_that_are_equal_but_for_rounding_go_by_id(spark):
         for r in sorted(found.collect(), key=lambda r: (r["qid"], r["rank"])):
             of.setdefault(r["qid"], []).append(r["id"])
         assert len(of) == 24 and all(ids[i : i + 4] == sorted(ids[i : i + 4]) and len({x // 4 for x in ids[i : i + 4]}) == 1 for ids in of.values() for i in range(0, 24, 4))
+
+
+def test_the_beginnings_of_documents_are_passages_too(spark):
+    from rankweave.plans import ORACLES
+
+    assert "left(text, 60)" in ORACLES["FL14_methods_passages"]
