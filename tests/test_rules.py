@@ -568,3 +568,10 @@ def test_the_beginnings_of_documents_are_passages_too(spark):
     from rankweave.plans import ORACLES
 
     assert "left(text, 60)" in ORACLES["FL14_methods_passages"]
+
+
+def test_first_articles_are_chosen_before_their_texts_move(spark):
+    from rankweave.plans import QUERIES
+
+    plan = QUERIES["TX6_evidence_facets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
