@@ -12,11 +12,12 @@ from .ordered import SENT, joined, ranked
 
 
 def usable(df: DataFrame, value: str = "value", file: str | None = None) -> DataFrame:
-    """Rows with a value; of files whose largest value isn't positive none."""
+    """Rows with a value; of files whose largest value isn't positive none.  A row per file goes to all tasks, the rows stay where they are."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
     if file is None:
         return rows
-    return rows.withColumn("_most", F.max(value).over(Window.partitionBy(file))).filter("_most > 0").drop("_most")
+    good = rows.groupBy(file).agg(F.max(value).alias("_most")).filter("_most > 0").select(file)
+    return joined(rows, F.broadcast(good), [file])
 
 
 def dual_end_signal(df: DataFrame, src: str = "src", value: str = "value", order: Sequence[str] = ("mid",)) -> DataFrame:

@@ -575,3 +575,10 @@ def test_first_articles_are_chosen_before_their_texts_move(spark):
 
     plan = QUERIES["TX6_evidence_facets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_rows_of_a_file_stay_in_their_tasks(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", -2.0), ("a", None), ("b", 0.0), ("b", -1.0), (None, 3.0), ("c", math.nan)], "file string, value double")
+    got = signal.usable(rows, file="file")
+    assert sorted((r["file"] or "", r["value"]) for r in got.collect()) == [("", 3.0), ("a", -2.0), ("a", 1.0)] and got.columns == ["file", "value"]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
