@@ -7,18 +7,19 @@ the next.  Everything goes through Hadoop's file systems, whatever the path is.
 
 from __future__ import annotations
 
-import hashlib
 import time
 import uuid
 from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 DIGITS = 12
+#: Folders that the runs of a table, or the keys of a store, are dealt into by a hash.
+BUCKETS = 64
 
 
 class Folder:
@@ -69,9 +70,21 @@ class Folder:
 
 # an archive of runs
 
-#: The column whose values name a run's folder within a table's.
+#: The column that names the folder of a run's rows within a table's: runs share BUCKETS folders, whatever their number.
 FOLDER = "_folder"
 LOG = "run_id string, name string, token string, n long, commit long"
+#: Tables that ``remove_stale`` wrote anew, as a whole in each entry of ``moved``: the attempt of the log and where its rows are now.
+MOVED = "run_id string, name string, token string, to string"
+
+
+def _write_folders(rows: DataFrame, path: str) -> None:
+    rows.withColumn(FOLDER, _bucket(F.col("run_id").cast("string"))).hint("rebalance", FOLDER).write.mode("overwrite").partitionBy(FOLDER).parquet(path)
+
+
+def _rows(spark: SparkSession, root: str, name: str, tokens: list[str]) -> DataFrame:
+    """The rows of one table of some attempts, with _of, the attempt."""
+    rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", len(tokens) > 1).parquet(*[f"{root}/data/{t}/{name}" for t in tokens])
+    return rows.withColumn("_of", F.regexp_extract("_metadata.file_path", r"/data/([^/]+)/", 1))
 
 
 def archive_runs(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], token: str | None = None) -> int:
@@ -87,47 +100,89 @@ def archive_runs(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]
     for name, df in tables.items():
         at = f"data/{token}/{name}"
         if not where.has(f"{at}/_SUCCESS"):
-            rows = df.withColumn(FOLDER, F.md5(F.col("run_id").cast("string"))).hint("rebalance", FOLDER)
-            rows.write.mode("overwrite").partitionBy(FOLDER).parquet(f"{root}/{at}")
+            _write_folders(df, f"{root}/{at}")
         entries.append(spark.read.schema(df.schema).parquet(f"{root}/{at}").groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count(F.lit(1)).alias("n")).select("run_id", F.lit(name).alias("name"), F.lit(token).alias("token"), "n"))
     staged = f"staged/{token}"
     reduce(DataFrame.unionByName, entries).write.mode("overwrite").parquet(f"{root}/{staged}")
     return where.publish_next(staged, "log/commit=")
 
 
+def _moves(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
+    """The last entry of ``moved`` and its number."""
+    last = max([int(n.removeprefix("seq=")) for n in Folder(spark, root).names("moved") if n.startswith("seq=")], default=0)
+    return (spark.read.schema(MOVED).parquet(f"{root}/moved/seq={last:0{DIGITS}d}") if last else None), last
+
+
+def _log(spark: SparkSession, root: str, moves: DataFrame | None) -> DataFrame:
+    """The log, with ``origin``, the attempt as it was logged, and ``token``, the one that has the rows now."""
+    log = spark.read.schema(LOG).parquet(f"{root}/log").withColumn("origin", F.col("token"))
+    if moves is None:
+        return log
+    return log.join(moves.withColumnRenamed("token", "origin"), ["run_id", "name", "origin"], "left").withColumn("token", F.coalesce("to", "token")).drop("to")
+
+
 def snapshot(spark: SparkSession, root: str, commit: int | None = None) -> DataFrame:
     """(run_id, name, token, n, commit): the tables of each run's last commit, or of the last one up to ``commit``."""
     if not Folder(spark, root).names("log"):
         return spark.createDataFrame([], LOG)
-    log = spark.read.schema(LOG).parquet(f"{root}/log")
+    return _shown(_log(spark, root, _moves(spark, root)[0]), commit).select("run_id", "name", "token", "n", "commit")
+
+
+def _shown(log: DataFrame, commit: int | None) -> DataFrame:
     log = log if commit is None else log.filter(F.col("commit") <= commit)
     last = log.groupBy("run_id").agg(F.max("commit").alias("commit"))
     return log.join(last, ["run_id", "commit"], "left_semi")
 
 
 def archived(spark: SparkSession, root: str, name: str, commit: int | None = None) -> DataFrame:
-    """The rows of one table of all runs, each from its run's last commit; only those runs' folders are read."""
+    """The rows of one table of all runs, each from its run's last commit; only attempts that such a run is of are read."""
     live = snapshot(spark, root, commit).filter(F.col("name") == name).select(F.col("run_id").alias("_run"), F.col("token").alias("_token"))
     tokens = [r["_token"] for r in live.select("_token").distinct().collect()]  # one per commit that is still live
     if not tokens:
         raise ValueError(f"no run has a table {name}")
-    rows = spark.read.option("mergeSchema", len(tokens) > 1).parquet(*[f"{root}/data/{t}/{name}/{FOLDER}=*" for t in tokens])
-    rows = rows.withColumn("_of", F.regexp_extract("_metadata.file_path", r"/data/([^/]+)/", 1))
-    return rows.join(live, (F.col("run_id").cast("string") == F.col("_run")) & (F.col("_of") == F.col("_token")), "left_semi").drop("_of", FOLDER)
+    rows = _rows(spark, root, name, tokens)
+    return rows.join(live, (F.col("run_id").cast("string") == F.col("_run")) & (F.col("_of") == F.col("_token")), "left_semi").drop("_of")
 
 
 def remove_stale(spark: SparkSession, root: str, keep: int = 1, idle_s: float = 86_400) -> int:
-    """Deletes what no one of the last ``keep`` snapshots shows and attempts that were left for ``idle_s``; returns how many folders went."""
+    """Deletes what no one of the last ``keep`` snapshots shows and attempts that were left for ``idle_s``; returns how many folders went.
+
+    A folder in which some runs are stale is replaced: its other runs are
+    written anew, and one rename makes all readers look there.
+    """
     where = Folder(spark, root)
     commits = sorted(int(n.removeprefix("commit=")) for n in where.names("log") if n.startswith("commit="))
     if not commits:
         return 0
-    kept = reduce(DataFrame.union, [snapshot(spark, root, c).select("run_id", "name", "token") for c in commits[-keep:]]).distinct()
-    log = spark.read.schema(LOG).parquet(f"{root}/log").select("run_id", "name", "token")
-    gone, known = 0, {r["token"] for r in log.select("token").distinct().collect()}
-    live = {r["token"] for r in kept.select("token").distinct().collect()}
-    for r in log.filter(F.col("token").isin(sorted(live))).join(kept, ["run_id", "name", "token"], "left_anti").distinct().toLocalIterator():
-        if where.has(old := f"data/{r['token']}/{r['name']}/{FOLDER}={hashlib.md5(r['run_id'].encode()).hexdigest()}"):
+    moves, last = _moves(spark, root)
+    log = _log(spark, root, moves).withColumn(FOLDER, _bucket("run_id"))
+    keys = ["run_id", "name", "token", "origin", FOLDER]
+    kept = reduce(DataFrame.union, [_shown(log, c).select(keys) for c in commits[-keep:]]).distinct()
+    folders = log.select(keys).distinct().join(kept.withColumn("live", F.lit(1)), keys, "left").groupBy("name", "token", FOLDER).agg(F.count("live").alias("live"), F.count(F.lit(1)).alias("n"))
+    folders = folders.filter("live < n").collect()  # BUCKETS at most for a table of a commit
+    stale, to = [(r["name"], r["token"], r[FOLDER]) for r in folders if not r["live"]], uuid.uuid4().hex
+    if mixed := [(r["name"], r["token"], r[FOLDER]) for r in folders if r["live"]]:
+        some = kept.join(F.broadcast(spark.createDataFrame(mixed, f"name string, token string, {FOLDER} int")), ["name", "token", FOLDER])
+        for name in sorted({m[0] for m in mixed}):
+            wanted = some.filter(F.col("name") == name).select(F.col("run_id").alias("_run"), F.col("token").alias("_token"))
+            rows = _rows(spark, root, name, sorted({m[1] for m in mixed if m[0] == name}))
+            rows = rows.join(wanted, (F.col("run_id").cast("string") == F.col("_run")) & (F.col("_of") == F.col("_token")), "left_semi")
+            _write_folders(rows.drop("_of"), f"{root}/data/{to}/{name}")
+        now = some.select("run_id", "name", F.col("origin").alias("token"), F.lit(to).alias("to"))
+        if moves is not None:
+            now = now.unionByName(moves.join(kept.select("run_id", "name", F.col("origin").alias("token")), ["run_id", "name", "token"], "left_semi").join(now.select("run_id", "name", "token"), ["run_id", "name", "token"], "left_anti"))
+        now.write.parquet(f"{root}/staged/{to}")
+        if where.publish(f"staged/{to}", f"moved/seq={last + 1:0{DIGITS}d}"):
+            stale += mixed
+        else:  # another did so at the same time, and its folders count
+            for left in (f"staged/{to}", f"data/{to}"):
+                where.delete(left)
+            return 0
+    gone = 0
+    live = {r["token"] for r in _log(spark, root, _moves(spark, root)[0]).join(kept.select("run_id", "name", "origin"), ["run_id", "name", "origin"], "left_semi").select("token").distinct().collect()}
+    known = {r["token"] for r in log.select("token").union(log.select("origin")).distinct().collect()}
+    for name, token, folder in stale:
+        if token in live and where.has(old := f"data/{token}/{name}/{FOLDER}={folder}"):
             where.delete(old)
             gone += 1
     for token, idle in where.names("data").items():
@@ -139,10 +194,7 @@ def remove_stale(spark: SparkSession, root: str, keep: int = 1, idle_s: float =
 
 # a store of results by key
 
-BUCKETS = 64
-
-
-def _bucket(key: str = "key"):
+def _bucket(key: str | Column = "key") -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 

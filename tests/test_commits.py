@@ -52,6 +52,28 @@ def test_stale_folders_go_and_live_ones_stay(spark, tmp_path):
     assert rows(commits.archived(spark, root, "t")) == [("a", "v3"), ("b", "v3")]
 
 
+def test_many_runs_share_few_folders_and_stale_ones_go_from_them(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    folders = lambda token: [f for f in os.listdir(f"{root}/data/{token}/t") if f.startswith(commits.FOLDER)]
+    on_disk = lambda: sum(spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data/{t}/t").count() for t in os.listdir(f"{root}/data"))
+    ids = [f"r{i}" for i in range(300)]
+    want, n = dict.fromkeys(ids, "v1"), len(ids) * 4
+    commits.archive_runs(spark, root, {"t": runs(spark, ids, "v1")}, token="t1")
+    assert len(folders("t1")) <= commits.BUCKETS
+    for k, again in ((2, ids[::3]), (3, ids[::5])):
+        commits.archive_runs(spark, root, {"t": runs(spark, again, f"v{k}")}, token=f"t{k}")
+        before = dict(want)
+        want |= dict.fromkeys(again, f"v{k}")
+        commits.remove_stale(spark, root, keep=2)
+        assert rows(commits.archived(spark, root, "t", commit=k - 1)) == sorted(before.items())
+        commits.remove_stale(spark, root)
+        assert rows(commits.archived(spark, root, "t")) == sorted(want.items()) and commits.archived(spark, root, "t").count() == n
+        assert on_disk() == n  # nothing stale is left, and nothing is there twice
+    counts = {r["run_id"]: r["commit"] for r in commits.snapshot(spark, root).collect()}
+    assert counts == {r: int(v[1:]) for r, v in want.items()}
+    assert commits.remove_stale(spark, root) == 0
+
+
 def test_two_writers_never_share_a_number(spark, tmp_path):
     where = commits.Folder(spark, str(tmp_path))
     for name in ("s1", "s2"):
