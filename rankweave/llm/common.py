@@ -56,6 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that one task takes.
+EACH = 20_000
+
+
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made from about ``rows`` rows, in as many tasks as these need; with more rows than all tasks would take, nothing changes."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // EACH))
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` alone is the same on pure ASCII, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

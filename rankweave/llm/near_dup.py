@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, each_slot, fixed_bytes, fresh_names, from_fixed, occupied, slices, slot_of, written
+from .common import WORD, each_slot, fixed_bytes, fresh_names, from_fixed, in_few, occupied, slices, slot_of, written
 from .ngrams import END, WordHashes, hashed_texts, mixed, word_hash
 
 TREES, DEPTH = 16, 8
@@ -281,33 +281,35 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the least node of its component.
 
     Rounds of large star and small star; each is written out, and the rounds
-    end when a checksum stays the same.  The edges of a node with many
-    neighbours stay dealt over SLOTS slots.
+    end when every component is a star around its least node.  The edges of a
+    node with many neighbours stay dealt over SLOTS slots.
     """
 
     def oriented(e: DataFrame) -> DataFrame:
-        return e.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return e.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+    def settled(e: DataFrame) -> bool:
+        """Whether no node has two lower neighbours, or a lower and a higher one."""
+        ends = e.select("a", F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+        each = ends.groupBy("a").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+        return few(each.filter("low > 1 OR low = 1 AND high = 1")).isEmpty()
 
-    now = written(oriented(edges), "edges")
-    before = None
+    now = written(oriented(edges).distinct(), "edges")
+    n = now.count()  # no round makes more edges
+    few = lambda df: in_few(df, 2 * n)
     for _ in range(most_rounds):
-        if (at := mark(now)) == before or not at[0]:
+        if settled(now):
             break
-        before = at
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("slot", slot_of("b"))
-        least = both.groupBy("a", "slot").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), occupied("slot").alias("slots"))
+        least = few(few(both.groupBy("a", "slot").agg(F.min("b").alias("m"))).groupBy("a").agg(F.min("m").alias("m"), occupied("slot").alias("slots")))
         least = least.select("a", F.least("a", "m").alias("m"), each_slot("slots").alias("slot"))
-        large = written(oriented(both.filter("b > a").join(least, ["a", "slot"]).select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
+        large = written(few(oriented(both.filter("b > a").join(least, ["a", "slot"]).select(F.col("b").alias("a"), F.col("m").alias("b")))), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(oriented(small), "small-star")
+        now = written(few(few(oriented(small)).distinct()), "small-star")
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return few(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -440,8 +442,9 @@ def searched(rows: DataFrame, sets: DataFrame, words: int, threshold: float, rec
     while True:
         met = edges.filter(F.col("level") >= F.element_at(F.array(*map(F.lit, depths)), F.col("tree") + 1)).select("a", "b")
         groups = written(components(met).withColumn("slot", slot_of("node")), "groups")
-        sizes = groups.groupBy("root", "slot").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("members"), occupied("slot").alias("slots"))
-        sizes = written(sizes, "group-sizes")
+        n = groups.count()
+        sizes = in_few(groups.groupBy("root", "slot").agg(F.count("*").alias("n")), n).groupBy("root").agg(F.sum("n").alias("members"), occupied("slot").alias("slots"))
+        sizes = written(in_few(sizes, n), "group-sizes")
         # a group that has not grown since was verified before
         grown = sizes if settled is None else sizes.join(settled, ["root", "members"], "left_anti")
         grown = grown.select("root", "members", each_slot("slots").alias("slot"))

@@ -166,6 +166,26 @@ def test_components_of_long_paths(spark):
     assert got["0100"] == "0051" and got["0150"] == "0101"
 
 
+def test_components_that_are_stars_take_no_round_and_small_tables_few_tasks(spark, monkeypatch):
+    names, put = [], near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name: names.append((name, df.rdd.getNumPartitions())) or put(df, name))
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(40)] + [("a0", "c")], "a string, b string")
+    got = {r["node"]: r["root"] for r in near_dup.components(pairs).collect()}
+    assert [n for n, _ in names] == ["edges"] and got["b0"] == got["c"] == "a0" and len(got) == 81
+    names.clear()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 99)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        path = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "4")], "a string, b string")
+        assert {r["root"] for r in near_dup.components(path).collect()} == {"1"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rounds = [n for name, n in names if name.endswith("-star")]
+    assert rounds and max(rounds) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_a_run_longer_than_a_pass_compares(spark):
     r = random.Random(6)
     base = [f"h{k}" for k in range(60)]
