@@ -148,3 +148,14 @@ def ordering(edges: DataFrame, roots: DataFrame, width: float | None = None) ->
         met = state.select("id", "distance", after.alias("todo")).join(reached, "id", "full_outer")
         closer = F.coalesce(F.col("new") < F.col("distance") - 1e-12, F.col("distance").isNull())
         state = kept(met.select("id", F.when(closer, F.col("new")).otherwise(F.col("distance")).alias("distance"), F.when(closer, 1).otherwise(F.col("todo")).alias("todo")), "ordered", after=[state])
+
+
+def tasks_by_metric(sources: DataFrame, key: str) -> DataFrame:
+    """(key, metric, n, n_distinct): each source's ``tasks``, an array of configurations, counted by metric within its row.
+
+    A source's tasks lie in one row, so no table holds all tasks of all sources at once.
+    """
+    of = lambda m: F.filter("tasks", lambda c: c["metric"].eqNullSafe(m))
+    metrics = F.array_distinct(F.transform("tasks", lambda c: c["metric"]))
+    counts = F.transform(metrics, lambda m: F.struct(m.alias("metric"), F.size(of(m)).cast("long").alias("n"), F.size(F.array_distinct(F.transform(of(m), lambda c: F.to_json(c)))).cast("long").alias("n_distinct")))
+    return sources.select(key, F.explode(counts).alias("c")).select(key, "c.*")

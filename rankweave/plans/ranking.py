@@ -316,8 +316,8 @@ def jn14(t):
 )
 def jn13(t):
     sources = t.lineitem.select(F.concat(F.lit("S"), "l_suppkey").alias("src")).distinct()
-    tasks = sources.withColumn("config", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(compose.GRID, values)]) for values in _product()])))
-    return tasks.groupBy("src", F.col("config.metric").alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("config").alias("n_distinct"))
+    grid = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(compose.GRID, values)]) for values in _product()])
+    return compose.tasks_by_metric(sources.withColumn("tasks", grid), "src")
 
 
 def _product():

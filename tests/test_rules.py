@@ -582,3 +582,12 @@ def test_rows_of_a_file_stay_in_their_tasks(spark):
     got = signal.usable(rows, file="file")
     assert sorted((r["file"] or "", r["value"]) for r in got.collect()) == [("", 3.0), ("a", -2.0), ("a", 1.0)] and got.columns == ["file", "value"]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_are_counted_within_their_source_and_no_row_is_made_of_each(spark):
+    rows = [("a", [(2, "cosine"), (2, "cosine"), (3, "cosine"), (2, "euclidean")]), ("b", [(5, None), (5, None)]), ("c", [])]
+    df = spark.createDataFrame(rows, "src string, tasks array<struct<n: int, metric: string>>")
+    out = compose.tasks_by_metric(df, "src")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", "cosine", 3, 2), ("a", "euclidean", 1, 1), ("b", None, 2, 1)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
