@@ -591,3 +591,11 @@ def test_tasks_are_counted_within_their_source_and_no_row_is_made_of_each(spark)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", "cosine", 3, 2), ("a", "euclidean", 1, 1), ("b", None, 2, 1)], key=str)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_normal_forms_of_gaps_are_made_once_a_text(spark):
+    gaps = spark.createDataFrame([(1, "A thin  film."), (1, "Light"), (2, "A thin  film."), (3, None)], "k int, gap string")
+    claims = spark.createDataFrame([(1, "A THIN film, here [PMID: 3]"), (2, "Other"), (2, "Other"), (3, None)], "k int, claim string")
+    out = articles.open_gaps(gaps, claims, "k")
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "Light"), (2, "A thin  film."), (3, None)]
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
