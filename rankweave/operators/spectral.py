@@ -1,4 +1,9 @@
-"""Principal components of wide matrices in long form: a row per entry, neither side ever gathered."""
+"""Principal components of wide matrices in long form: a row per entry, the longer side never gathered.
+
+Where the shorter side has at most NARROW names, the driver holds directions
+over that side alone, and a round is one pass over the entries; else neither
+side is gathered, and a round joins the entries twice.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 
 #: Columns that a block has beyond those asked for, and blocks that the basis holds before it is cut back.
 SPARE, BLOCKS = 8, 8
+#: Names of a side whose directions the driver may hold; columns that a block has beyond those asked for there, and blocks of its basis.
+NARROW, NARROW_SPARE, NARROW_BLOCKS = 16_384, 30, 16
+#: Numbers that a task makes at once in a pass over the entries.
+AT_ONCE = 4_000_000
 
 
 @dataclass
@@ -100,18 +109,131 @@ def _applied(entries: DataFrame, vectors: DataFrame, block: str, width: int, row
     return entries.join(y, row).groupBy(column).agg(*sums).select(column, F.array(*[f"w{j}" for j in range(width)]).alias("image"))
 
 
+def _signs(loadings: DataFrame, k: int, column: str) -> list[float]:
+    """The sign of each component's largest loading, of equals that of the least column."""
+    return list(loadings.agg(*[F.min_by(F.signum(F.get("pc", F.lit(j))), F.struct(-F.abs(F.get("pc", F.lit(j))), column)) for j in range(k)]).first())
+
+
+def _signed(df: DataFrame, key: str, signs: Sequence[float], *more: str) -> DataFrame:
+    return df.select(key, *more, F.array(*[F.get("pc", F.lit(j)) * s for j, s in enumerate(signs)]).alias("pc"))
+
+
+def _passes(lists: DataFrame, size: int, u: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """A matrix times the images of ``u`` less ``shift``, both ways in one pass over its lists (at, value) along the longer side; ``size`` rows."""
+    width = u.shape[1]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((size, width))
+        for batch in batches:
+            for at, x, starts in _parts(batch, width):
+                y = np.add.reduceat(x[:, None] * u[at], starts) - shift
+                back = x[:, None] * np.repeat(y, np.diff(np.append(starts, len(at))), axis=0)
+                by = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[by], prepend=-1))
+                out[at[by][first]] += np.add.reduceat(back[by], first)
+        some = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(out[some, j]) for j in range(width)]], names=["at", *[f"y{j}" for j in range(width)]])
+
+    names = [f"y{j}" for j in range(width)]
+    found = lists.select("at", "value").mapInArrow(work, "at long, " + ", ".join(f"{c} double" for c in names)).groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((size, width))
+    out[found.column("at").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in names])
+    return out
+
+
+def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The lists of a batch, some at a time: places, values and where each list starts."""
+    if not batch.num_rows:
+        return
+    at, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "value"))
+    ends = np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.append(0, ends[:-1])
+    part = starts * width // AT_ONCE
+    for own in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(part)) + 1):
+        a, z = starts[own[0]], ends[own[-1]]
+        yield at[a:z], x[a:z], starts[own] - a
+
+
+def _by_narrow_side(cells: DataFrame, k: int, row: str, column: str, n: int, by_row: bool, most_error: float, most_rounds: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """(scores, loadings, eigenvalues, rounds) with the directions over the shorter side, rows or columns, held by the driver.
+
+    The entries lie in one list per name of the longer side; a pass sends a
+    block of directions to the lists' tasks, which return sums per name of the
+    shorter side.  What the best combinations leave unexplained joins the basis.
+    """
+    side, other = (row, column) if by_row else (column, row)
+    ids = cells.groupBy(side).agg((F.sum("value") / n).alias("mean")).withColumn("at", F.row_number().over(Window.orderBy(side)) - 1)  # at most NARROW rows
+    ids = kept(ids, "names")
+    pair = F.collect_list(F.struct("at", "value")).alias("l")
+    lists = kept(cells.join(ids.select(side, "at"), side).groupBy(other).agg(pair).select(other, F.col("l.at").alias("at"), F.col("l.value").alias("value")), "lists")
+    mean = ids.orderBy("at").select("mean").toArrow().column("mean").to_numpy()
+    size = len(mean)
+    # rows' directions are centred themselves, columns' images by the means' image
+    centred = (lambda x: x - x.mean(0)) if by_row else (lambda x: x)
+    shifted = (lambda u: np.zeros(u.shape[1])) if by_row else (lambda u: mean @ u)
+    block = min(k + NARROW_SPARE, size)
+    v, w, rounds = np.zeros((size, 0)), np.zeros((size, 0)), 0
+    theta, sides = np.zeros(0), np.zeros((0, 0))
+    r = centred(np.random.default_rng(1).standard_normal((size, block)))
+    least = 0.0
+    while True:
+        if m := v.shape[1]:
+            h = v.T @ w
+            theta, sides = np.linalg.eigh((h + h.T) / 2)
+            theta, sides = theta[::-1], sides[:, ::-1]
+            best = sides[:, :block]
+            r = w @ best - v @ (best * theta[:block])
+            if (np.linalg.norm(r, axis=0)[:k] <= most_error * max(theta[0], 0.0)).all():
+                break
+            least = 1e-13 * theta[0]
+        for _ in range(2):  # twice, as the first leaves rounding errors
+            r = centred(r - v @ (v.T @ r))
+            length = np.linalg.norm(r, axis=0)
+            r = r[:, length > least] / length[length > least]
+            left, s, _ = np.linalg.svd(r, full_matrices=False) if r.shape[1] else (r, np.zeros(0), None)
+            r, least = left[:, s > 1e-4], 0.5
+        if not r.shape[1]:
+            break
+        if rounds == most_rounds:
+            raise RuntimeError("components did not settle")
+        rounds += 1
+        if m and m + r.shape[1] > NARROW_BLOCKS * block:
+            v, w = v @ sides[:, : 2 * block], w @ sides[:, : 2 * block]
+        v, w = np.hstack([v, r]), np.hstack([w, centred(_passes(lists, size, r, shifted(r)))])
+
+    k = min(k, len(theta), int((theta > 1e-12 * theta[0]).sum()) if len(theta) and theta[0] > 0 else 0)
+    root = np.sqrt(theta[:k])
+    u = v @ sides[:, :k] if k else np.zeros((size, 0))
+    shift = shifted(u)
+    kind = cells.schema[other].dataType.simpleString()
+
+    def imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for_all = [np.add.reduceat(x[:, None] * u[at], starts) - shift for at, x, starts in _parts(batch, max(k, 1))]
+            if for_all:
+                y = np.concatenate(for_all)
+                yield pa.RecordBatch.from_arrays([batch.column(other), _lists(y / root if by_row else y)], names=[other, "pc"])
+
+    far = kept(lists.mapInArrow(imaged, f"`{other}` {kind}, pc array<double>"), "images")
+    own = cells.sparkSession.createDataFrame(pa.table({"at": pa.array(np.arange(size), pa.int32()), "pc": _lists(u * root if by_row else u)}))
+    own = kept(ids.select(side, "at").join(own, "at").select(side, "pc"), "directions")
+    return (own, far, theta[:k], rounds) if by_row else (far, own, theta[:k], rounds)
+
+
 def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample", value: str = "score", scaled: bool = False, most_error: float = 1e-7, most_rounds: int = 300) -> Components:
     """The first ``k`` principal components of rows over centred columns, which may be many; ``scaled`` divides columns by their deviation too.
 
     ``df`` has a row per entry; entries that are missing or null count as 0,
     repeated ones add up, entries without a row or column are none.  NaN and
-    infinite values raise ValueError.  A block of directions, random by a hash of
-    the column's name, is multiplied by the matrix and its transpose; the parts of
+    infinite values raise ValueError.  A block of random directions is multiplied
+    by the matrix and its transpose; the parts of
     the images that the best combinations so far can't explain join the basis,
     until they are shorter than ``most_error`` of the greatest eigenvalue.  A
-    basis of more than BLOCKS blocks is cut back to its best directions.  Each
-    round joins the entries twice; the driver sees products of columns of the
-    basis alone.  A component's sign makes its largest loading positive, of
+    basis of more than BLOCKS blocks is cut back to its best directions.  Where
+    rows or columns are at most NARROW, the basis lies over these in the driver
+    and a round is one pass over the entries, see ``_by_narrow_side``; else each
+    round joins the entries twice, and the driver sees products of columns of
+    the basis alone.  A component's sign makes its largest loading positive, of
     equals the one of the least column.  Of a matrix of lower rank only the
     components that exist are returned; an empty table has none.
     """
@@ -120,7 +242,7 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
     entries = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).select(F.col(row).alias("_row"), F.col(column).alias("_column"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
     entries = kept(entries, "entries")
     names, (row, column) = {"_row": row, "_column": column}, ("_row", "_column")  # so that no name clashes
-    about = entries.agg(F.count_distinct(row).alias("n"), F.bool_or(F.isnan("value") | (F.abs("value") == float("inf"))).alias("odd")).first()
+    about = entries.agg(F.count_distinct(row).alias("n"), F.count_distinct(column).alias("m"), F.bool_or(F.isnan("value") | (F.abs("value") == float("inf"))).alias("odd")).first()
     n = about["n"]
     if about["odd"]:
         raise ValueError("values must be finite")
@@ -130,6 +252,12 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
         entries = kept(cells.join(spread, column).select(row, column, F.when(F.col("deviation") > 0, F.col("value") / F.col("deviation")).otherwise(0.0).alias("value")), "scaled", after=[entries])
     cells = entries.groupBy(row, column).agg(F.sum("value").alias("value"))
     total = cells.groupBy(column).agg((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n).alias("v")).agg(F.sum("v")).first()[0] or 0.0
+    if n and min(n, about["m"]) <= NARROW:
+        scores, loadings, theta, rounds = _by_narrow_side(kept(cells, "cells"), k, row, column, n, n <= about["m"], most_error, most_rounds)
+        if len(theta):
+            signs = _signs(loadings, len(theta), column)
+            scores, loadings = (_signed(d, c, signs) for d, c in ((scores, row), (loadings, column)))
+        return Components(scores.withColumnsRenamed(names), loadings.withColumnsRenamed(names), [float(x) / max(n - 1, 1) for x in theta], float(total) / max(n - 1, 1), rounds)
     kind = entries.schema[column].dataType.simpleString()
 
     block = k + SPARE
@@ -183,7 +311,6 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
                 yield pa.RecordBatch.from_arrays([batch.column(column), batch.column("mean"), _lists(_matrix(batch, "v") @ best)], names=[column, "mean", "pc"])
 
     loadings = kept(state.mapInArrow(turned, f"`{column}` {kind}, mean double, pc array<double>"), "loadings")
-    signs = loadings.agg(*[F.min_by(F.signum(F.get("pc", F.lit(j))), F.struct(-F.abs(F.get("pc", F.lit(j))), column)) for j in range(k)]).first()
-    loadings = loadings.select(column, "mean", F.array(*[F.get("pc", F.lit(j)) * signs[j] for j in range(k)]).alias("pc"))
+    loadings = _signed(loadings, column, _signs(loadings, k, column), "mean")
     scores = _images(entries, loadings, "pc", k, row, column).withColumnRenamed("y", "pc")
     return Components(scores.withColumnsRenamed(names), loadings.select(column, "pc").withColumnsRenamed(names), [float(x) / max(n - 1, 1) for x in theta[:k]], float(total) / max(n - 1, 1), rounds)

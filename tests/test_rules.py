@@ -489,6 +489,31 @@ def test_components_of_5000_samples_against_a_dense_decomposition(spark, scaled)
     assert found.rounds < 20
 
 
+@pytest.mark.parametrize("shape", [(120, 900), (900, 120)])
+def test_components_without_leading_directions_take_few_passes(spark, shape):
+    r = np.random.default_rng(2)
+    a = np.where(r.random(shape) < 0.2, r.normal(size=shape) + 3, 0)
+    a /= a.sum(0) / 10 if shape[0] < shape[1] else 1  # the first directions are hardly longer than the next
+    i, j = np.nonzero(a)
+    df = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j)], "pair long, sample long, score double")
+    found = spectral.components(df, 2, most_error=1e-9)
+    b = a - a.mean(0)
+    u, s, vt = np.linalg.svd(b, full_matrices=False)
+    sign = np.sign(vt[np.arange(2), np.abs(vt[:2]).argmax(1)])
+    got = {x["pair"]: x["pc"] for x in found.scores.collect()}
+    assert np.abs(np.array([got[x] for x in range(shape[0])]) - u[:, :2] * s[:2] * sign).max() < 1e-6 * s[0]
+    loaded = {x["sample"]: x["pc"] for x in found.loadings.collect()}
+    assert max(np.abs(loaded[y] - vt[:2, y] * sign).max() for y in range(shape[1])) < 1e-6
+    assert np.allclose(found.variances, s[:2] ** 2 / (shape[0] - 1))
+    assert found.rounds <= 8
+
+
+def test_components_with_both_sides_long(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "NARROW", 0)
+    test_components_of_5000_samples_against_a_dense_decomposition(spark, True)
+    test_components_of_small_and_odd_matrices(spark)
+
+
 def test_components_of_small_and_odd_matrices(spark):
     of = lambda rows: spectral.components(spark.createDataFrame(rows, "pair string, sample string, score double"), 2)
     empty = of([])
