@@ -93,7 +93,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float],
     columns and fractions, are narrowed down together, see ``_narrowed``.
     Infinite values and NaN (the largest) are values like others; null is none,
     and a group without values has no row.  ``df`` is read two times or more.
+    Without ``keys`` a large column's places are looked for by ``_placed``, in
+    wide passes that neither unpivot nor join.
     """
+    if not keys:
+        n = df.agg(*[F.count(F.col(c).cast("double")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        if big := [(c, n[i]) for i, c in enumerate(columns) if n[i] > FEW]:
+            found = _placed(df, dict(big), fractions)
+            out = df.sparkSession.createDataFrame(found, "column string, fraction double, value double")
+            few = [c for c in columns if c not in dict(big)]
+            return out.unionByName(quantiles(df, few, fractions)) if few else out
     named, keys = list(keys), [f"_k{i}" for i in range(len(keys))]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") + 0.0).alias("v")) for c in columns]))
     values = df.select(*[F.col(c).alias(k) for c, k in zip(named, keys)], each.alias("_e")).select(*keys, "_e.column", "_e.v").filter("v IS NOT NULL")
@@ -112,6 +121,92 @@ def quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float],
     return out.select(*[F.col(k).alias(c) for c, k in zip(named, keys)], "column", "fraction", "value")
 
 
+#: Accuracy of the sketch of a whole column, and values between two bounds that one task sorts.
+FINE, AT_MOST = 10_000, 1_000_000
+
+
+def _placed(df: DataFrame, sizes: dict[str, int], fractions: Sequence[float]) -> list[tuple[str, float, float]]:
+    """(column, fraction, value) of whole columns with ``sizes`` values each; the driver gets a few figures per place.
+
+    A pass sketches where the places lie, the next counts what lies below, at
+    and between two values per place, a last one sorts what lies between, which
+    is few; where it isn't, it is narrowed down in the same way.
+    """
+    value = {c: F.col(c).cast("double") + 0.0 for c in sizes}
+    places = {(c, int((n - 1) * f) + up) for c, n in sizes.items() for f in fractions for up in (0, 1) if int((n - 1) * f) + up < n}
+    # a place: the bounds it lies between, both outside, what lies between them, and its number there
+    left = {p: (None, None, sizes[p[0]], p[1]) for p in places}
+    found: dict[tuple[str, int], float] = {}
+
+    def within(c, a, b):
+        holds = value[c].isNotNull()
+        holds = holds if a is None else holds & (value[c] > F.lit(a))
+        return holds if b is None else holds & (value[c] < F.lit(b))
+
+    def figures(columns):
+        return list(df.agg(*[x.alias(f"x{i}") for i, x in enumerate(columns)]).first()) if columns else []
+
+    while left:
+        few = [p for p in left if left[p][2] <= AT_MOST]
+        if few:
+            near = reduce(lambda x, y: x | y, [within(p[0], *left[p][:2]) for p in few])
+            runs = list(dict.fromkeys((p[0], *left[p][:2]) for p in few))
+            lists = [F.sort_array(F.collect_list(F.when(within(*r), value[r[0]]))) for r in runs]
+            at = [F.get(lists[runs.index((p[0], *left[p][:2]))], F.lit(left[p][3])) for p in few]
+            for p, v in zip(few, df.filter(near).agg(*[x.alias(f"x{i}") for i, x in enumerate(at)]).first()):
+                found[p] = v
+                del left[p]
+        many = list(left)
+        spots = []
+        for p in many:
+            a, b, n, k = left[p]
+            share = [min(max((k + 0.5) / n + d / FINE, 0.0), 1.0) for d in (-2, 2)]
+            spots.append(F.percentile_approx(F.when(within(p[0], a, b), value[p[0]]), share, FINE))
+        bounds = figures(spots)
+        counts = []
+        for p, (lo, hi) in zip(many, bounds):
+            a, b, _, _ = left[p]
+            inside, v = within(p[0], a, b), value[p[0]]
+            counts += [F.count_if(inside & (v < F.lit(lo))), F.count_if(v == F.lit(lo)), F.count_if(inside & (v > F.lit(lo)) & (v < F.lit(hi))), F.count_if((v == F.lit(hi)) & (v > F.lit(lo)))]
+        got = figures(counts)
+        for i, (p, (lo, hi)) in enumerate(zip(many, bounds)):
+            a, b, n, k = left[p]
+            below, at_lo, mid, at_hi = got[4 * i : 4 * i + 4]
+            if k < below:
+                left[p] = (a, lo, below, k)
+            elif k < below + at_lo:
+                found[p] = lo
+            elif k < below + at_lo + mid:
+                left[p] = (lo, hi, mid, k - below - at_lo)
+            elif k < below + at_lo + mid + at_hi:
+                found[p] = hi
+            else:
+                left[p] = (hi, b, n - below - at_lo - mid - at_hi, k - below - at_lo - mid - at_hi)
+            if p in found:
+                del left[p]
+    out = []
+    for c, n in sizes.items():
+        for f in fractions:
+            at = (n - 1) * f
+            x = found[c, int(at)]
+            y = found.get((c, int(at) + 1), x)
+            out.append((c, float(f), float(x if at == int(at) or x == y else x + (y - x) * (at - int(at)))))
+    return out
+
+
+def among_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ids: Sequence[str], n: int, name: str) -> DataFrame:
+    """``df`` with ``name``: whether a row is among the first ``n`` of its group; ``keys`` and ``ids`` together name a row.
+
+    Each task keeps its own first ``n`` of a group, and only these move; the
+    rows stay where they are.  ``order`` must leave no ties.  ``df`` is read twice.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    at = [*keys, *ids]
+    first = df.withColumn("_nth", nth).filter(F.col("_nth") <= n).select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(at)], F.lit(True).alias("_in"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(at)])
+    return df.join(first, same, "left").withColumn(name, F.col("_in").isNotNull()).drop("_in", *[f"_r{i}" for i in range(len(at))])
+
+
 def _narrowed(values: DataFrame, keys: list[str], fractions: Sequence[float]) -> DataFrame:
     """(keys, column, fraction, value) from (keys, column, v).
 

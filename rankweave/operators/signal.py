@@ -20,16 +20,24 @@ def usable(df: DataFrame, value: str = "value", file: str | None = None) -> Data
     return joined(rows, F.broadcast(good), [file])
 
 
+#: Rows of a source that one task ranks; larger sources are ranked by several.
+ONE_TASK = 1_000_000
+
+
 def dual_end_signal(df: DataFrame, src: str = "src", value: str = "value", order: Sequence[str] = ("mid",)) -> DataFrame:
     """``df`` with distance_to_end, signal and total_in_src.
 
     The closer a value is to either end of its source's range (0 or the
     maximum), the higher its signal: 1 - (rank - 1) / n.  ``order`` breaks
-    ties.  A source may span many tasks.
+    ties.  Sources of up to ONE_TASK rows are ranked within a task; where there is
+    a larger one, all are ranked by range, and a source may span many tasks.
     """
-    about = df.groupBy(src).agg(F.max(value).alias("_most"), F.count(F.lit(1)).alias("total_in_src"))
+    about = kept(df.groupBy(src).agg(F.max(value).alias("_most"), F.count(F.lit(1)).alias("total_in_src")), "sources")
     df = joined(df, about, [src]).withColumn("distance_to_end", F.least(F.col(value), F.col("_most") - F.col(value))).drop("_most")
-    df = ranked(df, [src], ["distance_to_end", *order], "_near")
+    if (about.agg(F.max("total_in_src")).first()[0] or 0) <= ONE_TASK:
+        df = df.withColumn("_near", F.row_number().over(Window.partitionBy(src).orderBy("distance_to_end", *order)))
+    else:
+        df = ranked(df, [src], ["distance_to_end", *order], "_near")
     return df.withColumn("signal", F.lit(1.0) - (F.col("_near") - 1) / F.col("total_in_src")).drop("_near")
 
 

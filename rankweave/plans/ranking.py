@@ -78,10 +78,10 @@ def tk8(t):
 def scored(t: Tables) -> DataFrame:
     """src, mid, signal, novelty and two experimental counts per pair: what the last step takes.  One aggregate gives values and counts."""
     src, mid = F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("mid")
-    pairs = t.lineitem.groupBy(src, mid).agg(
+    pairs = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(
         F.max("l_extendedprice").alias("value"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("pair_sm_exp"), F.count_if(F.col("l_linestatus") == "O").alias("pair_md_exp")
     )
-    pairs = kept(pairs, "pairs")
+    pairs = kept(pairs.select(src, mid, "value", "n", "pair_sm_exp", "pair_md_exp"), "pairs")
     most = pairs.agg(F.max("n").alias("most"))
     pairs = signal.dual_end_signal(pairs).crossJoin(F.broadcast(most))  # one row
     return pairs.withColumn("novelty", quadrant.novelty_by_batch(F.col("n"), F.col("most"))).select("src", "mid", "signal", "n", "pair_sm_exp", "pair_md_exp", "novelty")

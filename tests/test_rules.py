@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankweave import ranking
 from rankweave.functions import names, texts
-from rankweave.operators import articles, audits, benchstat, compose, corpus, energy, gates, graph, quadrant, refmatch, signal, spectral
+from rankweave.operators import articles, audits, benchstat, compose, corpus, energy, gates, graph, ordered, quadrant, refmatch, signal, spectral
 from rankweave.sources import files
 
 
@@ -380,6 +380,42 @@ def test_ranks_and_medians_over_many_tasks(spark, monkeypatch):
     assert ordered.median(df.filter("false"), "v") is None
 
 
+def test_quantiles_of_whole_columns_need_no_joins(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW", 10)
+    monkeypatch.setattr(ordered, "AT_MOST", 20)
+    monkeypatch.setattr(ordered, "FINE", 50)  # bounds far apart, so that several passes are needed
+    monkeypatch.setattr(ordered, "_narrowed", None)
+    r = random.Random(5)
+    rows = [(r.choice([-0.0, 0.0, 1.0, r.gauss(0, 9)]), r.choice([math.inf, -math.inf, math.nan, r.random()]), r.random() if i < 5 else None) for i in range(1501)]
+    got = {(x["column"], x["fraction"]): x["value"] for x in ordered.quantiles(spark.createDataFrame(rows, "v double, w double, few double"), ["v", "w", "few"], [0.0, 0.2, 0.5, 0.77, 1.0]).collect()}
+    assert len(got) == 15
+    for i, c in enumerate(("v", "w", "few")):
+        xs = sorted((x[i] for x in rows if x[i] is not None), key=lambda x: (math.isnan(x), x))
+        for f in (0.0, 0.2, 0.5, 0.77, 1.0):
+            at = (len(xs) - 1) * f
+            lo, hi = xs[int(at)], xs[min(int(at) + 1, len(xs) - 1)]
+            want = lo if at == int(at) or lo == hi else lo + (hi - lo) * (at - int(at))
+            assert got[c, f] == pytest.approx(want, nan_ok=True)
+
+
+def test_signal_of_sources_that_fit_a_task_and_of_larger_ones(spark, monkeypatch):
+    r = random.Random(6)
+    df = spark.createDataFrame([(r.choice(["a", "b", None]), f"m{i}", float(r.randrange(20))) for i in range(300)], "src string, mid string, value double")
+    got = lambda: sorted(map(str, signal.dual_end_signal(df).collect()))
+    monkeypatch.setattr(signal, "ONE_TASK", 0)
+    want = got()
+    monkeypatch.setattr(signal, "ONE_TASK", 1000)
+    monkeypatch.setattr(signal, "ranked", None)  # none of them is sorted by range
+    assert got() == want and len(want) == 300
+
+
+def test_among_first_marks_the_first_of_each_group(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i, float(i % 5)) for i in range(30)], "g string, id int, v double")
+    got = {x["id"] for x in ordered.among_first(df, ["g"], [F.desc("v"), "id"], ["id"], 4, "top").collect() if x["top"]}
+    assert got == {4, 14, 19, 29, 9, 24, 3, 18}
+    assert ordered.among_first(df, ["g"], ["id"], ["id"], 4, "top").count() == 30
+
+
 def test_quantiles_of_many_groups_with_ties_infinities_and_nan(spark):
     import duckdb
 
