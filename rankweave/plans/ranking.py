@@ -157,8 +157,8 @@ def tk11(t):
 @query("TK12_top_novel_flag", f"""WITH {ASSIGNED} SELECT src, mid, row_number() OVER (PARTITION BY quadrant ORDER BY composite_score DESC, src, mid) <= 10 AS is_top FROM a WHERE novelty < 1""")
 def tk12(t):
     rows = quadrant.assigned(scored(t)).filter("novelty < 1")
-    rows = ordered.ranked(rows, ["quadrant"], [F.desc("composite_score"), "src", "mid"], "nth")  # four quadrants, many tasks
-    return rows.select("src", "mid", (F.col("nth") <= 10).alias("is_top"))
+    rows = ordered.among_first(rows, ["quadrant"], [F.desc("composite_score"), "src", "mid"], ["src", "mid"], 10, "is_top")
+    return rows.select("src", "mid", "is_top")
 
 
 @query("FL17_with_evidence", f"WITH {ASSIGNED} SELECT src, mid, pair_sm_exp + pair_md_exp AS evidence FROM a WHERE pair_sm_exp + pair_md_exp > 0 AND novelty < 1")
