@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import distinct_in_order, from_file_name, mid_of_row_name, stripped
 from ..functions.texts import without_tags
+from .shared import spread
 
 
 def relative(base: str) -> Column:
@@ -156,8 +157,10 @@ def protocols(df: DataFrame, document: str, most: int = 20) -> DataFrame:
 
     A step's text is that of its text fields at any depth, without repeats; a
     step without any has no entry, and keeps its number.  A material is its
-    name, vendor, SKU and URL.
+    name, vendor, SKU and URL.  The records are dealt evenly over tasks first:
+    a small file, well packed, would be the work of a few.
     """
+    df = spread(df)
     p = df.select(F.from_json(document, PROTOCOL).alias("p"), step_texts(F.col(document)).alias("s")).select("p.*", "s")
     clean = lambda c: F.transform(c, lambda x: without_tags(x))
     step = F.transform("s", lambda s: without_tags(F.array_join(distinct_in_order(clean(s)), " | "), 900))

@@ -8,6 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks for each core of the cluster among which rows are dealt whose work takes far longer than their reading.
+TASKS_A_CORE = 4
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, deleted when the driver's JVM ends.
@@ -40,6 +43,11 @@ def kept(df: DataFrame, name: str, after: Sequence[DataFrame] = ()) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over TASKS_A_CORE tasks a core, for work that takes far longer than reading: a small file, well packed, is read by few."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def release(df: DataFrame) -> None:
     """Deletes the folder of a table that ``kept`` made; other tables' files stay."""
     context = df.sparkSession.sparkContext

@@ -550,6 +550,14 @@ def test_components_with_both_sides_long(spark, monkeypatch):
     test_components_of_small_and_odd_matrices(spark)
 
 
+def test_protocols_of_one_file_are_the_work_of_many_tasks(spark, tmp_path):
+    rows = [(f'{{"id": "{i}", "steps": [{{"text": "do {i}"}}], "materials": []}}',) for i in range(200)]
+    spark.createDataFrame(rows, "j string").coalesce(1).write.parquet(str(tmp_path / "p"))
+    out = files.protocols(spark.read.parquet(str(tmp_path / "p")), "j")
+    assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 8
+    assert {x["id"]: x["steps"] for x in out.collect()} == {str(i): [f"Step 1: do {i}"] for i in range(200)}
+
+
 def test_components_of_small_and_odd_matrices(spark):
     of = lambda rows: spectral.components(spark.createDataFrame(rows, "pair string, sample string, score double"), 2)
     empty = of([])
