@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import spaced
-from ..sources.shared import kept
+from ..sources.shared import kept, spread
 from .ordered import ranked
 
 #: Vectors of a block: two blocks meet in one task as matrices.
@@ -102,6 +102,21 @@ FIRST = 2
 SLACK = 1e-6
 
 
+def _promising(gap: np.ndarray, to: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Per query (row) the blocks with the least gap, of equal ones the nearest centres: FIRST or as many as hold ``k`` vectors.  They are picked one by one, not sorted."""
+    early = np.zeros(gap.shape, bool)
+    rest, held, open_ = gap.copy(), np.zeros(len(gap), np.int64), np.arange(len(gap))
+    for i in range(gap.shape[1]):
+        least = rest[open_].min(1, keepdims=True)
+        pick = np.where(rest[open_] == least, to[open_], np.inf).argmin(1)
+        early[open_, pick], rest[open_, pick] = True, np.inf
+        held[open_] += n[pick]
+        open_ = open_[(held[open_] < k) | (i + 1 < FIRST)]
+        if not len(open_):
+            break
+    return early
+
+
 class Index:
     """Vectors (id, type, vector) in blocks: shells around centres.
 
@@ -116,8 +131,8 @@ class Index:
 
     def __init__(self, vectors: DataFrame, metric: str = "angle", seed: int = 1):
         self.metric = metric
-        vectors = kept(vectors.filter("type IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "type", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.monotonically_increasing_id().alias("row")), "vectors")
-        n = vectors.count()
+        vectors = kept(spread(vectors.filter("type IS NOT NULL AND vector IS NOT NULL")).select(F.col("id").cast("long").alias("id"), "type", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.monotonically_increasing_id().alias("row")), "vectors")
+        self.source, n = vectors, vectors.count()
         self.size = max(SMALLEST, int(n**0.5))
         draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         some = vectors.filter(draw < min(CENTRES, n / self.size / 2) / max(n, 1)).select("type", "vector")
@@ -166,12 +181,7 @@ class Index:
                     b = blocks[t]
                     to = _apart(x[own], centres[t], metric)[:, b["centre"]]
                     gap = np.maximum(0.0, np.maximum(to - b["hi"], b["lo"] - to)) * (1 - SLACK) - SLACK  # the least distance to a vector of the block
-                    order = np.lexsort((to, gap), axis=1)
-                    enough = np.cumsum(b["n"][order], axis=1) < k
-                    count = np.minimum(np.maximum(enough.sum(1) + 1, FIRST), gap.shape[1])
-                    place = np.empty_like(order)
-                    np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(own), 0), axis=1)
-                    early = place < count[:, None]
+                    early = _promising(gap, to, b["n"], k)
                     bar = np.array([np.nan if least[i] is None else np.arccos(np.clip(least[i] - 10.0**-DIGITS, -1.0, 1.0)) if metric == "angle" else -least[i] for i in own])
                     wanted = np.where(np.isnan(bar)[:, None], early, ~early & (gap <= bar[:, None]))
                     i, j = np.nonzero(wanted)
@@ -204,7 +214,7 @@ def search(queries: DataFrame, index: Index, k: int = 5, threshold: float = 0.7)
     Exact: a block is left out only if no vector in it can reach the k-th score
     that a query has found already, or the threshold.
     """
-    q = kept(queries.select(F.col("qid").cast("long").alias("qid"), "type", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "queries")
+    q = kept(spread(queries.select(F.col("qid").cast("long").alias("qid"), "type", F.transform("vector", lambda x: x.cast("double")).alias("vector"))), "queries")
     first = kept(index.visits(q.withColumn("least", F.lit(None).cast("double")), k), "first-visits")
     early = kept(index.looked(first, k, threshold), "early")
     least = _top(early, k).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))

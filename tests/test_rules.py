@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankweave import ranking
 from rankweave.functions import names, texts
-from rankweave.operators import articles, audits, benchstat, compose, corpus, energy, gates, graph, ordered, quadrant, refmatch, signal, spectral
+from rankweave.operators import articles, audits, benchstat, compose, corpus, embed, energy, gates, graph, ordered, quadrant, refmatch, signal, spectral
 from rankweave.sources import files
 
 
@@ -558,6 +558,25 @@ def test_protocols_of_one_file_are_the_work_of_many_tasks(spark, tmp_path):
     assert {x["id"]: x["steps"] for x in out.collect()} == {str(i): [f"Step 1: do {i}"] for i in range(200)}
 
 
+def test_promising_blocks_are_those_of_a_sort(spark):
+    r = np.random.default_rng(3)
+    for k in (1, 6, 40, 10_000):
+        gap, to, n = r.integers(-1, 4, (50, 30)).astype(float), r.random((50, 30)), r.integers(1, 20, 30)
+        order = np.lexsort((to, gap), axis=1)
+        count = np.minimum(np.maximum((np.cumsum(n[order], axis=1) < k).sum(1) + 1, embed.FIRST), 30)
+        want = [set(o[:c].tolist()) for o, c in zip(order, count)]
+        assert [set(np.flatnonzero(x).tolist()) for x in embed._promising(gap, to, n, k)] == want
+
+
+def test_vectors_of_one_file_are_the_work_of_many_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id", "'t' AS type", "array(double(id), 0D) AS vector").coalesce(1).write.parquet(str(tmp_path / "v"))
+    index = embed.Index(spark.read.parquet(str(tmp_path / "v")), "euclidean")
+    queries = index.rows.selectExpr("id AS qid", "'t' AS type", "vector")
+    found = embed.search(queries, index, 2, -float("inf"))[0]
+    assert found.count() == 800
+    assert len(index.source.inputFiles()) >= 8
+
+
 def test_components_of_small_and_odd_matrices(spark):
     of = lambda rows: spectral.components(spark.createDataFrame(rows, "pair string, sample string, score double"), 2)
     empty = of([])
