@@ -19,10 +19,12 @@ from ..sources.shared import kept
 
 #: Columns that a block has beyond those asked for, and blocks that the basis holds before it is cut back.
 SPARE, BLOCKS = 8, 8
-#: Names of a side whose directions the driver may hold; columns that a block has beyond those asked for there, and blocks of its basis.
-NARROW, NARROW_SPARE, NARROW_BLOCKS = 16_384, 30, 16
-#: Numbers that a task makes at once in a pass over the entries.
-AT_ONCE = 4_000_000
+#: Names of a side whose directions the driver may hold; columns that a block has beyond those asked for there, at most and at least, and blocks of its basis.
+NARROW, NARROW_SPARE, NARROW_LEAST, NARROW_BLOCKS = 1 << 19, 30, 4, 16
+#: Numbers of a basis there, and of its image, at most: longer sides have fewer columns.
+HELD = 1 << 24
+#: Entries that a task takes at once in a pass over them.
+AT_ONCE = 1_000_000
 
 
 @dataclass
@@ -119,39 +121,53 @@ def _signed(df: DataFrame, key: str, signs: Sequence[float], *more: str) -> Data
 
 
 def _passes(lists: DataFrame, size: int, u: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """A matrix times the images of ``u`` less ``shift``, both ways in one pass over its lists (at, value) along the longer side; ``size`` rows."""
-    width = u.shape[1]
+    """A matrix times the images of ``u`` less ``shift``, both ways in one pass over its lists (at, value) along the longer side; ``size`` rows.
+
+    A direction at a time: sums over lists one behind the other, and over names by counting, are many times as fast as over rows of a block.
+    """
+    width, flat = u.shape[1], np.ascontiguousarray(u.T)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((size, width))
-        for batch in batches:
-            for at, x, starts in _parts(batch, width):
-                y = np.add.reduceat(x[:, None] * u[at], starts) - shift
-                back = x[:, None] * np.repeat(y, np.diff(np.append(starts, len(at))), axis=0)
-                by = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.diff(at[by], prepend=-1))
-                out[at[by][first]] += np.add.reduceat(back[by], first)
-        some = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(out[some, j]) for j in range(width)]], names=["at", *[f"y{j}" for j in range(width)]])
+        out = np.zeros((width, size))
+        for at, x, starts in _parts(batches):
+            lengths = np.diff(np.append(starts, len(at)))
+            for j in range(width):
+                y = np.add.reduceat(x * flat[j][at], starts) - shift[j]
+                out[j] += np.bincount(at, x * np.repeat(y, lengths), minlength=size)
+        some = np.flatnonzero(out.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(out[j, some]) for j in range(width)]], names=["at", *names])
 
     names = [f"y{j}" for j in range(width)]
     found = lists.select("at", "value").mapInArrow(work, "at long, " + ", ".join(f"{c} double" for c in names)).groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = np.zeros((size, width))
-    out[found.column("at").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in names])
+    out, at = np.zeros((size, width)), found.column("at").to_numpy()
+    for j, c in enumerate(names):
+        out[at, j] = found.column(c).to_numpy()
     return out
 
 
-def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The lists of a batch, some at a time: places, values and where each list starts."""
-    if not batch.num_rows:
-        return
+def _lists_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of a batch: places, values and lengths."""
     at, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "value"))
-    ends = np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    starts = np.append(0, ends[:-1])
-    part = starts * width // AT_ONCE
-    for own in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(part)) + 1):
-        a, z = starts[own[0]], ends[own[-1]]
-        yield at[a:z], x[a:z], starts[own] - a
+    return at.astype(np.int64), x, batch.column("at").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The lists of a task, about AT_ONCE entries at a time: places, values and where each list starts.  No list is empty."""
+    held, n = [], 0
+
+    def joined():
+        at, x, lengths = (np.concatenate(v) for v in zip(*held))
+        return at, x, np.cumsum(lengths) - lengths
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_lists_of(batch))
+            n += len(held[-1][0])
+            if n >= AT_ONCE:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
 
 
 def _by_narrow_side(cells: DataFrame, k: int, row: str, column: str, n: int, by_row: bool, most_error: float, most_rounds: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
@@ -160,6 +176,7 @@ def _by_narrow_side(cells: DataFrame, k: int, row: str, column: str, n: int, by_
     The entries lie in one list per name of the longer side; a pass sends a
     block of directions to the lists' tasks, which return sums per name of the
     shorter side.  What the best combinations leave unexplained joins the basis.
+    Basis and image have HELD numbers at most each, whatever the side's length.
     """
     side, other = (row, column) if by_row else (column, row)
     ids = cells.groupBy(side).agg((F.sum("value") / n).alias("mean")).withColumn("at", F.row_number().over(Window.orderBy(side)) - 1)  # at most NARROW rows
@@ -171,13 +188,17 @@ def _by_narrow_side(cells: DataFrame, k: int, row: str, column: str, n: int, by_
     # rows' directions are centred themselves, columns' images by the means' image
     centred = (lambda x: x - x.mean(0)) if by_row else (lambda x: x)
     shifted = (lambda u: np.zeros(u.shape[1])) if by_row else (lambda u: mean @ u)
-    block = min(k + NARROW_SPARE, size)
-    v, w, rounds = np.zeros((size, 0)), np.zeros((size, 0)), 0
+    columns = HELD // max(size, 1)
+    block = min(k + NARROW_SPARE, max(k + NARROW_LEAST, columns // NARROW_BLOCKS), size)
+    columns = min(NARROW_BLOCKS * block, max(columns, 3 * block))
+    all_v, all_w = (np.zeros((size, columns), order="F") for _ in range(2))
+    m, rounds = 0, 0
     theta, sides = np.zeros(0), np.zeros((0, 0))
     r = centred(np.random.default_rng(1).standard_normal((size, block)))
     least = 0.0
     while True:
-        if m := v.shape[1]:
+        v, w = all_v[:, :m], all_w[:, :m]
+        if m:
             h = v.T @ w
             theta, sides = np.linalg.eigh((h + h.T) / 2)
             theta, sides = theta[::-1], sides[:, ::-1]
@@ -197,9 +218,13 @@ def _by_narrow_side(cells: DataFrame, k: int, row: str, column: str, n: int, by_
         if rounds == most_rounds:
             raise RuntimeError("components did not settle")
         rounds += 1
-        if m and m + r.shape[1] > NARROW_BLOCKS * block:
-            v, w = v @ sides[:, : 2 * block], w @ sides[:, : 2 * block]
-        v, w = np.hstack([v, r]), np.hstack([w, centred(_passes(lists, size, r, shifted(r)))])
+        if m and m + r.shape[1] > columns:
+            cut = sides[:, : 2 * block]
+            m = cut.shape[1]
+            all_v[:, :m], all_w[:, :m] = v @ cut, w @ cut
+        width = r.shape[1]
+        all_v[:, m : m + width], all_w[:, m : m + width] = r, centred(_passes(lists, size, r, shifted(r)))
+        m += width
 
     k = min(k, len(theta), int((theta > 1e-12 * theta[0]).sum()) if len(theta) and theta[0] > 0 else 0)
     root = np.sqrt(theta[:k])
@@ -209,9 +234,11 @@ def _by_narrow_side(cells: DataFrame, k: int, row: str, column: str, n: int, by_
 
     def imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for_all = [np.add.reduceat(x[:, None] * u[at], starts) - shift for at, x, starts in _parts(batch, max(k, 1))]
-            if for_all:
-                y = np.concatenate(for_all)
+            if batch.num_rows:
+                at, x, lengths = _lists_of(batch)
+                y = np.zeros((len(lengths), k))
+                for j in range(k):
+                    y[:, j] = np.add.reduceat(x * u[at, j], np.cumsum(lengths) - lengths) - shift[j]
                 yield pa.RecordBatch.from_arrays([batch.column(other), _lists(y / root if by_row else y)], names=[other, "pc"])
 
     far = kept(lists.mapInArrow(imaged, f"`{other}` {kind}, pc array<double>"), "images")
@@ -240,29 +267,28 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
     if k < 1:
         raise ValueError("k must be at least 1")
     entries = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).select(F.col(row).alias("_row"), F.col(column).alias("_column"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
-    entries = kept(entries, "entries")
     names, (row, column) = {"_row": row, "_column": column}, ("_row", "_column")  # so that no name clashes
-    about = entries.agg(F.count_distinct(row).alias("n"), F.count_distinct(column).alias("m"), F.bool_or(F.isnan("value") | (F.abs("value") == float("inf"))).alias("odd")).first()
+    cells = kept(entries.groupBy(row, column).agg(F.sum("value").alias("value")), "cells")
+    about = cells.agg(F.count_distinct(row).alias("n"), F.bool_or(F.isnan("value") | (F.abs("value") == float("inf"))).alias("odd")).first()
     n = about["n"]
     if about["odd"]:
         raise ValueError("values must be finite")
     if scaled:
-        cells = entries.groupBy(row, column).agg(F.sum("value").alias("value"))
         spread = cells.groupBy(column).agg(F.sqrt((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n) / max(n - 1, 1)).alias("deviation"))
-        entries = kept(cells.join(spread, column).select(row, column, F.when(F.col("deviation") > 0, F.col("value") / F.col("deviation")).otherwise(0.0).alias("value")), "scaled", after=[entries])
-    cells = entries.groupBy(row, column).agg(F.sum("value").alias("value"))
-    total = cells.groupBy(column).agg((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n).alias("v")).agg(F.sum("v")).first()[0] or 0.0
-    if n and min(n, about["m"]) <= NARROW:
-        scores, loadings, theta, rounds = _by_narrow_side(kept(cells, "cells"), k, row, column, n, n <= about["m"], most_error, most_rounds)
+        cells = kept(cells.join(spread, column).select(row, column, F.when(F.col("deviation") > 0, F.col("value") / F.col("deviation")).otherwise(0.0).alias("value")), "scaled", after=[cells])
+    of = cells.groupBy(column).agg((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n).alias("v")).agg(F.count(F.lit(1)).alias("m"), F.sum("v").alias("total")).first()
+    total = of["total"] or 0.0
+    if n and min(n, of["m"]) <= NARROW:
+        scores, loadings, theta, rounds = _by_narrow_side(cells, k, row, column, n, n <= of["m"], most_error, most_rounds)
         if len(theta):
             signs = _signs(loadings, len(theta), column)
             scores, loadings = (_signed(d, c, signs) for d, c in ((scores, row), (loadings, column)))
         return Components(scores.withColumnsRenamed(names), loadings.withColumnsRenamed(names), [float(x) / max(n - 1, 1) for x in theta], float(total) / max(n - 1, 1), rounds)
-    kind = entries.schema[column].dataType.simpleString()
+    kind = cells.schema[column].dataType.simpleString()
 
     block = k + SPARE
     first = [F.xxhash64(F.col(column), F.lit(j)) / float(2**63) for j in range(block)]
-    state = kept(entries.groupBy(column).agg((F.sum("value") / max(n, 1)).alias("mean")).withColumn("first", F.array(*first)), "directions")
+    state = kept(cells.groupBy(column).agg((F.sum("value") / max(n, 1)).alias("mean")).withColumn("first", F.array(*first)), "directions")
     m, rounds, sides, theta, start = 0, 0, None, np.zeros(0), (None, None, True)
     while n:
         steps: list[tuple] = []
@@ -296,14 +322,14 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
                     yield pa.RecordBatch.from_arrays([batch.column(column), batch.column("mean"), _lists(v @ cut), _lists(w), _lists(r)], names=[column, "mean", "v", "w", "r"])
 
         wider = kept(state.mapInArrow(extended, f"`{column}` {kind}, mean double, v array<double>, w array<double>, r array<double>"), "basis")
-        images = _applied(entries, wider, "r", width, row, column)
+        images = _applied(cells, wider, "r", width, row, column)
         state = kept(wider.join(images, column).select(column, "mean", F.concat("v", "r").alias("v"), F.concat("w", "image").alias("w")), "basis", after=[wider, state])
         m = cut.shape[1] + width
 
     k = min(k, m, int((theta > 1e-12 * theta[0]).sum()) if m and theta[0] > 0 else 0)
     if not k:
         nothing = F.array().cast("array<double>").alias("pc")
-        return Components(entries.select(row).distinct().select(row, nothing).withColumnsRenamed(names), state.select(column, nothing).withColumnsRenamed(names), [], total / max(n - 1, 1), rounds)
+        return Components(cells.select(row).distinct().select(row, nothing).withColumnsRenamed(names), state.select(column, nothing).withColumnsRenamed(names), [], total / max(n - 1, 1), rounds)
 
     def turned(batches: Iterator[pa.RecordBatch], best=sides[:, :k]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,5 +338,5 @@ def components(df: DataFrame, k: int, row: str = "pair", column: str = "sample",
 
     loadings = kept(state.mapInArrow(turned, f"`{column}` {kind}, mean double, pc array<double>"), "loadings")
     loadings = _signed(loadings, column, _signs(loadings, k, column), "mean")
-    scores = _images(entries, loadings, "pc", k, row, column).withColumnRenamed("y", "pc")
+    scores = _images(cells, loadings, "pc", k, row, column).withColumnRenamed("y", "pc")
     return Components(scores.withColumnsRenamed(names), loadings.select(column, "pc").withColumnsRenamed(names), [float(x) / max(n - 1, 1) for x in theta[:k]], float(total) / max(n - 1, 1), rounds)

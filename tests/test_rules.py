@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -544,6 +545,41 @@ def test_components_without_leading_directions_take_few_passes(spark, shape):
     assert found.rounds <= 8
 
 
+def test_components_of_a_longer_side_hold_fewer_columns(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    a = (r.normal(size=(120, 3)) * [9, 5, 2]) @ r.normal(size=(3, 300)) + r.normal(size=(120, 300))
+    df = spark.createDataFrame([(x, y, float(a[x, y])) for x in range(120) for y in range(300)], "pair long, sample long, score double")
+    widths, passes = [], spectral._passes
+    monkeypatch.setattr(spectral, "_passes", lambda lists, size, u, shift: widths.append(u.shape[1]) or passes(lists, size, u, shift))
+    monkeypatch.setattr(spectral, "HELD", 120 * 20)
+    found = spectral.components(df, 2, most_error=1e-9)
+    b = a - a.mean(0)
+    u, s, vt = np.linalg.svd(b, full_matrices=False)
+    sign = np.sign(vt[np.arange(2), np.abs(vt[:2]).argmax(1)])
+    got = {x["pair"]: x["pc"] for x in found.scores.collect()}
+    assert np.abs(np.array([got[x] for x in range(120)]) - u[:, :2] * s[:2] * sign).max() < 1e-6 * s[0]
+    assert max(widths) == 6 and len(widths) > 3  # three blocks and more: the basis of 20 columns was cut back
+
+
+def test_components_of_17000_rows_join_no_entries(spark, monkeypatch):
+    n = 17_000
+    row = np.repeat(np.arange(n), 2)
+    column, value = row.copy(), np.ones(2 * n)
+    column[1::2], value[1::2] = n + row[1::2] % 3, 1.0 + 4 * (row[1::2] % 3)
+    df = spark.createDataFrame(pa.table({"pair": row, "sample": column, "score": value}))
+    monkeypatch.setattr(spectral, "_applied", None)  # it joins the entries twice a round
+    found = spectral.components(df, 1, most_error=1e-9)
+    v = np.sin(np.arange(n + 3.0))
+    for _ in range(200):
+        y = np.bincount(row, value * v[column])
+        v = np.bincount(column, value * (y - y.mean())[row])
+        v /= np.linalg.norm(v)
+    y = np.bincount(row, value * v[column])
+    y = (y - y.mean()) * np.sign(v[np.abs(v).argmax()])
+    got = {x["pair"]: x["pc"][0] for x in found.scores.collect()}
+    assert np.abs(np.array([got[i] for i in range(n)]) - y).max() < 1e-6 * np.linalg.norm(y)
+
+
 def test_components_with_both_sides_long(spark, monkeypatch):
     monkeypatch.setattr(spectral, "NARROW", 0)
     test_components_of_5000_samples_against_a_dense_decomposition(spark, True)
