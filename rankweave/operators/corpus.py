@@ -155,9 +155,9 @@ def counts(candidates: DataFrame, found: DataFrame, doc: str = "doc_id", flag: s
         if name == "pair_sm":
             met = kept(met, "met")
             three = c.select("src", "mid", F.col("dst").alias("term")).distinct().join(met, ["src", "mid"]).join(found.select(doc, "term"), [doc, "term"], "left_semi")
-            three = three.groupBy("src", "mid", F.col("term").alias("dst")).agg(F.count(F.lit(1)).alias("triple_smd"), F.count_if(flag).alias("triple_smd_exp"))
+            three = kept(three.groupBy("src", "mid", F.col("term").alias("dst")).agg(F.count(F.lit(1)).alias("triple_smd"), F.count_if(flag).alias("triple_smd_exp")), "triples")
             out = out.join(three, ["src", "mid", "dst"], "left")
-        out = out.join(met.groupBy(a, b).agg(*sums), [a, b], "left")
+        out = out.join(kept(met.groupBy(a, b).agg(*sums), "pair-counts"), [a, b], "left")  # each a plan of its own: the driver holds whole plans
     return out.select("cand", *SETS, *[f"{k}_exp" for k in FLAGGED]).na.fill(0)
 
 
@@ -172,6 +172,7 @@ def chain_counts(chains: DataFrame, found: DataFrame, doc: str = "doc_id", flag:
     known = wanted.join(of, "term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     first = known.groupBy("cand").agg(F.min(F.struct("_n", "term", "_slots")).alias("_first"), F.count(F.lit(1)).alias("_size"))
     first = first.filter("_first._n > 0").select("cand", "_size", F.col("_first.term").alias("term"), each_slot("_first._slots").alias("_slot"))
+    first = kept(first, "rarest")
     rows = first.join(spread, ["term", "_slot"]).select("cand", "_size", doc, F.col(flag).alias("_flag"))
     met = rows.join(wanted, "cand").join(found.select(doc, "term").distinct(), [doc, "term"], "left_semi")
     met = met.groupBy("cand", doc, "_size").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("_flag").alias("_flag")).filter("_n = _size")
@@ -184,7 +185,7 @@ def edge_counts(paths: DataFrame, found: DataFrame, doc: str = "doc_id") -> Data
     steps = paths.select("cand", F.posexplode(F.zip_with(F.slice("nodes", 1, F.size("nodes") - 1), F.slice("nodes", 2, F.size("nodes") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pos", "s"))
     steps = kept(steps.select("cand", "pos", "s.a", "s.b"), "path-steps")
     both = pair_documents(steps, found.select("term", doc, F.lit(False).alias("_flag")).distinct(), doc, "_flag")
-    n = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    n = kept(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "step-counts")
     return steps.join(n, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0))).select("cand", "pos", "a", "b", "n")
 
 

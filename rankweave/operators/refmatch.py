@@ -42,7 +42,8 @@ def _contained(x: DataFrame, y: DataFrame, a: str, b: str) -> DataFrame:
 def either_way(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b): distinct names of which one holds the other."""
     x, y = kept(left.select(a).filter(F.col(a) != ""), "left"), kept(right.select(b).filter(F.col(b) != ""), "right")
-    return kept(_contained(x, y, a, b).unionByName(_contained(y, x, b, a).select(a, b)).distinct(), "either-way", after=[x, y])
+    one, two = kept(_contained(x, y, a, b), "held"), kept(_contained(y, x, b, a).select(a, b), "held", after=[x, y])
+    return kept(one.unionByName(two).distinct(), "either-way", after=[one, two])
 
 
 def normalised(df: DataFrame, *columns: str) -> DataFrame:
@@ -74,9 +75,10 @@ def with_synonyms(queries: DataFrame, query: str, groups: Mapping[str, Sequence[
 def pair_matches(pairs: DataFrame, table: DataFrame, a: str, b: str, name_a: str, name_b: str, groups: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows of ``table`` (with a unique column row) for each pair (a, b) of which both names match; ``groups`` gives synonyms of b."""
     p = pairs.select(a, b).distinct()
-    one = matches(p, table.select("row", name_a), a, name_a).select(a, "row").distinct()
+    one = kept(matches(p, table.select("row", name_a), a, name_a).select(a, "row").distinct(), "rows-of-a")
     forms = with_synonyms(p, b, groups or {})
     two = matches(forms.select("form"), table.select("row", name_b), "form", name_b).join(forms, "form").select(b, "row").distinct()
+    two = kept(two, "rows-of-b")
     return p.join(one, a).join(two, [b, "row"]).join(table, "row")
 
 

@@ -317,6 +317,30 @@ def test_index_gives_what_comparing_everything_gives_and_visits_little(spark):
     assert embed.search(q, embed.Index(df.limit(0)), 7, 0.3)[0].collect() == []
 
 
+def test_search_sends_no_vector_once_for_each_block_visited(spark, monkeypatch):
+    from rankweave.operators import embed
+
+    v = np.random.default_rng(8).normal(0, 1, (3000, 16))  # without structure: nearly all blocks are visited
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], x.tolist()) for i, x in enumerate(v)], "id long, type string, vector array<double>")
+    rows, kept = [], embed.kept
+
+    def counted(table, name, *more, **after):
+        out = kept(table, name, *more, **after)
+        rows.append(out.count() if "vector" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(embed, "kept", counted)
+    for name, n in (("GROUP", 200), ("MOST", 300), ("CHUNK", 500)):
+        monkeypatch.setattr(embed, name, n, raising=False)
+    got, visited = embed.search(df.withColumnRenamed("id", "qid"), embed.Index(df), 5, 0.1)
+    plain = {(x["qid"], x["id"], x["rank"]): x["score"] for x in embed.top_k(df.withColumnRenamed("id", "qid"), df, 5, 0.1).collect()}
+    mine = {(x["qid"], x["id"], x["rank"]): x["score"] for x in got.collect()}
+    assert mine.keys() == plain.keys() and all(abs(mine[k] - plain[k]) < 1e-12 for k in plain)
+    assert visited.agg(F.sum("visited")).first()[0] > 10 * 3000
+    assert max(rows) <= embed.FIRST * 3000
+
+
 def test_neighbour_graph_and_bands_against_plain_search(spark):
     import heapq
 
@@ -688,6 +712,16 @@ def test_cosines_that_are_equal_but_for_rounding_go_by_id(spark):
         assert len(of) == 24 and all(ids[i : i + 4] == sorted(ids[i : i + 4]) and len({x // 4 for x in ids[i : i + 4]}) == 1 for ids in of.values() for i in range(0, 24, 4))
 
 
+def test_counts_of_candidates_are_plans_of_few_joins(spark, monkeypatch):
+    joins, kept = [], corpus.kept
+    of = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    monkeypatch.setattr(corpus, "kept", lambda df, *more, **after: joins.append(of(df)) or kept(df, *more, **after))
+    held = spark.createDataFrame([(d, t, d % 2 == 0) for d in range(6) for t in "abc" if (d + ord(t)) % 3], "doc_id long, term string, exp boolean")
+    out = corpus.counts(spark.createDataFrame([("1", "a", "b", "c")], "cand string, src string, mid string, dst string"), held)
+    assert [tuple(r) for r in out.collect()] == [("1", 2, 0, 2, 2, 1, 0, 1)]
+    assert max(joins + [of(out)]) <= 6
+
+
 def test_the_beginnings_of_documents_are_passages_too(spark):
     from rankweave.plans import ORACLES
 
